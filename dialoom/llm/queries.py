@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dialoom.llm.decontaminate import op10_decontaminate
+from dialoom.llm.licenses import op8_license_scan
 from dialoom.llm.media import op7_media_columns
 from dialoom.llm.packing import op9_packing
 from dialoom.llm.warc import op6_warc_salvage
@@ -14,6 +15,7 @@ from dialoom.llm.warc import op6_warc_salvage
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_salvage": op6_warc_salvage,
     "op7_media_columns": op7_media_columns,
+    "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
 }
