@@ -62,7 +62,7 @@ class Words:
     """The words of a text array: `ids` index into `words` (distinct), text i has ids[start[i]:start[i+1]]."""
 
     def __init__(self, texts: pa.Array, lower: bool = True):
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")  # a copy: ascii_lower misreads slices
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
         flat = lists.flatten()
         start = np.asarray(lists.offsets, dtype=np.int64)
