@@ -10,11 +10,13 @@ from dialoom.llm.decontaminate import op10_decontaminate
 from dialoom.llm.licenses import op8_license_scan
 from dialoom.llm.media import op7_media_columns
 from dialoom.llm.packing import op9_packing
+from dialoom.llm.simhash import op2_simhash
 from dialoom.llm.toxicity import op1_toxicity
 from dialoom.llm.warc import op6_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_media_columns": op7_media_columns,
     "op8_license_scan": op8_license_scan,
