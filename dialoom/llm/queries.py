@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dialoom.llm.decontaminate import op10_decontaminate
 from dialoom.llm.licenses import op8_license_scan
 from dialoom.llm.linedup import op4_line_dedup
+from dialoom.llm.lm import op5_lm_score
 from dialoom.llm.media import op7_media_columns
 from dialoom.llm.packing import op9_packing
 from dialoom.llm.simhash import op2_simhash
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_media_columns": op7_media_columns,
     "op8_license_scan": op8_license_scan,
