@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dialoom.llm.decontaminate import op10_decontaminate
+from dialoom.llm.extract import op3_html_extract
 from dialoom.llm.licenses import op8_license_scan
 from dialoom.llm.linedup import op4_line_dedup
 from dialoom.llm.lm import op5_lm_score
@@ -19,6 +20,7 @@ from dialoom.llm.warc import op6_warc_salvage
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_html_extract": op3_html_extract,
     "op4_line_dedup": op4_line_dedup,
     "op5_lm_score": op5_lm_score,
     "op6_warc_salvage": op6_warc_salvage,
