@@ -2,12 +2,12 @@
 
 Terms are words (lower-cased, ASCII punctuation stripped from their ends) and their openings of 3 to 6
 characters, which carry over to inflections that no example has. Of a bounded sample of labelled rows
-(`sample` rows, smallest hash first; all rows where there are fewer) the terms whose association with the label
-has a log-likelihood ratio of `least` or more are kept, `max_terms` at most. Their document frequencies are
-counted over all documents. Each example is a unit vector of (1 + ln tf) * ln((1 + N) / (1 + df)) + that
-weight's floor of 0.1; the `k` nearest examples of a text are found exactly in an inverted index cut in blocks of
-examples with the largest weight of each term in each block: blocks are visited by falling upper bound until
-none can change the answer. Neighbours vote with weight 1 / (1 - cosine + 0.1); one further vote for the base
+(`sample` rows, smallest hash first; all rows where there are fewer) the terms that are `lift` times as
+frequent under label 1, at a log-likelihood ratio of `least` or more, are kept, `max_terms` at most. Their
+document frequencies are counted over all documents. Each example is a unit vector of
+(1 + ln tf) * (0.1 + ln((1 + N) / (1 + df))); the `k` nearest examples of a text are found exactly in an inverted
+index cut in blocks of examples with the largest weight of each term in each block: blocks are visited by falling
+upper bound until none can change the answer. Neighbours vote with weight 1 / (1 - cosine + 0.1); one further vote for the base
 rate keeps thin evidence near it. Leave-one-out votes of the sample, made monotone (pool adjacent violators with
 one added count a class), turn votes into probabilities.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.common import Words, fold, slices, table, text_of
 
-SAMPLE, MAX_TERMS, LEAST, K, THRESHOLD, BLOCK = 12_000, 4096, 24.0, 16, 0.7, 64
+SAMPLE, MAX_TERMS, LEAST, LIFT, K, THRESHOLD, BLOCK = 12_000, 1024, 24.0, 8.0, 16, 0.7, 64
 OPENINGS = (3, 4, 5, 6)
 STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -159,7 +159,7 @@ class Model:
         return out, why
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_TERMS, least: float = LEAST, k: int = K) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_TERMS, least: float = LEAST, lift: float = LIFT, k: int = K) -> Model:
     """docs: (doc_id, text); labels: (doc_id, toxic), only rows to learn from."""
     spark = docs.sparkSession
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     a, b = F.col("a"), F.col("b")
     ratio = 2 * (part(a, (a + b) * t / both) + part(b, (a + b) * f / both) + part(t - a, (both - a - b) * t / both) + part(f - b, (both - a - b) * f / both))
-    kept = counts.where("a + b > 4").withColumn("ratio", ratio).where(F.col("ratio") >= least).sort(F.desc("ratio"), "size", "term").limit(max_terms).collect()  # at most `max_terms`
+    kept = counts.where("a + b > 4").where(a * f >= lift * b * t).withColumn("ratio", ratio).where(F.col("ratio") >= least).sort(F.desc("ratio"), "size", "term").limit(max_terms).collect()  # at most `max_terms`
     vocabulary = {s: pa.array(sorted(r.term for r in kept if r["size"] == s), pa.large_string()) for s in (0, *OPENINGS)}
     n_terms = len(kept)
     if not n_terms:
