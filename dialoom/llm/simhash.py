@@ -19,6 +19,7 @@ rows; only the named columns are read.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from dialoom.llm.common import slices, stored, table, text_of
 from dialoom.llm.components import components
 
 WORDS, DISTANCE, LARGE = 4, 4, 8192
+#: What filing a row (shuffled and sorted) costs, in candidates (one XOR and bit count in a vector).
+ROW_COST = 32
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
@@ -103,8 +106,8 @@ def flips(width: int, t: int) -> list[int]:
 
 
 def allocation(n: int, both: np.ndarray, distance: int = DISTANCE) -> tuple[list[list[int]], list[int]]:
-    """(parts, thresholds) of least estimated cost: candidates plus probes. A part's candidates come from the
-    chance that two classes agree on each of its bits, taken as independent within the part."""
+    """(parts, thresholds) of least estimated cost: candidates, and ROW_COST for each row filed. A part's candidates
+    come from the chance that two classes agree on each of its bits, taken as independent within the part."""
     p = np.diag(both) / max(n, 1)
     differ, best = 2 * p * (1 - p), (np.inf, [], [])
     for m in range(2, distance + 2):
@@ -114,8 +117,9 @@ def allocation(n: int, both: np.ndarray, distance: int = DISTANCE) -> tuple[list
             chance[0] = 1
             for b in bits:
                 chance = chance * (1 - differ[b]) + np.concatenate([[0], chance[:-1]]) * differ[b]
-            probes = np.cumsum([len(list(itertools.combinations(range(len(bits)), k))) if k < 4 else np.inf for k in range(distance + 1)])
-            costs.append([0.0, *(n * n / 2 * np.cumsum(chance) + n * probes)])  # threshold -1, 0, 1, ...
+            rows = np.cumsum([float(math.comb(len(bits), k)) for k in range(distance + 1)])
+            rows[1] = 1 + len(bits) / 2  # of two values one bit apart one probes
+            costs.append([0.0, *(n * n / 2 * np.cumsum(chance) + ROW_COST * n * rows)])  # threshold -1, 0, 1, ...
         # least cost of the first i parts with thresholds + 1 that sum to s; needed: distance + 1
         table_, choice = [[0.0] + [np.inf] * (distance + 1)], []
         for cost in costs:
