@@ -7,11 +7,11 @@ stays, later ones are removed: a line goes if any earlier line matches it.
 Join: words are ordered by rarity, a table of hashed counts over all lines (2**24 counters on a log scale, 16 MB
 at any input size; words that share a counter only share a rank). Equal sets are one class. Of a class's n words
 the first n - ceil(4n/5) + 1 in that order are its prefix; matching classes share a prefix word. Words that occur
-once can't be shared, a class with too many of them can't match, and a prefix word that no other line of a near
-enough length has in its prefix is left out (hashed counts again, so only ever too few are left out). Classes
-that share a prefix word are candidates if lengths, positions and a 128-bit sketch of the sets allow 4/5. For
-each class and word the two earliest candidates are verified on the whole sets; where both fail and there are
-more, all of them are. Prefix groups over `large` rows are cut in chunks, a task for each pair of chunks.
+once can't be shared, a class with too many of them can't match, and a prefix word that no other line has in its
+prefix is left out (hashed counts again, which are never too small). Classes that share a prefix word are
+candidates if lengths, positions and a 64-bit sketch of the sets allow 4/5. For each class and word the two
+earliest candidates are verified on the whole sets; where both fail and there are more, all of them are. Groups
+of over `large` rows are cut in chunks, a group for each pair of chunks.
 
 Defined results: null and empty texts have no line that takes part; documents with a null id pass through; rows
 that repeat an id count as one document; ties can't occur between different lines; an empty table gives no rows;
@@ -33,20 +33,20 @@ from dialoom.llm.common import Words, mix, slices, stored, table, text_of, word_
 MIN_WORDS, LARGE, COUNTERS = 5, 8192, 1 << 24
 
 
-def hashed_counts(values: DataFrame, column: str) -> np.ndarray:
+def counted(rows: DataFrame, values) -> np.ndarray:
     """Counts of long values, on a log scale in one byte, in 2**24 counters picked by the value's low bits.
 
-    Each task counts in its own array, Spark adds the counters up, and 256 pieces of 64 KB come to the driver."""
+    values: function of a batch that yields (values, times). Each task counts in its own array, Spark adds the
+    counters up, and 256 pieces of 64 KB come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNTERS, np.int32)
         for b in batches:
-            at = np.asarray(b.column(0).drop_null()).view(np.uint64) & np.uint64(COUNTERS - 1)
-            part, more = np.unique(at.astype(np.int64), return_counts=True)
-            n[part] += more.astype(np.int32)
+            for v, times in values(b):
+                np.add.at(n, (v & np.uint64(COUNTERS - 1)).astype(np.int64), times)
         for a in range(0, COUNTERS, 1 << 20):
             own = np.flatnonzero(n[a : a + (1 << 20)]) + a
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own].astype(np.int64))], ["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own])], ["at", "n"])
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}
@@ -58,7 +58,7 @@ def hashed_counts(values: DataFrame, column: str) -> np.ndarray:
                 pieces.setdefault(k, np.zeros(1 << 16, np.uint8))[at[own] & 0xFFFF] = code[own]
         yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], ["piece", "codes"])
 
-    sums = values.select(column).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(count, "at int, n int").groupBy("at").agg(F.sum("n").alias("n"))
     out = np.zeros(COUNTERS, np.uint8)
     for r in sums.repartition(F.shiftright("at", 16)).mapInArrow(scaled, "piece int, codes binary").collect():
         out[r.piece << 16 : (r.piece + 1) << 16] = np.frombuffer(r.codes, np.uint8)
@@ -69,7 +69,7 @@ ONCE = 8  # the code of one occurrence
 
 
 class Lines:
-    """The lines that take part, of one slice: sets of word hashes in order of rarity."""
+    """The lines that take part, of one slice: sets of words in order of rarity (without a table: of hash)."""
 
     def __init__(self, texts: pa.Array, min_words: int, rarity: np.ndarray | None = None):
         texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
@@ -80,19 +80,24 @@ class Lines:
         self.doc = np.searchsorted(first, keep, "right") - 1
         self.line_no = keep - first[self.doc]
         hashes = word_hashes(w.words)
+        code = rarity[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)] if rarity is not None else np.zeros(len(hashes), np.uint8)
+        order = np.lexsort((hashes, code))  # of the slice's distinct words
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         mask = np.repeat(w.lengths >= min_words, w.lengths)
-        h, row = hashes[w.ids[mask]], np.repeat(np.arange(len(keep)), w.lengths[keep])
-        code = rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] if rarity is not None else np.zeros(len(h), np.uint8)
-        order = np.lexsort((h, code, row))
-        h, row, code = h[order], row[order], code[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        self.hashes, self.codes, self.rows = h[new], code[new], row[new]
+        row = np.repeat(np.arange(len(keep)), w.lengths[keep])
+        both = np.sort(row << 32 | rank[w.ids[mask]])
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        self.rows, at = both >> 32, order[both & 0xFFFFFFFF]
+        self.hashes, self.codes = hashes[at], code[at]
         self.n = np.bincount(self.rows, minlength=len(keep))
         self.start = np.concatenate([[0], np.cumsum(self.n)])
+        mixed = mix(hashes)
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mix(self.hashes), self.start[:-1]) if len(keep) else np.zeros(0, np.uint64)
+            sums = np.add.reduceat(mixed[at], self.start[:-1]) if len(keep) else np.zeros(0, np.uint64)
             self.key = mix(sums * np.uint64(31) + self.n.astype(np.uint64)).view(np.int64)
+        bit = np.uint64(1) << (mixed >> np.uint64(58))
+        self.sketch = np.bitwise_or.reduceat(bit[at], self.start[:-1]) if len(keep) else np.zeros(0, np.uint64)
 
 
 def _map_texts(docs: DataFrame, build, schema: str) -> DataFrame:
@@ -105,103 +110,98 @@ def _map_texts(docs: DataFrame, build, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _words(docs: DataFrame, min_words: int) -> DataFrame:
-    return _map_texts(docs, lambda p, _: pa.RecordBatch.from_arrays([pa.array(Lines(p.column(1), min_words).hashes.view(np.int64))], ["w"]), "w long")
-
-
-def _classed(hashes: np.ndarray, n: np.ndarray, by: int) -> np.ndarray:
-    """Hash of a word and the length class of n (powers of 5/4), `by` classes on."""
-    c = np.floor(np.log(np.maximum(n, 1)) / np.log(1.25) + 1e-9).astype(np.int64) + by
-    with np.errstate(over="ignore"):
-        return mix(hashes + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def _word_values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for p in slices(b, "text", 2 << 20):
+        w = Words(p.column(0))
+        yield word_hashes(w.words), np.bincount(w.ids, minlength=len(w.words)).astype(np.int32)
 
 
 def prefixes(docs: DataFrame, rarity: np.ndarray, min_words: int) -> DataFrame:
-    """(k, doc_id, line_no, n, skip, prefix, s1, s2): each line's class, size, prefix words from position `skip`, sketch."""
+    """(k, doc_id, line_no, n, skip, prefix, sketch): each line's class, size, prefix words (32 bits of their hash)
+    from position `skip` on. Within a task only the first line of a class has a prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
-    def build(p: pa.RecordBatch, _: set) -> pa.RecordBatch:
+    def build(p: pa.RecordBatch, seen: set) -> pa.RecordBatch:
         x = Lines(p.column(1), min_words, shared.value)
         once = np.bincount(x.rows[x.codes <= ONCE], minlength=len(x.n))
         least = (4 * x.n + 4) // 5
         upto = np.where(x.n - once < least, once, np.maximum(once, x.n - least + 1))
+        if len(seen) > 500_000:
+            seen.clear()
+        old = np.fromiter((k in seen or seen.add(k) is not None for k in x.key.tolist()), bool, len(x.key))
+        upto = np.where(old, once, upto)
         place = np.arange(len(x.hashes)) - x.start[x.rows]
         own = (place >= once[x.rows]) & (place < upto[x.rows])
         offsets = np.concatenate([[0], np.cumsum(upto - once)]).astype(np.int32)
-        sketch = []
-        for shift in (50, 57):  # six bits of the hash each
-            bit = np.uint64(1) << (mix(x.hashes) >> np.uint64(shift) & np.uint64(63))
-            half = (x.hashes >> np.uint64(63)) == np.uint64(shift == 57)
-            bit = np.where(half, bit, np.uint64(0))
-            sketch.append(np.bitwise_or.reduceat(bit, x.start[:-1]) if len(x.n) else np.zeros(0, np.uint64))
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.hashes[own].view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(x.key), p.column(0).take(pa.array(x.doc)), pa.array(x.line_no.astype(np.int32)), pa.array(x.n.astype(np.int32)), pa.array(once.astype(np.int32)), lists, *(pa.array(s.view(np.int64)) for s in sketch)], ["k", "doc_id", "line_no", "n", "skip", "prefix", "s1", "s2"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((x.hashes[own] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(x.key), p.column(0).take(pa.array(x.doc)), pa.array(x.line_no.astype(np.int32)), pa.array(x.n.astype(np.int32)), pa.array(once.astype(np.int32)), lists, pa.array(x.sketch.view(np.int64))], ["k", "doc_id", "line_no", "n", "skip", "prefix", "sketch"])
 
-    return _map_texts(docs, build, "k long, doc_id long, line_no int, n int, skip int, prefix array<long>, s1 long, s2 long")
+    return _map_texts(docs, build, "k long, doc_id long, line_no int, n int, skip int, prefix array<int>, sketch long")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(row of each list element, element) of a batch's column `prefix`."""
     lists = b.column(b.schema.get_field_index("prefix"))
-    return np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten()).view(np.uint64)
-
-
-def filed(lines: DataFrame) -> DataFrame:
-    """(w, k, n, at, s1, s2, doc_id, line_no): each class under its prefix words that some other line may share."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, h = _flat(b)
-            yield pa.RecordBatch.from_arrays([pa.array(_classed(h, np.asarray(b.column(0))[row], 0))], ["w"])
-
-    shared = lines.sparkSession.sparkContext.broadcast(hashed_counts(lines.select("n", "prefix").mapInArrow(keys, "w long"), "w"))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, h = _flat(b)
-            n, skip = np.asarray(b.column(1))[row].astype(np.int64), np.asarray(b.column(2))[row]
-            counts = [shared.value[_classed(h, n, by) & (COUNTERS - 1)] for by in (-1, 0, 1)]
-            use = (counts[0] > 0) | (counts[1] > ONCE) | (counts[2] > 0)
-            lengths = np.bincount(row[use], minlength=b.num_rows)
-            start = np.cumsum(np.bincount(row, minlength=b.num_rows)) - np.bincount(row, minlength=b.num_rows)
-            at = np.arange(len(row)) - start[row] + skip
-            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(x[use], kind))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(h.view(np.int64), pa.int64()), lists(at, pa.int32()), *b.columns[4:]], ["k", "n", "w", "at", "s1", "s2", "doc_id", "line_no"])
-
-    rows = lines.select("k", "n", "skip", "prefix", "s1", "s2", "doc_id", "line_no").mapInArrow(kept, "k long, n int, w array<long>, at array<int>, s1 long, s2 long, doc_id long, line_no int")
-    classes = rows.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), *(F.first(c).alias(c) for c in ("n", "w", "at", "s1", "s2")))
-    return classes.where(F.size("w") > 0).select("k", "n", "s1", "s2", "o.*", F.explode(F.arrays_zip("w", "at")).alias("p")).select("p.w", "k", "n", "p.at", "s1", "s2", "doc_id", "line_no")
-
-
-def chunked(rows: DataFrame, large: int) -> DataFrame:
-    """Prefix groups under column `g`; those over `large` rows cut in chunks, with one group for each chunk pair."""
-    big = rows.groupBy("w").count().where(F.col("count") > large).select("w", F.ceil(F.col("count") / (large // 2)).cast("int").alias("chunks"))
-    out = rows.withColumn("g", F.col("w"))
-    if not big.isEmpty():
-        marked = rows.join(big, "w", "left")
-        c = F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, c).alias("x"), F.greatest(x, c).alias("y")))
-        cut = marked.where("chunks is not null").withColumn("p", F.explode(pairs)).withColumn("g", F.xxhash64("w", "p.x", "p.y")).drop("p", "chunks")
-        out = marked.where("chunks is null").drop("chunks").withColumn("g", F.col("w")).unionByName(cut)
-    return out
+    return np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten())
+
+
+def _spread(w: np.ndarray) -> np.ndarray:
+    return mix(w.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF))
+
+
+def filed(lines: DataFrame, large: int = LARGE) -> DataFrame:
+    """(g, k, n, at, sketch, doc_id, line_no): lines under each prefix word that another line has in its prefix.
+
+    Groups of over `large` rows (by the hashed counts, which are never too small) are cut in chunks; each pair of
+    chunks is a group, so that none holds more than about `large` rows."""
+    shared = lines.sparkSession.sparkContext.broadcast(counted(lines.select("prefix"), lambda b: [(_spread(_flat(b)[1]), 1)]))
+    rows_of = 2.0 ** ((np.arange(256) + 1) / 8)  # at most so many, by code
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 20_000):
+                b = whole.slice(a, 20_000)
+                row, w = _flat(b)
+                code = shared.value[(_spread(w) & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                length = np.bincount(row, minlength=b.num_rows)
+                at = np.arange(len(row)) - (np.cumsum(length) - length)[row] + np.asarray(b.column(2))[row]
+                use = np.flatnonzero(code > ONCE)
+                row, w, at, code = row[use], w[use].astype(np.int64), at[use], code[use]
+                chunks = np.maximum(1, np.ceil(rows_of[code] / (large // 2))).astype(np.int64)
+                chunks[chunks <= 2] = 1
+                cut = np.flatnonzero(chunks > 1)
+                parts = [(w[chunks == 1], row[chunks == 1], at[chunks == 1])]
+                if len(cut):
+                    own = (mix(np.asarray(b.column(0)).view(np.uint64))[row[cut]] % chunks[cut].astype(np.uint64)).astype(np.int64)
+                    many = np.repeat(cut, chunks[cut])
+                    other = np.arange(len(many)) - np.repeat(np.cumsum(chunks[cut]) - chunks[cut], chunks[cut])
+                    own = np.repeat(own, chunks[cut])
+                    pair = np.minimum(own, other) * chunks[many] + np.maximum(own, other) + 1
+                    parts.append(((mix((w[many] << 32 ^ pair).view(np.uint64)) >> np.uint64(1)).astype(np.int64) | 1 << 62, row[many], at[many]))
+                g, row, at = (np.concatenate(c) for c in zip(*parts))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), *(b.column(c).take(take) for c in (4, 5, 6))], ["g", "k", "n", "at", "sketch", "doc_id", "line_no"])
+
+    return lines.select("k", "n", "skip", "prefix", "sketch", "doc_id", "line_no").mapInArrow(file, "g long, k long, n int, at int, sketch long, doc_id long, line_no int")
 
 
 def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
     """(k, g, other, more): per class and group its earliest `most` candidates (None: all); more: there are others.
 
-    groups: (g, k, n, at, s1, s2, doc_id, line_no[, ask]); only rows with ask look for candidates."""
-    names = ["g", "doc_id", "line_no", "k", "n", "at", "s1", "s2", "ask"]
+    groups: (g, k, n, at, sketch, doc_id, line_no[, ask]); only rows with ask look for candidates."""
+    names = ["g", "doc_id", "line_no", "k", "n", "at", "sketch", "ask"]
 
     def allowed(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows a may match rows b by length, position and sketch."""
         n, m = x["n"][a], x["n"][b]
         need = (4 * (n + m) + 8) // 9
-        ok = need <= np.minimum(n, m)
+        ok = np.flatnonzero((need <= np.minimum(n, m)) & (x["k"][a] != x["k"][b]))
+        a, b, n, m, need = a[ok], b[ok], n[ok], m[ok], need[ok]
         i, j = x["at"][a], x["at"][b]
-        ok &= np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need
-        only = lambda p, q: np.bitwise_count(x["s1"][p] & ~x["s1"][q]).astype(np.int64) + np.bitwise_count(x["s2"][p] & ~x["s2"][q])
-        at = np.flatnonzero(ok)
-        ok[at] &= (only(a[at], b[at]) <= n[at] - need[at]) & (only(b[at], a[at]) <= m[at] - need[at])
-        return ok
+        near = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need
+        p, q = x["sketch"][a], x["sketch"][b]
+        near &= (np.bitwise_count(p & ~q) <= n - need) & (np.bitwise_count(q & ~p) <= m - need)
+        return ok[near]
 
     def solve(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         x = dict(zip(names, (np.concatenate(c) for c in zip(*parts))))
@@ -209,27 +209,30 @@ def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
         start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(x["g"])]])
         late, early = [], []
         few = end - start <= 64
-        at = np.arange(len(x["g"]))[np.repeat(few, end - start)]
-        to = np.repeat(end[few], (end - start)[few])
+        at = np.flatnonzero(np.repeat(few & (end - start > 1), end - start))
+        to = np.repeat(end[few & (end - start > 1)], (end - start)[few & (end - start > 1)])
         for step in range(1, 64):
             live = at + step < to
             at, to = at[live], to[live]
             if not len(at):
                 break
-            use = np.flatnonzero(x["ask"][at + step])
-            ok = use[allowed(x, at[use] + step, at[use])]
-            late.append(at[ok] + step)
-            early.append(at[ok])
+            use = at[x["ask"][at + step]]
+            ok = allowed(x, use + step, use)
+            late.append(use[ok] + step)
+            early.append(use[ok])
         for s, e in zip(start[~few].tolist(), end[~few].tolist()):
-            for a in (np.flatnonzero(x["ask"][s:e]) + s).tolist():
-                got, b = 0, s
-                while b < a and (most is None or got <= most):
-                    to_b = min(a, b + 1024)
-                    ys = np.arange(b, to_b)
-                    found = ys[allowed(x, np.full(len(ys), a), ys)]
-                    late.append(np.full(len(found), a))
-                    early.append(found)
-                    got, b = got + len(found), to_b
+            # line by line in order, until `most` and one more are found; lines of other lengths are left out first
+            n = x["n"][s:e]
+            for size in np.unique(n).tolist():
+                rows = np.flatnonzero((5 * n >= 4 * size) & (4 * n <= 5 * size)) + s
+                for a in rows[(x["n"][rows] == size) & x["ask"][rows]].tolist():
+                    stop, got, b = int(np.searchsorted(rows, a)), 0, 0
+                    while b < stop and (most is None or got <= most):
+                        ys = rows[b : min(stop, b + 2048)]
+                        found = ys[allowed(x, np.full(len(ys), a), ys)]
+                        late.append(np.full(len(found), a))
+                        early.append(found)
+                        got, b = got + len(found), b + 2048
         none = np.zeros(0, np.int64)
         late, early = np.concatenate([none, *late]), np.concatenate([none, *early])
         order = np.lexsort((early, late))  # rows of a group lie in the order of lines
@@ -245,7 +248,8 @@ def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            own = [np.asarray(b.column(c).cast(pa.int8())).astype(bool) if c == 8 else np.asarray(b.column(c)).astype(np.int64).view(np.uint64 if c in (6, 7) else np.int64) for c in range(9)]
+            own = [np.asarray(b.column(c).cast(pa.int8())).astype(bool) if c == 7 else np.asarray(b.column(c)).astype(np.int64) for c in range(8)]
+            own[6] = own[6].view(np.uint64)
             last = int(np.searchsorted(own[0], own[0][-1]))
             if last or held and held[-1][0][-1] != own[0][0]:
                 yield solve([*held, [c[:last] for c in own]])
@@ -256,46 +260,48 @@ def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
 
     if "ask" not in groups.columns:
         groups = groups.withColumn("ask", F.lit(True))
-    dealt = groups.select(*names).repartition("g").sortWithinPartitions("g", "doc_id", "line_no", "k")
+    dealt = groups.select(*names).repartition("g").sortWithinPartitions("g", "doc_id", "line_no")
     return dealt.mapInArrow(run, "k long, g long, other long, more boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """The (k, other) of pairs whose whole sets have a Jaccard similarity of 4/5 or more."""
+    """The (k, other) of pairs whose whole sets have a Jaccard similarity of 4/5 or more. Sets come from the texts
+    again: a task sends those that the hashed table of wanted classes may hold, each once."""
     distinct = stored(pairs.select("k", "other").distinct(), "pairs")
     wanted = distinct.select("k").unionByName(distinct.select(F.col("other").alias("k"))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(hashed_counts(wanted, "k"))
+    shared = docs.sparkSession.sparkContext.broadcast(counted(wanted, lambda b: [(np.asarray(b.column(0)).view(np.uint64), 1)]))
 
     def build(p: pa.RecordBatch, seen: set) -> pa.RecordBatch:
         x = Lines(p.column(1), min_words)
         near = np.flatnonzero(shared.value[x.key & (COUNTERS - 1)] > 0)
         near = [i for i in near.tolist() if not (int(x.key[i]) in seen or seen.add(int(x.key[i])))]
-        if len(seen) > 1_000_000:
+        if len(seen) > 500_000:
             seen.clear()
         return pa.RecordBatch.from_arrays([pa.array(x.key[near]), pa.array([x.hashes[x.start[i] : x.start[i + 1]].view(np.int64) for i in near], pa.list_(pa.int64()))], ["k", "words"])
 
-    # the order of a set's hashes is that of no rarity here: sorted by hash, which is all that the count needs
     sets = _map_texts(docs, build, "k long, words array<long>").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("words").alias("words"))
+    sets = stored(sets, "sets")
     both = distinct.join(sets, "k").join(sets.select(F.col("k").alias("other"), F.col("words").alias("others")), "other")
     common = F.size(F.array_intersect("words", "others"))
-    return both.where(9 * common >= 4 * (F.size("words") + F.size("others"))).select("k", "other")
+    return stored(both.where(9 * common >= 4 * (F.size("words") + F.size("others"))).select("k", "other"), "matches")
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE) -> DataFrame:
     """(doc_id, line_no, to_doc_id, to_line_no): lines to remove, each with the earliest line that matches it."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
-    lines = stored(prefixes(docs, hashed_counts(_words(docs, min_words), "w"), min_words), "lines")
-    groups = stored(chunked(filed(lines), large), "groups")
-    found = stored(candidates(groups), "candidates")
+    lines = stored(prefixes(docs, counted(docs.select("text"), _word_values), min_words), "lines")
+    own = F.when(F.size("prefix") > 0, F.struct("n", "skip", "prefix", "sketch"))
+    classes = stored(lines.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("copies"), F.first(own, ignorenulls=True).alias("p")), "classes")
+    rows = classes.where("p is not null").select("k", "p.*", "o.*")
+    found = stored(candidates(filed(rows, large)), "candidates")
     good = verified(found, docs, min_words)
-    open_ = found.where("more").join(good, ["k", "other"], "left_anti").groupBy("k", "g").count().where("count > 1").select("k", "g")
-    open_ = stored(open_, "open")
-    good = stored(good, "matches")
+    open_ = stored(found.where("more").join(good, ["k", "other"], "left_anti").groupBy("k", "g").count().where("count > 1").select("k", "g"), "open")
     if not open_.isEmpty():  # both of the earliest candidates failed: all others of that group
+        groups = filed(rows, large).join(open_.select("g").distinct(), "g", "left_semi")
         asked = groups.join(open_.withColumn("ask", F.lit(True)), ["k", "g"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        rest = candidates(asked.join(open_.select("g").distinct(), "g", "left_semi"), most=None)
-        good = good.unionByName(verified(rest.join(good, ["k", "other"], "left_anti"), docs, min_words)).distinct()
-    firsts = stored(lines.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("copies")), "classes")
+        rest = candidates(asked, most=None).join(good, ["k", "other"], "left_anti")
+        good = good.unionByName(verified(rest, docs, min_words)).distinct()
+    firsts = classes.select("k", "o", "copies")
     earliest = good.join(firsts.select(F.col("k").alias("other"), F.col("o").alias("to")), "other").groupBy("k").agg(F.min("to").alias("to"))
     marked = firsts.join(earliest, "k", "left").where("copies > 1 or to is not null").select("k", "o", "to")
     line = F.struct("doc_id", "line_no")
@@ -314,7 +320,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: its text without later matches, its removed lines and the lines that they match."""
-    got = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = F.coalesce(F.size("removed"), F.lit(0))
-    return got.select("doc_id", F.when(F.col("removed").isNull(), 0).otherwise(n).alias("n_links"), F.array_distinct("removed.to_doc_id").alias("linked_doc_ids"), "removed", "text")
+    """One row a document: its removed lines, the lines that they match and the documents that it so links to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = removals(docs).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "to_doc_id", "to_line_no"))).alias("removed"))
+    both = docs.select("doc_id").join(gone, "doc_id", "left")
+    first = F.array_min(F.array_append(F.coalesce("removed.to_doc_id", F.array().cast("array<bigint>")), F.col("doc_id")))
+    return both.select("doc_id", first.alias("class_id"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_links"), F.array_distinct("removed.to_doc_id").alias("linked_doc_ids"), "removed")
