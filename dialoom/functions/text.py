@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The patterns that the corpus format prescribes.
 STRIP_RE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -20,7 +21,7 @@ LONG_NUMBER_RE = r"^\p{Nd}{5,}$"
 NUM = "<NUM>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """NFKC, which Spark has no function for; ASCII texts pass through."""
     return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x), na_action="ignore")

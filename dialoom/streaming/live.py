@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from dialoom.functions.text import tokens
 from dialoom.operators.chunks import dense_ordinal
@@ -15,7 +16,7 @@ from dialoom.sources.io import _list_of
 BLOCK = 1000
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _nfkc_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda l: None if l is None else [x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in l])
 
