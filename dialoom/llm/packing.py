@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.common import slices, table
 
-SIZE, END, STRIDE, SENTENCE, FORCED, BLOCK = 2048, 1, 128, 4, 24, 1 << 19
+SIZE, END, STRIDE, SENTENCE, FORCED, BLOCK = 2048, 1, 16, 2, 6, 1 << 19
 #: Ids of the byte-level vocabulary after which a sentence or line ends: ! . ? and the line feed.
 LINE_FEED = 198
 STOPS = (0, 13, 30, LINE_FEED)

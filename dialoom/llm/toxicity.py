@@ -9,7 +9,7 @@ document frequencies are counted over all documents. Each example is a unit vect
 index cut in blocks of examples with the largest weight of each term in each block: blocks are visited by falling
 upper bound until none can change the answer. Neighbours vote with weight 1 / (1 - cosine + 0.1); one further vote for the base
 rate keeps thin evidence near it. Leave-one-out votes of the sample, made monotone (pool adjacent violators with
-one added count a class), turn votes into probabilities.
+one added count a class, straight lines between pools), turn votes into probabilities.
 
 Defined results: a null or empty text, like any text without a kept term, has no neighbour and gets the rate of
 such examples; ties between neighbours go to the smaller example number; repeated rows score alike; null labels
@@ -90,23 +90,24 @@ class Index:
 
 
 def monotone(raw: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: (lower ends of raw votes, probability from there on), each pool with one added count a class."""
+    """Pool adjacent violators: (raw votes, probabilities) at both ends of each pool, with one added count a class."""
     order = np.argsort(raw, kind="stable")
-    pools: list[list[float]] = []
+    pools: list[list[float]] = []  # lowest raw vote, highest, toxic, all
     for x, y in zip(raw[order].tolist(), toxic[order].tolist()):
-        if pools and pools[-1][0] == x:
-            pools[-1][1] += y
-            pools[-1][2] += 1
+        if pools and pools[-1][1] == x:
+            pools[-1][2] += y
+            pools[-1][3] += 1
         else:
-            pools.append([x, y, 1])
+            pools.append([x, x, y, 1])
     merged: list[list[float]] = []
     for p in pools:
-        merged.append(list(p))
-        while len(merged) > 1 and merged[-2][1] * merged[-1][2] >= merged[-1][1] * merged[-2][2]:
-            _, y, n = merged.pop()
-            merged[-1][1] += y
-            merged[-1][2] += n
-    return np.asarray([m[0] for m in merged]), np.asarray([(m[1] + 1) / (m[2] + 2) for m in merged])
+        merged.append(p)
+        while len(merged) > 1 and merged[-2][2] * merged[-1][3] >= merged[-1][2] * merged[-2][3]:
+            _, high, y, n = merged.pop()
+            merged[-1][1] = high
+            merged[-1][2] += y
+            merged[-1][3] += n
+    return np.asarray([e for m in merged for e in m[:2]]), np.asarray([(m[2] + 1) / (m[3] + 2) for m in merged for _ in range(2)])
 
 
 class Model:
@@ -143,7 +144,7 @@ class Model:
         return float((w @ y + self.base) / (w.sum() + 1))
 
     def calibrated(self, raw: float) -> float:
-        return float(self.rates[max(0, np.searchsorted(self.edges, raw, "right") - 1)])
+        return float(np.interp(raw, self.edges, self.rates))
 
     def score(self, texts: pa.Array, evidence: int = 3) -> tuple[np.ndarray, list[list[dict]]]:
         out, why = np.full(len(texts), self.calibrated(0.0)), [[] for _ in range(len(texts))]
