@@ -17,6 +17,7 @@ a text longer than a window is cut; an empty table gives no rows; only the named
 from __future__ import annotations
 
 import base64
+import bisect
 import os
 import zlib
 from collections import deque
@@ -100,7 +101,8 @@ def _pieces(text: str) -> list[str]:
 
 
 def windows(cuts: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
-    """Positions at which windows end: the cheapest choice among `cuts` (ascending, the last is the stream's end)."""
+    """Positions at which windows end: the cheapest choice among `cuts` (ascending, the last is the stream's end).
+    The last window costs nothing: what it holds is cut up without padding."""
     pos, pen = [0, *cuts.tolist()], [0, *penalty.tolist()]
     g, back, queue = [0] * len(pos), [0] * len(pos), deque([0])
     for j in range(1, len(pos)):
@@ -114,7 +116,10 @@ def windows(cuts: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
         while queue and g[queue[-1]] >= x:
             queue.pop()
         queue.append(j)
-    out, j = [], len(pos) - 1
+    last = len(pos) - 1
+    inside = range(bisect.bisect_left(pos, pos[last] - size), last)
+    back[last] = min(inside, key=lambda i: (g[i] - pos[i], -i))  # f(i) alone
+    out, j = [], last
     while j > 0:
         out.append(pos[j])
         j = back[j]

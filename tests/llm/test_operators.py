@@ -413,12 +413,12 @@ def test_windows_are_optimal():
             for j in range(k, len(cuts)):
                 if cuts[j] - start > size:
                     break
-                found = min(found, size - (cuts[j] - start) + pen[j] + best(j + 1, cuts[j]))
+                found = min(found, (size - (cuts[j] - start) + pen[j] if j + 1 < len(cuts) else 0) + best(j + 1, cuts[j]))
             return found
 
         got = packing.windows(cuts, pen, size)
         of = dict(zip(cuts.tolist(), pen.tolist()))
-        cost = sum(size - (b - a) + of[b] for a, b in zip([0, *got], got))
+        cost = sum(size - (b - a) + of[b] for a, b in zip([0, *got], got[:-1]))  # the last is free
         assert got[-1] == cuts[-1] and cost == best(0, 0)
 
 
