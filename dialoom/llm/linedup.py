@@ -9,7 +9,7 @@ at any input size; words that share a counter only share a rank). Equal sets are
 the first n - ceil(4n/5) + 1 in that order are its prefix; matching classes share a prefix word. Words that occur
 once can't be shared, a class with too many of them can't match, and a prefix word that no other line has in its
 prefix is left out (hashed counts again, which are never too small). Classes that share a prefix word are
-candidates if lengths, positions and a 64-bit sketch of the sets allow 4/5. For each class and word the two
+candidates if lengths, positions and a 128-bit sketch of the sets allow 4/5. For each class and word the two
 earliest candidates are verified on the whole sets; where both fail and there are more, all of them are. Groups
 of over `large` rows are cut in chunks, a group for each pair of chunks.
 
@@ -96,8 +96,9 @@ class Lines:
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(mixed[at], self.start[:-1]) if len(keep) else np.zeros(0, np.uint64)
             self.key = mix(sums * np.uint64(31) + self.n.astype(np.uint64)).view(np.int64)
-        bit = np.uint64(1) << (mixed >> np.uint64(58))
-        self.sketch = np.bitwise_or.reduceat(bit[at], self.start[:-1]) if len(keep) else np.zeros(0, np.uint64)
+        # parities of the numbers of words in 128 places: two sets' sketches differ in no more places than the sets in words
+        bit, low = np.uint64(1) << (mixed >> np.uint64(58)), mixed >> np.uint64(57) & np.uint64(1) == 0
+        self.sketch = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0))[at], self.start[:-1]) if len(keep) else np.zeros(0, np.uint64) for x in (low, ~low)]
 
 
 def _map_texts(docs: DataFrame, build, schema: str) -> DataFrame:
@@ -117,7 +118,7 @@ def _word_values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def prefixes(docs: DataFrame, rarity: np.ndarray, min_words: int) -> DataFrame:
-    """(k, doc_id, line_no, n, skip, prefix, sketch): each line's class, size, prefix words (32 bits of their hash)
+    """(k, doc_id, line_no, n, skip, prefix, s1, s2): each line's class, size, prefix words (32 bits of their hash)
     from position `skip` on. Within a task only the first line of a class has a prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
@@ -134,9 +135,9 @@ def prefixes(docs: DataFrame, rarity: np.ndarray, min_words: int) -> DataFrame:
         own = (place >= once[x.rows]) & (place < upto[x.rows])
         offsets = np.concatenate([[0], np.cumsum(upto - once)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((x.hashes[own] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(x.key), p.column(0).take(pa.array(x.doc)), pa.array(x.line_no.astype(np.int32)), pa.array(x.n.astype(np.int32)), pa.array(once.astype(np.int32)), lists, pa.array(x.sketch.view(np.int64))], ["k", "doc_id", "line_no", "n", "skip", "prefix", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(x.key), p.column(0).take(pa.array(x.doc)), pa.array(x.line_no.astype(np.int32)), pa.array(x.n.astype(np.int32)), pa.array(once.astype(np.int32)), lists, *(pa.array(y.view(np.int64)) for y in x.sketch)], ["k", "doc_id", "line_no", "n", "skip", "prefix", "s1", "s2"])
 
-    return _map_texts(docs, build, "k long, doc_id long, line_no int, n int, skip int, prefix array<int>, sketch long")
+    return _map_texts(docs, build, "k long, doc_id long, line_no int, n int, skip int, prefix array<int>, s1 long, s2 long")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +151,7 @@ def _spread(w: np.ndarray) -> np.ndarray:
 
 
 def filed(lines: DataFrame, large: int = LARGE) -> DataFrame:
-    """(g, k, n, at, sketch, doc_id, line_no): lines under each prefix word that another line has in its prefix.
+    """(g, k, n, at, s1, s2, doc_id, line_no): lines under each prefix word that another line has in its prefix.
 
     Groups of over `large` rows (by the hashed counts, which are never too small) are cut in chunks; each pair of
     chunks is a group, so that none holds more than about `large` rows."""
@@ -180,16 +181,16 @@ def filed(lines: DataFrame, large: int = LARGE) -> DataFrame:
                     parts.append(((mix((w[many] << 32 ^ pair).view(np.uint64)) >> np.uint64(1)).astype(np.int64) | 1 << 62, row[many], at[many]))
                 g, row, at = (np.concatenate(c) for c in zip(*parts))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), *(b.column(c).take(take) for c in (4, 5, 6))], ["g", "k", "n", "at", "sketch", "doc_id", "line_no"])
+                yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), *(b.column(c).take(take) for c in (4, 5, 6, 7))], ["g", "k", "n", "at", "s1", "s2", "doc_id", "line_no"])
 
-    return lines.select("k", "n", "skip", "prefix", "sketch", "doc_id", "line_no").mapInArrow(file, "g long, k long, n int, at int, sketch long, doc_id long, line_no int")
+    return lines.select("k", "n", "skip", "prefix", "s1", "s2", "doc_id", "line_no").mapInArrow(file, "g long, k long, n int, at int, s1 long, s2 long, doc_id long, line_no int")
 
 
 def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
     """(k, g, other, more): per class and group its earliest `most` candidates (None: all); more: there are others.
 
-    groups: (g, k, n, at, sketch, doc_id, line_no[, ask]); only rows with ask look for candidates."""
-    names = ["g", "doc_id", "line_no", "k", "n", "at", "sketch", "ask"]
+    groups: (g, k, n, at, s1, s2, doc_id, line_no[, ask]); only rows with ask look for candidates."""
+    names = ["g", "doc_id", "line_no", "k", "n", "at", "s1", "s2", "ask"]
 
     def allowed(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rows a may match rows b by length, position and sketch."""
@@ -199,9 +200,9 @@ def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
         a, b, n, m, need = a[ok], b[ok], n[ok], m[ok], need[ok]
         i, j = x["at"][a], x["at"][b]
         near = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need
-        p, q = x["sketch"][a], x["sketch"][b]
-        near &= (np.bitwise_count(p & ~q) <= n - need) & (np.bitwise_count(q & ~p) <= m - need)
-        return ok[near]
+        ok, a, b, most_apart = ok[near], a[near], b[near], (n + m - 2 * need)[near]
+        apart = np.bitwise_count(x["s1"][a] ^ x["s1"][b]).astype(np.int64) + np.bitwise_count(x["s2"][a] ^ x["s2"][b])
+        return ok[apart <= most_apart]
 
     def solve(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         x = dict(zip(names, (np.concatenate(c) for c in zip(*parts))))
@@ -248,8 +249,8 @@ def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            own = [np.asarray(b.column(c).cast(pa.int8())).astype(bool) if c == 7 else np.asarray(b.column(c)).astype(np.int64) for c in range(8)]
-            own[6] = own[6].view(np.uint64)
+            own = [np.asarray(b.column(c).cast(pa.int8())).astype(bool) if c == 8 else np.asarray(b.column(c)).astype(np.int64) for c in range(9)]
+            own[6:8] = [c.view(np.uint64) for c in own[6:8]]
             last = int(np.searchsorted(own[0], own[0][-1]))
             if last or held and held[-1][0][-1] != own[0][0]:
                 yield solve([*held, [c[:last] for c in own]])
@@ -290,7 +291,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     """(doc_id, line_no, to_doc_id, to_line_no): lines to remove, each with the earliest line that matches it."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
     lines = stored(prefixes(docs, counted(docs.select("text"), _word_values), min_words), "lines")
-    own = F.when(F.size("prefix") > 0, F.struct("n", "skip", "prefix", "sketch"))
+    own = F.when(F.size("prefix") > 0, F.struct("n", "skip", "prefix", "s1", "s2"))
     classes = stored(lines.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("copies"), F.first(own, ignorenulls=True).alias("p")), "classes")
     rows = classes.where("p is not null").select("k", "p.*", "o.*")
     found = stored(candidates(filed(rows, large)), "candidates")
