@@ -38,8 +38,15 @@ def offsets(lengths: DataFrame) -> DataFrame:
 
 
 def locate(indexes: DataFrame, of: DataFrame) -> DataFrame:
-    """(idx, chunk_no, local) by a range join with the offset table; out of range: null chunk."""
-    return indexes.join(F.broadcast(of), (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")), "left").select("idx", "chunk_no", (F.col("idx") - F.col("lo")).alias("local"))
+    """(idx, chunk_no, local) by a range join with the offset table; out of range: null chunk.
+
+    Ranges and indexes meet in buckets as wide as the longest chunk, of which a chunk touches two at most: an
+    equi-join at any number of chunks."""
+    width = of.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 1
+    ranges = of.where("hi > lo").select("*", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("_b"))
+    both = indexes.withColumn("_b", F.floor(F.col("idx") / width))
+    hit = (both["_b"] == ranges["_b"]) & (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))
+    return both.join(ranges, hit, "left").select("idx", "chunk_no", (F.col("idx") - F.col("lo")).alias("local"))
 
 
 def reconcile(chunks: DataFrame, partials: DataFrame, partial_wins: bool = False) -> DataFrame:

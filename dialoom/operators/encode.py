@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from dialoom.functions.arrays import EOS, UNK, with_end
 
 CONV = ("split", "conv_id")
-#: Words that a vocabulary may have to be broadcast; larger ones join by shuffle.
-BROADCAST_WORDS = 2_000_000
+#: Rows that a vocabulary may have to be broadcast; a larger one joins by shuffle.
+BROADCAST_WORDS = 1_000_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_WORDS) -> DataFrame:
+    """The table with a broadcast hint if it is found to have at most so many rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def splits(conversations: DataFrame) -> DataFrame:
@@ -18,14 +23,16 @@ def splits(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.when(d == 8, "valid").when(d == 9, "test").otherwise("train").alias("split"), F.when(d == 8, 1).when(d == 9, 2).otherwise(0).alias("split_ord"), F.col("conv_id").cast("long"), F.col("turn").cast("int"), "role", "text")
 
 
-def token_ids(turns: DataFrame, vocab: DataFrame, toks: str = "toks", broadcast: bool = True) -> DataFrame:
+def token_ids(turns: DataFrame, vocab: DataFrame, toks: str = "toks", bounded: bool = False) -> DataFrame:
     """turns with `ids` (ending in EOS) in place of `toks`; words that the vocabulary lacks become UNK.
 
+    bounded: the vocabulary was cut to a size, so it needs no count before it is broadcast.
     One shuffle by (split, conv_id) comes before tokens are exploded; regrouping and later windows reuse it."""
     keys = [*CONV, "turn"]
     dealt = turns.repartition(*CONV)
     words = dealt.select(*keys, F.posexplode_outer(toks).alias("pos", "word"))
-    ids = words.join(F.broadcast(vocab.select("word", "idx")) if broadcast else vocab.select("word", "idx"), "word", "left")
+    of = vocab.select("word", "idx")
+    ids = words.join(F.broadcast(of) if bounded else small(of), "word", "left")
     ids = ids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNK)).alias("idx"))))).alias("l"))
     return ids.select(*keys, with_end(F.col("l.idx")).alias("ids"))
 
@@ -75,7 +82,7 @@ def decoded(rows: DataFrame, decode: DataFrame, ids: str = "ids", max_len: int =
     at = F.array_position(ids, EOS)
     cut = F.when(at > 0, F.slice(F.col(ids), F.lit(1), F.least(at.cast("int"), F.lit(max_len)))).otherwise(F.slice(F.col(ids), 1, max_len))
     over = F.when(at > 0, at > max_len).otherwise(F.size(ids) > max_len)
-    items = rows.select("key", over.alias("over"), F.posexplode_outer(cut).alias("pos", "idx")).join(F.broadcast(decode), "idx", "left")
+    items = rows.select("key", over.alias("over"), F.posexplode_outer(cut).alias("pos", "idx")).join(small(decode), "idx", "left")
     word = F.when((F.col("idx").isNotNull()) & (F.col("idx") != 0), F.struct("pos", F.coalesce("word", F.format_string("<UNK:%d>", "idx")).alias("word")))
     out = items.groupBy("key").agg(F.sort_array(F.collect_list(word)).alias("l"), F.max("over").alias("over"))
     return out.select("key", F.when(F.col("over"), F.array_append("l.word", "<...>")).otherwise(F.col("l.word")).alias("words"))

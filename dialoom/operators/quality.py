@@ -61,7 +61,7 @@ def target_lengths(steps: DataFrame) -> DataFrame:
 def target_words(steps: DataFrame, decode: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent target ids (EOS aside) as words."""
     ids = steps.select(F.explode("target").alias("idx")).where("idx not in (0, 2)").groupBy("idx").agg(F.count("*").alias("n"))
-    return ids.join(F.broadcast(decode), "idx", "left").orderBy(F.desc("n"), "idx").limit(k).select("idx", F.coalesce("word", F.format_string("<UNK:%d>", "idx")).alias("word"), "n")
+    return ids.orderBy(F.desc("n"), "idx").limit(k).join(decode, "idx", "left").select("idx", F.coalesce("word", F.format_string("<UNK:%d>", "idx")).alias("word"), "n")
 
 
 def degenerate_share(steps: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.operators.chunks import dense_ordinal
+
 # Defaults of the corpus format.
 SIZE, MIN_FREQ, FIRST_ID = 30_000, 2, 4
 SPECIALS = ((0, "PAD"), (1, "SOS"), (2, "EOS"), (3, "UNK"))
@@ -57,17 +59,16 @@ def top_words(counts: DataFrame, k: int = 10) -> DataFrame:
 
 
 def incremental(sentences: DataFrame) -> DataFrame:
-    """(word, idx, n): sentences (place, text) cut at each blank, ids by first appearance. Ids need a global order,
-    so words (not tokens) pass one window: a vocabulary, as the format has it, is a table that fits one task."""
+    """(word, idx, n): sentences (place, text) cut at each blank, ids by first appearance."""
     words = sentences.select("place", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     seen = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.col("place") * (1 << 20) + F.col("pos")).alias("seen"))
-    return seen.select("word", (F.row_number().over(Window.orderBy("seen")) + FIRST_ID - 1).cast("int").alias("idx"), "n")
+    return dense_ordinal(seen, "seen", bucket=[F.shiftright("seen", 40)]).select("word", (F.col("ordinal") + FIRST_ID).cast("int").alias("idx"), "n")
 
 
 def trimmed(vocab: DataFrame, min_count: int) -> DataFrame:
     """Words of min_count or more with new dense ids in the old order; counts start again at 1."""
     kept = vocab.where(F.col("n") >= min_count)
-    return kept.select("word", (F.row_number().over(Window.orderBy("idx")) + FIRST_ID - 1).cast("int").alias("idx"), F.lit(1).cast("long").alias("n"))
+    return dense_ordinal(kept, "idx", bucket=[F.shiftright("idx", 16)]).select("word", (F.col("ordinal") + FIRST_ID).cast("int").alias("idx"), F.lit(1).cast("long").alias("n"))
 
 
 def trim_ratio(vocab: DataFrame, min_count: int) -> DataFrame:

@@ -42,7 +42,7 @@ def vocabulary(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 
 
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.token_ids(tokenised(spark, sf_dir), vocabulary(spark, sf_dir))
+    return encode.token_ids(tokenised(spark, sf_dir), vocabulary(spark, sf_dir), bounded=True)
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:

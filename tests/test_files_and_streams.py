@@ -74,7 +74,7 @@ def plan_of(df):
 
 def test_encoding_shuffles_once(spark, sf_dir):
     turns = base.turns(spark, sf_dir).withColumn("toks", T.tokens(F.col("text"), normalise=False))
-    steps = encode.steps(encode.token_ids(turns, vocabulary_of(spark, ["the"])))
+    steps = encode.steps(encode.token_ids(turns, vocabulary_of(spark, ["the"]), bounded=True))
     assert plan_of(steps).count("Exchange hashpartitioning") == 1
 
 
