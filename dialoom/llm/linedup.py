@@ -204,15 +204,27 @@ def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
         apart = np.bitwise_count(x["s1"][a] ^ x["s1"][b]).astype(np.int64) + np.bitwise_count(x["s2"][a] ^ x["s2"][b])
         return ok[apart <= most_apart]
 
+    def grid(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in a, row of b) for all pairs of rows a and earlier rows b that are allowed."""
+        n, m = x["n"][a].astype(np.int32)[:, None], x["n"][b].astype(np.int32)[None, :]
+        i, j = x["at"][a].astype(np.int32)[:, None], x["at"][b].astype(np.int32)[None, :]
+        need = (4 * (n + m) + 8) // 9
+        ok = (a[:, None] > b[None, :]) & (need <= np.minimum(n, m)) & (np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need)
+        at, to = np.nonzero(ok)
+        a, b, most_apart = a[at], b[to], n[at, 0] + m[0, to] - 2 * need[at, to]
+        apart = np.bitwise_count(x["s1"][a] ^ x["s1"][b]).astype(np.int64) + np.bitwise_count(x["s2"][a] ^ x["s2"][b])
+        good = (apart <= most_apart) & (x["k"][a] != x["k"][b])
+        return at[good], b[good]
+
     def solve(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         x = dict(zip(names, (np.concatenate(c) for c in zip(*parts))))
         cut = np.flatnonzero(np.diff(x["g"])) + 1
         start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(x["g"])]])
         late, early = [], []
-        few = end - start <= 64
+        few = end - start <= 32
         at = np.flatnonzero(np.repeat(few & (end - start > 1), end - start))
         to = np.repeat(end[few & (end - start > 1)], (end - start)[few & (end - start > 1)])
-        for step in range(1, 64):
+        for step in range(1, 32):
             live = at + step < to
             at, to = at[live], to[live]
             if not len(at):
@@ -222,18 +234,26 @@ def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
             late.append(use[ok] + step)
             early.append(use[ok])
         for s, e in zip(start[~few].tolist(), end[~few].tolist()):
-            # line by line in order, until `most` and one more are found; lines of other lengths are left out first
-            n = x["n"][s:e]
-            for size in np.unique(n).tolist():
-                rows = np.flatnonzero((5 * n >= 4 * size) & (4 * n <= 5 * size)) + s
-                for a in rows[(x["n"][rows] == size) & x["ask"][rows]].tolist():
-                    stop, got, b = int(np.searchsorted(rows, a)), 0, 0
-                    while b < stop and (most is None or got <= most):
-                        ys = rows[b : min(stop, b + 2048)]
-                        found = ys[allowed(x, np.full(len(ys), a), ys)]
-                        late.append(np.full(len(found), a))
-                        early.append(found)
-                        got, b = got + len(found), b + 2048
+            rows = np.arange(s, e)
+            if e - s <= 512:
+                sides = [(rows, rows)]
+            else:  # lines match lines of their own and the next length classes only
+                c = np.floor(np.log(x["n"][s:e]) / np.log(1.25) + 1e-9).astype(np.int64)
+                sides = [(rows[c == k], rows[np.abs(c - k) <= 1]) for k in np.unique(c).tolist()]
+            for lates, earlies in sides:
+                lates = lates[x["ask"][lates]]
+                for a in range(0, len(lates), 256):
+                    live = lates[a : a + 256]
+                    got = np.zeros(len(live), np.int64)
+                    for b in range(0, int(np.searchsorted(earlies, live[-1])) if len(live) else 0, 512):
+                        at, to = grid(x, live, earlies[b : b + 512])
+                        late.append(live[at])
+                        early.append(to)
+                        got += np.bincount(at, minlength=len(live))
+                        if most is not None:  # a line with more than it asks for is done
+                            live, got = live[got <= most], got[got <= most]
+                        if not len(live):
+                            break
         none = np.zeros(0, np.int64)
         late, early = np.concatenate([none, *late]), np.concatenate([none, *early])
         order = np.lexsort((early, late))  # rows of a group lie in the order of lines
@@ -296,7 +316,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     rows = classes.where("p is not null").select("k", "p.*", "o.*")
     found = stored(candidates(filed(rows, large)), "candidates")
     good = verified(found, docs, min_words)
-    open_ = stored(found.where("more").join(good, ["k", "other"], "left_anti").groupBy("k", "g").count().where("count > 1").select("k", "g"), "open")
+    tried = found.join(good.withColumn("ok", F.lit(True)), ["k", "other"], "left").groupBy("k", "g").agg(F.bool_or("more").alias("more"), F.max("ok").alias("ok"))
+    open_ = stored(tried.where("more and ok is null").select("k", "g"), "open")
     if not open_.isEmpty():  # both of the earliest candidates failed: all others of that group
         groups = filed(rows, large).join(open_.select("g").distinct(), "g", "left_semi")
         asked = groups.join(open_.withColumn("ask", F.lit(True)), ["k", "g"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
