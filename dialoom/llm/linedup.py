@@ -321,7 +321,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     if not open_.isEmpty():  # both of the earliest candidates failed: all others of that group
         groups = filed(rows, large).join(open_.select("g").distinct(), "g", "left_semi")
         asked = groups.join(open_.withColumn("ask", F.lit(True)), ["k", "g"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        rest = candidates(asked, most=None).join(good, ["k", "other"], "left_anti")
+        rest = candidates(asked, most=None)
         good = good.unionByName(verified(rest, docs, min_words)).distinct()
     firsts = classes.select("k", "o", "copies")
     earliest = good.join(firsts.select(F.col("k").alias("other"), F.col("o").alias("to")), "other").groupBy("k").agg(F.min("to").alias("to"))
