@@ -10,8 +10,8 @@ the first n - ceil(4n/5) + 1 in that order are its prefix; matching classes shar
 once can't be shared, a class with too many of them can't match, and a prefix word that no other line has in its
 prefix is left out (hashed counts again, which are never too small). Classes that share a prefix word are
 candidates if lengths, positions and a 128-bit sketch of the sets allow 4/5. For each class and word the two
-earliest candidates are verified on the whole sets; where both fail and there are more, all of them are. Groups
-of over `large` rows are cut in chunks, a group for each pair of chunks.
+earliest candidates are verified on the whole sets; where both fail and there are more, all of them are. That is
+exact for what goes; for links and classes (`links`, op4) all candidates are verified. Groups of over `large` rows are cut in chunks, a group for each pair of chunks.
 
 Defined results: null and empty texts have no line that takes part; documents with a null id pass through; rows
 that repeat an id count as one document; ties can't occur between different lines; an empty table gives no rows;
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm.common import Words, mix, slices, stored, table, text_of, word_hashes
+from dialoom.llm.components import components
 
 MIN_WORDS, LARGE, COUNTERS = 5, 8192, 1 << 24
 
@@ -307,13 +308,16 @@ def verified(pairs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     return stored(both.where(9 * common >= 4 * (F.size("words") + F.size("others"))).select("k", "other"), "matches")
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE) -> DataFrame:
-    """(doc_id, line_no, to_doc_id, to_line_no): lines to remove, each with the earliest line that matches it."""
+def _joined(docs: DataFrame, doc_id: str, text: str, min_words: int, large: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, classes, (k, other) of matching classes, `other` the earlier one). every: all matching pairs; else those
+    that the earliest match of each class needs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
     lines = stored(prefixes(docs, counted(docs.select("text"), _word_values), min_words), "lines")
     own = F.when(F.size("prefix") > 0, F.struct("n", "skip", "prefix", "s1", "s2"))
     classes = stored(lines.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("copies"), F.first(own, ignorenulls=True).alias("p")), "classes")
     rows = classes.where("p is not null").select("k", "p.*", "o.*")
+    if every:
+        return lines, classes, verified(candidates(filed(rows, large), most=None), docs, min_words)
     found = stored(candidates(filed(rows, large)), "candidates")
     good = verified(found, docs, min_words)
     tried = found.join(good.withColumn("ok", F.lit(True)), ["k", "other"], "left").groupBy("k", "g").agg(F.bool_or("more").alias("more"), F.max("ok").alias("ok"))
@@ -323,6 +327,10 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
         asked = groups.join(open_.withColumn("ask", F.lit(True)), ["k", "g"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
         rest = candidates(asked, most=None)
         good = good.unionByName(verified(rest, docs, min_words)).distinct()
+    return lines, classes, good
+
+
+def _removed(lines: DataFrame, classes: DataFrame, good: DataFrame) -> DataFrame:
     firsts = classes.select("k", "o", "copies")
     earliest = good.join(firsts.select(F.col("k").alias("other"), F.col("o").alias("to")), "other").groupBy("k").agg(F.min("to").alias("to"))
     marked = firsts.join(earliest, "k", "left").where("copies > 1 or to is not null").select("k", "o", "to")
@@ -331,6 +339,31 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     return out.select("doc_id", "line_no", F.least("to", F.when(line != F.col("o"), F.col("o"))).alias("to")).select("doc_id", "line_no", F.col("to.doc_id").alias("to_doc_id"), F.col("to.line_no").alias("to_line_no"))
 
 
+def _linked(lines: DataFrame, classes: DataFrame, good: DataFrame) -> DataFrame:
+    both = good.unionByName(good.select(F.col("other").alias("k"), F.col("k").alias("other")))
+    linked = classes.where("copies > 1").select("k").unionByName(both.select("k")).distinct()
+    members = stored(lines.select("k", "doc_id", "line_no").join(linked, "k", "left_semi").distinct(), "members")
+    sizes = stored(members.groupBy("k").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")), "sizes")
+    of_other = sizes.select(F.col("k").alias("other"), "size", F.col("first").alias("b"))
+    near = both.join(of_other, "other").groupBy("k").agg(F.sum("size").alias("near"))
+    degrees = sizes.join(near, "k", "left").select("k", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n"), "first")
+    by_doc = stored(members.join(degrees, "k").groupBy("doc_id").agg(F.sum("n").alias("n_matches"), F.collect_set("first").alias("firsts")), "degrees")
+    edges = by_doc.select(F.col("doc_id").alias("a"), F.explode("firsts").alias("b")).unionByName(good.join(of_other, "other").join(sizes.select("k", F.col("first").alias("a")), "k").select("a", "b"))
+    roots = components(edges)
+    return by_doc.select("doc_id", "n_matches").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_matches", F.coalesce("root", "doc_id").alias("component_id")).where("n_matches > 0")
+
+
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE) -> DataFrame:
+    """(doc_id, line_no, to_doc_id, to_line_no): lines to remove, each with the earliest line that matches it."""
+    return _removed(*_joined(docs, doc_id, text, min_words, large))
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE) -> DataFrame:
+    """(doc_id, n_matches, component_id) of documents with a match: the number of pairs of a line of the document and
+    another line, earlier or later, that match, all of them counted, and the least document reached over matching lines."""
+    return _linked(*_joined(docs, doc_id, text, min_words, large, every=True))
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with the removed lines taken out of their text, and a column `removed`: array of (line_no, to_doc_id, to_line_no)."""
     gone = removals(docs, doc_id, text, **how).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "to_doc_id", "to_line_no"))).alias("removed"))
@@ -342,9 +375,14 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: its removed lines, the lines that they match and the documents that it so links to."""
+    """One row a document: its removed lines, the lines that they match (the earliest of each) and the documents of
+    those; `n_matches` counts all matching pairs of its lines, `component_id` is its class over all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = removals(docs).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "to_doc_id", "to_line_no"))).alias("removed"))
-    both = docs.select("doc_id").join(gone, "doc_id", "left")
+    lines, classes, good = _joined(docs, "doc_id", "text", MIN_WORDS, LARGE, every=True)
+    gone = _removed(lines, classes, good).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "to_doc_id", "to_line_no"))).alias("removed"))
+    both = docs.select("doc_id").join(gone, "doc_id", "left").join(_linked(lines, classes, good), "doc_id", "left")
     first = F.array_min(F.array_append(F.coalesce("removed.to_doc_id", F.array().cast("array<bigint>")), F.col("doc_id")))
-    return both.select("doc_id", first.alias("class_id"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_links"), F.array_distinct("removed.to_doc_id").alias("linked_doc_ids"), "removed")
+    return both.select(
+        "doc_id", first.alias("class_id"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_links"), F.array_distinct("removed.to_doc_id").alias("linked_doc_ids"), "removed",
+        F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("component_id", "doc_id").alias("component_id"),
+    )

@@ -249,6 +249,39 @@ def test_lines_of_a_crowd(spark):
     assert got == want
 
 
+def line_links(rows, least=5):
+    """(matching pairs of lines, least document reached) of each document with a match, from all pairs."""
+    lines = [(i, frozenset(w)) for i, t in rows for line in (t or "").split("\n") if len(w := words(line)) >= least]
+    n, near = Counter(), {}
+    for a, (i, x) in enumerate(lines):
+        for j, y in lines[:a]:
+            if 5 * len(x & y) >= 4 * len(x | y):
+                n.update([i, j])
+                near.setdefault(i, set()).add(j)
+                near.setdefault(j, set()).add(i)
+    least_of = {}
+    for i in sorted(near):
+        todo = [i] if i not in least_of else []
+        while todo:
+            j = todo.pop()
+            if j not in least_of:
+                least_of[j] = i
+                todo += near[j]
+    return {i: (n[i], least_of[i]) for i in n}
+
+
+def test_all_line_links(spark, docs):
+    """A line that matches many lines has them all counted; a chain is one class."""
+    chain = [" ".join(f"w{k}" for k in range(a, a + 19)) for a in (0, 2, 4, 6)]  # only neighbours match
+    crowd = [" ".join([f"c{k}" for k in range(20)] + [f"z{i}"]) for i in range(9)]
+    rows = list(enumerate([*chain, *crowd, crowd[3], crowd[3] + "\n" + crowd[4], "alone in all of this table", None]))
+    want = line_links(rows)
+    assert want[3] == (1, 0) and want[12] == (11, 4)
+    d = spark.createDataFrame([*rows, rows[5], (None, rows[5][1])], "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_matches, r.component_id) for r in linedup.links(d).collect()} == want
+    assert {r.doc_id: (r.n_matches, r.component_id) for r in linedup.links(docs, large=8).collect()} == line_links(list(enumerate(texts())))
+
+
 # ---- 5 language model ----
 @pytest.mark.parametrize("shard_bytes", [48 << 20, 1 << 16])
 def test_language_model(docs, empty, shard_bytes):
