@@ -1,6 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its words (A-Z lower-cased); lines of `min_words` words or more take part. Lines match at a
+A line is the set of its words (A-Z lower-cased); lines of `min_words` words or more take part: all but blank ones.
+Sets of under four words match equal sets only, so the classes settle them without a join. Lines match at a
 Jaccard similarity of 4/5 or more. The earliest line (by document id, then line number) of each matching pair
 stays, later ones are removed: a line goes if any earlier line matches it.
 
@@ -13,7 +14,7 @@ candidates if lengths, positions and a 128-bit sketch of the sets allow 4/5. For
 earliest candidates are verified on the whole sets; where both fail and there are more, all of them are. That is
 exact for what goes; for links and classes (`links`, op4) all candidates are verified. Groups of over `large` rows are cut in chunks, a group for each pair of chunks.
 
-Defined results: null and empty texts have no line that takes part; documents with a null id pass through; rows
+Defined results: null, empty and blank texts have no line that takes part; documents with a null id pass through; rows
 that repeat an id count as one document; ties can't occur between different lines; an empty table gives no rows;
 only the named columns are compared, and `deduplicated` keeps all columns.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from dialoom.llm.common import Words, mix, slices, stored, table, text_of, word_hashes
 from dialoom.llm.components import components
 
-MIN_WORDS, LARGE, COUNTERS = 5, 8192, 1 << 24
+MIN_WORDS, LARGE, COUNTERS = 1, 8192, 1 << 24
 
 
 def counted(rows: DataFrame, values) -> np.ndarray:
@@ -131,7 +132,7 @@ def prefixes(docs: DataFrame, rarity: np.ndarray, min_words: int) -> DataFrame:
         if len(seen) > 500_000:
             seen.clear()
         old = np.fromiter((k in seen or seen.add(k) is not None for k in x.key.tolist()), bool, len(x.key))
-        upto = np.where(old, once, upto)
+        upto = np.where(old | (x.n < 4), once, upto)
         place = np.arange(len(x.hashes)) - x.start[x.rows]
         own = (place >= once[x.rows]) & (place < upto[x.rows])
         offsets = np.concatenate([[0], np.cumsum(upto - once)]).astype(np.int32)

@@ -249,7 +249,7 @@ def test_lines_of_a_crowd(spark):
     assert got == want
 
 
-def line_links(rows, least=5):
+def line_links(rows, least=1):
     """(matching pairs of lines, least document reached) of each document with a match, from all pairs."""
     lines = [(i, frozenset(w)) for i, t in rows for line in (t or "").split("\n") if len(w := words(line)) >= least]
     n, near = Counter(), {}
@@ -282,6 +282,17 @@ def test_all_line_links(spark, docs):
     assert {r.doc_id: (r.n_matches, r.component_id) for r in linedup.links(docs, large=8).collect()} == line_links(list(enumerate(texts())))
 
 
+def test_short_lines(spark):
+    """Lines of one to four words take part; four words match five that hold them."""
+    rows = [(0, "all rights reserved.\n\nyes\nred green blue sky"), (1, "All rights reserved.\nyes yes\n \nred green blue"), (2, "sky red green blue sea\nreserved. rights all\nno"), (3, "red green blue sky\n\nno"), (4, None), (5, "")]
+    want = line_removals(rows, least=1)
+    assert {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 2)} == set(want)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.doc_id, r.line_no): (r.to_doc_id, r.to_line_no) for r in linedup.removals(d).collect()} == want
+    assert {r.doc_id: r.text for r in linedup.deduplicated(d).collect()}[3] == ""
+    assert {r.doc_id: (r.n_matches, r.component_id) for r in linedup.links(d).collect()} == line_links(rows)
+
+
 # ---- 5 language model ----
 @pytest.mark.parametrize("shard_bytes", [48 << 20, 1 << 16])
 def test_language_model(docs, empty, shard_bytes):
