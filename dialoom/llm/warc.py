@@ -12,6 +12,7 @@ only the named columns are read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -34,15 +35,21 @@ def _members(data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
     while at < len(data):
         d, plain, ok = zlib.decompressobj(31), [], False
         if data[at : at + 3] == GZIP:
-            view, step = at, 1 << 16
-            try:
-                while not d.eof and view < len(data):
+            view, step = at, 1 << 12
+            while not d.eof and view < len(data):
+                before = d.copy()
+                try:
                     plain.append(d.decompress(data[view : view + step]))
-                    view += step
-                ok = d.eof
-                end = min(view, len(data)) - len(d.unused_data)
-            except zlib.error:
-                pass
+                except zlib.error:  # byte by byte: all that precedes the damage
+                    try:
+                        for i in range(view, min(view + step, len(data))):
+                            plain.append(before.decompress(data[i : i + 1]))
+                    except zlib.error:
+                        pass
+                    break
+                view, step = view + step, min(2 * step, 1 << 16)
+            ok = d.eof
+            end = min(view, len(data)) - len(d.unused_data)
         if not ok:
             end = data.find(GZIP, at + 1)
             while end >= 0 and not _opens(data, end):
@@ -52,12 +59,30 @@ def _members(data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
         at = end
 
 
-def _opens(data: bytes, at: int) -> bool:
+def _opens(data: bytes, at: int) -> bytes:
+    """The first bytes of the gzip member at `at`, empty where none opens."""
     try:
-        zlib.decompressobj(31).decompress(data[at : at + 512])
-        return True
+        return zlib.decompressobj(31).decompress(data[at : at + 512]) or b"\n"
     except zlib.error:
-        return False
+        return b""
+
+
+def _zipped(data: bytes) -> bool:
+    """The archive is made of gzip members, though the first ones may be damaged: somewhere a member opens with a
+    version line and isn't part of a readable plain record."""
+    if data[:3] == GZIP or VERSION.match(data):
+        return data[:3] == GZIP
+    done, at, plain = 0, data.find(GZIP), VERSION.search(data)
+    while at >= 0:
+        if at >= done and VERSION.match(_opens(data, at)):
+            while plain and plain.start() < at and done <= at:
+                record, end, _ = _record(data, plain.start())
+                done = end if record else done
+                plain = VERSION.search(data, max(end, plain.start() + 1))
+            if done <= at:
+                return True
+        at = data.find(GZIP, max(done, at + 1))
+    return False
 
 
 def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -91,12 +116,14 @@ def salvage(data: bytes) -> Iterator[dict]:
     """Records (kind response, revisit, ...) and gaps (kind gap) of an archive, in order, with byte ranges.
 
     Ranges are those of the file; inside a gzip member they are the member's."""
-    if data[:3] == GZIP or (GZIP in data[: 1 << 20] and not VERSION.match(data)):
+    if _zipped(data):
         for a, b, plain, ok in _members(data):
             found = False
             for r in _plain(plain):
                 found |= r["kind"] != "gap"
                 yield r | ({"at": a, "upto": b} if r["kind"] == "gap" else {"at": a + 0, "upto": b})
+            if not ok and not plain:  # records that were stored as they are
+                yield from (r | {"at": r["at"] + a, "upto": r["upto"] + a} for r in _plain(data[a:b]) if r["kind"] != "gap")
             if not ok and (a < b) and not (found and not plain):
                 yield {"kind": "gap", "at": a, "upto": b, "reason": "damaged gzip member"}
         return
@@ -130,9 +157,20 @@ def plan_records(pages: DataFrame, key: str = "page_id", uri: str = "url", paylo
     return raw.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without its last byte, which is 0: the top byte of the length, or that of an
+    empty member put after records of 16 MB or more."""
+    for b in batches:
+        out = []
+        for x in b.column(0):
+            member = gzip.compress(x.as_py(), 6, mtime=0)
+            out.append((member if member[-1] == 0 else member + gzip.compress(b"", mtime=0))[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+
 def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
-    """One WARC record per row, through the text sink: any file system that Spark writes to will do. The sink's
-    line end is the record's end mark, so files are ordinary (gzip-compressed) WARC."""
+    """One WARC record per row, each a gzip member of its own, so that damage costs one record. The text sink writes
+    the bytes as they are to any file system that Spark writes to; its line end, a zero byte, is each member's last byte."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     clean = F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]+", " ")
     revisit = F.col("refers_to").isNotNull()
@@ -141,8 +179,8 @@ def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))), F.lit("\r\n"),
     )
-    out = records.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    out = records.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("html")), F.lit("\r\n\r\n")).cast("binary").alias("value"))
+    out.mapInArrow(_packed, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -368,6 +368,39 @@ def test_salvage_of_damaged_archives():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_far_and_within_a_member():
+    import gzip
+
+    noise = np.random.default_rng(3).bytes(1 << 20)
+    parts = [record(0, noise + b"x" * 99), *(record(i, bytes([65 + i]) * (50 + i)) for i in range(1, 5))]
+    zipped = [gzip.compress(p) for p in parts]
+    assert len(zipped[0]) > 1 << 20
+    got = list(warc.salvage(b"\0" + b"".join(zipped)[1:]))  # the first magic is gone, the next member starts after 1 MB
+    assert [r["page_id"] for r in got if r["kind"] != "gap"] == [1, 2, 3, 4]
+    one = [record(i, np.random.default_rng(i).bytes(300).hex().encode()) for i in range(40)]
+    data = gzip.compress(b"".join(one))
+    assert len(data) < 1 << 16
+    broken = data[:-8] + bytes(8)  # checksum and length
+    assert [r["page_id"] for r in warc.salvage(broken) if r["kind"] != "gap"] == list(range(40))
+
+
+def test_damage_in_written_archives(spark):
+    import glob
+    import gzip
+
+    path = common.scratch(spark, "warc")
+    rows = [(i, f"http://h/{i}", prose(80, i) + "é") for i in range(60)] + [(60, "http://big", "z" * (17 << 20))]
+    warc.write(warc.plan_records(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)), path)
+    (name,) = glob.glob(path.removeprefix("file://") + "/part-*")
+    data = open(name, "rb").read()
+    assert sorted(r["page_id"] for r in warc.salvage(gzip.decompress(data))) == list(range(61))  # ordinary gzip
+    for at in (1, len(data) // 20, len(data) // 3):
+        broken = bytearray(data)
+        broken[at] ^= 0xFF
+        got = list(warc.salvage(bytes(broken)))
+        assert len({r["page_id"] for r in got if r["kind"] != "gap"}) >= 60 and any(r["kind"] == "gap" for r in got)
+
+
 # ---- 7 media ----
 def test_media_round_trip(spark, docs):
     path = common.scratch(spark, "media")
