@@ -6,7 +6,7 @@ broadcast table, all others by a join. The model is a bigram with Dirichlet smoo
 
     P(w | h) = (c(hw) + mu P(w)) / (c(h) + mu),
 
-where P(w) is the add-one unigram probability, averaged over the words that aren't frequent. The counts c(hw), and
+where P(w) is the add-one unigram probability of the exact count, which the base's join gives. The counts c(hw), and
 c(h) of words that aren't frequent, come from a Bloom filter that holds each n-gram once for every power of two
 that its count reaches; probes for one level after the other tell the count to a factor of two.
 
@@ -61,8 +61,6 @@ class Frequent:
         order = np.argsort(hashes)
         self.hashes, self.counts, self.tokens, self.types, self.texts = hashes[order], counts[order], tokens, types, texts
         self.total = tokens + types + 1
-        rare = types - len(hashes)
-        self.rest = (tokens - int(counts.sum()) + rare + 1) / (rare + 1) / self.total
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """Counts; 0 where a word isn't frequent."""
@@ -228,56 +226,66 @@ def score(docs: DataFrame, train: Column, mu: float = MU, bits: int = BITS, shar
     bloom = stored(build(learn, counts, frequent, layout), "filter")
     table_ = spark.sparkContext.broadcast(frequent)
 
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = table_.value
+        for b in batches:
+            for p in slices(b, "text", 2 << 20):
+                t = Tokens(p.column(0))
+                uniq, back = np.unique(t.hash, return_inverse=True)
+                c_word = f(uniq)[back]
+                at, rare = t.start[:-1], c_word == 0
+                rows = np.repeat(np.arange(p.num_rows), t.lengths)[rare]
+                order = np.lexsort((t.hash[rare], rows))
+                h, r = t.hash[rare][order], rows[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.concatenate([new, [len(h)]]))
+                cut = pa.array(np.searchsorted(r[new], np.arange(p.num_rows + 1)).astype(np.int32))
+                columns = [pa.array(t.lengths.astype(np.int64)), pa.array(np.add.reduceat((c_word > 0).astype(np.int64), at)), pa.array(np.add.reduceat(np.where(rare, 0.0, np.log10(c_word + 1)), at)), pa.ListArray.from_arrays(cut, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(n.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([*p.columns[1:], *columns], [*p.schema.names[1:], "n_tokens", "known", "logs", "rare", "times"])
+
     def scores(number: int) -> DataFrame:
         shared = spark.sparkContext.broadcast(Shard(layout, number, bloom.where(F.col("shard") == number).select("block", "bits").toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from xxhash import xxh3_64_intdigest
-
             f, own = table_.value, shared.value
             for b in batches:
                 for p in slices(b, "text", 2 << 20):
                     t = Tokens(p.column(0))
                     uniq, back = np.unique(t.hash, return_inverse=True)
-                    c_word = f(uniq)[back]
+                    often = f(uniq)
+                    c_word = often[back]
                     c_before = np.where(t.before == START, f.texts, np.concatenate([[0], c_word[:-1]]))
+                    # exact counts of the other words came with the texts; a word's count is the same in each text
+                    h, first = np.unique(np.asarray(p.column(2).flatten()).view(np.uint64), return_index=True)
+                    n = np.asarray(p.column(3).flatten())[first]
+                    if len(h):
+                        spot = np.minimum(np.searchsorted(h, uniq), len(h) - 1)
+                        often = np.where(often > 0, often, np.where(h[spot] == uniq, n[spot], 0))
                     key = t.pairs()
                     mine = np.flatnonzero(layout.shard(key, t.before, c_before > 0) == own.number)
                     before = c_before[mine].astype(np.float64)
                     few = np.flatnonzero(before == 0)
                     before[few] = own.counts(mix(t.before[mine[few]] + CONTEXT))
                     both = own.counts(key[mine])
-                    p_word = np.where(c_word[mine] > 0, (c_word[mine] + 1) / f.total, f.rest)
                     part = np.zeros(len(key))
-                    part[mine] = np.log10((both + mu * p_word) / (np.maximum(before, both) + mu))
-                    at = t.start[:-1]
-                    columns = [pa.array(np.fromiter((xxh3_64_intdigest(x) for x in p.column(0).to_pylist()), np.uint64, p.num_rows).view(np.int64)), pa.array(np.add.reduceat(part, at))]
-                    names = ["text_key", "part"]
-                    if not number:  # the base comes with the first shard
-                        rare = c_word == 0
-                        rows = np.repeat(np.arange(p.num_rows), t.lengths)[rare]
-                        order = np.lexsort((t.hash[rare], rows))
-                        h, r = t.hash[rare][order], rows[order]
-                        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) if len(h) else np.zeros(0, np.int64)
-                        n = np.diff(np.concatenate([new, [len(h)]]))
-                        cut = pa.array(np.searchsorted(r[new], np.arange(p.num_rows + 1)).astype(np.int32))
-                        columns += [pa.array(t.lengths.astype(np.int64)), pa.array(np.add.reduceat((c_word > 0).astype(np.int64), at)), pa.array(np.add.reduceat(np.where(rare, 0.0, np.log10(c_word + 1)), at)), pa.ListArray.from_arrays(cut, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(n.astype(np.int32)))]
-                        names += ["n_tokens", "known", "logs", "rare", "times"]
-                    yield pa.RecordBatch.from_arrays([*p.columns[1:], *columns], [*p.schema.names[1:], *names])
-
-        more = "" if number else ", n_tokens long, known long, logs double, rare array<long>, times array<int>"
-        out = stored(docs.select("text", *(["doc_id", "train"] if not number else [])).mapInArrow(run, ("doc_id long, train boolean, " if not number else "") + "text_key long, part double" + more), f"scores{number}")
+                    part[mine] = np.log10((both + mu * (often[back][mine] + 1) / f.total) / (np.maximum(before, both) + mu))
+                    yield pa.RecordBatch.from_arrays([p.column(1), pa.array(np.add.reduceat(part, t.start[:-1]))], ["text_key", "next"])
+
+        out = stored(texts.select("text", "text_key", "rare", "counts").mapInArrow(run, "text_key long, next double"), f"scores{number}")
         shared.unpersist()
         return out
 
-    first = scores(0)
-    texts = stored(first.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("part", "n_tokens", "known", "logs", "rare", "times"))), "texts")
-    rare = texts.select("text_key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("text_key", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
-    found = rare.join(counts.where(F.col("n") < least), "h").groupBy("text_key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    whole = texts.select("text_key", "part", "n_tokens", "known", "logs").join(found, "text_key", "left")
-    for number in range(1, layout.shards):
-        part = scores(number).groupBy("text_key").agg(F.first("part").alias("next"))
-        whole = whole.join(part, "text_key").withColumn("part", F.col("part") + F.col("next")).drop("next")
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    first = stored(docs.select("text", "doc_id", "train", "text_key").mapInArrow(bases, "doc_id long, train boolean, text_key long, n_tokens long, known long, logs double, rare array<long>, times array<int>"), "base")
+    base = stored(first.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("n_tokens", "known", "logs", "rare", "times"))), "bases")
+    rare = base.select("text_key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("text_key", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
+    found = stored(rare.join(counts.where(F.col("n") < least), "h").groupBy("text_key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.collect_list(F.struct("h", "n")).alias("own")), "rare")
+    none = F.array().cast("array<bigint>")
+    texts = docs.groupBy("text_key").agg(F.first("text").alias("text")).join(found.select("text_key", "own"), "text_key", "left")
+    texts = stored(texts.select("text_key", "text", F.coalesce("own.h", none).alias("rare"), F.coalesce("own.n", none).alias("counts")), "texts")
+    whole = base.select("text_key", F.lit(0.0).alias("part"), "n_tokens", "known", "logs").join(found.drop("own"), "text_key", "left")
+    for number in range(layout.shards):
+        whole = whole.join(scores(number), "text_key").withColumn("part", F.col("part") + F.col("next")).drop("next")
     whole = whole.select(
         "text_key", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(frequent.total)).alias("base_score"), F.col("part").alias("score"),

@@ -311,6 +311,15 @@ def test_language_model(docs, empty, shard_bytes):
     assert lm.score(empty, F.lit(True)).count() == 0
 
 
+def test_rare_words_have_their_own_probability(spark, monkeypatch):
+    """A word under the cut-off that was seen 30 times doesn't score like one never seen."""
+    monkeypatch.setattr(lm, "FREQUENT", 10)
+    rows = [(i, "common " * 40 + f"mid one{i}") for i in range(30)] + [(100, "zz mid yy"), (101, "zz gibberish yy"), (102, "zz one3 yy")]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") < 100).collect()}
+    assert math.isclose(got[100] - got[101], math.log10(31) - math.log10((38.4 + lm.MU) / lm.MU), abs_tol=0.1)
+    assert math.isclose(got[102] - got[101], math.log10(2), abs_tol=0.02)
+
+
 def test_filter_levels():
     layout = lm.Layout(2000, 60, 1 << 20)
     keys, counts = common.mix(np.arange(1, 400, dtype=np.uint64)), np.arange(1, 400)
