@@ -40,10 +40,18 @@ def metric_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("epoch", "split").agg(F.round(F.avg("loss"), 6).alias("avg_loss"), F.min("loss").alias("min_loss"), F.count("*").alias("n"), F.min(F.struct("loss", "total_steps"))["total_steps"].alias("best_step"))
 
 
-def best_so_far(log: DataFrame, by: str) -> DataFrame:
-    """Least loss before each row (null at first) and whether the row is a new best (strictly less)."""
-    before = F.min("loss").over(Window.partitionBy(by).orderBy("total_steps").rowsBetween(Window.unboundedPreceding, -1))
-    return log.withColumn("best_before", before).withColumn("new_best", F.col("best_before").isNull() | (F.col("loss") < F.col("best_before")))
+def best_so_far(log: DataFrame, by: str, width: int = 4096) -> DataFrame:
+    """Least loss before each row (null at first) and whether the row is a new best (strictly less).
+
+    Two passes: the least loss of each bucket of `width` steps, a prefix minimum over that small table, and a window
+    inside each bucket."""
+    rows = log.withColumn("_b", F.coalesce(F.floor(F.col("total_steps") / width), F.lit(-(1 << 62))).cast("long"))
+    earlier = F.min("_min").over(Window.partitionBy("_by").orderBy("_to").rowsBetween(Window.unboundedPreceding, -1))
+    buckets = rows.groupBy(F.col(by).alias("_by"), F.col("_b").alias("_to")).agg(F.min("loss").alias("_min")).select("_by", "_to", earlier.alias("_earlier"))
+    before = F.min("loss").over(Window.partitionBy(by, "_b").orderBy("total_steps").rowsBetween(Window.unboundedPreceding, -1))
+    both = rows.withColumn("_before", before).join(buckets, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_to")))
+    both = both.withColumn("best_before", F.least("_earlier", "_before")).drop("_b", "_by", "_to", "_before", "_earlier")
+    return both.withColumn("new_best", F.col("best_before").isNull() | (F.col("loss") < F.col("best_before")))
 
 
 def speak_step(log: DataFrame, threshold: float, least: int, most: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
 from dialoom.functions.arrays import rendered
-from dialoom.operators import encode, quality, vocab
+from dialoom.operators import chunks, encode, quality, vocab
 from dialoom.plans import base
 from dialoom.plans.base import load, scratch, show, sql
 from dialoom.plans.registry import query
@@ -99,10 +99,9 @@ def p6_element_text(spark, sf_dir):
     t = base.turns(spark, sf_dir)
     item = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("text"))).otherwise("null")
     d = t.groupBy("split", "split_ord", "conv_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]), ","), F.lit("]")).alias("value"))
-    from pyspark.sql import Window
-
-    line = F.row_number().over(Window.partitionBy("split").orderBy("conv_id")) - 1  # three splits of test size
-    parts = io.elements(d.select("split", "split_ord", line.cast("long").alias("line_no"), "value"))
+    d = chunks.dense_ordinal(d, "split_ord", "conv_id", bucket=chunks.by_key())
+    starts = d.groupBy("split_ord").agg(F.min("ordinal").alias("start"))
+    parts = io.elements(d.join(starts, "split_ord").select("split", "split_ord", (F.col("ordinal") - F.col("start")).alias("line_no"), "value"))
     return io.utterances(parts, 1).select("split", F.col("conv_id").alias("line_no"), F.col("turn").cast("long"), "text")
 
 

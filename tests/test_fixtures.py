@@ -136,3 +136,23 @@ def test_decisions_and_losses(spark):
 def test_quality(spark):
     s = spark.createDataFrame([("t", 1, 0, [4], None, [5, 2], 1.0), ("t", 1, 1, [-1], [10], [2], 0.5)], "split string, conv_id bigint, step int, x_ref array<int>, x_t array<int>, target array<int>, gate double")
     assert tuple(quality.violations(s, 10).first()) == (2, 2, 1, 0)
+
+
+def windows(df):
+    """The columns that each window over rows is partitioned by."""
+    import re
+
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [re.sub(r"#\d+L?", "", w[1]) for w in re.finditer(r"windowspecdefinition\((.*?) ASC", plan)]
+
+
+def test_no_window_over_a_whole_split(spark, sf_dir):
+    from dialoom.operators import scoring
+    from dialoom.plans import registry
+
+    assert not any(w.startswith("split, conv_id") for w in windows(registry.QUERIES["p6_element_text"](spark, sf_dir)))
+    assert not any(w.startswith("split, total_steps") for w in windows(registry.QUERIES["w9_best_so_far"](spark, sf_dir)))
+    rows = [("a", 1, 5.0), ("a", 2, None), ("a", 3, 6.0), ("a", 9, 4.0), ("a", 10, 4.0), ("a", None, 9.0), (None, 3, 1.0), (None, 8, 0.5), ("b", 7, None), ("b", 8, 2.0)]
+    got = scoring.best_so_far(spark.createDataFrame(rows, "split string, total_steps long, loss double"), "split", width=3).collect()
+    want = {("a", None): (None, True), ("a", 1): (9.0, True), ("a", 2): (5.0, None), ("a", 3): (5.0, False), ("a", 9): (5.0, True), ("a", 10): (4.0, False), (None, 3): (None, True), (None, 8): (1.0, True), ("b", 7): (None, True), ("b", 8): (None, True)}
+    assert {(r.split, r.total_steps): (r.best_before, r.new_best) for r in got} == want
