@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder of spark.checkpoint.dir (set only where it is unset)."""
+    """A new path under the shared folder of spark.checkpoint.dir. Where that is unset it is set to a temporary folder
+    if Spark runs in this process alone; on a cluster, whose machines wouldn't share it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -37,6 +40,17 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of `taken` (whatever the case)."""
+    have, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -99,8 +113,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of distinct words."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words))
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -120,3 +133,136 @@ def whole_runs(lengths: np.ndarray, start: np.ndarray, k: int, total: int) -> np
         return np.zeros(0, bool)
     left = np.repeat(start[1:], lengths) - np.arange(total)
     return left[: total - k + 1] >= k
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each list element, element) of a list column."""
+    return np.repeat(np.arange(len(column)), np.asarray(pc.fill_null(pc.list_value_length(column), 0))), np.asarray(column.flatten())
+
+
+def dealt(rows: dict[str, np.ndarray], ragged: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> pa.RecordBatch:
+    """Columns of many rows as one row for each value of `bucket`, with array columns: moving these costs Spark far
+    less than the rows would. ragged: name to (row, element), in order of rows; goes with a column of its lengths."""
+    order = np.argsort(rows["bucket"], kind="stable")
+    bucket = rows["bucket"][order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    cut = np.append(first, len(bucket)).astype(np.int32)
+    names, columns = ["bucket"], [pa.array(bucket[first].astype(np.int32))]
+    for name, x in rows.items():
+        if name != "bucket":
+            names.append(name)
+            columns.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(x[order])))
+    for name, (row, x) in (ragged or {}).items():
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by = np.argsort(place[row], kind="stable")
+        n = np.bincount(row, minlength=len(order))[order]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        names += [name, f"n_{name}"]
+        columns += [pa.ListArray.from_arrays(pa.array(ends[cut].astype(np.int32)), pa.array(x[by])), pa.ListArray.from_arrays(pa.array(cut), pa.array(n.astype(np.int32)))]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each bucket of `dealt` rows that come sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> dict[str, np.ndarray]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        return {n: np.asarray(whole[n].combine_chunks().flatten()) for n in whole.column_names if n != "bucket"}
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket = np.asarray(b.column(0))
+        for a, z in zip(*(lambda c: (np.append(0, c), np.append(c, len(bucket))))(np.flatnonzero(np.diff(bucket)) + 1)):
+            if held and held[-1].column(0)[0].as_py() != bucket[a]:
+                yield joined()
+                held = []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield joined()
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the distinct keys of all parts (keys, counts)."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+
+def hash_counts(rows: DataFrame, hashes, buckets: int, least: int = 1) -> DataFrame:
+    """(h, n): how often each 64-bit hash occurs, where that is `least` times or more. hashes: from a batch of `rows`
+    an iterator of (hashes, times). Each task adds up its own, and each bucket of hashes is added up in a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for h, n in hashes(b):
+                held.append((h, n))
+                size += len(h)
+                if size > 6_000_000:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > 3_000_000:
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*merged(held))
+
+    def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return dealt({"bucket": ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), "h": h.view(np.int64), "n": n})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in by_bucket(batches):
+            h, n = merged([(x["h"].view(np.uint64), x["n"])])
+            h, n = h[n >= least], n[n >= least]
+            for a in range(0, len(h), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 200_000].view(np.int64)), pa.array(n[a : a + 200_000])], ["h", "n"])
+
+    arrays = rows.mapInArrow(count, "bucket int, h array<long>, n array<long>")
+    return arrays.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "h long, n long")
+
+
+def buckets_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Buckets of about `each` rows, and no fewer than shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+#: A table of counts has at most 2**MOST_CELLS cells of one byte.
+MOST_CELLS = 27
+
+
+class Cells:
+    """Counts of 64-bit hashes on a log scale, one byte a cell; a cell, picked by a hash's top bits, has the largest
+    count of its hashes, so a count is never too small, and 0 where no hash was filed."""
+
+    def __init__(self, counts: DataFrame):
+        """counts: (h, n), stored. There are 8 cells for each row, up to 2**MOST_CELLS."""
+        rows = counts.count()
+        self.bits = int(min(MOST_CELLS, max(16, np.ceil(np.log2(8 * rows + 1)))))
+        cell = F.shiftrightunsigned("h", 64 - self.bits)
+        codes = counts.select(F.shiftright(cell, 16).cast("int").alias("piece"), cell.bitwiseAND(0xFFFF).cast("int").alias("at"), F.least(F.lit(255), F.ceil(6 * F.log2("n")) + 1).cast("int").alias("code"))
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                piece, at, code = (np.asarray(c) for c in b.columns)
+                for k in np.unique(piece).tolist():
+                    own = piece == k
+                    np.maximum.at(held.setdefault(k, np.zeros(1 << 16, np.uint8)), at[own], code[own].astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["piece", "codes"])
+
+        self.codes = np.zeros(1 << self.bits, np.uint8)
+        if rows:
+            for r in codes.repartition("piece").mapInArrow(pieces, "piece int, codes binary").collect():  # at most 2**(MOST_CELLS - 16) pieces
+                self.codes[r.piece << 16 : (r.piece + 1) << 16] = np.frombuffer(r.codes, np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.codes[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
+
+    @staticmethod
+    def at_most(codes: np.ndarray) -> np.ndarray:
+        """The largest count that a code stands for."""
+        return np.where(codes > 0, 2.0 ** ((codes.astype(np.float64) - 1) / 6), 0.0)

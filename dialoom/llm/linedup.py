@@ -1,27 +1,30 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its words (A-Z lower-cased); lines of `min_words` words or more take part: all but blank ones.
-Sets of under four words match equal sets only, so the classes settle them without a join. Lines match at a
-Jaccard similarity of 4/5 or more. The earliest line (by document id, then line number) of each matching pair
-stays, later ones are removed: a line goes if any earlier line matches it.
-
-Join: words are ordered by rarity, a table of hashed counts over all lines (2**24 counters on a log scale, 16 MB
-at any input size; words that share a counter only share a rank). Equal sets are one class. Of a class's n words
-the first n - ceil(4n/5) + 1 in that order are its prefix; matching classes share a prefix word. Words that occur
-once can't be shared, a class with too many of them can't match, and a prefix word that no other line has in its
-prefix is left out (hashed counts again, which are never too small). Classes that share a prefix word are
-candidates if lengths, positions and a 128-bit sketch of the sets allow 4/5. For each class and word the two
-earliest candidates are verified on the whole sets; where both fail and there are more, all of them are. That is
-exact for what goes; for links and classes (`links`, op4) all candidates are verified. Groups of over `large` rows are cut in chunks, a group for each pair of chunks.
+A line is the set of its words (A-Z lower-cased, 64-bit hashes); lines of `min_words` words or more take part: all but
+blank ones. Lines match at a Jaccard similarity of 4/5 or more. The earliest line (by document id, hash of the text,
+line number) of each matching pair stays, later ones are removed: a line goes if any earlier line matches it.
+
+Join: words are ordered by rarity, from counts over all lines (`Cells`; words that share a cell only share a rank).
+Equal sets (128-bit keys) are one class. Of a class's n words the first n - ceil(4n/5) + 1 in that order are its
+prefix; matching classes share a prefix word. Words that occur once can't be shared, and a class with too many of
+them can't match. Under each prefix word, classes are candidates if lengths, positions and a 128-bit sketch of the
+sets allow 4/5; a pair counts only under the first prefix word that it shares. That leaves (class, word) rows, not
+pairs: the whole sets of those classes are fetched, dealt out by word once more, and all their pairs are verified in
+place. Each class then has the number of lines that match it, its earliest match, and links that span its component.
+
+Scale: rows between tasks are array columns, one row for each bucket of words. A word with over `large` classes is
+cut in chunks, a group for each pair of chunks. All that is shipped grows with lines, never with matching pairs.
 
 Defined results: null, empty and blank texts have no line that takes part; documents with a null id pass through; rows
-that repeat an id count as one document; ties can't occur between different lines; an empty table gives no rows;
-only the named columns are compared, and `deduplicated` keeps all columns.
+that repeat an id and its text count as one document, texts that share an id each have their own lines; ties can't
+occur between different lines; an empty table gives no rows; only the named columns are compared, and `deduplicated`
+keeps all columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,361 +32,506 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, mix, slices, stored, table, text_of, word_hashes
+from dialoom.llm.common import Cells, Words, buckets_for, by_bucket, dealt, flat, fresh, hash_counts, mix, slices, stored, table, text_of, word_hashes
 from dialoom.llm.components import components
 
-MIN_WORDS, LARGE, COUNTERS = 1, 8192, 1 << 24
-
+MIN_WORDS, LARGE = 1, 8192
+SALT = np.uint64(0x9E3779B97F4A7C15)
 
-def counted(rows: DataFrame, values) -> np.ndarray:
-    """Counts of long values, on a log scale in one byte, in 2**24 counters picked by the value's low bits.
-
-    values: function of a batch that yields (values, times). Each task counts in its own array, Spark adds the
-    counters up, and 256 pieces of 64 KB come to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.int32)
-        for b in batches:
-            for v, times in values(b):
-                np.add.at(n, (v & np.uint64(COUNTERS - 1)).astype(np.int64), times)
-        for a in range(0, COUNTERS, 1 << 20):
-            own = np.flatnonzero(n[a : a + (1 << 20)]) + a
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own])], ["at", "n"])
-
-    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[int, np.ndarray] = {}
-        for b in batches:
-            at, n = np.asarray(b.column(0)), np.asarray(b.column(1))
-            code = np.minimum(255, np.floor(8 * np.log2(n + 1.0))).astype(np.uint8)
-            for k in np.unique(at >> 16).tolist():
-                own = at >> 16 == k
-                pieces.setdefault(k, np.zeros(1 << 16, np.uint8))[at[own] & 0xFFFF] = code[own]
-        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], ["piece", "codes"])
 
-    sums = rows.mapInArrow(count, "at int, n int").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(COUNTERS, np.uint8)
-    for r in sums.repartition(F.shiftright("at", 16)).mapInArrow(scaled, "piece int, codes binary").collect():
-        out[r.piece << 16 : (r.piece + 1) << 16] = np.frombuffer(r.codes, np.uint8)
-    return out
+def positions(doc: np.ndarray, t: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """64-bit hashes of lines' places."""
+    with np.errstate(over="ignore"):
+        return mix(mix(doc.astype(np.int64).view(np.uint64) * SALT + t.view(np.uint64)) + line.astype(np.uint64))
 
 
-ONCE = 8  # the code of one occurrence
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(lines, text number of each, line number in its text)."""
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+    lists = pc.split_pattern(texts, "\n")
+    first = np.asarray(lists.offsets)
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    return lists.flatten(), doc, np.arange(len(doc)) - first[doc]
 
 
 class Lines:
-    """The lines that take part, of one slice: sets of words in order of rarity (without a table: of hash)."""
-
-    def __init__(self, texts: pa.Array, min_words: int, rarity: np.ndarray | None = None):
-        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
-        split = pc.split_pattern(texts, "\n")
-        first = np.asarray(split.offsets)
-        w = Words(split.flatten())
-        keep = np.flatnonzero(w.lengths >= min_words)
-        self.doc = np.searchsorted(first, keep, "right") - 1
-        self.line_no = keep - first[self.doc]
+    """Lines of `min_words` words or more as sets of words in order of rarity; line i is number at[i] of those given."""
+
+    def __init__(self, lines: pa.Array, min_words: int, rarity: Cells):
+        w = Words(lines)
+        self.at = np.flatnonzero(w.lengths >= max(1, min_words))
         hashes = word_hashes(w.words)
-        code = rarity[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)] if rarity is not None else np.zeros(len(hashes), np.uint8)
+        code = rarity(hashes)
         order = np.lexsort((hashes, code))  # of the slice's distinct words
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        mask = np.repeat(w.lengths >= min_words, w.lengths)
-        row = np.repeat(np.arange(len(keep)), w.lengths[keep])
-        both = np.sort(row << 32 | rank[w.ids[mask]])
+        mask = np.repeat(w.lengths >= max(1, min_words), w.lengths)
+        both = np.sort(np.repeat(np.arange(len(self.at)), w.lengths[self.at]) << 32 | rank[w.ids[mask]])
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
         self.rows, at = both >> 32, order[both & 0xFFFFFFFF]
         self.hashes, self.codes = hashes[at], code[at]
-        self.n = np.bincount(self.rows, minlength=len(keep))
+        self.n = np.bincount(self.rows, minlength=len(self.at))
         self.start = np.concatenate([[0], np.cumsum(self.n)])
-        mixed = mix(hashes)
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mixed[at], self.start[:-1]) if len(keep) else np.zeros(0, np.uint64)
-            self.key = mix(sums * np.uint64(31) + self.n.astype(np.uint64)).view(np.int64)
-        # parities of the numbers of words in 128 places: two sets' sketches differ in no more places than the sets in words
-        bit, low = np.uint64(1) << (mixed >> np.uint64(58)), mixed >> np.uint64(57) & np.uint64(1) == 0
-        self.sketch = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0))[at], self.start[:-1]) if len(keep) else np.zeros(0, np.uint64) for x in (low, ~low)]
+        self.mixed = mix(hashes)[at]
 
+    def _reduced(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
+        return how.reduceat(values, self.start[:-1]) if len(self.at) else np.zeros(0, np.uint64)
 
-def _map_texts(docs: DataFrame, build, schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            for p in slices(b, "text", 2 << 20):
-                yield build(p, seen)
+    def keys(self) -> list[np.ndarray]:
+        """128 bits that equal sets share."""
+        with np.errstate(over="ignore"):
+            return [mix(self._reduced(np.add, x) * np.uint64(31) + self.n.astype(np.uint64)).view(np.int64) for x in (self.mixed, mix(self.mixed + SALT))]
 
-    return docs.mapInArrow(run, schema)
+    def sketches(self) -> list[np.ndarray]:
+        """Parities of the numbers of words in 128 places: two sketches differ in no more places than the sets in words."""
+        bit, low = np.uint64(1) << (self.mixed >> np.uint64(58)), self.mixed >> np.uint64(57) & np.uint64(1) == 0
+        return [self._reduced(np.bitwise_xor, np.where(x, bit, np.uint64(0))).view(np.int64) for x in (low, ~low)]
 
 
 def _word_values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for p in slices(b, "text", 2 << 20):
-        w = Words(p.column(0))
-        yield word_hashes(w.words), np.bincount(w.ids, minlength=len(w.words)).astype(np.int32)
+    for p in slices(b, "text"):
+        w = Words(p.column(b.schema.get_field_index("text")))
+        yield word_hashes(w.words), np.bincount(w.ids, minlength=len(w.words))
 
 
-def prefixes(docs: DataFrame, rarity: np.ndarray, min_words: int) -> DataFrame:
-    """(k, doc_id, line_no, n, skip, prefix, s1, s2): each line's class, size, prefix words (32 bits of their hash)
-    from position `skip` on. Within a task only the first line of a class has a prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+def prefixes(docs: DataFrame, rarity, min_words: int) -> DataFrame:
+    """(k, k2, doc_id, t, line_no, head, n, skip, prefix, s1, s2): each line's class, size, prefix words (top 32 bits of
+    their hash) from position `skip` on. Within a task only the first line of a class has a prefix; head: the first
+    line of a row."""
 
     def build(p: pa.RecordBatch, seen: set) -> pa.RecordBatch:
-        x = Lines(p.column(1), min_words, shared.value)
-        once = np.bincount(x.rows[x.codes <= ONCE], minlength=len(x.n))
+        lines, doc, line_no = split(p.column(2))
+        x = Lines(lines, min_words, rarity.value)
+        doc, line_no, (k, k2) = doc[x.at], line_no[x.at], x.keys()
+        once = np.bincount(x.rows[x.codes == 0], minlength=len(x.n))
         least = (4 * x.n + 4) // 5
         upto = np.where(x.n - once < least, once, np.maximum(once, x.n - least + 1))
         if len(seen) > 500_000:
             seen.clear()
-        old = np.fromiter((k in seen or seen.add(k) is not None for k in x.key.tolist()), bool, len(x.key))
-        upto = np.where(old | (x.n < 4), once, upto)
+        old = np.fromiter((y in seen or seen.add(y) is not None for y in zip(k.tolist(), k2.tolist())), bool, len(k))
+        upto = np.where(old | (x.n < 4), once, upto)  # sets of under four words match equal sets only
         place = np.arange(len(x.hashes)) - x.start[x.rows]
         own = (place >= once[x.rows]) & (place < upto[x.rows])
-        offsets = np.concatenate([[0], np.cumsum(upto - once)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((x.hashes[own] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(x.key), p.column(0).take(pa.array(x.doc)), pa.array(x.line_no.astype(np.int32)), pa.array(x.n.astype(np.int32)), pa.array(once.astype(np.int32)), lists, *(pa.array(y.view(np.int64)) for y in x.sketch)], ["k", "doc_id", "line_no", "n", "skip", "prefix", "s1", "s2"])
-
-    return _map_texts(docs, build, "k long, doc_id long, line_no int, n int, skip int, prefix array<int>, s1 long, s2 long")
-
-
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each list element, element) of a batch's column `prefix`."""
-    lists = b.column(b.schema.get_field_index("prefix"))
-    return np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten())
-
-
-def _spread(w: np.ndarray) -> np.ndarray:
-    return mix(w.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF))
-
-
-def filed(lines: DataFrame, large: int = LARGE) -> DataFrame:
-    """(g, k, n, at, s1, s2, doc_id, line_no): lines under each prefix word that another line has in its prefix.
-
-    Groups of over `large` rows (by the hashed counts, which are never too small) are cut in chunks; each pair of
-    chunks is a group, so that none holds more than about `large` rows."""
-    shared = lines.sparkSession.sparkContext.broadcast(counted(lines.select("prefix"), lambda b: [(_spread(_flat(b)[1]), 1)]))
-    rows_of = 2.0 ** ((np.arange(256) + 1) / 8)  # at most so many, by code
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 20_000):
-                b = whole.slice(a, 20_000)
-                row, w = _flat(b)
-                code = shared.value[(_spread(w) & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                length = np.bincount(row, minlength=b.num_rows)
-                at = np.arange(len(row)) - (np.cumsum(length) - length)[row] + np.asarray(b.column(2))[row]
-                use = np.flatnonzero(code > ONCE)
-                row, w, at, code = row[use], w[use].astype(np.int64), at[use], code[use]
-                chunks = np.maximum(1, np.ceil(rows_of[code] / (large // 2))).astype(np.int64)
-                chunks[chunks <= 2] = 1
-                cut = np.flatnonzero(chunks > 1)
-                parts = [(w[chunks == 1], row[chunks == 1], at[chunks == 1])]
-                if len(cut):
-                    own = (mix(np.asarray(b.column(0)).view(np.uint64))[row[cut]] % chunks[cut].astype(np.uint64)).astype(np.int64)
-                    many = np.repeat(cut, chunks[cut])
-                    other = np.arange(len(many)) - np.repeat(np.cumsum(chunks[cut]) - chunks[cut], chunks[cut])
-                    own = np.repeat(own, chunks[cut])
-                    pair = np.minimum(own, other) * chunks[many] + np.maximum(own, other) + 1
-                    parts.append(((mix((w[many] << 32 ^ pair).view(np.uint64)) >> np.uint64(1)).astype(np.int64) | 1 << 62, row[many], at[many]))
-                g, row, at = (np.concatenate(c) for c in zip(*parts))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), *(b.column(c).take(take) for c in (4, 5, 6, 7))], ["g", "k", "n", "at", "s1", "s2", "doc_id", "line_no"])
-
-    return lines.select("k", "n", "skip", "prefix", "s1", "s2", "doc_id", "line_no").mapInArrow(file, "g long, k long, n int, at int, s1 long, s2 long, doc_id long, line_no int")
-
-
-def candidates(groups: DataFrame, most: int | None = 2) -> DataFrame:
-    """(k, g, other, more): per class and group its earliest `most` candidates (None: all); more: there are others.
-
-    groups: (g, k, n, at, s1, s2, doc_id, line_no[, ask]); only rows with ask look for candidates."""
-    names = ["g", "doc_id", "line_no", "k", "n", "at", "s1", "s2", "ask"]
-
-    def allowed(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rows a may match rows b by length, position and sketch."""
-        n, m = x["n"][a], x["n"][b]
-        need = (4 * (n + m) + 8) // 9
-        ok = np.flatnonzero((need <= np.minimum(n, m)) & (x["k"][a] != x["k"][b]))
-        a, b, n, m, need = a[ok], b[ok], n[ok], m[ok], need[ok]
-        i, j = x["at"][a], x["at"][b]
-        near = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need
-        ok, a, b, most_apart = ok[near], a[near], b[near], (n + m - 2 * need)[near]
-        apart = np.bitwise_count(x["s1"][a] ^ x["s1"][b]).astype(np.int64) + np.bitwise_count(x["s2"][a] ^ x["s2"][b])
-        return ok[apart <= most_apart]
-
-    def grid(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in a, row of b) for all pairs of rows a and earlier rows b that are allowed."""
-        n, m = x["n"][a].astype(np.int32)[:, None], x["n"][b].astype(np.int32)[None, :]
-        i, j = x["at"][a].astype(np.int32)[:, None], x["at"][b].astype(np.int32)[None, :]
-        need = (4 * (n + m) + 8) // 9
-        ok = (a[:, None] > b[None, :]) & (need <= np.minimum(n, m)) & (np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need)
-        at, to = np.nonzero(ok)
-        a, b, most_apart = a[at], b[to], n[at, 0] + m[0, to] - 2 * need[at, to]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(upto - once)]).astype(np.int32)), pa.array((x.hashes[own] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        head = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
+        take = pa.array(doc)
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(k2), p.column(0).take(take), p.column(1).take(take), pa.array(line_no.astype(np.int32)), pa.array(head), pa.array(x.n.astype(np.int32)), pa.array(once.astype(np.int32)), lists, *map(pa.array, x.sketches())], ["k", "k2", "doc_id", "t", "line_no", "head", "n", "skip", "prefix", "s1", "s2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            for p in slices(b, "text"):
+                yield build(p, seen)
+
+    return docs.mapInArrow(run, "k long, k2 long, doc_id long, t long, line_no int, head boolean, n int, skip int, prefix array<int>, s1 long, s2 long")
+
+
+def _hashed(w: np.ndarray) -> np.ndarray:
+    """64-bit hashes with these (signed) top 32 bits."""
+    return w.astype(np.int64).view(np.uint64) << np.uint64(32)
+
+
+def hot_words(classes: DataFrame, rarity, large: int) -> Cells | None:
+    """Numbers of classes under prefix words that have over `large`. Only words that are frequent enough are counted."""
+
+    def values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        h = _hashed(flat(b.column(0))[1])
+        h = h[Cells.at_most(rarity.value(h)) > large]
+        yield h, np.ones(len(h), np.int64)
+
+    found = stored(hash_counts(classes.select("prefix"), values, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), large + 1), "hot")
+    return None if found.isEmpty() else Cells(found)
+
+
+def filed(classes: DataFrame, hot: Cells | None, large: int, buckets: int) -> DataFrame:
+    """Array rows (bucket, g, c, n, at, s1, s2, side, before, n_before): classes under each of their prefix words.
+
+    before: the prefix words that come before the word g. A hot word is cut in chunks, and g is one of its pairs of
+    chunks; side is the class's own chunk where the two differ, else -1: rows of one side don't pair there."""
+    shared = classes.sparkSession.sparkContext.broadcast(hot)
+
+    def file(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, w = flat(b.column(3))
+        length = np.bincount(row, minlength=b.num_rows)
+        place = np.arange(len(row)) - (np.cumsum(length) - length)[row]
+        g, side, of = w.astype(np.int64), np.full(len(w), -1, np.int64), np.arange(len(w))
+        chunks = np.ones(len(w), np.int64) if shared.value is None else np.maximum(1, np.ceil(Cells.at_most(shared.value(_hashed(w))) / (large // 2))).astype(np.int64)
+        cut = np.flatnonzero(chunks > 2)
+        if len(cut):
+            n = chunks[cut]
+            own = np.repeat((mix(np.asarray(b.column(0)).view(np.uint64))[row[cut]] % n.astype(np.uint64)).astype(np.int64), n)
+            many = np.repeat(cut, n)
+            other = np.arange(len(many)) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.minimum(own, other) * chunks[many] + np.maximum(own, other) + 1
+            plain = np.flatnonzero(chunks <= 2)
+            of = np.concatenate([plain, many])
+            g = np.concatenate([g[plain], (mix((g[many] << 32 ^ pair).view(np.uint64)) >> np.uint64(1)).astype(np.int64) | 1 << 62])
+            side = np.concatenate([side[plain], np.where(own == other, -1, own)])
+        row, place = row[of], place[of]
+        first = (np.cumsum(length) - length)[row]
+        earlier = np.repeat(np.arange(len(row)), place)
+        words = w[np.repeat(first, place) + np.arange(len(earlier)) - np.repeat(np.cumsum(place) - place, place)]
+        column = lambda i: np.asarray(b.column(i))[row]
+        return dealt({"bucket": (mix(g.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), "g": g, "c": column(0), "n": column(1), "at": (place + column(2)).astype(np.int32), "s1": column(4), "s2": column(5), "side": side.astype(np.int32)}, {"before": (earlier, words)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 40_000:
+                yield file(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held = []
+        if sum(x.num_rows for x in held):
+            yield file(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    rows = classes.select("c", "n", "skip", "prefix", "s1", "s2")
+    return rows.mapInArrow(run, "bucket int, g array<long>, c array<long>, n array<int>, at array<int>, s1 array<long>, s2 array<long>, side array<int>, before array<int>, n_before array<int>")
+
+
+def _short_pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(earlier row, later row): all pairs within each of the groups start:end, in strides."""
+    size = end - start
+    at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    to, step = np.repeat(end, size), 1
+    while len(at):
+        live = at + step < to
+        at, to = at[live], to[live]
+        yield at, at + step
+        step += 1
+
+
+def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Words that sets of n and m words must share for a Jaccard similarity of 4/5."""
+    return (4 * (n + m) + 8) // 9
+
+
+class Group:
+    """Classes under prefix words, sorted by g, and which of them have a candidate."""
+
+    def __init__(self, x: dict[str, np.ndarray]):
+        order = np.lexsort((x["n"], x["g"]))
+        n_before = x["n_before"].astype(np.int64)
+        first = (np.cumsum(n_before) - n_before)[order]
+        self.x = {k: v[order] for k, v in x.items() if k not in ("before", "n_before")}
+        self.x |= {k: self.x[k].view(np.uint64) for k in ("s1", "s2")}  # counting bits takes absolute values of signed numbers
+        self.n_before = n_before[order]
+        rows = np.repeat(np.arange(len(order)), self.n_before)
+        at = np.repeat(first, self.n_before) + np.arange(len(rows)) - np.repeat(np.cumsum(self.n_before) - self.n_before, self.n_before)
+        self.words = x["before"][at].astype(np.int64) & 0xFFFFFFFF
+        self.first = np.cumsum(self.n_before) - self.n_before
+        self.sorted = np.sort(rows << 32 | self.words)
+        self.flag = np.zeros(len(order), bool)
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of rows (a, b), broadcast against each other, that length, position and sketch allow."""
+        x = self.x
+        n, m, i, j = x["n"][a], x["n"][b], x["at"][a], x["at"][b]
+        need = needed(n, m)
+        ok = (need <= np.minimum(n, m)) & (np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need) & ((x["side"][a] < 0) | (x["side"][a] != x["side"][b])) & (a != b)
+        a, b = np.broadcast_arrays(a, b)
+        a, b = a[ok], b[ok]
+        most = (n + m - 2 * need)[ok]
         apart = np.bitwise_count(x["s1"][a] ^ x["s1"][b]).astype(np.int64) + np.bitwise_count(x["s2"][a] ^ x["s2"][b])
-        good = (apart <= most_apart) & (x["k"][a] != x["k"][b])
-        return at[good], b[good]
-
-    def solve(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        x = dict(zip(names, (np.concatenate(c) for c in zip(*parts))))
-        cut = np.flatnonzero(np.diff(x["g"])) + 1
-        start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(x["g"])]])
-        late, early = [], []
+        return a[apart <= most], b[apart <= most]
+
+    def keep(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Flags the rows of pairs that share no word before."""
+        for s in range(0, len(a), 200_000):
+            p, q = a[s : s + 200_000], b[s : s + 200_000]
+            n = self.n_before[p]
+            pair = np.repeat(np.arange(len(p)), n)
+            word = self.words[np.repeat(self.first[p] - (np.cumsum(n) - n), n) + np.arange(len(pair))]
+            want = q[pair] << 32 | word
+            at = np.minimum(np.searchsorted(self.sorted, want), len(self.sorted) - 1) if len(self.sorted) else np.zeros(0, np.int64)
+            shared = np.zeros(len(p), bool)
+            if len(want):
+                shared[pair[self.sorted[at] == want]] = True
+            self.flag[p[~shared]] = True
+            self.flag[q[~shared]] = True
+
+    def flagged(self) -> np.ndarray:
+        g = self.x["g"]
+        edge = np.flatnonzero(np.diff(g)) + 1
+        start, end = np.concatenate([[0], edge]), np.append(edge, len(g))
         few = end - start <= 32
-        at = np.flatnonzero(np.repeat(few & (end - start > 1), end - start))
-        to = np.repeat(end[few & (end - start > 1)], (end - start)[few & (end - start > 1)])
-        for step in range(1, 32):
-            live = at + step < to
-            at, to = at[live], to[live]
-            if not len(at):
+        for a, b in _short_pairs(start[few & (end - start > 1)], end[few & (end - start > 1)]):
+            self.keep(*self.allowed(a, b))
+        for s, e in zip(start[~few].tolist(), end[~few].tolist()):  # rows lie in order of their length
+            n = self.x["n"][s:e]
+            for a in range(0, e - s, 256):
+                most = (5 * int(n[min(a + 256, e - s) - 1])) // 4
+                for b in range(a, int(np.searchsorted(n, most, "right")), 1024):
+                    rows, others = np.arange(s + a, min(s + a + 256, e)), np.arange(s + b, min(s + b + 1024, e))
+                    # rows that have a candidate already only matter to those that have none
+                    if self.flag[rows].all():
+                        others = others[~self.flag[others]]
+                    elif self.flag[others].all():
+                        rows = rows[~self.flag[rows]]
+                    if len(others):
+                        self.keep(*self.allowed(rows[:, None], others[None, :]))
+        return np.flatnonzero(self.flag)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(g, c, at, side): classes with a candidate under g that they share no prefix word with before. rows: of `filed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in by_bucket(batches):
+            group = Group(x)
+            hit = group.flagged()
+            yield pa.RecordBatch.from_arrays([pa.array(group.x[c][hit]) for c in ("g", "c", "at", "side")], ["g", "c", "at", "side"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "g long, c long, at int, side int")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, rarity, min_words: int) -> DataFrame:
+    """(c, doc_id, t, line_no, copies, words): the sets of the wanted classes (c, doc_id, t, line_no, copies), in order of
+    rarity, from the texts again; of those only lines that a table of wanted places may hold are cut into words."""
+
+    def values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        h = positions(*(np.asarray(c) for c in b.columns))
+        yield h, np.ones(len(h), np.int64)
+
+    spark = docs.sparkSession
+    rows = wanted.count()
+    places = spark.sparkContext.broadcast(Cells(stored(hash_counts(wanted.select("doc_id", "t", "line_no"), values, buckets_for(spark, rows, 1_000_000)), "places")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, t = np.asarray(b.column(0)), np.asarray(b.column(1))
+            for p, a in zip(*(lambda parts: (parts, np.cumsum([0, *(x.num_rows for x in parts)])))(list(slices(b, "text", 8 << 20)))):
+                lines, doc, line_no = split(p.column(2))
+                near = np.flatnonzero(places.value(positions(ids[a + doc], t[a + doc], line_no)))
+                x = Lines(lines.take(pa.array(near)), min_words, rarity.value)
+                at = near[x.at]
+                sets = pa.ListArray.from_arrays(pa.array(x.start.astype(np.int32)), pa.array(x.hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc[at]]), pa.array(t[a + doc[at]]), pa.array(line_no[at].astype(np.int32)), sets], ["doc_id", "t", "line_no", "words"])
+
+    sets = docs.mapInArrow(run, "doc_id long, t long, line_no int, words array<long>")
+    return sets.join(wanted, ["doc_id", "t", "line_no"])
+
+
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (a, b) some that join the same rows; label (a representative of each row so far) is brought up to date."""
+    left, right = [], []
+    while True:
+        x, y = label[a], label[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return tuple(np.concatenate([np.zeros(0, np.int64), *z]) for z in (left, right))
+        a, b, x, y = a[apart], b[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        order = np.lexsort((x, y))
+        one = order[np.concatenate([[True], np.diff(y[order]) > 0])]  # each larger label joins its least neighbour
+        left.append(a[one])
+        right.append(b[one])
+        up = np.arange(len(label))
+        up[y[one]] = x[one]
+        while True:
+            nxt = up[up]
+            if (nxt == up).all():
                 break
-            use = at[x["ask"][at + step]]
-            ok = allowed(x, use + step, use)
-            late.append(use[ok] + step)
-            early.append(use[ok])
+            up = nxt
+        label[:] = up[label]
+
+
+class Sets:
+    """Classes with their whole sets under prefix words, sorted by g and by their first lines, and their matches."""
+
+    def __init__(self, x: dict[str, np.ndarray], words: np.ndarray, n: np.ndarray):
+        order = np.lexsort((x["line_no"], x["t"], x["doc_id"], x["g"]))
+        new = np.concatenate([[True], (np.diff(x["g"][order]) != 0) | (np.diff(x["c"][order]) != 0)]) if len(order) else np.zeros(0, bool)
+        order = order[new]  # a class once in each group
+        first = (np.cumsum(n) - n)[order]
+        self.x, self.n = {k: v[order] for k, v in x.items()}, n[order]
+        self.start = np.concatenate([[0], np.cumsum(self.n)])
+        self.rows = np.repeat(np.arange(len(order)), self.n)
+        self.place = np.arange(len(self.rows)) - self.start[self.rows]
+        _, self.ids = np.unique(words[np.repeat(first, self.n) + self.place], return_inverse=True)
+        self.early = self.place < self.x["at"][self.rows]
+        key = self.rows << 32 | self.ids
+        by = np.argsort(key)
+        self.key, self.key_place = key[by], self.place[by]
+        self.near = np.zeros(len(order), np.int64)
+        self.to = np.full(len(order), len(order), np.int64)
+        self.label = np.arange(len(order))
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def found(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Takes in matches of earlier rows a and later rows b."""
+        self.near += np.bincount(a, self.x["copies"][b], len(self.near)).astype(np.int64) + np.bincount(b, self.x["copies"][a], len(self.near)).astype(np.int64)
+        np.minimum.at(self.to, b, a)
+        self.edges.append(spanning(self.label, a, b))
+
+    def verify(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Pairs one by one: b's words are looked up for each word of a."""
+        side = self.x["side"]
+        ok = (needed(self.n[a], self.n[b]) <= np.minimum(self.n[a], self.n[b])) & ((side[a] < 0) | (side[a] != side[b]))
+        a, b = a[ok], b[ok]
+        step = (np.cumsum(self.n[a]) // (1 << 21)).astype(np.int64)
+        for s in np.unique(step).tolist():
+            p, q = a[step == s], b[step == s]
+            n = self.n[p]
+            pair = np.repeat(np.arange(len(p)), n)
+            at = np.repeat(self.start[p] - (np.cumsum(n) - n), n) + np.arange(len(pair))
+            want = q[pair] << 32 | self.ids[at]
+            spot = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            hit = self.key[spot] == want
+            before = hit & self.early[at] & (self.key_place[spot] < self.x["at"][q[pair]])
+            good = (np.bincount(pair[hit], minlength=len(p)) >= needed(n, self.n[q])) & (np.bincount(pair[before], minlength=len(p)) == 0)
+            self.found(p[good], q[good])
+
+    def dense(self, s: int, e: int) -> None:
+        """All pairs of a large group: common words by products of 0/1 matrices, block by block."""
+        block = np.unique(np.concatenate([[s], s + np.flatnonzero(np.diff((self.start[s:e] - self.start[s]) // 16384)) + 1, np.arange(s, e, 256), [e]]))
+        for a, z in zip(block.tolist(), block[1:].tolist()):
+            ids, back = np.unique(self.ids[self.start[a] : self.start[z]], return_inverse=True)
+            left = np.zeros((2, z - a, len(ids)), np.float32)
+            mine = slice(self.start[a], self.start[z])
+            left[0, self.rows[mine] - a, back] = 1
+            left[1, self.rows[mine][self.early[mine]] - a, back[self.early[mine]]] = 1
+            step = max(1, min(1024, (1 << 23) // len(ids)))
+            for b in range(a, e, step):
+                y = min(b + step, e)
+                other = slice(self.start[b], self.start[y])
+                spot = np.minimum(np.searchsorted(ids, self.ids[other]), len(ids) - 1)
+                hit = ids[spot] == self.ids[other]
+                right = np.zeros((2, y - b, len(ids)), np.float32)
+                right[0, self.rows[other][hit] - b, spot[hit]] = 1
+                hit &= self.early[other]
+                right[1, self.rows[other][hit] - b, spot[hit]] = 1
+                rows, others = np.arange(a, z)[:, None], np.arange(b, y)[None, :]
+                side = self.x["side"]
+                ok = (left[0] @ right[0].T >= needed(self.n[rows], self.n[others])) & (left[1] @ right[1].T < 0.5) & (rows < others) & ((side[rows] < 0) | (side[rows] != side[others]))
+                i, j = np.nonzero(ok)
+                self.found(i + a, j + b)
+
+    def solve(self) -> pa.RecordBatch:
+        g = self.x["g"]
+        edge = np.flatnonzero(np.diff(g)) + 1
+        start, end = np.concatenate([[0], edge]), np.append(edge, len(g))
+        few = end - start <= 48
+        for a, b in _short_pairs(start[few], end[few]):
+            self.verify(a, b)
         for s, e in zip(start[~few].tolist(), end[~few].tolist()):
-            rows = np.arange(s, e)
-            if e - s <= 512:
-                sides = [(rows, rows)]
-            else:  # lines match lines of their own and the next length classes only
-                c = np.floor(np.log(x["n"][s:e]) / np.log(1.25) + 1e-9).astype(np.int64)
-                sides = [(rows[c == k], rows[np.abs(c - k) <= 1]) for k in np.unique(c).tolist()]
-            for lates, earlies in sides:
-                lates = lates[x["ask"][lates]]
-                for a in range(0, len(lates), 256):
-                    live = lates[a : a + 256]
-                    got = np.zeros(len(live), np.int64)
-                    for b in range(0, int(np.searchsorted(earlies, live[-1])) if len(live) else 0, 512):
-                        at, to = grid(x, live, earlies[b : b + 512])
-                        late.append(live[at])
-                        early.append(to)
-                        got += np.bincount(at, minlength=len(live))
-                        if most is not None:  # a line with more than it asks for is done
-                            live, got = live[got <= most], got[got <= most]
-                        if not len(live):
-                            break
-        none = np.zeros(0, np.int64)
-        late, early = np.concatenate([none, *late]), np.concatenate([none, *early])
-        order = np.lexsort((early, late))  # rows of a group lie in the order of lines
-        late, early = late[order], early[order]
-        rank = np.arange(len(late)) - np.searchsorted(late, late)
-        total = np.searchsorted(late, late, "right") - np.searchsorted(late, late)
-        use = rank < most if most is not None else np.ones(len(late), bool)
-        late, early, more = late[use], early[use], (total > (most or 1 << 60))[use]
-        return pa.RecordBatch.from_arrays([pa.array(x["k"][late]), pa.array(x["g"][late]), pa.array(x["k"][early]), pa.array(more)], ["k", "g", "other", "more"])
+            self.dense(s, e)
+        hit = np.flatnonzero(self.near)
+        to = self.to[hit]
+        none = pa.array(to >= len(g))
+        of = lambda c: pc.if_else(none, None, pa.array(self.x[c][np.minimum(to, len(g) - 1)]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*self.edges) if self.edges else ((), ())))
+        rows = pa.RecordBatch.from_arrays([pa.array(self.x["c"][hit]), pa.array(self.near[hit]), of("doc_id"), of("t"), of("line_no"), pa.nulls(len(hit), pa.int64())], MATCH)
+        links = pa.RecordBatch.from_arrays([pa.array(self.x["c"][a]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(self.x["c"][b])], MATCH)
+        return pa.Table.from_batches([rows, links]).combine_chunks().to_batches()
+
+
+MATCH = ["c", "near", "doc_id", "t", "line_no", "other"]
+
+
+def matches(rows: DataFrame) -> DataFrame:
+    """(c, near, doc_id, t, line_no, other): for each class and group the number of lines that match it there and the
+    first line of its earliest match, if one is earlier; and rows with `other`: links that span what matches."""
+    names = ["g", "c", "at", "side", "doc_id", "t", "line_no", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            own = [np.asarray(b.column(c).cast(pa.int8())).astype(bool) if c == 8 else np.asarray(b.column(c)).astype(np.int64) for c in range(9)]
-            own[6:8] = [c.view(np.uint64) for c in own[6:8]]
-            last = int(np.searchsorted(own[0], own[0][-1]))
-            if last or held and held[-1][0][-1] != own[0][0]:
-                yield solve([*held, [c[:last] for c in own]])
-                held, own = [], [c[last:] for c in own]
-            held.append(own)
+            g = np.asarray(b.column(0))
+            last = int(np.searchsorted(g, g[-1]))
+            if last or held and held[-1].column(0)[0].as_py() != g[0]:
+                yield from solved([*held, b.slice(0, last)])
+                held, b = [], b.slice(last)
+            held.append(b)
         if held:
-            yield solve(held)
+            yield from solved(held)
 
-    if "ask" not in groups.columns:
-        groups = groups.withColumn("ask", F.lit(True))
-    dealt = groups.select(*names).repartition("g").sortWithinPartitions("g", "doc_id", "line_no")
-    return dealt.mapInArrow(run, "k long, g long, other long, more boolean")
+    def solved(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        words = whole["words"].combine_chunks()
+        return Sets({c: np.asarray(whole[c]).astype(np.int32 if c in ("at", "side", "line_no") else np.int64) for c in names}, np.asarray(words.flatten()), np.asarray(pc.list_value_length(words)).astype(np.int64)).solve()
 
+    return rows.select(*names, "words").repartition("g").sortWithinPartitions("g").mapInArrow(run, "c long, near long, doc_id long, t long, line_no int, other long")
 
-def verified(pairs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """The (k, other) of pairs whose whole sets have a Jaccard similarity of 4/5 or more. Sets come from the texts
-    again: a task sends those that the hashed table of wanted classes may hold, each once."""
-    distinct = stored(pairs.select("k", "other").distinct(), "pairs")
-    wanted = distinct.select("k").unionByName(distinct.select(F.col("other").alias("k"))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(counted(wanted, lambda b: [(np.asarray(b.column(0)).view(np.uint64), 1)]))
 
-    def build(p: pa.RecordBatch, seen: set) -> pa.RecordBatch:
-        x = Lines(p.column(1), min_words)
-        near = np.flatnonzero(shared.value[x.key & (COUNTERS - 1)] > 0)
-        near = [i for i in near.tolist() if not (int(x.key[i]) in seen or seen.add(int(x.key[i])))]
-        if len(seen) > 500_000:
-            seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x.key[near]), pa.array([x.hashes[x.start[i] : x.start[i + 1]].view(np.int64) for i in near], pa.list_(pa.int64()))], ["k", "words"])
+class Joined(NamedTuple):
+    """members: (doc_id, t, line_no, c, o, copies, near, to): the lines of classes with a copy or a match; o: the class's
+    first line; to: the first line of its earliest match. links: (c, other) span the matching classes."""
 
-    sets = _map_texts(docs, build, "k long, words array<long>").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("words").alias("words"))
-    sets = stored(sets, "sets")
-    both = distinct.join(sets, "k").join(sets.select(F.col("k").alias("other"), F.col("words").alias("others")), "other")
-    common = F.size(F.array_intersect("words", "others"))
-    return stored(both.where(9 * common >= 4 * (F.size("words") + F.size("others"))).select("k", "other"), "matches")
+    members: DataFrame
+    links: DataFrame
 
 
-def _joined(docs: DataFrame, doc_id: str, text: str, min_words: int, large: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, (k, other) of matching classes, `other` the earlier one). every: all matching pairs; else those
-    that the earliest match of each class needs."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null")
-    lines = stored(prefixes(docs, counted(docs.select("text"), _word_values), min_words), "lines")
+def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE) -> Joined:
+    spark = docs.sparkSession
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
+    words = stored(hash_counts(docs.select("text"), _word_values, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()), 2), "words")
+    rarity = spark.sparkContext.broadcast(Cells(words))
+    lines = stored(prefixes(docs, rarity, min_words), "lines")
+    again = stored(lines.where("head").groupBy("doc_id", "t").count().where("count > 1"), "again")
+    repeats = not again.isEmpty()
+    if repeats:  # rows that repeat an id and its text
+        names, place = [c for c in lines.columns if c not in ("doc_id", "t", "line_no")], ["doc_id", "t"]
+        once = lines.join(again.select(*place), place, "left_semi").groupBy(*place, "line_no").agg(F.max_by(F.struct(*names), F.size("prefix")).alias("x")).select(*place, "line_no", "x.*")
+        lines = stored(lines.join(again.select(*place), place, "left_anti").unionByName(once), "lines")
     own = F.when(F.size("prefix") > 0, F.struct("n", "skip", "prefix", "s1", "s2"))
-    classes = stored(lines.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("copies"), F.first(own, ignorenulls=True).alias("p")), "classes")
-    rows = classes.where("p is not null").select("k", "p.*", "o.*")
-    if every:
-        return lines, classes, verified(candidates(filed(rows, large), most=None), docs, min_words)
-    found = stored(candidates(filed(rows, large)), "candidates")
-    good = verified(found, docs, min_words)
-    tried = found.join(good.withColumn("ok", F.lit(True)), ["k", "other"], "left").groupBy("k", "g").agg(F.bool_or("more").alias("more"), F.max("ok").alias("ok"))
-    open_ = stored(tried.where("more and ok is null").select("k", "g"), "open")
-    if not open_.isEmpty():  # both of the earliest candidates failed: all others of that group
-        groups = filed(rows, large).join(open_.select("g").distinct(), "g", "left_semi")
-        asked = groups.join(open_.withColumn("ask", F.lit(True)), ["k", "g"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        rest = candidates(asked, most=None)
-        good = good.unionByName(verified(rest, docs, min_words)).distinct()
-    return lines, classes, good
-
-
-def _removed(lines: DataFrame, classes: DataFrame, good: DataFrame) -> DataFrame:
-    firsts = classes.select("k", "o", "copies")
-    earliest = good.join(firsts.select(F.col("k").alias("other"), F.col("o").alias("to")), "other").groupBy("k").agg(F.min("to").alias("to"))
-    marked = firsts.join(earliest, "k", "left").where("copies > 1 or to is not null").select("k", "o", "to")
-    line = F.struct("doc_id", "line_no")
-    out = lines.select("k", "doc_id", "line_no").join(marked, "k").where((line != F.col("o")) | F.col("to").isNotNull())
-    return out.select("doc_id", "line_no", F.least("to", F.when(line != F.col("o"), F.col("o"))).alias("to")).select("doc_id", "line_no", F.col("to.doc_id").alias("to_doc_id"), F.col("to.line_no").alias("to_line_no"))
-
-
-def _linked(lines: DataFrame, classes: DataFrame, good: DataFrame) -> DataFrame:
-    both = good.unionByName(good.select(F.col("other").alias("k"), F.col("k").alias("other")))
-    linked = classes.where("copies > 1").select("k").unionByName(both.select("k")).distinct()
-    members = stored(lines.select("k", "doc_id", "line_no").join(linked, "k", "left_semi").distinct(), "members")
-    sizes = stored(members.groupBy("k").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")), "sizes")
-    of_other = sizes.select(F.col("k").alias("other"), "size", F.col("first").alias("b"))
-    near = both.join(of_other, "other").groupBy("k").agg(F.sum("size").alias("near"))
-    degrees = sizes.join(near, "k", "left").select("k", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n"), "first")
-    by_doc = stored(members.join(degrees, "k").groupBy("doc_id").agg(F.sum("n").alias("n_matches"), F.collect_set("first").alias("firsts")), "degrees")
-    edges = by_doc.select(F.col("doc_id").alias("a"), F.explode("firsts").alias("b")).unionByName(good.join(of_other, "other").join(sizes.select("k", F.col("first").alias("a")), "k").select("a", "b"))
+    classes = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("o"), F.count("*").alias("copies"), F.first(own, ignorenulls=True).alias("p"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "k", "k2", "o", "copies", "p"), "classes")
+    asked = classes.where("p is not null").select("c", "p.*")
+    total = asked.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    rows = filed(asked, hot_words(asked, rarity, large), large, buckets_for(spark, total, 250_000))
+    near = stored(candidates(rows), "candidates")
+    wanted = stored(classes.join(near.select("c").distinct(), "c", "left_semi").select("c", "o.*", "copies"), "wanted")
+    found = stored(matches(near.join(whole_sets(docs, wanted, rarity, min_words), "c")), "matches")
+    best = found.where("near is not null").groupBy("c").agg(F.sum("near").alias("near"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t", "line_no"))).alias("to"))
+    marked = classes.select("c", "k", "k2", "o", "copies").join(best, "c", "left").where("copies > 1 or near is not null")
+    return Joined(stored(lines.select("k", "k2", "doc_id", "t", "line_no").join(marked, ["k", "k2"]).drop("k", "k2"), "members"), found.where("other is not null").select("c", "other"))
+
+
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(doc_id, t, line_no, to_doc_id, to_line_no): lines to remove, each with the earliest line that matches it; t: the
+    xxhash64 of their text."""
+    return removed(joined(docs, doc_id, text, **how))
+
+
+def removed(x: Joined) -> DataFrame:
+    line = F.struct("doc_id", "t", "line_no")
+    gone = x.members.where((line != F.col("o")) | F.col("to").isNotNull())
+    to = F.least("to", F.when(line != F.col("o"), F.col("o")))
+    return gone.select("doc_id", "t", "line_no", to.alias("to")).select("doc_id", "t", "line_no", F.col("to.doc_id").alias("to_doc_id"), F.col("to.line_no").alias("to_line_no"))
+
+
+def links(x: Joined) -> DataFrame:
+    """(doc_id, n_links, class_id) of documents with a match: the number of pairs of a line of the document and another
+    line, earlier or later, that match, all of them counted, and the least document reached over matching lines."""
+    matching = x.members.where("copies > 1 or near > 0")
+    by_doc = matching.groupBy("doc_id").agg(F.sum(F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    first = x.members.select("c", F.col("o.doc_id").alias("first")).distinct()
+    across = x.links.join(first.withColumnRenamed("first", "a"), "c").join(first.select(F.col("c").alias("other"), F.col("first").alias("b")), "other").select("a", "b")
+    edges = matching.select(F.col("doc_id").alias("a"), F.col("o.doc_id").alias("b")).where("a <> b").unionByName(across)
     roots = components(edges)
-    return by_doc.select("doc_id", "n_matches").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_matches", F.coalesce("root", "doc_id").alias("component_id")).where("n_matches > 0")
-
-
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE) -> DataFrame:
-    """(doc_id, line_no, to_doc_id, to_line_no): lines to remove, each with the earliest line that matches it."""
-    return _removed(*_joined(docs, doc_id, text, min_words, large))
-
-
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE) -> DataFrame:
-    """(doc_id, n_matches, component_id) of documents with a match: the number of pairs of a line of the document and
-    another line, earlier or later, that match, all of them counted, and the least document reached over matching lines."""
-    return _linked(*_joined(docs, doc_id, text, min_words, large, every=True))
+    return by_doc.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_links", F.coalesce("root", "doc_id").alias("class_id"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with the removed lines taken out of their text, and a column `removed`: array of (line_no, to_doc_id, to_line_no)."""
-    gone = removals(docs, doc_id, text, **how).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "to_doc_id", "to_line_no"))).alias("removed"))
-    gone = gone.select(F.col("doc_id").alias("_gone"), "removed")
-    both = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left").drop("_gone")
-    numbers = F.col("removed.line_no")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(numbers, i)), "\n")
-    return both.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept))
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, **how) -> DataFrame:
+    """docs without the removed lines, the columns as they were; n_chars names a column that follows the text's length."""
+    gone_id, gone_t, gone = fresh(docs.columns, "gone_id", "gone_t", "gone")
+    by_text = removals(docs, doc_id, text, **how).groupBy(F.col("doc_id").alias(gone_id), F.col("t").alias(gone_t)).agg(F.collect_list("line_no").alias(gone))
+    both = docs.join(by_text, (F.col(doc_id).cast("long") == F.col(gone_id)) & (F.xxhash64(text_of(text)) == F.col(gone_t)), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    changed = F.col(gone).isNotNull()
+    new = {text: F.when(changed, kept).otherwise(F.col(text))}
+    if n_chars is not None:
+        new[n_chars] = F.when(changed, F.length(kept).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+    return both.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: its removed lines, the lines that they match (the earliest of each) and the documents of
-    those; `n_matches` counts all matching pairs of its lines, `component_id` is its class over all of them."""
+    """One row a document: its class (the least document that matching lines reach), the number of all matching pairs of
+    its lines, and its removed lines with the earliest line that each matches."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines, classes, good = _joined(docs, "doc_id", "text", MIN_WORDS, LARGE, every=True)
-    gone = _removed(lines, classes, good).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "to_doc_id", "to_line_no"))).alias("removed"))
-    both = docs.select("doc_id").join(gone, "doc_id", "left").join(_linked(lines, classes, good), "doc_id", "left")
-    first = F.array_min(F.array_append(F.coalesce("removed.to_doc_id", F.array().cast("array<bigint>")), F.col("doc_id")))
-    return both.select(
-        "doc_id", first.alias("class_id"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_links"), F.array_distinct("removed.to_doc_id").alias("linked_doc_ids"), "removed",
-        F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
+    found = joined(docs)
+    gone = removed(found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "to_doc_id", "to_line_no"))).alias("removed"))
+    both = docs.select("doc_id").join(gone, "doc_id", "left").join(links(found), "doc_id", "left")
+    n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))
+    return both.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), n_removed.alias("n_removed"), "removed")

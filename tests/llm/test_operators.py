@@ -206,7 +206,7 @@ def test_tree_matching():
 
 
 # ---- 4 lines ----
-def line_removals(rows, least=5):
+def line_removals(rows, least=1):
     sets, out = [], {}
     for i, t in sorted((i, t) for i, t in rows if t):
         for n, line in enumerate(t.split("\n")):
@@ -227,8 +227,10 @@ def test_line_dedup(docs, empty, large):
     got = {(r.doc_id, r.line_no): (r.to_doc_id, r.to_line_no) for r in linedup.removals(docs, large=large).collect()}
     assert got == want
     if large > 8:
-        kept = linedup.deduplicated(docs.drop("removed"))
+        kept = linedup.deduplicated(docs, n_chars="n_chars")
+        assert kept.columns == docs.columns
         for r in kept.collect():
+            assert r.n_chars == len(r.text or "") and r.removed == "y"
             t = texts()[r.doc_id]
             assert r.text == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (r.doc_id, n) not in want))
         assert linedup.removals(empty).count() == 0
@@ -270,6 +272,10 @@ def line_links(rows, least=1):
     return {i: (n[i], least_of[i]) for i in n}
 
 
+def links_of(d, **how):
+    return {r.doc_id: (r.n_links, r.class_id) for r in linedup.links(linedup.joined(d, **how)).collect()}
+
+
 def test_all_line_links(spark, docs):
     """A line that matches many lines has them all counted; a chain is one class."""
     chain = [" ".join(f"w{k}" for k in range(a, a + 19)) for a in (0, 2, 4, 6)]  # only neighbours match
@@ -278,19 +284,47 @@ def test_all_line_links(spark, docs):
     want = line_links(rows)
     assert want[3] == (1, 0) and want[12] == (11, 4)
     d = spark.createDataFrame([*rows, rows[5], (None, rows[5][1])], "doc_id bigint, text string")
-    assert {r.doc_id: (r.n_matches, r.component_id) for r in linedup.links(d).collect()} == want
-    assert {r.doc_id: (r.n_matches, r.component_id) for r in linedup.links(docs, large=8).collect()} == line_links(list(enumerate(texts())))
+    assert links_of(d) == want
+    assert links_of(docs, large=8) == line_links(list(enumerate(texts())))
+
+
+@pytest.mark.parametrize("large", [8192, 50])
+def test_links_of_a_crowd(spark, large):
+    """Large groups (matrix products), in chunks or not, with lines of several lengths and clusters that overlap."""
+    r = random.Random(4)
+    bases = [[f"c{k}" for k in range(a, a + n)] for a, n in ((0, 24), (3, 24), (0, 30), (40, 12))]
+    rows = []
+    for i in range(260):
+        t = list(bases[i % 4])
+        for _ in range(r.randint(0, 3)):
+            t[r.randrange(len(t))] = f"z{r.randrange(30)}"
+        r.shuffle(t)
+        rows.append((i // 2 * 3, " ".join(t)))
+    texts_of = {}
+    for i, t in rows:
+        texts_of[i] = texts_of[i] + "\n" + t if i in texts_of else t
+    d = spark.createDataFrame(list(texts_of.items()), "doc_id bigint, text string")
+    assert links_of(d, large=large) == line_links(list(texts_of.items()))
+    assert {(x.doc_id, x.line_no): (x.to_doc_id, x.to_line_no) for x in linedup.removals(d, large=large).collect()} == line_removals(texts_of.items())
+
+
+def test_texts_that_share_an_id(spark):
+    """Each keeps its own lines; a repeated row isn't its own copy."""
+    rows = [(1, "alpha beta gamma\nshared line here"), (1, "shared line here\nother words entirely"), (2, "alpha beta gamma"), (2, "alpha beta gamma")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.text) for r in linedup.deduplicated(d).collect())
+    assert got[2:] == [(2, ""), (2, "")] and sorted(t.count("shared") for _, t in got[:2]) == [0, 1] and sum("alpha" in t for _, t in got) == 1 and sum("other words entirely" in t for _, t in got) == 1
 
 
 def test_short_lines(spark):
     """Lines of one to four words take part; four words match five that hold them."""
     rows = [(0, "all rights reserved.\n\nyes\nred green blue sky"), (1, "All rights reserved.\nyes yes\n \nred green blue"), (2, "sky red green blue sea\nreserved. rights all\nno"), (3, "red green blue sky\n\nno"), (4, None), (5, "")]
-    want = line_removals(rows, least=1)
+    want = line_removals(rows)
     assert {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 2)} == set(want)
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {(r.doc_id, r.line_no): (r.to_doc_id, r.to_line_no) for r in linedup.removals(d).collect()} == want
     assert {r.doc_id: r.text for r in linedup.deduplicated(d).collect()}[3] == ""
-    assert {r.doc_id: (r.n_matches, r.component_id) for r in linedup.links(d).collect()} == line_links(rows)
+    assert links_of(d) == line_links(rows)
 
 
 # ---- 5 language model ----
