@@ -18,11 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that an earlier line matches; n_chars follows the text."""
-    kept = linedup.deduplicated(docs)
-    changed = F.col("removed").isNotNull()
-    kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    """Every document, without the lines that an earlier line matches; n_chars, where there is one, follows the text."""
+    return linedup.deduplicated(docs, n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
