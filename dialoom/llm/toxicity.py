@@ -1,25 +1,26 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words (lower-cased, ASCII punctuation stripped from their ends) and their openings of 3 to 6
-characters, which carry over to inflections that no example has. Of a bounded sample of labelled rows
-(`sample` rows, smallest hash first; all rows where there are fewer) the terms that are `lift` times as
-frequent under label 1, at a log-likelihood ratio of `least` or more, are kept, `max_terms` at most. Their
-document frequencies are counted over all documents. Each example is a unit vector of
-(1 + ln tf) * (0.1 + ln((1 + N) / (1 + df))); the `k` nearest examples of a text are found exactly in an inverted
-index cut in blocks of examples with the largest weight of each term in each block: blocks are visited by falling
-upper bound until none can change the answer. Neighbours vote with weight 1 / (1 - cosine + 0.1); one further vote for the base
-rate keeps thin evidence near it. Leave-one-out votes of the sample, made monotone (pool adjacent violators with
-one added count a class, straight lines between pools), turn votes into probabilities.
-
-Defined results: a null or empty text, like any text without a kept term, has no neighbour and gets the rate of
-such examples; ties between neighbours go to the smaller example number; repeated rows score alike; null labels
-are left out and a document labelled twice counts as toxic if either says so; without labelled rows every score
-is 0; an empty table gives no rows; only the named columns are read.
+Terms are words (lower-cased, ASCII punctuation stripped from their ends) and their openings of 6 characters, which
+carry over to inflections that no example has. All terms of a bounded sample of labelled rows (`sample` rows, smallest
+hash first; all rows where there are fewer) count, and every sampled row with a word is an example of either label. A
+term's weight is (1 + ln tf) * idf * rf: idf = 0.1 + ln((1 + N) / (1 + df)) over all documents, and the relevance
+frequency rf = log2(2 + a / max(1, b)) of a toxic and b other examples with the term (`relevance=False`: 1, plain TF-IDF).
+Vectors are scaled to length 1 over all terms of the sample.
+
+Search is exact in an inverted index cut in blocks of examples: postings of rare terms are added up, the commonest terms
+are columns of a matrix with each block's largest weight; a block is visited for those texts of a batch whose upper bound
+reaches their k-th best so far. Neighbours vote with weight 1 / (1 - cosine + 0.1); one further vote for the base rate
+keeps thin evidence near it. Leave-one-out votes of the sample, made monotone (pool adjacent violators with one added
+count a class, straight lines between pools), turn votes into probabilities.
+
+Defined results: a null or empty text, like any text without a term of the sample, has no neighbour and gets the rate of
+such examples; ties between neighbours go to the smaller id; repeated rows score alike; null labels are left out, a
+document labelled twice counts as toxic if either says so, and of texts that share an id the least is the example;
+without labelled rows of both classes every score is 0; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,27 +29,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, fold, slices, table, text_of
+from dialoom.llm.common import Words, fold, hash_counts, slices, stored, table, text_of
 
-SAMPLE, MAX_TERMS, LEAST, LIFT, K, THRESHOLD, BLOCK = 12_000, 1024, 24.0, 8.0, 16, 0.7, 64
-OPENINGS = (3, 4, 5, 6)
+SAMPLE, K, THRESHOLD, BLOCK, DENSE = 12_000, 16, 0.7, 128, 384
+OPENINGS = (6,)
 STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _bare(words: pa.Array) -> pa.Array:
-    return pc.utf8_trim(pc.utf8_lower(words), STRIP)
+def _term_lists(words: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(0, the bare words), then (size, openings of that size); '' where a word has no such term."""
+    bare = pc.utf8_trim(pc.utf8_lower(words), STRIP)
+    yield 0, bare
+    for size in OPENINGS:
+        yield size, pc.if_else(pc.greater(pc.utf8_length(bare), size), pc.utf8_slice_codeunits(bare, 0, size), "")
 
 
 def term_counts(texts: pa.Array, vocabulary: dict[int, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, term number, count), sorted; vocabulary: words under 0, openings under their length. Term
     numbers run through the vocabulary's arrays in turn."""
     w = Words(texts)
-    bare, found, base = _bare(w.words), [], 0
-    rows = w.rows()
-    for size, terms in vocabulary.items():
-        of = bare if not size else pc.if_else(pc.greater(pc.utf8_length(bare), size), pc.utf8_slice_codeunits(bare, 0, size), "")
-        code = np.asarray(pc.fill_null(pc.index_in(of, value_set=terms), -1), np.int64) if len(terms) else np.full(len(bare), -1)
-        code = code[w.ids]
+    found, base, rows = [], 0, w.rows()
+    for size, of in _term_lists(w.words):
+        terms = vocabulary[size]
+        code = np.asarray(pc.fill_null(pc.index_in(of, value_set=terms), -1), np.int64)[w.ids]
         hit = np.flatnonzero(code >= 0)
         found.append(rows[hit] << 32 | (code[hit] + base))
         base += len(terms)
@@ -56,37 +59,82 @@ def term_counts(texts: pa.Array, vocabulary: dict[int, pa.Array]) -> tuple[np.nd
     return keys >> 32, keys & 0xFFFFFFFF, n
 
 
+def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] times, then first[1] ..."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Index:
-    """Unit vectors of labelled examples in blocks, with block maxima for every term."""
-
-    def __init__(self, vectors: list[dict[int, float]], toxic: np.ndarray, n_terms: int, block: int = BLOCK):
-        self.n, self.toxic, self.block = len(vectors), toxic, block
-        blocks = -(-max(1, self.n) // block)
-        self.tops = np.zeros((n_terms, blocks), np.float64)
-        self.lists: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(blocks):
-            lists: dict[int, list[tuple[int, float]]] = {}
-            for e in range(b * block, min(self.n, (b + 1) * block)):
-                for t, x in vectors[e].items():
-                    lists.setdefault(t, []).append((e - b * block, x))
-            self.lists.append({t: (np.asarray([p[0] for p in v]), np.asarray([p[1] for p in v])) for t, v in lists.items()})
-            for t, (_, x) in self.lists[b].items():
-                self.tops[t, b] = x.max()
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine, (cosine, example), best first; exact."""
-        bounds, best = weights @ self.tops[terms], []
-        for b in np.lexsort((np.arange(len(bounds)), -bounds)).tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, x in zip(terms.tolist(), weights.tolist()):
-                if t in self.lists[b]:
-                    at, value = self.lists[b][t]
-                    score[at] += x * value
-            found = [(float(score[i]), b * self.block + i) for i in np.flatnonzero(score > 0).tolist() if b * self.block + i != without]
-            best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+    """Unit vectors of examples, in blocks: postings of rare terms, a matrix of the commonest, and block maxima."""
+
+    def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK, dense: int = DENSE):
+        df = np.bincount(terms, minlength=n_terms)
+        common = np.argsort(-df, kind="stable")[: min(dense, n_terms)]
+        self.slot = np.full(n_terms, -1, np.int64)
+        self.slot[common] = np.arange(len(common))
+        # examples that share their commonest term lie together, so that a block's maxima say more
+        lead = np.full(n, len(common), np.int64)
+        own = self.slot[terms]
+        np.minimum.at(lead, rows[own >= 0], own[own >= 0])
+        self.example = np.argsort(lead, kind="stable")
+        place = np.empty(n, np.int64)
+        place[self.example] = np.arange(n)
+        self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
+        self.matrix = np.zeros((self.blocks * block, len(common)))
+        self.matrix[place[rows[own >= 0]], own[own >= 0]] = weights[own >= 0]
+        self.tops = self.matrix.reshape(self.blocks, block, -1).max(axis=1)
+        few = np.flatnonzero(own < 0)
+        few = few[np.argsort(terms[few], kind="stable")]
+        self.at, self.value = place[rows[few]].astype(np.int32), weights[few]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(terms[few], minlength=n_terms))])
+
+    def nearest(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples), n x k, best first, of the examples with the largest positive cosine; cosine 0: none."""
+        size, own = self.blocks * self.block, self.slot[terms]
+        few = np.flatnonzero(own < 0)
+        first = self.start[terms[few]]
+        times = self.start[terms[few] + 1] - first
+        at = spans(first, times)
+        score = np.bincount(np.repeat(rows[few], times) * size + self.at[at], np.repeat(weights[few], times) * self.value[at], n * size).astype(np.float64, copy=False).reshape(n, self.blocks, self.block)
+        query = np.zeros((n, self.matrix.shape[1]))
+        query[rows[own >= 0], own[own >= 0]] = weights[own >= 0]
+        bound = score.max(axis=2) + query @ self.tops.T
+        done = np.zeros((n, self.blocks), bool)
+        if without is not None:
+            place = np.empty(self.n, np.int64)
+            place[self.example] = np.arange(self.n)
+            place = place[without]
+
+        def visit(want: np.ndarray) -> None:
+            for b in np.flatnonzero(want.any(axis=0)).tolist():
+                r = np.flatnonzero(want[:, b])
+                score[r, b] += query[r] @ self.matrix[b * self.block : (b + 1) * self.block].T
+                if without is not None:
+                    mine = np.flatnonzero(place[r] // self.block == b)
+                    score[r[mine], b, place[r[mine]] % self.block] = 0
+            done[want] = True
+
+        def kth(x: np.ndarray) -> np.ndarray:
+            return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k] if x.shape[1] >= k else np.zeros(n)
+
+        best = np.argsort(-bound, axis=1)[:, :2]
+        want = np.zeros((n, self.blocks), bool)
+        want[np.arange(n)[:, None], best] = True
+        visit(want)
+        least = kth(np.take_along_axis(score, best[:, :, None], axis=1).reshape(n, -1))
+        visit((bound >= least[:, None] - 1e-9) & (bound > 0) & ~done)
+        score = np.where(done[:, :, None], score, 0).reshape(n, size)
+        k = min(k, size)
+        least = np.partition(score, size - k, axis=1)[:, size - k]
+        r, p = np.nonzero((score > 0) & (score >= least[:, None] - 1e-9))
+        x, e = np.round(score[r, p], 9), self.example[np.minimum(p, self.n - 1)]
+        order = np.lexsort((e, -x, r))
+        r, x, e = r[order], x[order], e[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        cosines, examples = np.zeros((n, k)), np.zeros((n, k), np.int64)
+        use = rank < k
+        cosines[r[use], rank[use]], examples[r[use], rank[use]] = x[use], e[use]
+        return cosines, examples
 
 
 def monotone(raw: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,113 +159,104 @@ def monotone(raw: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Model:
-    """Everything that scoring needs; bounded by the sample and max_terms."""
-
-    def __init__(self, vocabulary: dict[int, pa.Array], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], k: int):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        vectors, self.ids, toxic = [], [], []
-        for doc_id, label, terms, counts in examples:
-            t, x = self.unit(np.asarray(terms, np.int64), np.asarray(counts, np.int64))
-            vectors.append(dict(zip(t.tolist(), x.tolist())))
-            self.ids.append(doc_id)
-            toxic.append(label)
-        self.toxic = np.asarray(toxic, np.int64)
-        self.base = float(self.toxic.mean()) if len(toxic) else 0.0
-        own = [i for i, v in enumerate(vectors) if v]
-        self.own = np.asarray(own, np.int64)
-        self.index = Index([vectors[i] for i in own], self.toxic[self.own], len(idf))
-        raw = np.zeros(len(vectors))
-        for at, i in enumerate(own):
-            v = vectors[i]
-            raw[i] = self.vote(self.index.nearest(np.asarray(list(v)), np.asarray(list(v.values())), k, without=at))
-        self.edges, self.rates = monotone(raw, self.toxic) if len(toxic) else (np.zeros(1), np.zeros(1))
-
-    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = (1 + np.log(np.maximum(counts, 1))) * self.idf[terms]
-        return terms, x / np.sqrt((x * x).sum()) if len(x) else x
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        if not near:
-            return 0.0
-        w = np.asarray([1 / (1.1 - min(1.0, c)) for c, _ in near])
-        y = self.toxic[self.own[[e for _, e in near]]]
-        return float((w @ y + self.base) / (w.sum() + 1))
-
-    def calibrated(self, raw: float) -> float:
-        return float(np.interp(raw, self.edges, self.rates))
+    """Everything that scoring needs; bounded by the sample."""
 
-    def score(self, texts: pa.Array, evidence: int = 3) -> tuple[np.ndarray, list[list[dict]]]:
-        out, why = np.full(len(texts), self.calibrated(0.0)), [[] for _ in range(len(texts))]
-        if not len(self.idf) or not self.index.n:
-            return out, why
-        rows, terms, counts = term_counts(texts, self.vocabulary)
-        cut = np.flatnonzero(np.diff(rows)) + 1
-        for r, t, c in zip(np.split(rows, cut), np.split(terms, cut), np.split(counts, cut)):
-            if len(r):
-                near = self.index.nearest(*self.unit(t, c), self.k)
-                out[r[0]] = self.calibrated(self.vote(near))
-                why[r[0]] = [{"doc_id": self.ids[self.own[e]], "cosine": x, "toxic": int(self.toxic[self.own[e]])} for x, e in near[:evidence]]
-        return out, why
+    def __init__(self, vocabulary: dict[int, pa.Array], weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, index: Index | None, k: int):
+        self.vocabulary, self.weight, self.ids, self.toxic, self.index, self.k = vocabulary, weight, ids, toxic, index, k
+        self.base = float(toxic.mean()) if len(toxic) else 0.0
+        self.edges, self.rates = np.zeros(1), np.zeros(1)
+
+    def unit(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        x = (1 + np.log(np.maximum(counts, 1))) * self.weight[terms]
+        return x / np.sqrt(np.bincount(rows, x * x, n))[rows]
 
+    def votes(self, texts: pa.Array, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(votes, cosines, examples) of some texts."""
+        n = len(texts)
+        rows, terms, counts = term_counts(texts, self.vocabulary)
+        cosines, examples = self.index.nearest(rows, terms, self.unit(rows, terms, counts, n), n, self.k, without)
+        w = np.where(cosines > 0, 1 / (1.1 - np.minimum(1.0, cosines)), 0.0)
+        raw = ((w * self.toxic[examples]).sum(axis=1) + self.base) / (w.sum(axis=1) + 1)
+        return np.where(cosines[:, 0] > 0, raw, 0.0), cosines, examples
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int = MAX_TERMS, least: float = LEAST, lift: float = LIFT, k: int = K) -> Model:
+    def score(self, texts: pa.Array, evidence: int = 3) -> tuple[np.ndarray, list[list[dict]]]:
+        if self.index is None:
+            return np.zeros(len(texts)), [[] for _ in range(len(texts))]
+        scores, why = [], []
+        for a in range(0, len(texts), 128):
+            raw, cosines, examples = self.votes(texts.slice(a, 128))
+            scores.append(np.interp(raw, self.edges, self.rates))
+            for x, e in zip(cosines[:, :evidence].tolist(), examples[:, :evidence].tolist()):
+                why.append([{"doc_id": int(self.ids[i]), "cosine": c, "toxic": int(self.toxic[i])} for c, i in zip(x, e) if c > 0])
+        return np.concatenate([np.zeros(0), *scores]), why
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, relevance: bool = True) -> Model:
     """docs: (doc_id, text); labels: (doc_id, toxic), only rows to learn from."""
     spark = docs.sparkSession
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = picked.withColumn("h", F.xxhash64("doc_id")).sort("h", "doc_id").limit(sample).select("doc_id", "toxic").collect()  # at most `sample`
-    label = {r.doc_id: r.toxic for r in rows}
-    n = Counter(label.values())
-    if not n[1] or not n[0]:
-        return Model({0: pa.array([], pa.large_string())}, np.zeros(0), [], k)
-    ids = spark.createDataFrame([(i, y) for i, y in label.items()], "doc_id long, toxic int")
-    texts = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
+    picked = picked.withColumn("h", F.xxhash64("doc_id")).sort("h", "doc_id").limit(sample).select("doc_id", "toxic").collect()  # at most `sample`
+    ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
+    texts = stored(docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = [Counter(), Counter()]
         for b in batches:
-            for y, t in zip(b.column(1).to_pylist(), b.column(2)):
-                words = set(_bare(Words(pa.array([t.as_py()], pa.large_string())).words).to_pylist()) - {""}
-                have[y].update((0, x) for x in words)
-                have[y].update({(s, x[:s]) for x in words for s in OPENINGS if len(x) > s})
-        terms = list(have[0].keys() | have[1].keys())
-        for a in range(0, max(1, len(terms)), 50_000):
-            own = terms[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in own], pa.int32()), pa.array([t[1] for t in own], pa.string()), pa.array([have[1][t] for t in own], pa.int64()), pa.array([have[0][t] for t in own], pa.int64())], ["size", "term", "a", "b"])
-
-    counts = texts.mapInArrow(count, "size int, term string, a long, b long").groupBy("size", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    t, f, both = float(n[1]), float(n[0]), float(n[1] + n[0])
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    a, b = F.col("a"), F.col("b")
-    ratio = 2 * (part(a, (a + b) * t / both) + part(b, (a + b) * f / both) + part(t - a, (both - a - b) * t / both) + part(f - b, (both - a - b) * f / both))
-    kept = counts.where("a + b > 4").where(a * f >= lift * b * t).withColumn("ratio", ratio).where(F.col("ratio") >= least).sort(F.desc("ratio"), "size", "term").limit(max_terms).collect()  # at most `max_terms`
-    vocabulary = {s: pa.array(sorted(r.term for r in kept if r["size"] == s), pa.large_string()) for s in (0, *OPENINGS)}
-    n_terms = len(kept)
-    if not n_terms:
-        return Model(vocabulary, np.zeros(0), [], k)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, seen = np.zeros(n_terms + 1, np.int64), 0
-        for batch in batches:
-            for p in slices(batch, "text"):
-                have[:-1] += np.bincount(term_counts(p.column(0), vocabulary)[1], minlength=n_terms)
-                have[-1] += p.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(have)), pa.array(have[have > 0])], ["term", "n"])
-
-    df = np.zeros(n_terms + 1, np.int64)
-    for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most max_terms + 1
-        df[r.term] = r.n
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
+            for p in slices(b, "text"):
+                w, toxic = Words(p.column(2)), np.asarray(p.column(1)).astype(np.int64)
+                rows = w.rows()
+                for size, of in _term_lists(w.words):
+                    coded = of.dictionary_encode()
+                    key = np.unique(rows << 32 | np.asarray(coded.indices)[w.ids])
+                    a = np.bincount(key & 0xFFFFFFFF, toxic[key >> 32], len(coded.dictionary)).astype(np.int64)
+                    n = np.bincount(key & 0xFFFFFFFF, minlength=len(coded.dictionary))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size, np.int32)), coded.dictionary.cast(pa.string()), pa.array(a), pa.array(n - a)], ["size", "term", "a", "b"])
+
+    counts = texts.mapInArrow(count, "size int, term string, a long, b long").where("term <> ''").groupBy("size", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    terms = counts.sort("size", "term").toArrow()  # all terms of the sample
+    sizes = np.asarray(terms["size"])
+    vocabulary = {s: terms["term"].combine_chunks().cast(pa.large_string()).filter(pa.array(sizes == s)) for s in (0, *OPENINGS)}
+    n_terms, shift = len(sizes), np.uint64(64 - max(1, len(sizes)).bit_length())
+    if not n_terms or not {0, 1} <= {r.toxic for r in picked}:
+        return Model(vocabulary, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), None, k)
+
+    def frequencies(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for p in slices(b, "text", 8 << 20):
+            n = np.bincount(term_counts(p.column(0), vocabulary)[1], minlength=n_terms)
+            t = np.flatnonzero(n)
+            yield t.astype(np.uint64) << shift, n[t]
+
+    of = hash_counts(docs.select("text"), frequencies, int(spark.conf.get("spark.sql.shuffle.partitions"))).toArrow()  # at most the terms of the sample
+    df = np.zeros(n_terms, np.int64)
+    df[(np.asarray(of["h"]).view(np.uint64) >> shift).astype(np.int64)] = np.asarray(of["n"])
+    weight = np.log((1 + docs.count()) / (1 + df)) + 0.1
+    if relevance:
+        weight *= np.log2(2 + np.asarray(terms["a"]) / np.maximum(1, np.asarray(terms["b"])))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in slices(batch, "text"):
-                rows, terms, c = term_counts(p.column(2), vocabulary)
-                at = np.searchsorted(rows, np.arange(p.num_rows + 1))
-                own = lambda x: pa.array([x[i:j].tolist() for i, j in zip(at, at[1:])], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), own(terms), own(c)], ["doc_id", "toxic", "terms", "counts"])
-
-    examples = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").dropDuplicates(["doc_id"]).collect()  # at most `sample`, kept terms only
-    return Model(vocabulary, idf, sorted((r.doc_id, r.toxic, r.terms, r.counts) for r in examples), k)
+        for b in batches:
+            for p in slices(b, "text"):
+                rows, t, c = term_counts(p.column(2), vocabulary)
+                cut = pa.array(np.searchsorted(rows, np.arange(p.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), *(pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (t, c))], ["doc_id", "toxic", "terms", "counts"])
+
+    examples = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").sort("doc_id").toArrow()  # at most `sample`
+    of, c = (examples[x].combine_chunks() for x in ("terms", "counts"))
+    rows = np.repeat(np.arange(examples.num_rows), np.asarray(pc.list_value_length(of)))
+    t = np.asarray(of.flatten()).astype(np.int64)
+    model = Model(vocabulary, weight, np.asarray(examples["doc_id"]), np.asarray(examples["toxic"]).astype(np.int64), None, k)
+    model.index = Index(rows, t, model.unit(rows, t, np.asarray(c.flatten()), examples.num_rows), examples.num_rows, n_terms)
+    shared = spark.sparkContext.broadcast(model)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 128):
+                p = b.slice(a, 128)
+                own = np.searchsorted(shared.value.ids, np.asarray(p.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(shared.value.votes(p.column(1), own)[0])], ["e", "raw"])
+
+    raw = texts.select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(left_out, "e long, raw double").toArrow()  # at most `sample`
+    model.edges, model.rates = monotone(np.asarray(raw["raw"]), model.toxic[np.asarray(raw["e"])])
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -105,6 +105,55 @@ def test_toxicity_separates_and_is_exact(spark):
     assert {r.score for r in toxicity.score(d, train.limit(0)).collect()} == {0.0}
 
 
+def brute_toxicity(rows, labels, k=16):
+    """{doc_id: score}: everything from its definition, all examples against all texts. rows: (doc_id, text)."""
+
+    def terms(t):
+        bare = [x for x in (w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in words(t)) if x]
+        return Counter([(0, x) for x in bare] + [(6, x[:6]) for x in bare if len(x) > 6])
+
+    own = [(i, labels[i], terms(t)) for i, t in sorted(rows) if labels.get(i) is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    of = [(i, terms(t)) for i, t in rows]
+    known = {x for _, _, c in own for x in c}
+    weight = {}
+    for x in known:
+        n, a, b = sum(x in c for _, c in of), sum(y for _, y, c in own if x in c), sum(1 - y for _, y, c in own if x in c)
+        weight[x] = (math.log((1 + len(rows)) / (1 + n)) + 0.1) * math.log2(2 + a / max(1, b))
+
+    def unit(c):
+        v = {x: (1 + math.log(n)) * weight[x] for x, n in c.items() if x in known}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {x: y / norm for x, y in v.items()}
+
+    examples, base = [unit(c) for _, _, c in own], sum(y for _, y, _ in own) / len(own)
+
+    def vote(v, without=-1):
+        near = sorted(((-round(sum(y * e.get(x, 0) for x, y in v.items()), 9), n) for n, e in enumerate(examples) if n != without))
+        near = [(-x, n) for x, n in near if x < 0][:k]
+        w = [1 / (1.1 - min(1, x)) for x, _ in near]
+        return (sum(x * own[n][1] for x, (_, n) in zip(w, near)) + base) / (sum(w) + 1) if near else 0.0
+
+    edges, rates = toxicity.monotone(np.asarray([vote(e, n) for n, e in enumerate(examples)]), np.asarray([y for _, y, _ in own]))
+    return {i: float(np.interp(vote(unit(c)), edges, rates)) for i, c in of}
+
+
+def test_toxicity_equals_brute_force(spark):
+    r = random.Random(11)
+    rows, labels = [], {}
+    for i in range(150):
+        t = r.choices(VOCAB, k=r.choice([1, 5, 30, 200]))
+        if i % 5 == 0:
+            t[0:0] = [r.choice(["vileness", "vilenessy,", "grimx"]) for _ in range(1 + i % 3)]
+        rows.append((i, " ".join(t)))
+        labels[i] = int(i % 5 == 0 or i == 33)
+    rows += [(200, None), (201, ""), (202, "unseen"), (203, "vilenesses " * 30)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    train = toxicity.training_labels(spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int"))
+    got = {x.doc_id: x.score for x in toxicity.score(d, train).collect()}
+    want = brute_toxicity(rows, labels)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in want)
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(1)
     vectors = []
@@ -112,13 +161,14 @@ def test_block_max_search_is_exact():
         at = r.choice(50, r.integers(1, 6), replace=False)
         x = r.integers(1, 4, len(at)).astype(float)
         vectors.append(dict(zip(at.tolist(), (x / np.sqrt((x * x).sum())).tolist())))
-    index = toxicity.Index(vectors, np.zeros(300, int), 50, block=16)
-    for q in range(60):
-        v = vectors[q]
-        got = index.nearest(np.asarray(list(v)), np.asarray(list(v.values())), 9, without=q)
-        want = sorted(((sum(x * w.get(t, 0) for t, x in v.items()), e) for e, w in enumerate(vectors) if e != q), key=lambda x: (-round(x[0], 12), x[1]))
-        want = [x for x in want if x[0] > 0][:9]
-        assert [round(x[0], 9) for x in got] == [round(x[0], 9) for x in want]
+    flat = lambda vs: (np.asarray([i for i, v in enumerate(vs) for _ in v]), np.asarray([t for v in vs for t in v]), np.asarray([x for v in vs for x in v.values()]))
+    for block, dense in ((16, 8), (16, 0), (64, 50), (512, 8)):
+        index = toxicity.Index(*flat(vectors), 300, 50, block=block, dense=dense)
+        cosines, examples = index.nearest(*flat(vectors[:60]), 60, 9, without=np.arange(60))
+        for q in range(60):
+            want = sorted(((round(sum(x * w.get(t, 0) for t, x in vectors[q].items()), 9), e) for e, w in enumerate(vectors) if e != q), key=lambda x: (-x[0], x[1]))
+            want = [x for x in want if x[0] > 0][:9]
+            assert [(x, e) for x, e in zip(cosines[q].tolist(), examples[q].tolist()) if x > 0] == want
 
 
 # ---- 2 simhash ----
