@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, fold, hash_counts, slices, stored, table, text_of
+from dialoom.llm.common import Words, fold, hash_counts, slices, spans, stored, table, text_of
 
 SAMPLE, K, THRESHOLD, BLOCK, DENSE = 12_000, 16, 0.7, 128, 384
 OPENINGS = (6,)
@@ -59,11 +60,6 @@ def term_counts(texts: pa.Array, vocabulary: dict[int, pa.Array]) -> tuple[np.nd
     return keys >> 32, keys & 0xFFFFFFFF, n
 
 
-def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... n[0] times, then first[1] ..."""
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-
 class Index:
     """Unit vectors of examples, in blocks: postings of rare terms, a matrix of the commonest, and block maxima."""
 
@@ -159,12 +155,25 @@ def monotone(raw: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Model:
-    """Everything that scoring needs; bounded by the sample."""
+    """Everything that scoring needs; bounded by the sample. What is sent to tasks is the examples' term counts: each
+    worker builds the index once."""
 
-    def __init__(self, vocabulary: dict[int, pa.Array], weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, index: Index | None, k: int):
-        self.vocabulary, self.weight, self.ids, self.toxic, self.index, self.k = vocabulary, weight, ids, toxic, index, k
+    def __init__(self, vocabulary: dict[int, pa.Array], weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, n: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int):
+        """n: number of terms of each example."""
+        self.vocabulary, self.weight, self.ids, self.toxic, self.k = vocabulary, weight, ids, toxic, k
+        self.n, self.terms, self.counts = n, terms.astype(np.int32), counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
         self.base = float(toxic.mean()) if len(toxic) else 0.0
-        self.edges, self.rates = np.zeros(1), np.zeros(1)
+        self._index: Index | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_index": None}
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            rows, terms = np.repeat(np.arange(len(self.n)), self.n), self.terms.astype(np.int64)
+            self._index = Index(rows, terms, self.unit(rows, terms, self.counts.astype(np.int64), len(self.n)), len(self.n), len(self.weight))
+        return self._index
 
     def unit(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         x = (1 + np.log(np.maximum(counts, 1))) * self.weight[terms]
@@ -179,20 +188,20 @@ class Model:
         raw = ((w * self.toxic[examples]).sum(axis=1) + self.base) / (w.sum(axis=1) + 1)
         return np.where(cosines[:, 0] > 0, raw, 0.0), cosines, examples
 
-    def score(self, texts: pa.Array, evidence: int = 3) -> tuple[np.ndarray, list[list[dict]]]:
-        if self.index is None:
+    def score(self, texts: pa.Array, calibration: tuple[np.ndarray, np.ndarray], evidence: int = 3) -> tuple[np.ndarray, list[list[dict]]]:
+        if not len(self.ids):
             return np.zeros(len(texts)), [[] for _ in range(len(texts))]
         scores, why = [], []
         for a in range(0, len(texts), 128):
             raw, cosines, examples = self.votes(texts.slice(a, 128))
-            scores.append(np.interp(raw, self.edges, self.rates))
+            scores.append(np.interp(raw, *calibration))
             for x, e in zip(cosines[:, :evidence].tolist(), examples[:, :evidence].tolist()):
                 why.append([{"doc_id": int(self.ids[i]), "cosine": c, "toxic": int(self.toxic[i])} for c, i in zip(x, e) if c > 0])
         return np.concatenate([np.zeros(0), *scores]), why
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, relevance: bool = True) -> Model:
-    """docs: (doc_id, text); labels: (doc_id, toxic), only rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, relevance: bool = True) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray]]:
+    """(the model, broadcast; its calibration). docs: (doc_id, text); labels: (doc_id, toxic), only rows to learn from."""
     spark = docs.sparkSession
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = picked.withColumn("h", F.xxhash64("doc_id")).sort("h", "doc_id").limit(sample).select("doc_id", "toxic").collect()  # at most `sample`
@@ -217,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
     vocabulary = {s: terms["term"].combine_chunks().cast(pa.large_string()).filter(pa.array(sizes == s)) for s in (0, *OPENINGS)}
     n_terms, shift = len(sizes), np.uint64(64 - max(1, len(sizes)).bit_length())
     if not n_terms or not {0, 1} <= {r.toxic for r in picked}:
-        return Model(vocabulary, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), None, k)
+        none = np.zeros(0, np.int64)
+        return spark.sparkContext.broadcast(Model(vocabulary, np.zeros(0), none, none, none, none, none, k)), (np.zeros(1), np.zeros(1))
 
     def frequencies(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for p in slices(b, "text", 8 << 20):
@@ -241,10 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
 
     examples = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").sort("doc_id").toArrow()  # at most `sample`
     of, c = (examples[x].combine_chunks() for x in ("terms", "counts"))
-    rows = np.repeat(np.arange(examples.num_rows), np.asarray(pc.list_value_length(of)))
-    t = np.asarray(of.flatten()).astype(np.int64)
-    model = Model(vocabulary, weight, np.asarray(examples["doc_id"]), np.asarray(examples["toxic"]).astype(np.int64), None, k)
-    model.index = Index(rows, t, model.unit(rows, t, np.asarray(c.flatten()), examples.num_rows), examples.num_rows, n_terms)
+    model = Model(vocabulary, weight, np.asarray(examples["doc_id"]), np.asarray(examples["toxic"]).astype(np.int64), np.asarray(pc.list_value_length(of)).astype(np.int64), np.asarray(of.flatten()), np.asarray(c.flatten()), k)
     shared = spark.sparkContext.broadcast(model)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,20 +262,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(shared.value.votes(p.column(1), own)[0])], ["e", "raw"])
 
     raw = texts.select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(left_out, "e long, raw double").toArrow()  # at most `sample`
-    model.edges, model.rates = monotone(np.asarray(raw["raw"]), model.toxic[np.asarray(raw["e"])])
-    return model
+    return shared, monotone(np.asarray(raw["raw"]), model.toxic[np.asarray(raw["e"])])
 
 
 def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """(doc_id, score, evidence) for docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), **how))
+    shared, calibration = fit(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), **how)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in slices(b, "text"):
-                got, why = shared.value.score(p.column(1))
+                got, why = shared.value.score(p.column(1), calibration)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(got), pa.array(why, kind)], ["doc_id", "score", "evidence"])
 
     return docs.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
@@ -276,13 +282,13 @@ def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """The documents that score below the threshold, all columns; rows are dropped in place."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), **how))
+    shared, calibration = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), **how)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in slices(b, "text"):
-                yield p.filter(pa.array(shared.value.score(p.column(at), 0)[0] < threshold))
+                yield p.filter(pa.array(shared.value.score(p.column(at), calibration, 0)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
