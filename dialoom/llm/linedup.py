@@ -32,8 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Cells, Words, buckets_for, by_bucket, dealt, flat, fresh, hash_counts, mix, slices, stored, table, text_of, word_hashes
-from dialoom.llm.components import components
+from dialoom.llm.common import Cells, Words, buckets_for, by_bucket, dealt, flat, fresh, hash_counts, mix, slices, spans, stored, table, text_of, word_hashes
+from dialoom.llm.components import components, spanning
 
 MIN_WORDS, LARGE = 1, 8192
 SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +120,7 @@ def prefixes(docs: DataFrame, rarity, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            for p in slices(b, "text"):
+            for p in slices(b, "text", 2 << 20):
                 yield build(p, seen)
 
     return docs.mapInArrow(run, "k long, k2 long, doc_id long, t long, line_no int, head boolean, n int, skip int, prefix array<int>, s1 long, s2 long")
@@ -170,7 +170,7 @@ def filed(classes: DataFrame, hot: Cells | None, large: int, buckets: int) -> Da
         row, place = row[of], place[of]
         first = (np.cumsum(length) - length)[row]
         earlier = np.repeat(np.arange(len(row)), place)
-        words = w[np.repeat(first, place) + np.arange(len(earlier)) - np.repeat(np.cumsum(place) - place, place)]
+        words = w[spans(first, place)]
         column = lambda i: np.asarray(b.column(i))[row]
         return dealt({"bucket": (mix(g.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), "g": g, "c": column(0), "n": column(1), "at": (place + column(2)).astype(np.int32), "s1": column(4), "s2": column(5), "side": side.astype(np.int32)}, {"before": (earlier, words)})
 
@@ -178,7 +178,7 @@ def filed(classes: DataFrame, hot: Cells | None, large: int, buckets: int) -> Da
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= 40_000:
+            if sum(x.num_rows for x in held) >= 20_000:
                 yield file(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
                 held = []
         if sum(x.num_rows for x in held):
@@ -211,15 +211,11 @@ class Group:
     def __init__(self, x: dict[str, np.ndarray]):
         order = np.lexsort((x["n"], x["g"]))
         n_before = x["n_before"].astype(np.int64)
-        first = (np.cumsum(n_before) - n_before)[order]
+        first = (np.cumsum(n_before) - n_before)[order]  # of a row's words in x["before"]
         self.x = {k: v[order] for k, v in x.items() if k not in ("before", "n_before")}
         self.x |= {k: self.x[k].view(np.uint64) for k in ("s1", "s2")}  # counting bits takes absolute values of signed numbers
         self.n_before = n_before[order]
-        rows = np.repeat(np.arange(len(order)), self.n_before)
-        at = np.repeat(first, self.n_before) + np.arange(len(rows)) - np.repeat(np.cumsum(self.n_before) - self.n_before, self.n_before)
-        self.words = x["before"][at].astype(np.int64) & 0xFFFFFFFF
-        self.first = np.cumsum(self.n_before) - self.n_before
-        self.sorted = np.sort(rows << 32 | self.words)
+        self.first, self.before = first, x["before"].astype(np.int64) & 0xFFFFFFFF
         self.flag = np.zeros(len(order), bool)
 
     def allowed(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,16 +232,17 @@ class Group:
 
     def keep(self, a: np.ndarray, b: np.ndarray) -> None:
         """Flags the rows of pairs that share no word before."""
-        for s in range(0, len(a), 200_000):
-            p, q = a[s : s + 200_000], b[s : s + 200_000]
+        for s in range(0, len(a), 50_000):
+            p, q = a[s : s + 50_000], b[s : s + 50_000]
+            rows, of = np.unique(q, return_inverse=True)
+            n = self.n_before[rows]
+            known = np.sort(np.repeat(np.arange(len(rows)), n) << 32 | self.before[spans(self.first[rows], n)])
             n = self.n_before[p]
             pair = np.repeat(np.arange(len(p)), n)
-            word = self.words[np.repeat(self.first[p] - (np.cumsum(n) - n), n) + np.arange(len(pair))]
-            want = q[pair] << 32 | word
-            at = np.minimum(np.searchsorted(self.sorted, want), len(self.sorted) - 1) if len(self.sorted) else np.zeros(0, np.int64)
+            want = of[pair] << 32 | self.before[spans(self.first[p], n)]
             shared = np.zeros(len(p), bool)
-            if len(want):
-                shared[pair[self.sorted[at] == want]] = True
+            if len(want) and len(known):
+                shared[pair[known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want]] = True
             self.flag[p[~shared]] = True
             self.flag[q[~shared]] = True
 
@@ -254,8 +251,8 @@ class Group:
         edge = np.flatnonzero(np.diff(g)) + 1
         start, end = np.concatenate([[0], edge]), np.append(edge, len(g))
         few = end - start <= 32
-        for a, b in _short_pairs(start[few & (end - start > 1)], end[few & (end - start > 1)]):
-            self.keep(*self.allowed(a, b))
+        pairs = [self.allowed(a, b) for a, b in _short_pairs(start[few & (end - start > 1)], end[few & (end - start > 1)])]
+        self.keep(*(np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*pairs) if pairs else ((), ()))))
         for s, e in zip(start[~few].tolist(), end[~few].tolist()):  # rows lie in order of their length
             n = self.x["n"][s:e]
             for a in range(0, e - s, 256):
@@ -299,7 +296,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rarity, min_words: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, t = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for p, a in zip(*(lambda parts: (parts, np.cumsum([0, *(x.num_rows for x in parts)])))(list(slices(b, "text", 8 << 20)))):
+            for p, a in zip(*(lambda parts: (parts, np.cumsum([0, *(x.num_rows for x in parts)])))(list(slices(b, "text", 2 << 20)))):
                 lines, doc, line_no = split(p.column(2))
                 near = np.flatnonzero(places.value(positions(ids[a + doc], t[a + doc], line_no)))
                 x = Lines(lines.take(pa.array(near)), min_words, rarity.value)
@@ -311,29 +308,6 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rarity, min_words: int) -> Da
     return sets.join(wanted, ["doc_id", "t", "line_no"])
 
 
-def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links (a, b) some that join the same rows; label (a representative of each row so far) is brought up to date."""
-    left, right = [], []
-    while True:
-        x, y = label[a], label[b]
-        apart = np.flatnonzero(x != y)
-        if not len(apart):
-            return tuple(np.concatenate([np.zeros(0, np.int64), *z]) for z in (left, right))
-        a, b, x, y = a[apart], b[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-        order = np.lexsort((x, y))
-        one = order[np.concatenate([[True], np.diff(y[order]) > 0])]  # each larger label joins its least neighbour
-        left.append(a[one])
-        right.append(b[one])
-        up = np.arange(len(label))
-        up[y[one]] = x[one]
-        while True:
-            nxt = up[up]
-            if (nxt == up).all():
-                break
-            up = nxt
-        label[:] = up[label]
-
-
 class Sets:
     """Classes with their whole sets under prefix words, sorted by g and by their first lines, and their matches."""
 
@@ -367,12 +341,12 @@ class Sets:
         side = self.x["side"]
         ok = (needed(self.n[a], self.n[b]) <= np.minimum(self.n[a], self.n[b])) & ((side[a] < 0) | (side[a] != side[b]))
         a, b = a[ok], b[ok]
-        step = (np.cumsum(self.n[a]) // (1 << 21)).astype(np.int64)
+        step = (np.cumsum(self.n[a]) // (1 << 19)).astype(np.int64)
         for s in np.unique(step).tolist():
             p, q = a[step == s], b[step == s]
             n = self.n[p]
             pair = np.repeat(np.arange(len(p)), n)
-            at = np.repeat(self.start[p] - (np.cumsum(n) - n), n) + np.arange(len(pair))
+            at = spans(self.start[p], n)
             want = q[pair] << 32 | self.ids[at]
             spot = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
             hit = self.key[spot] == want
@@ -454,6 +428,27 @@ def matches(rows: DataFrame) -> DataFrame:
     return rows.select(*names, "words").repartition("g").sortWithinPartitions("g").mapInArrow(run, "c long, near long, doc_id long, t long, line_no int, other long")
 
 
+def repeated(lines: DataFrame) -> DataFrame:
+    """lines with a column `again`: whether another line may have the same key (by a table of counts, so never too
+    seldom). The others are classes of their own, which need no shuffle."""
+
+    def values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        h = mix(np.asarray(b.column(0)).view(np.uint64))
+        yield h, np.ones(len(h), np.int64)
+
+    spark = lines.sparkSession
+    counts = stored(hash_counts(lines.select("k"), values, buckets_for(spark, lines.count(), 500_000), 2), "keys")
+    shared = spark.sparkContext.broadcast(Cells(counts))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            again = shared.value(mix(np.asarray(b.column(0)).view(np.uint64))) > 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(again)], [*b.schema.names, "again"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(mark, f"{kinds}, again boolean")
+
+
 class Joined(NamedTuple):
     """members: (doc_id, t, line_no, c, o, copies, near, to): the lines of classes with a copy or a match; o: the class's
     first line; to: the first line of its earliest match. links: (c, other) span the matching classes."""
@@ -474,8 +469,10 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
         names, place = [c for c in lines.columns if c not in ("doc_id", "t", "line_no")], ["doc_id", "t"]
         once = lines.join(again.select(*place), place, "left_semi").groupBy(*place, "line_no").agg(F.max_by(F.struct(*names), F.size("prefix")).alias("x")).select(*place, "line_no", "x.*")
         lines = stored(lines.join(again.select(*place), place, "left_anti").unionByName(once), "lines")
-    own = F.when(F.size("prefix") > 0, F.struct("n", "skip", "prefix", "s1", "s2"))
-    classes = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("o"), F.count("*").alias("copies"), F.first(own, ignorenulls=True).alias("p"))
+    own, place = F.when(F.size("prefix") > 0, F.struct("n", "skip", "prefix", "s1", "s2")).alias("p"), F.struct("doc_id", "t", "line_no").alias("o")
+    parts = stored(repeated(lines), "parts")
+    equal = parts.where("again").groupBy("k", "k2").agg(F.min(place).alias("o"), F.count("*").alias("copies"), F.first(own, ignorenulls=True).alias("p"))
+    classes = parts.where("not again").select("k", "k2", place, F.lit(1).cast("long").alias("copies"), own).unionByName(equal)
     classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "k", "k2", "o", "copies", "p"), "classes")
     asked = classes.where("p is not null").select("c", "p.*")
     total = asked.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
@@ -484,8 +481,11 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     wanted = stored(classes.join(near.select("c").distinct(), "c", "left_semi").select("c", "o.*", "copies"), "wanted")
     found = stored(matches(near.join(whole_sets(docs, wanted, rarity, min_words), "c")), "matches")
     best = found.where("near is not null").groupBy("c").agg(F.sum("near").alias("near"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t", "line_no"))).alias("to"))
-    marked = classes.select("c", "k", "k2", "o", "copies").join(best, "c", "left").where("copies > 1 or near is not null")
-    return Joined(stored(lines.select("k", "k2", "doc_id", "t", "line_no").join(marked, ["k", "k2"]).drop("k", "k2"), "members"), found.where("other is not null").select("c", "other"))
+    marked = stored(classes.select("c", "k", "k2", "o", "copies").join(best, "c", "left").where("copies > 1 or near is not null"), "marked")
+    several = parts.where("again").select("k", "k2", "doc_id", "t", "line_no").join(marked.where("copies > 1"), ["k", "k2"])
+    names = ["doc_id", "t", "line_no", "c", "o", "copies", "near", "to"]
+    alone = marked.where("copies = 1").select("o.*", *names[3:])
+    return Joined(stored(several.select(*names).unionByName(alone.select(*names)), "members"), found.where("other is not null").select("c", "other"))
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
