@@ -1,19 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Tokens are a text's words (A-Z lower-cased) and one end mark. The base is the add-one unigram score, exact: words
-of relative frequency 1/`frequent` or more (at most `frequent` words, whatever the corpus) are looked up in a
-broadcast table, all others by a join. The model is a bigram with Dirichlet smoothing,
+Tokens are a text's words (A-Z lower-cased) and one end mark. The base is the add-one unigram score, exact. The model
+is a bigram with Dirichlet smoothing,
 
     P(w | h) = (c(hw) + mu P(w)) / (c(h) + mu),
 
-where P(w) is the add-one unigram probability of the exact count, which the base's join gives. The counts c(hw), and
-c(h) of words that aren't frequent, come from a Bloom filter that holds each n-gram once for every power of two
-that its count reaches; probes for one level after the other tell the count to a factor of two.
+P(w) the add-one unigram probability. The counts c(hw) and c(h) come from a Bloom filter that holds each n-gram once for
+every power of two that its count reaches; probes for one level after the other tell the count to a factor of two.
 
-Scale: the filter has `bits` bits a training token, so it grows with the corpus. It is built in blocks of 64 KB,
-each by the task that Spark's shuffle gives all its n-grams, and cut into shards of at most `shard_bytes`; one
-shard at a time is broadcast over all documents. An n-gram lies in the shard of its context, or of itself if the
-context is frequent, so a probability needs one shard only. Equal texts are scored once.
+Scale: the filter has `bits` bits a training token, so it grows with the corpus, and isn't broadcast whole: it lies in
+blocks, and each block's task builds it and answers all probes to it. An n-gram belongs to the block of its last word,
+where that word's own count is at hand; the logarithm of the denominator belongs to h, and is added in the block of h.
+So one pass over the texts deals every token to one block, whatever the number of blocks, and sums come back by text.
+Words of relative frequency 1/`frequent` or more (at most `frequent` words) are broadcast with their counts and those of
+their pairs: an n-gram of two such words is answered in place, from counts that are cut to powers of two as the filter's
+are, one that ends in such a word is dealt by its pair. So no block gets more than 1/`frequent` of all tokens for one
+word or pair.
 
 Defined results: null and empty texts have one token, the end; repeated rows score alike; a null id is hashed as
 ''; without training rows every count is 0; an empty table gives no rows; only the named columns are read.
@@ -26,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, fold, mix, slices, stored, table, text_of, word_hashes
+from dialoom.llm.common import Words, buckets_for, dealt, fold, hash_counts, merged, mix, slices, stored, table, text_of, word_hashes
 
-FREQUENT, BITS, SHARD_BYTES, PROBES, MU = 1_000_000, 6, 48 << 20, 5, 300.0
-BLOCK = 1 << 16  # bytes
+FREQUENT, BITS, BLOCK_TOKENS, PROBES, MU = 2000, 6, 2_500_000, 5, 300.0
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
-PAIR, CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+PAIR, LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Tokens:
@@ -49,248 +52,230 @@ class Tokens:
         self.before = np.concatenate([[START], self.hash[:-1]]).astype(np.uint64)
         self.before[self.start[:-1]] = START
 
-    def pairs(self) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix(self.before * PAIR + self.hash)
+
+def cut_counts(n: np.ndarray) -> np.ndarray:
+    """Counts as the filter knows them: 0, 1, or 1.2 times the largest power of two that they reach."""
+    level = np.floor(np.log2(np.maximum(n, 1))) + (n > 0)
+    return np.where(level > 1, 1.2 * 2.0 ** (level - 1), level)
 
 
 class Frequent:
-    """Exact counts of the frequent words and what scoring needs besides."""
+    """Exact counts of the frequent words and of their pairs, and what scoring needs besides."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int, texts: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts, self.tokens, self.types, self.texts = hashes[order], counts[order], tokens, types, texts
-        self.total = tokens + types + 1
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts; 0 where a word isn't frequent."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
+        """The start mark counts as a frequent word that occurs once a text."""
+        order = np.argsort(np.append(hashes, START))
+        self.hashes, self.counts = np.append(hashes, START)[order], np.append(counts, texts)[order]
+        self.tokens, self.types, self.total = tokens, types, tokens + types + 1
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of frequent words, -1 for others."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.counts[at], 0)
+        return np.where(self.hashes[at] == hashes, at, -1)
 
+    def pair_counts(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        key = first * len(self.hashes) + last
+        if not len(self.pairs):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.times[at], 0)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, n) over all rows of docs (text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for p in slices(b, "text"):
-                held.append(np.unique(Tokens(p.column(0)).hash, return_counts=True))
-                size += len(held[-1][0])
-                if size > 4_000_000:
-                    held = [_merged(held)]
-                    size = 0
-        h, n = _merged(held)
-        for a in range(0, len(h), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 500_000].view(np.int64)), pa.array(n[a : a + 500_000])], ["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+class Filter:
+    """A block: distinct keys at each power of two that their counts reach, in `bits` bits a unit of their counts or more."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int):
+        self.field = np.zeros(1 << max(6, (bits * int(counts.sum())).bit_length()), bool)
+        level = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+        for x in range(int(level.max()) + 1 if len(keys) else 0):
+            spot, step = self._spots(keys[level >= x], x)
+            for _ in range(PROBES):
+                self.field[self._bit(spot)] = True
+                spot += step
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    def _spots(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            x = mix(keys + np.uint64(level) * LEVEL)
+        return x, x >> np.uint64(32) | np.uint64(1)
 
+    def _bit(self, spot: np.ndarray) -> np.ndarray:
+        return (spot & np.uint64(len(self.field) - 1)).astype(np.int64)
 
-class Layout:
-    """Where n-grams lie: shards of blocks of bits."""
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts to a factor of two: probes level after level until one fails."""
+        level, live, x = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        while len(live):
+            spot, step = self._spots(keys[live], x)
+            for _ in range(PROBES):
+                here = self.field[self._bit(spot)]
+                live, spot, step = live[here], spot[here], step[here]
+                spot += step
+            level[live] += 1
+            x += 1
+        return np.where(level > 1, 1.2 * 2.0 ** (level - 1), level)
 
-    def __init__(self, tokens: int, bits: int, shard_bytes: int):
-        blocks = max(1, -(-tokens * bits // (8 * BLOCK)))
-        self.shards = max(1, -(-blocks * BLOCK // shard_bytes))
-        self.blocks = -(-blocks // self.shards)
 
-    def shard(self, pair: np.ndarray, context: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        return (np.where(frequent, mix(pair), mix(context)) >> np.uint64(24)) % np.uint64(self.shards)
+def frequent_words(learn: DataFrame, frequent: int) -> Frequent:
+    """From all rows of learn (text)."""
+    spark = learn.sparkSession
 
-    def block(self, key: np.ndarray) -> np.ndarray:
-        return (key >> np.uint64(32)) % np.uint64(self.blocks)
+    def words(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for p in slices(b, "text", 2 << 20):
+            w = Words(p.column(0))
+            yield np.append(word_hashes(w.words), END), np.append(np.bincount(w.ids, minlength=len(w.words)), p.num_rows)
 
-    @staticmethod
-    def spots(key: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        """Bits of a key at a level, within its block."""
-        with np.errstate(over="ignore"):
-            x = mix(key + np.uint64(level) * CONTEXT)
-        y = (x >> np.uint64(32)) | np.uint64(1)
-        for i in range(PROBES):
-            with np.errstate(over="ignore"):
-                yield (x + np.uint64(i) * y) & np.uint64(8 * BLOCK - 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), learn.rdd.getNumPartitions())
+    counts = stored(hash_counts(learn.select("text"), words, buckets), "words")
+    tokens, types, texts = counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == int(END.view(np.int64)), F.col("n"))), F.lit(0))).first()
+    often = counts.where(F.col("n") * frequent >= tokens).toArrow()  # at most `frequent` rows
+    found = Frequent(np.asarray(often["h"]).view(np.uint64), np.asarray(often["n"]), tokens, types, texts)
+    shared, m = spark.sparkContext.broadcast(found), len(found.hashes)
+    shift = np.uint64(64 - max(1, m * m).bit_length())
 
+    def pairs(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for p in slices(b, "text", 2 << 20):
+            t = Tokens(p.column(0))
+            first, last = shared.value.place(t.before), shared.value.place(t.hash)
+            both = (first >= 0) & (last >= 0)
+            key, n = np.unique(first[both] * m + last[both], return_counts=True)
+            yield key.astype(np.uint64) << shift, n
 
-def build(docs: DataFrame, counts: DataFrame, frequent: Frequent, layout: Layout) -> DataFrame:
-    """(shard, block, bits): the filter, from all rows of docs and the counts of words that aren't frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    least = max(2, -(-frequent.tokens // FREQUENT))
+    of = hash_counts(learn.select("text"), pairs, int(spark.conf.get("spark.sql.shuffle.partitions"))).toArrow()  # at most m * m rows
+    key = (np.asarray(of["h"]).view(np.uint64) >> shift).astype(np.int64)
+    order = np.argsort(key)
+    found.pairs, found.times = key[order], np.asarray(of["n"])[order]
+    return found
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for p in slices(b, "text"):
-                t = Tokens(p.column(0))
-                often = (shared.value(t.before) > 0) | (t.before == START)
-                pair = t.pairs()
-                at = layout.shard(pair, t.before, often) * np.uint64(layout.blocks) + layout.block(pair)
-                held.append((at, pair))
-                size += len(pair)
-                if size > 2_000_000:
-                    yield packed(held)
-                    held, size = [], 0
-        if held:
-            yield packed(held)
 
-    def packed(held: list) -> pa.RecordBatch:
-        at, key = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(key)
-        at, key = at[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.concatenate([first, [len(key)]]))
-        return pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(key[first].view(np.int64)), pa.array(n.astype(np.int32))], ["at", "key", "n"])
+SUMS = ["slice", "who", "part", "logs", "known", "tokens", "doc_id"]
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.asarray(b.column(0)).view(np.uint64)
-            key = mix(h + CONTEXT)
-            at = layout.shard(key, h, np.zeros(len(h), bool)) * np.uint64(layout.blocks) + layout.block(key)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.asarray(b.column(1)).astype(np.int32))], ["at", "key", "n"])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            own = [np.asarray(c) for c in b.columns]
-            last = int(np.searchsorted(own[0], own[0][-1]))
-            if last or held and held[-1][0][-1] != own[0][0]:
-                yield filled([*held, [c[:last] for c in own]])
-                held, own = [], [c[last:] for c in own]
-            held.append(own)
-        if held:
-            yield filled(held)
-
-    def filled(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        at, key, n = (np.concatenate(x) for x in zip(*held))
-        names, bits = np.unique(at), []
-        for a in names.tolist():
-            own = slice(np.searchsorted(at, a), np.searchsorted(at, a, "right"))
-            k, c = _merged([(key[own].view(np.uint64), n[own].astype(np.int64))])
-            field = np.zeros(8 * BLOCK, bool)
-            level = np.floor(np.log2(c)).astype(np.int64)
-            for x in range(int(level.max()) + 1):
-                for spot in layout.spots(k[level >= x], x):
-                    field[spot] = True
-            bits.append(np.packbits(field, bitorder="little").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array((names // layout.blocks).astype(np.int32)), pa.array((names % layout.blocks).astype(np.int32)), pa.array(bits, pa.binary())], ["shard", "block", "bits"])
-
-    schema = "at int, key long, n int"
-    rows = docs.select("text").mapInArrow(grams, schema).unionByName(counts.where(F.col("n") < least).select("h", "n").mapInArrow(contexts, schema))
-    return rows.repartition("at").sortWithinPartitions("at").mapInArrow(blocks, "shard int, block int, bits binary")
-
-
-class Shard:
-    """One shard of the filter."""
-
-    def __init__(self, layout: Layout, number: int, rows: pa.Table):
-        self.layout, self.number, self.bits = layout, number, np.zeros(layout.blocks * BLOCK, np.uint8)
-        for block, bits in zip(rows["block"].to_pylist(), rows["bits"]):
-            self.bits[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bits.as_buffer(), np.uint8)
-
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """Counts to a factor of two: probes level after level until one fails."""
-        level, live = np.zeros(len(key), np.int64), np.arange(len(key))
-        base = self.layout.block(key) * np.uint64(8 * BLOCK)
-        while len(live):
-            x, here = int(level[live[0]]), np.ones(len(live), bool)
-            for spot in self.layout.spots(key[live], x):
-                spot += base[live]
-                here &= (self.bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            live = live[here]
-            level[live] += 1
-        return np.where(level > 1, 1.2 * 2.0 ** (level - 1), level)
+def _lists(n: int, **columns) -> list[pa.Array]:
+    """Each column as one list of n elements, in one row; None: an empty list of nothing."""
+    cut = pa.array(np.asarray([0, n], np.int32))
+    return [pa.ListArray.from_arrays(cut, x if isinstance(x, pa.Array) else pa.array(x)) for x in columns.values()]
 
 
-def score(docs: DataFrame, train: Column, mu: float = MU, bits: int = BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, mu: float = MU, bits: int = BITS, block_tokens: int = BLOCK_TOKENS, frequent: int | None = None) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, text); `train` picks the rows to learn from."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    learn = docs.where("train")
-    counts = stored(word_counts(learn), "words")
-    tokens, types = (int(x or 0) for x in counts.select(F.sum("n"), F.count("*")).first())
-    least = max(2, -(-tokens // FREQUENT))
-    often = counts.where(F.col("n") >= least).select("h", "n").toArrow()  # at most `frequent` rows
-    frequent = Frequent(np.asarray(often["h"]).view(np.uint64), np.asarray(often["n"]), tokens, types, learn.count())
-    layout = Layout(tokens, bits, shard_bytes)
-    bloom = stored(build(learn, counts, frequent, layout), "filter")
-    table_ = spark.sparkContext.broadcast(frequent)
-
-    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = table_.value
+    top = frequent_words(docs.where("train"), frequent or FREQUENT)
+    shared, total = spark.sparkContext.broadcast(top), top.total
+    blocks = buckets_for(spark, top.tokens, block_tokens)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Array rows of tokens for each block, and one row with the sums that each slice of texts knows itself."""
+        f, number = shared.value, TaskContext.get().partitionId() << 32
+        logs_of, under = np.log10(f.counts + 1.0), np.log10(cut_counts(f.counts) + mu)
         for b in batches:
             for p in slices(b, "text", 2 << 20):
-                t = Tokens(p.column(0))
-                uniq, back = np.unique(t.hash, return_inverse=True)
-                c_word = f(uniq)[back]
-                at, rare = t.start[:-1], c_word == 0
-                rows = np.repeat(np.arange(p.num_rows), t.lengths)[rare]
-                order = np.lexsort((t.hash[rare], rows))
-                h, r = t.hash[rare][order], rows[order]
-                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) if len(h) else np.zeros(0, np.int64)
-                n = np.diff(np.concatenate([new, [len(h)]]))
-                cut = pa.array(np.searchsorted(r[new], np.arange(p.num_rows + 1)).astype(np.int32))
-                columns = [pa.array(t.lengths.astype(np.int64)), pa.array(np.add.reduceat((c_word > 0).astype(np.int64), at)), pa.array(np.add.reduceat(np.where(rare, 0.0, np.log10(c_word + 1)), at)), pa.ListArray.from_arrays(cut, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(n.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([*p.columns[1:], *columns], [*p.schema.names[1:], "n_tokens", "known", "logs", "rare", "times"])
-
-    def scores(number: int) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Shard(layout, number, bloom.where(F.col("shard") == number).select("block", "bits").toArrow()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f, own = table_.value, shared.value
-            for b in batches:
-                for p in slices(b, "text", 2 << 20):
-                    t = Tokens(p.column(0))
-                    uniq, back = np.unique(t.hash, return_inverse=True)
-                    often = f(uniq)
-                    c_word = often[back]
-                    c_before = np.where(t.before == START, f.texts, np.concatenate([[0], c_word[:-1]]))
-                    # exact counts of the other words came with the texts; a word's count is the same in each text
-                    h, first = np.unique(np.asarray(p.column(2).flatten()).view(np.uint64), return_index=True)
-                    n = np.asarray(p.column(3).flatten())[first]
-                    if len(h):
-                        spot = np.minimum(np.searchsorted(h, uniq), len(h) - 1)
-                        often = np.where(often > 0, often, np.where(h[spot] == uniq, n[spot], 0))
-                    key = t.pairs()
-                    mine = np.flatnonzero(layout.shard(key, t.before, c_before > 0) == own.number)
-                    before = c_before[mine].astype(np.float64)
-                    few = np.flatnonzero(before == 0)
-                    before[few] = own.counts(mix(t.before[mine[few]] + CONTEXT))
-                    both = own.counts(key[mine])
-                    part = np.zeros(len(key))
-                    part[mine] = np.log10((both + mu * (often[back][mine] + 1) / f.total) / (np.maximum(before, both) + mu))
-                    yield pa.RecordBatch.from_arrays([p.column(1), pa.array(np.add.reduceat(part, t.start[:-1]))], ["text_key", "next"])
-
-        out = stored(texts.select("text", "text_key", "rare", "counts").mapInArrow(run, "text_key long, next double"), f"scores{number}")
-        shared.unpersist()
-        return out
-
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
-    first = stored(docs.select("text", "doc_id", "train", "text_key").mapInArrow(bases, "doc_id long, train boolean, text_key long, n_tokens long, known long, logs double, rare array<long>, times array<int>"), "base")
-    base = stored(first.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("n_tokens", "known", "logs", "rare", "times"))), "bases")
-    rare = base.select("text_key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("text_key", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
-    found = stored(rare.join(counts.where(F.col("n") < least), "h").groupBy("text_key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.collect_list(F.struct("h", "n")).alias("own")), "rare")
-    none = F.array().cast("array<bigint>")
-    texts = docs.groupBy("text_key").agg(F.first("text").alias("text")).join(found.select("text_key", "own"), "text_key", "left")
-    texts = stored(texts.select("text_key", "text", F.coalesce("own.h", none).alias("rare"), F.coalesce("own.n", none).alias("counts")), "texts")
-    whole = base.select("text_key", F.lit(0.0).alias("part"), "n_tokens", "known", "logs").join(found.drop("own"), "text_key", "left")
-    for number in range(layout.shards):
-        whole = whole.join(scores(number), "text_key").withColumn("part", F.col("part") + F.col("next")).drop("next")
-    whole = whole.select(
-        "text_key", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(frequent.total)).alias("base_score"), F.col("part").alias("score"),
-    )
-    return first.select("doc_id", "train", "text_key").join(whole, "text_key").drop("text_key")
+                t, n = Tokens(p.column(1)), p.num_rows
+                who = 2 * np.arange(n) + np.asarray(p.column(2).cast(pa.int8()))
+                row = np.repeat(np.arange(n), t.lengths)
+                first, last = f.place(t.before), f.place(t.hash)
+                known, both = last >= 0, (first >= 0) & (last >= 0)
+                part = np.zeros(len(row))
+                part[both] = np.log10(cut_counts(f.pair_counts(first[both], last[both])) + mu * (f.counts[last[both]] + 1) / total)
+                part[first >= 0] -= under[first[first >= 0]]
+                logs = np.where(known, logs_of[last], 0.0)
+                sums = lambda x: np.bincount(row, x, n)
+                yield pa.RecordBatch.from_arrays([pa.array([blocks + number % blocks], pa.int32()), *_lists(0, w=pa.array([], pa.int64()), h=pa.array([], pa.int32())), *_lists(n, who=who.astype(np.int32)), pa.array([[number]], pa.list_(pa.int64())), pa.array([[n]], pa.list_(pa.int32())), *_lists(n, part=sums(part), logs=sums(logs), known=sums(known).astype(np.int32), tokens=t.lengths.astype(np.int32), doc_id=p.column(0))], DEALT)
+                out = np.flatnonzero(~both)
+                h32 = (t.before[out] >> np.uint64(32)).astype(np.uint32)
+                w = t.hash[out]
+                # the block of the last word, or of the pair where that word is frequent
+                by = np.where(last[out] < 0, w, mix(w + h32 * PAIR))
+                rows = dealt({"bucket": ((mix(by) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32), "w": w.view(np.int64), "h": h32.view(np.int32), "who": who[row[out]].astype(np.int32)})
+                if rows.num_rows:
+                    lengths = pc.list_value_length(rows.column(1)).cast(pa.int32())
+                    one = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32))
+                    none = lambda kind: pa.ListArray.from_arrays(pa.array(np.zeros(rows.num_rows + 1, np.int32)), pa.array([], kind))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(one, pa.array(np.full(rows.num_rows, number))), pa.ListArray.from_arrays(one, lengths), none(pa.float64()), none(pa.float64()), none(pa.int32()), none(pa.int32()), none(pa.int64())], DEALT)
+                number += 1
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            bucket = np.asarray(b.column(0))
+            own = pa.array(bucket >= blocks)
+            passed = b.filter(own)  # the slices' own sums
+            if passed.num_rows:
+                yield pa.RecordBatch.from_arrays([passed.column(DEALT.index("slice")).flatten(), *(passed.column(DEALT.index(c)) for c in SUMS[1:])], SUMS)
+            b, bucket = b.filter(pc.invert(own)), bucket[bucket < blocks]
+            edge = np.flatnonzero(np.diff(bucket)) + 1
+            for a, z in zip(np.append(0, edge).tolist(), np.append(edge, len(bucket)).tolist()):
+                if z > a:
+                    if held and held[-1].column(0)[0].as_py() != bucket[a]:
+                        yield answered(held)
+                        held = []
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield answered(held)
+
+    def answered(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The sums of one block's tokens: counts of the training tokens, the filter of them, and all probes."""
+        f = shared.value
+        whole = pa.Table.from_batches(held).combine_chunks()
+        w, h, who, number, n = (np.asarray(whole[c].combine_chunks().flatten()) for c in ("w", "h", "who", "slice", "n"))
+        w = w.view(np.uint64)
+        learn = who & 1 == 1
+        words, of = np.unique(w, return_inverse=True)
+        place = f.place(words)
+        exact = np.where(place >= 0, f.counts[place], np.bincount(of, learn, len(words)).astype(np.int64))
+        with np.errstate(over="ignore"):
+            pair = mix(w + h.view(np.uint32) * PAIR)
+        keys, times = merged([(pair[learn], np.ones(int(learn.sum()), np.int64))])
+        rare = (place < 0) & (exact > 0)
+        block = Filter(np.concatenate([keys, mix(words[rare] ^ LEVEL)]), np.concatenate([times, exact[rare]]), bits)
+        context = np.where((place < 0) & (words != END), np.log10(block.counts(mix(words ^ LEVEL)) + mu), 0.0)
+        alone = place < 0
+        part = np.log10(block.counts(pair) + (mu * (exact + 1) / total)[of]) - context[of]
+        # a context that is not frequent is taken off in the block of its own word; the tokens dealt here come by text
+        row = np.repeat(np.arange(len(n)), n)
+        key = row << 32 | who >> 1
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        add = lambda x: np.add.reduceat(x, first)
+        lists = pa.array(np.searchsorted(row[first], np.arange(len(n) + 1)).astype(np.int32))
+        none = lambda kind: pa.ListArray.from_arrays(pa.array(np.zeros(len(n) + 1, np.int32)), pa.array([], kind))
+        columns = [who[first], add(part), add(np.where(alone, np.log10(exact + 1.0), 0.0)[of]), add(((exact > 0) & alone)[of].astype(np.int64)).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(number), *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in columns), none(pa.int32()), none(pa.int64())], SUMS)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each slice's texts; its array rows come together."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            number = np.asarray(b.column(0))
+            edge = np.flatnonzero(np.diff(number)) + 1
+            for a, z in zip(np.append(0, edge).tolist(), np.append(edge, len(number)).tolist()):
+                if z > a:
+                    if held and held[-1].column(0)[0].as_py() != number[a]:
+                        yield added(held)
+                        held = []
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield added(held)
+
+    def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        own = np.flatnonzero(np.asarray(pc.list_value_length(whole["tokens"].combine_chunks())) > 0)
+        mine = whole.slice(int(own[0]), 1)
+        who = np.asarray(whole["who"].combine_chunks().flatten()) >> 1
+        tokens = mine["tokens"].combine_chunks().flatten()
+        n = len(tokens)
+        sums = [np.bincount(who, np.asarray(whole[c].combine_chunks().flatten()), n) for c in ("part", "logs", "known")]
+        learn = np.asarray(mine["who"].combine_chunks().flatten()) & 1 == 1
+        return pa.RecordBatch.from_arrays([mine["doc_id"].combine_chunks().flatten(), pa.array(learn), tokens.cast(pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], ["doc_id", "train", "n_tokens", "n_known", "logs", "score"])
+
+    lists = "who array<int>, {}part array<double>, logs array<double>, known array<int>, tokens array<int>, doc_id array<long>"
+    tokens = docs.select("doc_id", "text", "train").mapInArrow(deal, "bucket int, w array<long>, h array<int>, " + lists.format("slice array<long>, n array<int>, "))
+    sums = tokens.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "slice long, " + lists.format(""))
+    rows = sums.repartition("slice").sortWithinPartitions("slice").mapInArrow(collect, "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double")
+    return rows.select("doc_id", "train", "n_tokens", "n_known", F.lit(top.tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * math.log10(total)).alias("base_score"), "score")
+
+
+DEALT = ["bucket", "w", "h", "who", "slice", "n", "part", "logs", "known", "tokens", "doc_id"]
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
