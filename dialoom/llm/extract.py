@@ -3,20 +3,25 @@
 Each page becomes a tree of block elements; like siblings in a row fold into one node, so a tree is as small as
 the page's layout. A host's reference tree is the layout that most of its distinct pages have; each other layout
 of the host is aligned with it by simple tree matching (the largest set of node pairs that keeps parents, order
-and labels). A node's text is constant if at least `share` of the host's distinct pages (of `least` or more) have
+and labels). A node's text is constant if at least `share` of the host's distinct pages (and `least` of them) have
 that same text at the node that it aligns with: constant nodes are template, what varies is content.
 
-Before that, a page's own marks name its regions: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, hidden parts and reader comments (by element, role, class or id words) are never content, and
-where there is an article (else a main part) only that is; its headings stay. Text is decoded, white space in a
-block becomes one blank, and blocks are joined by line feeds in page order.
+What varies from page to page and still is no content has to be told by the page's own marks: menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments, by element, role, or a class
+or id of which every part is a word for them (`cookie-notice`, but not `notice-board`). Where there is an article (else
+a main part) only that is looked at; its headings stay. Text is decoded, white space in a block becomes one blank, and
+blocks are joined by line feeds in page order.
 
-Scale: pages are parsed once, where they lie. Layouts and constants are small tables that Spark aggregates per
-host (partial sums first, so a host with a third of all pages is no hot key); the constants are broadcast if
-there are at most `broadcast_rows`, and joined by host otherwise.
+Scale: pages are parsed once, where they lie, in time linear in their length. Layouts and constants are small tables
+that Spark aggregates per host (partial sums first, so a host with a third of all pages is no hot key); a layout's
+constants are at most its nodes, as a share over one half leaves one text a node; they are broadcast if there are at
+most `broadcast_rows`, and joined by host and layout otherwise.
 
 Defined results: a null or empty html gives an empty text; a null url has the empty host; copies of a page count
-once in its host; repeated rows are each returned; an empty table gives no rows; only the named columns are read.
+once in its host; hosts of under `least` distinct pages have no template; a quote that never closes is an ordinary
+character; elements nested deeper than MOST_DEPTH lie beside each other at that depth, and a layout of more than MOST_NODES nodes
+is made coarser; a tag that never ends takes the
+rest of the page; repeated rows are each returned; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -33,15 +38,20 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.common import stored, table, text_of
 
-SHARE, LEAST, BROADCAST_ROWS = 0.6, 5, 100_000
+SHARE, LEAST, BROADCAST_ROWS = 0.6, 3, 100_000
+#: Limits of a layout, not of content: what lies beyond shares nodes.
+MOST_DEPTH, MOST_SIBLINGS, MOST_NODES = 200, 300, 2000
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+MARKUP = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+BLANKS, NAME, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+#: Elements whose inside is no page text.
+RAW = {x: re.compile(f"</{x}(?![a-zA-Z0-9-])", re.I) for x in ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = HEADINGS | {"html", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "head", "header", "hgroup", "hr", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "body", "html", "head", "title"}
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}, "body": {"head", "title"}}
+SCOPE = {"div", "section", "article", "ul", "ol", "table", "dl", "body"}
 AWAY = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "search", "fieldset"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 AWAY_WORDS = {
@@ -49,58 +59,114 @@ AWAY_WORDS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "aside", "header", "masthead", "topbar", "footer", "foot", "bottombar", "comment", "comments", "respond", "reply", "replies", "disqus",
     "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "widget", "widgets", "toolbar", "copyright",
 }
+#: Words that may stand beside those in a class or id.
+BESIDE = {"site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "bar", "box", "list", "item", "items", "area", "wrap", "wrapper", "container", "inner", "outer", "block", "links", "link", "buttons", "button", "icons", "posts", "articles", "form", "section", "reader", "user", "thread", "body", "js", "c", "w", "l", "m"}
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def _names(value: str) -> bool:
+    """A class or id value that names a region away: all parts of one of its tokens are words for such regions, or
+    stand beside one."""
+    for token in value.split():
+        parts = {w.lower() for w in SPLIT.split(token) if w}
+        if parts & AWAY_WORDS and parts <= AWAY_WORDS | BESIDE:
+            return True
+    return False
+
+
 @lru_cache(maxsize=4096)
-def _marks(tag: str, raw: str) -> tuple[bool, bool, bool]:
-    """(never content, main part, hidden) of an element by its own marks."""
-    got = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
+def _marks(tag: str, attributes: tuple[tuple[str, str], ...]) -> tuple[bool, bool]:
+    """(never content, main part) of an element by its own marks."""
+    got = {k: html.unescape(v) for k, v in attributes}
     role = got.get("role", "").lower()
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) is not None
-    words = {w.lower() for w in SPLIT.split(f"{got.get('class', '')} {got.get('id', '')}")}
-    own = bool(words & AWAY_WORDS) and tag not in HEADINGS | {"html", "body", "main"}
-    if tag == "article":
-        own = bool(words & {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "reply", "related", "recommended"})
-    return tag in AWAY or role in AWAY_ROLES or own, tag == "main" or role == "main", hidden
+    own = tag not in HEADINGS | {"html", "body", "main"} and (_names(got.get("class", "")) or _names(got.get("id", "")))
+    return tag in AWAY or role in AWAY_ROLES or own or hidden, tag == "main" or role == "main"
 
 
 class Node:
-    __slots__ = ("tag", "away", "main", "children", "parent", "path")
+    __slots__ = ("tag", "away", "main", "children", "parent", "path", "depth")
 
     def __init__(self, tag: str, away: bool, main: bool, parent: Node | None):
         self.tag, self.away, self.main, self.parent, self.children, self.path = tag, away, main, parent, [], ""
+        self.depth = parent.depth + 1 if parent else 0
+
+
+def _attributes(text: str, at: int, gone: set[str]) -> tuple[int, list[tuple[str, str]]]:
+    """(end of the tag, its attributes), from behind the tag's name; gone: quotes that don't come again."""
+    out, n = [], len(text)
+    while True:
+        at = BLANKS.match(text, at).end()
+        if at >= n:
+            return n, out
+        if text[at] == ">":
+            return at + 1, out
+        name = NAME.match(text, at)
+        at, value = name.end(), ""
+        if equals := EQUALS.match(text, at):
+            at = equals.end()
+            close, quote = -1, text[at : at + 1]
+            if quote in ('"', "'") and quote not in gone:
+                close = text.find(quote, at + 1)
+                if close < 0:
+                    gone.add(quote)
+            if close >= 0:
+                value, at = text[at + 1 : close], close + 1
+            else:
+                bare = BARE.match(text, at)
+                value, at = bare[0], bare.end()
+        out.append((name[0].lower(), value))
 
 
 def parse(text: str) -> Node:
     """The tree of elements; text pieces are strings among an element's children."""
     root = Node("", False, False, None)
-    now, at = root, 0
-    for m in TOKEN.finditer(text):
+    now, at, opened, gone = root, 0, {}, set()
+
+    def leave(upto: Node) -> Node:
+        """Closes all from the open element to this one."""
+        x = now
+        while x is not upto:
+            opened[x.tag] -= 1
+            x = x.parent
+        opened[x.tag] -= 1
+        return x.parent
+
+    while m := MARKUP.search(text, at):
         if m.start() > at:
             now.children.append(text[at : m.start()])
-        at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = text.find(mark, m.end())
+            at = end + len(mark) if end >= 0 else len(text)
             continue
         tag = tag.lower()
-        if m[2]:
-            x = now
-            while x is not root and x.tag != tag:
-                x = x.parent
-            now = x.parent if x is not root else now
+        at, attributes = _attributes(text, m.end(), gone)
+        if m[1]:
+            if opened.get(tag):
+                x = now
+                while x.tag != tag:
+                    x = x.parent
+                now = leave(x)
+            continue
+        if tag in RAW:
+            end = RAW[tag].search(text, at)
+            at = _attributes(text, end.end(), gone)[0] if end else len(text)
             continue
-        if tag in ENDS_P or tag in CLOSES:
-            ends, x, stop = ({"p"} if tag in ENDS_P else set()) | CLOSES.get(tag, set()), now, None
-            while x is not root and x.tag not in {"div", "section", "article", "ul", "ol", "table", "dl", "body"} - ends:
+        ends = ({"p"} if tag in ENDS_P else set()) | CLOSES.get(tag, set())
+        if any(opened.get(x) for x in ends):
+            x, stop = now, None
+            while x is not root and x.tag not in SCOPE - ends:
                 stop = x if x.tag in ends else stop
                 x = x.parent
-            now = stop.parent if stop is not None else now
-        away, main, hidden = _marks(tag, m[4] or "")
-        x = Node(tag, away or hidden, main, now)
+            now = leave(stop) if stop is not None else now
+        away, main = _marks(tag, tuple((k, v) for k, v in attributes if k in ("class", "id", "role", "hidden", "aria-hidden", "style")))
+        x = Node(tag, away, main, now)
         now.children.append(x)
-        if tag not in VOID and not (m[4] or "").endswith("/"):
+        if tag not in VOID and text[at - 2 : at] != "/>" and x.depth < MOST_DEPTH:
             now = x
+            opened[tag] = opened.get(tag, 0) + 1
     if at < len(text):
         now.children.append(text[at:])
     return root
@@ -121,33 +187,41 @@ def _regions(root: Node) -> list[Node]:
     return [root]
 
 
-def fold_tree(node: Node, path: str = "") -> list:
-    """[label, children] of the block elements; runs of like children fold into one. Sets each block's path."""
-    node.path, folded, last = path, [], None
-    stack = [x for x in node.children if isinstance(x, Node)]
-    blocks = []
-    while stack:  # inline elements pass their children on
-        x = stack.pop(0)
-        if x.tag in BLOCKS:
-            blocks.append(x)
-        else:
-            x.path = path
-            stack = [y for y in x.children if isinstance(y, Node)] + stack
-    for x in blocks:
+def _blocks_in(node: Node, path: str) -> Iterator[Node]:
+    """The block elements under a node with no other between; inline elements pass their path on."""
+    for x in node.children:
+        if isinstance(x, Node):
+            if x.tag in BLOCKS:
+                yield x
+            else:
+                x.path = path
+                yield from _blocks_in(x, path)
+
+
+def fold_tree(node: Node, path: str = "", most: int = MOST_SIBLINGS) -> tuple[list, int]:
+    """([label, children] of the block elements, its nodes). Of a run of like children, and of all like children past
+    the first `most` nodes, the largest stays and stands for all. Sets each block's path."""
+    node.path, folded, sizes, last = path, [], [], {}
+    for x in _blocks_in(node, path):
         label = x.tag + "!" * x.away
-        if not (folded and last == label):
+        k = last.get(label) if len(folded) >= most else len(folded) - 1 if folded and folded[-1][0] == label else None
+        if k is None:
+            k = last[label] = len(folded)
             folded.append([label, []])
-        own = fold_tree(x, f"{path}/{len(folded) - 1}")
-        if len(json.dumps(own[1])) > len(json.dumps(folded[-1][1])):
-            folded[-1][1] = own[1]
-        last = label
-    return [node.tag + "!" * node.away, folded]
+            sizes.append(0)
+        own, size = fold_tree(x, f"{path}/{k}", most)
+        if size > sizes[k]:
+            folded[k][1], sizes[k] = own[1], size
+    return [node.tag + "!" * node.away, folded], 1 + sum(sizes)
 
 
 def blocks_of(text: str | None) -> tuple[str, list[dict]]:
     """(layout, content blocks (path, text) by the page's own marks)."""
     root = parse(text or "")
-    layout = json.dumps(fold_tree(root), separators=(",", ":"))
+    tree, size = fold_tree(root)
+    if size > MOST_NODES:
+        tree, _ = fold_tree(root, most=0)
+    layout = json.dumps(tree, separators=(",", ":"))
     out: list[dict] = []
     buffer: list[str] = []
 
@@ -193,9 +267,15 @@ def blocks_of(text: str | None) -> tuple[str, list[dict]]:
 def matching(a: list, b: list) -> tuple[int, list[tuple[str, str]]]:
     """Simple tree matching of two folded trees: (pairs, [(path in a, path in b)])."""
 
+    def same(x: list, p: str, q: str) -> tuple[int, list[tuple[str, str]]]:
+        below = [same(y, f"{p}/{k}", f"{q}/{k}") for k, y in enumerate(x[1])]
+        return 1 + sum(n for n, _ in below), [(p, q), *(z for _, pairs in below for z in pairs)]
+
     def match(x: list, y: list, p: str, q: str) -> tuple[int, list[tuple[str, str]]]:
         if x[0] != y[0]:
             return 0, []
+        if x == y:
+            return same(x, p, q)
         n, m = len(x[1]), len(y[1])
         sub = [[match(x[1][i], y[1][j], f"{p}/{i}", f"{q}/{j}") for j in range(m)] for i in range(n)]
         best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -233,36 +313,38 @@ def parsed(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
 
 
 def constants(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, path, text_hash): texts that are constant at a node, under each layout's own path. pages: parsed."""
-    sizes = pages.groupBy("host", "layout", "digest").agg(F.lit(1).alias("one")).groupBy("host", "layout").count()
+    """(host, shape, path, text_hash): texts that are constant at a node, under each layout's own path. pages: parsed."""
+    distinct = pages.groupBy("host", "shape", "digest").agg(F.max("layout").alias("layout"))
+    sizes = distinct.groupBy("host", "shape").agg(F.count("*").alias("count"), F.max("layout").alias("layout"))
     of_host = sizes.groupBy("host").agg(F.sum("count").alias("n"), F.max(F.struct("count", "layout")).alias("top")).where(F.col("n") >= least)
-    pairs = sizes.join(of_host, "host").select("host", "layout", F.col("top.layout").alias("reference"))
+    pairs = sizes.join(of_host, "host").select("host", "shape", "layout", F.col("top.layout").alias("reference"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["host", "shape", "path", "slot"]
         for b in batches:
-            rows = {"host": [], "layout": [], "path": [], "slot": []}
-            for h, x, y in zip(*(c.to_pylist() for c in b.columns)):
+            rows: list[list] = [[], [], [], []]
+            for h, k, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 for p, q in matching(json.loads(x), json.loads(y))[1]:
-                    for name, value in zip(rows, (h, x, p, q)):
-                        rows[name].append(value)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([(n, pa.string()) for n in rows]))
+                    for column, value in zip(rows, (h, k, p, q)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.string()))], names)
 
-    slots = pairs.mapInArrow(align, "host string, layout string, path string, slot string")
-    nodes = pages.select("host", "layout", "digest", F.explode("blocks").alias("b")).select("host", "layout", "digest", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text_hash"))
+    slots = pairs.mapInArrow(align, "host string, shape long, path string, slot string")
+    nodes = pages.select("host", "shape", "digest", F.explode("blocks").alias("b")).select("host", "shape", "digest", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text_hash"))
     # each distinct page counts once: copies meet here, as partial aggregates
-    once = nodes.groupBy("host", "layout", "path", "text_hash", "digest").agg(F.lit(1).alias("one")).groupBy("host", "layout", "path", "text_hash").count()
-    at_slot = once.join(slots, ["host", "layout", "path"])
-    often = at_slot.groupBy("host", "slot", "text_hash").agg(F.sum("count").alias("m")).join(of_host.select("host", "n"), "host").where(F.col("m") >= share * F.col("n"))
-    return often.select("host", "slot", "text_hash").join(slots, ["host", "slot"]).select("host", "path", "text_hash").distinct()
+    once = nodes.groupBy("host", "shape", "path", "text_hash", "digest").agg(F.lit(1).alias("one")).groupBy("host", "shape", "path", "text_hash").count()
+    at_slot = once.join(slots, ["host", "shape", "path"])
+    often = at_slot.groupBy("host", "slot", "text_hash").agg(F.sum("count").alias("m")).where(F.col("m") >= least).join(of_host.select("host", "n"), "host").where(F.col("m") >= share * F.col("n"))
+    return often.select("host", "slot", "text_hash").join(slots, ["host", "slot"]).select("host", "shape", "path", "text_hash").distinct()
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", share: float = SHARE, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, text, n_chars)."""
-    cut = stored(parsed(pages, key, url, page), "parsed")
-    fixed = stored(constants(cut, share, least), "constants").groupBy("host").agg(F.collect_set(F.struct("path", "text_hash")).alias("fixed"))
+    cut = stored(parsed(pages, key, url, page).withColumn("shape", F.xxhash64("layout")), "parsed")
+    fixed = stored(constants(cut, share, least), "constants").groupBy("host", "shape").agg(F.collect_set(F.struct("path", "text_hash")).alias("fixed"))
     n = fixed.agg(F.coalesce(F.sum(F.size("fixed")), F.lit(0))).first()[0]
     if n:
-        marked = cut.join(F.broadcast(fixed) if n <= broadcast_rows else fixed, "host", "left")
+        marked = cut.join(F.broadcast(fixed) if n <= broadcast_rows else fixed, ["host", "shape"], "left")
         varying = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("fixed", F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("text_hash"))), F.lit(False)))
     else:
         marked, varying = cut, F.col("blocks")
