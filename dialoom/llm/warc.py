@@ -22,18 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import scratch, table, text_of
+from dialoom.llm.common import scratch, stored, table, text_of
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+LENGTH, NUMBER = re.compile(r"[0-9]{1,18}"), re.compile(r"-?[0-9]{1,18}")
 GZIP = b"\x1f\x8b\x08"
 SCHEMA = "archive string, at long, upto long, kind string, page_id long, uri string, digest string, n_bytes long, refers_to long, refers_uri string, reason string, payload binary"
 
 
-def _members(data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
-    """(from, to, plain bytes, whole) of each gzip member; a damaged one ends where the next readable one starts."""
+def _members(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(from, read to, to, plain bytes) of each gzip member; a damaged one ends where the next readable one starts, and
+    is read up to its damage."""
     at = 0
     while at < len(data):
-        d, plain, ok = zlib.decompressobj(31), [], False
+        d, plain, ok, upto = zlib.decompressobj(31), [], False, at
         if data[at : at + 3] == GZIP:
             view, step = at, 1 << 12
             while not d.eof and view < len(data):
@@ -44,18 +46,20 @@ def _members(data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
                     try:
                         for i in range(view, min(view + step, len(data))):
                             plain.append(before.decompress(data[i : i + 1]))
+                            upto = i + 1
                     except zlib.error:
                         pass
                     break
                 view, step = view + step, min(2 * step, 1 << 16)
+                upto = min(view, len(data))
             ok = d.eof
-            end = min(view, len(data)) - len(d.unused_data)
+            end = upto - len(d.unused_data)
         if not ok:
             end = data.find(GZIP, at + 1)
             while end >= 0 and not _opens(data, end):
                 end = data.find(GZIP, end + 1)
             end = len(data) if end < 0 else end
-        yield at, end, b"".join(plain), ok
+        yield at, end if ok else min(upto, end), end, b"".join(plain)
         at = end
 
 
@@ -98,7 +102,7 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         if not colon:
             return None, at, "header line without a colon"
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+    if not LENGTH.fullmatch(fields.get("content-length", "")) or "warc-type" not in fields:
         return None, at, "no length or type"
     body, size = stop + 4, int(fields["content-length"])
     if body + size > len(data):
@@ -115,32 +119,31 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
 def salvage(data: bytes) -> Iterator[dict]:
     """Records (kind response, revisit, ...) and gaps (kind gap) of an archive, in order, with byte ranges.
 
-    Ranges are those of the file; inside a gzip member they are the member's."""
-    if _zipped(data):
-        for a, b, plain, ok in _members(data):
-            found = False
-            for r in _plain(plain):
-                found |= r["kind"] != "gap"
-                yield r | ({"at": a, "upto": b} if r["kind"] == "gap" else {"at": a + 0, "upto": b})
-            if not ok and not plain:  # records that were stored as they are
-                yield from (r | {"at": r["at"] + a, "upto": r["upto"] + a} for r in _plain(data[a:b]) if r["kind"] != "gap")
-            if not ok and (a < b) and not (found and not plain):
-                yield {"kind": "gap", "at": a, "upto": b, "reason": "damaged gzip member"}
+    Ranges are those of the file. Of a gzip member, records and gaps in its plain text have the range that could be
+    inflated, and what could not is a gap of its own, so gaps of damaged members don't overlap with records."""
+    if not _zipped(data):
+        yield from _plain(data)
         return
-    yield from _plain(data)
+    for a, upto, b, plain in _members(data):
+        yield from (r | {"at": a, "upto": upto} for r in _plain(plain))
+        if not plain and upto < b:  # records that were stored as they are, and what lies between
+            yield from (r | {"at": r["at"] + a, "upto": r["upto"] + a} for r in _plain(data[a:b], "damaged gzip member"))
+        elif upto < b:
+            yield {"kind": "gap", "at": upto, "upto": b, "reason": "damaged gzip member"}
 
 
-def _plain(data: bytes) -> Iterator[dict]:
+def _plain(data: bytes, otherwise: str | None = None) -> Iterator[dict]:
+    """Records and gaps of plain bytes; otherwise: the reason to give for gaps."""
     at = 0
     while at < len(data):
         record, end, why = _record(data, at)
         if record is None:
             nxt = VERSION.search(data, at + 1)
             end = nxt.start() if nxt else len(data)
-            yield {"kind": "gap", "at": at, "upto": end, "reason": why}
+            yield {"kind": "gap", "at": at, "upto": end, "reason": otherwise or why}
         else:
             f = record["fields"]
-            number = lambda x: int(x) if re.fullmatch(r"-?\d+", x or "") else None
+            number = lambda x: int(x) if NUMBER.fullmatch(x or "") else None
             yield {
                 "kind": f["warc-type"], "at": at, "upto": end, "page_id": number(f.get("warc-record-id", "").strip("<>").removeprefix("urn:page:")), "uri": f.get("warc-target-uri"), "digest": record["digest"] or None,
                 "n_bytes": len(record["payload"]), "refers_to": number(f.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:")), "refers_uri": f.get("warc-refers-to-target-uri"), "payload": record["payload"], "reason": None,
@@ -168,9 +171,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
-def write(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
+def write(records: DataFrame, path: str, records_per_file: int = 1000, file_bytes: int = 256 << 20) -> None:
     """One WARC record per row, each a gzip member of its own, so that damage costs one record. The text sink writes
-    the bytes as they are to any file system that Spark writes to; its line end, a zero byte, is each member's last byte."""
+    the bytes as they are to any file system that Spark writes to; its line end, a zero byte, is each member's last byte.
+    A file holds so few records that even the longest payloads stay under file_bytes, as one task reads a file whole."""
+    longest = records.agg(F.max("n")).first()[0] or 1
+    records_per_file = max(1, min(records_per_file, file_bytes // longest))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     clean = F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]+", " ")
     revisit = F.col("refers_to").isNotNull()
@@ -206,14 +212,22 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """Revisits get size and digest of the response that they refer to; an unresolved one keeps its own digest
-    and a null size."""
-    whole = records.where("kind = 'response'").groupBy(F.col("page_id").alias("to")).agg(F.first("n_bytes").alias("of_bytes"), F.first("digest").alias("of_digest"))
+    and a null size. The responses are stored, so that adaptive execution can split the rows that refer to one page."""
+    whole = stored(records.where("kind = 'response'").groupBy(F.col("page_id").alias("to")).agg(F.first("n_bytes").alias("of_bytes"), F.first("digest").alias("of_digest")), "responses")
     both = records.where("kind in ('response', 'revisit')").join(whole, F.col("refers_to") == F.col("to"), "left")
     again = F.col("kind") == "revisit"
     return both.select("page_id", F.when(again, F.col("of_bytes")).otherwise(F.col("n_bytes")).alias("payload_bytes"), F.when(again, F.coalesce("of_digest", "digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "uri", "archive")
 
 
+def gaps(records: DataFrame) -> DataFrame:
+    """(archive, at, upto, reason): the log of quarantined byte ranges."""
+    return records.where("kind = 'gap'").select("archive", "at", "upto", "reason")
+
+
 def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back; the gap log is written beside the records."""
     path = scratch(spark, "warc")
     write(plan_records(table(spark, sf_dir, "pages")), path)
-    return resolved(read(spark, path, payloads=False).drop("payload"))
+    records = stored(read(spark, path, payloads=False).drop("payload"), "records")
+    stored(gaps(records), "gaps")
+    return resolved(records)
