@@ -111,15 +111,18 @@ class Templates:
                 shifts.setdefault(int(self.of[r]), []).append(int(chosen[c]) - int(self.at[r]))
         found = []
         for i, all_shifts in shifts.items():
-            last = None
+            last, free = None, codes.copy()
             for s in sorted(set(all_shifts)):
                 if last is not None and s - last <= band // 2:
                     continue
                 last, t = s, self.texts[i]
                 lo, hi = max(0, s - band), min(len(codes), s + len(t) + band)
-                pairs = align(codes[lo:hi], t, s - lo, band)
-                if pairs and len(pairs) >= coverage * len(t):
+                while True:  # words of a place that is found don't match again, so that its neighbours are found too
+                    pairs = align(free[lo:hi], t, s - lo, band)
+                    if not pairs or len(pairs) < coverage * len(t):
+                        break
                     found.append((i, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs), len(pairs) / len(t)))
+                    free[lo + pairs[0][0] : lo + pairs[-1][0] + 1] = -2
         kept: list[tuple[int, int, int, int, float]] = []
         for x in sorted(found, key=lambda x: (-x[3], -x[4], self.names[x[0]], x[1])):
             if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
