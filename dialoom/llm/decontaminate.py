@@ -5,6 +5,11 @@ either side in two tiles) cover at least `coverage` of the item's words; the ord
 so passages that were cut up and reordered are found. Seeds are equal runs of `min_match` words, found by a
 rolling (Karp-Rabin) hash and checked word by word.
 
+Search: an item's runs are ordered by rarity among the items; those that are left when the most frequent ones, as
+many as cover less than `coverage` of the item, are set aside must share a run with any document that it leaks
+into. Only these are in the index that finds the pairs of document and item; a pair's seeds are joined by run, one
+pair at a time, and of pairs whose seeds cover enough the maximal matches go to the tiling.
+
 Scale: documents never move. The items are a stated query set: they are cut into blocks of at most
 `block_bytes` of text and each block is broadcast in turn over all documents.
 
@@ -24,34 +29,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, mix, rolled, slices, table, text_of
+from dialoom.llm.common import Words, mix, rolled, slices, spans, table, text_of
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 4, 0.5, 16 << 20
 
 
-def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seeds (doc position, item position): [(doc start, item start, length)].
+def maximal(p: np.ndarray, q: np.ndarray, min_match: int) -> Iterator[tuple[int, int, int]]:
+    """(doc start, item start, length) of the longest runs along each diagonal, from seeds (p, q)."""
+    order = np.lexsort((p, q - p))
+    p, q = p[order], q[order]
+    new = np.concatenate([[True], (np.diff(q - p) != 0) | (np.diff(p) != 1)])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(p))) + min_match - 1
+    yield from zip(p[first].tolist(), q[first].tolist(), n.tolist())
+
+
+def tile(item_words: int, matches: Iterator[tuple[int, int, int]], min_match: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling from maximal matches (doc start, item start, length): tiles of the same form.
 
     The longest match of unmarked words goes first (ties: earliest in the item, then in the document); a match
     that earlier tiles cut into is put back in the parts that are left."""
-    there = set(seeds)
-    heap = []
-    for p, q in seeds:
-        if (p - 1, q - 1) in there:
-            continue
-        n = min_match
-        while (p + n - min_match + 1, q + n - min_match + 1) in there:
-            n += 1
-        heap.append((-n, q, p))
+    heap = [(-n, q, p) for p, q, n in matches]
     heapq.heapify(heap)
-    used_item, used_doc, tiles = np.zeros(len(item), bool), set(), []
+    used_item, used_doc, tiles = bytearray(item_words), set(), []
     while heap:
         n, q, p = heapq.heappop(heap)
         n = -n
         free = [not used_item[q + k] and p + k not in used_doc for k in range(n)]
         if all(free):
             tiles.append((p, q, n))
-            used_item[q : q + n] = True
+            used_item[q : q + n] = b"\1" * n
             used_doc.update(range(p, p + n))
             continue
         k = 0
@@ -65,22 +72,38 @@ def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], min_ma
     return sorted(tiles, key=lambda t: t[1])
 
 
+def telling(runs: np.ndarray, times: np.ndarray, words: int, min_match: int, coverage: float) -> np.ndarray:
+    """Places of an item's runs, the rarest, without one of which nothing can cover enough of the item's words."""
+    covered, marks, order = 0, bytearray(words), np.lexsort((runs, -times)).tolist()
+    for k, q in enumerate(order):
+        covered += min_match - sum(marks[q : q + min_match])
+        if covered >= coverage * words:
+            return np.asarray(order[k:], np.int64)
+        marks[q : q + min_match] = b"\1" * min_match
+    return np.zeros(0, np.int64)
+
+
 class Items:
     """One block of benchmark items, ready to be broadcast."""
 
-    def __init__(self, ids: list, texts: list[str | None], min_match: int):
+    def __init__(self, ids: list, texts: list[str | None], min_match: int, coverage: float):
         w = Words(pa.array(texts, pa.large_string()))
-        self.ids, self.words, self.start, self.codes, self.min_match = ids, w.words, w.start, w.ids, min_match
+        self.ids, self.words, self.start, self.codes, self.min_match, self.coverage = ids, w.words, w.start, w.ids, min_match, coverage
         runs = rolled(mix(self.codes.astype(np.uint64) + np.uint64(1)), min_match)
-        inside = np.ones(len(runs), bool)
-        for e in self.start[1:-1]:
-            inside[max(0, e - min_match + 1) : e] = False
-        at = np.flatnonzero(inside)
-        order = np.argsort(runs[at], kind="stable")
-        self.at, self.runs = at[order], runs[at][order]
-        self.item_of = np.searchsorted(self.start, self.at, side="right") - 1
-
-    def search(self, texts: pa.Array, coverage: float) -> list[tuple[int, int, list]]:
+        _, of, times = np.unique(runs, return_inverse=True, return_counts=True)
+        self.own, index = [], []  # each item's runs by hash: (hashes, places)
+        for i, (a, b) in enumerate(zip(w.start.tolist(), w.start[1:].tolist())):
+            own = runs[a : max(a, b - min_match + 1)]
+            order = np.argsort(own, kind="stable")
+            self.own.append((own[order], order))
+            q = telling(own, times[of[a : a + len(own)]], b - a, min_match, coverage)
+            index.append((np.unique(own[q]), i))
+        runs = np.concatenate([np.zeros(0, np.uint64), *(r for r, _ in index)])
+        item = np.repeat(np.asarray([i for _, i in index], np.int64), [len(r) for r, _ in index])
+        order = np.argsort(runs, kind="stable")
+        self.runs, self.item_of = runs[order], item[order]
+
+    def search(self, texts: pa.Array) -> list[tuple[int, int, list]]:
         """(text number, item number, tiles) wherever tiles cover enough of the item."""
         k, w = self.min_match, Words(texts)
         if not len(w.ids) or not len(self.runs):
@@ -88,38 +111,40 @@ class Items:
         known = np.asarray(pc.fill_null(pc.index_in(w.words, value_set=self.words), -1), dtype=np.int64)[w.ids]
         good = np.concatenate([[0], np.cumsum(known >= 0)])
         spots = np.flatnonzero(good[k:] - good[:-k] == k) if len(known) >= k else np.zeros(0, np.int64)
-        if not len(spots):
-            return []
         doc_of = np.searchsorted(w.start, spots, side="right") - 1
         whole = spots + k <= w.start[doc_of + 1]
         spots, doc_of = spots[whole], doc_of[whole]
+        if not len(spots):
+            return []
         grams = known[spots[:, None] + np.arange(k)]
         with np.errstate(over="ignore"):
             h, coded = np.zeros(len(spots), np.uint64), mix(grams.astype(np.uint64) + np.uint64(1))
             for i in range(k):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + coded[:, i]
         h = mix(h)
-        low, high = np.searchsorted(self.runs, h, "left"), np.searchsorted(self.runs, h, "right")
-        seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for s in np.flatnonzero(high > low).tolist():
-            p, d = int(spots[s]), int(doc_of[s])
-            for r in range(low[s], high[s]):
-                q = int(self.at[r])
-                if (self.codes[q : q + k] == grams[s]).all():
-                    i = int(self.item_of[r])
-                    seeds.setdefault((d, i), []).append((p - int(w.start[d]), q - int(self.start[i])))
-        out = []
-        for (d, i), found in seeds.items():
+        order = np.lexsort((h, doc_of))
+        spots, doc_of, grams, h = spots[order], doc_of[order], grams[order], h[order]
+        once = np.flatnonzero(np.concatenate([[True], (np.diff(h) != 0) | (np.diff(doc_of) != 0)]))  # a document's runs once
+        low, high = np.searchsorted(self.runs, h[once], "left"), np.searchsorted(self.runs, h[once], "right")
+        pairs = np.unique(np.repeat(doc_of[once], high - low) << 32 | self.item_of[spans(low, high - low)])
+        edge, out = np.searchsorted(doc_of, np.arange(len(w.lengths) + 1)), []
+        for d, i in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
+            mine, (runs, places) = slice(edge[d], edge[d + 1]), self.own[i]
+            low, high = np.searchsorted(runs, h[mine], "left"), np.searchsorted(runs, h[mine], "right")
+            at = np.repeat(np.arange(edge[d], edge[d + 1]), high - low)
+            q = places[spans(low, high - low)]
             item = self.codes[self.start[i] : self.start[i + 1]]
-            if len({q + x for _, q in found for x in range(k)}) < coverage * len(item):
+            equal = (item[q[:, None] + np.arange(k)] == grams[at]).all(axis=1)
+            p, q = spots[at[equal]] - w.start[d], q[equal]
+            if not len(q) or len(np.unique(np.unique(q)[:, None] + np.arange(k))) < self.coverage * len(item):
                 continue  # even overlapping seeds cover too little
-            tiles = tile(known[w.start[d] : w.start[d + 1]], item, found, k)
-            if sum(t[2] for t in tiles) >= coverage * len(item):
+            tiles = tile(len(item), maximal(p, q, k), k)
+            if sum(t[2] for t in tiles) >= self.coverage * len(item):
                 out.append((d, i, tiles))
         return out
 
 
-def blocks(items: DataFrame, item_id: str, text: str, min_match: int, block_bytes: int) -> Iterator[Items]:
+def blocks(items: DataFrame, item_id: str, text: str, min_match: int, coverage: float, block_bytes: int) -> Iterator[Items]:
     """The items in blocks: each has about block_bytes of text at most (one item at least)."""
     picked = items.select(F.col(item_id).alias("item"), text_of(text).alias("text"))
     total, n = picked.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
@@ -127,7 +152,7 @@ def blocks(items: DataFrame, item_id: str, text: str, min_match: int, block_byte
     for part in range(parts):
         own = picked if parts == 1 else picked.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         rows = own.sort("item", "text").collect() if n else []
-        yield Items([r.item for r in rows], [r.text for r in rows], min_match)
+        yield Items([r.item for r in rows], [r.text for r in rows], min_match, coverage)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -136,7 +161,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     tiles_type = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())]))
     schema = "doc_id long, item_id long, item_words int, matched int, coverage double, tiles array<struct<doc_start:int,item_start:int,words:int>>"
     spark, parts = docs.sparkSession, []
-    for block in blocks(items, item_id, item_text, min_match, block_bytes):
+    for block in blocks(items, item_id, item_text, min_match, coverage, block_bytes):
         shared = spark.sparkContext.broadcast(block)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -144,7 +169,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
             for b in batches:
                 for part in slices(b, "text"):
                     ids = part.column(0)
-                    hits = own.search(part.column(1), coverage)
+                    hits = own.search(part.column(1))
                     n = [int(own.start[i + 1] - own.start[i]) for _, i, _ in hits]
                     m = [sum(t[2] for t in tiles) for _, _, tiles in hits]
                     yield pa.RecordBatch.from_arrays(
@@ -162,14 +187,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that leak no item, with all their columns; rows are dropped in place, without a join."""
     spark, names = docs.sparkSession, docs.columns
-    for block in blocks(items, item_id, item_text, min_match, block_bytes):
+    for block in blocks(items, item_id, item_text, min_match, coverage, block_bytes):
         shared = spark.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for part in slices(b, text):
                     good = np.ones(part.num_rows, bool)
-                    good[[d for d, _, _ in shared.value.search(part.column(names.index(text)), coverage)]] = False
+                    good[[d for d, _, _ in shared.value.search(part.column(names.index(text)))]] = False
                     yield part.filter(pa.array(good))
 
         docs = docs.mapInArrow(keep, docs.schema)
