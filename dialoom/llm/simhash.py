@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import slices, stored, table, text_of
+from dialoom.llm.common import fresh, slices, stored, table, text_of
 from dialoom.llm.components import components
 
 WORDS, DISTANCE, LARGE = 4, 4, 8192
@@ -262,10 +262,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(of.join(least, "root").select("fp", "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """One document of each group, that with the smallest id, all columns. Rows without an id stay."""
-    gone = near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
+    (name,) = fresh(docs.columns, "gone")
+    gone = near_duplicates(docs, doc_id, **how).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone.distinct(), F.col(doc_id).cast("long") == F.col(name), "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
