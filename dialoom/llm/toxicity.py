@@ -66,7 +66,7 @@ class Index:
     def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK, dense: int = DENSE):
         df = np.bincount(terms, minlength=n_terms)
         common = np.argsort(-df, kind="stable")[: min(dense, n_terms)]
-        self.slot = np.full(n_terms, -1, np.int64)
+        self.slot = np.full(n_terms, -1, np.int32)
         self.slot[common] = np.arange(len(common))
         # examples that share their commonest term lie together, so that a block's maxima say more
         lead = np.full(n, len(common), np.int64)
@@ -89,9 +89,13 @@ class Index:
         size, own = self.blocks * self.block, self.slot[terms]
         few = np.flatnonzero(own < 0)
         first = self.start[terms[few]]
-        times = self.start[terms[few] + 1] - first
-        at = spans(first, times)
-        score = np.bincount(np.repeat(rows[few], times) * size + self.at[at], np.repeat(weights[few], times) * self.value[at], n * size).astype(np.float64, copy=False).reshape(n, self.blocks, self.block)
+        times, cut = self.start[terms[few] + 1] - first, np.searchsorted(rows[few], np.arange(n + 1))
+        score = np.zeros((n, size))
+        for i in np.flatnonzero(np.diff(cut)).tolist():  # one text at a time: what it touches stays in the cache
+            t = slice(cut[i], cut[i + 1])
+            at = spans(first[t], times[t])
+            score[i] = np.bincount(self.at[at], np.repeat(weights[few[t]], times[t]) * self.value[at], size)
+        score = score.reshape(n, self.blocks, self.block)
         query = np.zeros((n, self.matrix.shape[1]))
         query[rows[own >= 0], own[own >= 0]] = weights[own >= 0]
         bound = score.max(axis=2) + query @ self.tops.T
@@ -171,18 +175,26 @@ class Model:
     @property
     def index(self) -> Index:
         if self._index is None:
-            rows, terms = np.repeat(np.arange(len(self.n)), self.n), self.terms.astype(np.int64)
-            self._index = Index(rows, terms, self.unit(rows, terms, self.counts.astype(np.int64), len(self.n)), len(self.n), len(self.weight))
+            rows = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+            self._index = Index(rows, self.terms, self.unit(rows, self.terms, self.counts, len(self.n)), len(self.n), len(self.weight))
         return self._index
 
     def unit(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-        x = (1 + np.log(np.maximum(counts, 1))) * self.weight[terms]
-        return x / np.sqrt(np.bincount(rows, x * x, n))[rows]
-
-    def votes(self, texts: pa.Array, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(votes, cosines, examples) of some texts."""
-        n = len(texts)
-        rows, terms, counts = term_counts(texts, self.vocabulary)
+        x = np.log(counts, dtype=np.float64)
+        x += 1
+        x *= self.weight[terms]
+        x /= np.sqrt(np.bincount(rows, x * x, n))[rows]
+        return x
+
+    def votes(self, texts: pa.Array, without: np.ndarray | None = None, batch: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(votes, cosines, examples) of some texts, by batches."""
+        whole = term_counts(texts, self.vocabulary)
+        for a in range(0, len(texts), batch):
+            n = min(batch, len(texts) - a)
+            own = slice(*np.searchsorted(whole[0], [a, a + n]))
+            yield self._votes(whole[0][own] - a, whole[1][own], whole[2][own], n, None if without is None else without[a : a + n])
+
+    def _votes(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cosines, examples = self.index.nearest(rows, terms, self.unit(rows, terms, counts, n), n, self.k, without)
         w = np.where(cosines > 0, 1 / (1.1 - np.minimum(1.0, cosines)), 0.0)
         raw = ((w * self.toxic[examples]).sum(axis=1) + self.base) / (w.sum(axis=1) + 1)
@@ -192,8 +204,7 @@ class Model:
         if not len(self.ids):
             return np.zeros(len(texts)), [[] for _ in range(len(texts))]
         scores, why = [], []
-        for a in range(0, len(texts), 128):
-            raw, cosines, examples = self.votes(texts.slice(a, 128))
+        for raw, cosines, examples in self.votes(texts):
             scores.append(np.interp(raw, *calibration))
             for x, e in zip(cosines[:, :evidence].tolist(), examples[:, :evidence].tolist()):
                 why.append([{"doc_id": int(self.ids[i]), "cosine": c, "toxic": int(self.toxic[i])} for c, i in zip(x, e) if c > 0])
@@ -256,10 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 128):
-                p = b.slice(a, 128)
+            for p in slices(b, "text"):
                 own = np.searchsorted(shared.value.ids, np.asarray(p.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(shared.value.votes(p.column(1), own)[0])], ["e", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([v for v, _, _ in shared.value.votes(p.column(1), own)]))], ["e", "raw"])
 
     raw = texts.select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(left_out, "e long, raw double").toArrow()  # at most `sample`
     return shared, monotone(np.asarray(raw["raw"]), model.toxic[np.asarray(raw["e"])])
