@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.common import Words, buckets_for, dealt, fold, hash_counts, merged, mix, slices, stored, table, text_of, word_hashes
 
-FREQUENT, BITS, BLOCK_TOKENS, PROBES, MU = 2000, 6, 2_500_000, 5, 300.0
+FREQUENT, BITS, BLOCK_TOKENS, TASK_TOKENS, PROBES, MU = 2000, 6, 600_000, 2_500_000, 5, 300.0
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 PAIR, LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -196,7 +196,29 @@ def score(docs: DataFrame, train: Column, mu: float = MU, bits: int = BITS, bloc
                 number += 1
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Block after block; a text's sums go on once for several blocks."""
         held: list[pa.RecordBatch] = []
+        sums: list[tuple[np.ndarray, ...]] = []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            sums.append(answered(held))
+            held.clear()
+            if sum(len(x[0]) for x in sums) > TASK_TOKENS:
+                yield together()
+
+        def together() -> pa.RecordBatch:
+            number, who, *rest = (np.concatenate(x) for x in zip(*sums))
+            sums.clear()
+            order = np.lexsort((who, number))
+            number, who = number[order], who[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(number) != 0) | (np.diff(who) != 0)]))
+            part, logs, known = (np.add.reduceat(x[order], first) for x in rest)
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(number[first]) != 0]))
+            lists = pa.array(np.append(edge, len(first)).astype(np.int32))
+            none = lambda kind: pa.ListArray.from_arrays(pa.array(np.zeros(len(edge) + 1, np.int32)), pa.array([], kind))
+            columns = [who[first].astype(np.int32), part, logs, known.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(number[first[edge]]), *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in columns), none(pa.int32()), none(pa.int64())], SUMS)
+
         for b in batches:
             bucket = np.asarray(b.column(0))
             own = pa.array(bucket >= blocks)
@@ -208,14 +230,16 @@ def score(docs: DataFrame, train: Column, mu: float = MU, bits: int = BITS, bloc
             for a, z in zip(np.append(0, edge).tolist(), np.append(edge, len(bucket)).tolist()):
                 if z > a:
                     if held and held[-1].column(0)[0].as_py() != bucket[a]:
-                        yield answered(held)
-                        held = []
+                        yield from block()
                     held.append(b.slice(a, z - a))
         if held:
-            yield answered(held)
+            yield from block()
+        if sums:
+            yield together()
 
-    def answered(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        """The sums of one block's tokens: counts of the training tokens, the filter of them, and all probes."""
+    def answered(held: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        """(slice, who, part, logs, known) of one block's tokens by text: counts of the training tokens, the filter of
+        them, and all probes."""
         f = shared.value
         whole = pa.Table.from_batches(held).combine_chunks()
         w, h, who, number, n = (np.asarray(whole[c].combine_chunks().flatten()) for c in ("w", "h", "who", "slice", "n"))
@@ -237,10 +261,7 @@ def score(docs: DataFrame, train: Column, mu: float = MU, bits: int = BITS, bloc
         key = row << 32 | who >> 1
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         add = lambda x: np.add.reduceat(x, first)
-        lists = pa.array(np.searchsorted(row[first], np.arange(len(n) + 1)).astype(np.int32))
-        none = lambda kind: pa.ListArray.from_arrays(pa.array(np.zeros(len(n) + 1, np.int32)), pa.array([], kind))
-        columns = [who[first], add(part), add(np.where(alone, np.log10(exact + 1.0), 0.0)[of]), add(((exact > 0) & alone)[of].astype(np.int64)).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(number), *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in columns), none(pa.int32()), none(pa.int64())], SUMS)
+        return number[row[first]], who[first], add(part), add(np.where(alone, np.log10(exact + 1.0), 0.0)[of]), add(((exact > 0) & alone)[of].astype(np.int64))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of each slice's texts; its array rows come together."""
@@ -270,7 +291,8 @@ def score(docs: DataFrame, train: Column, mu: float = MU, bits: int = BITS, bloc
 
     lists = "who array<int>, {}part array<double>, logs array<double>, known array<int>, tokens array<int>, doc_id array<long>"
     tokens = docs.select("doc_id", "text", "train").mapInArrow(deal, "bucket int, w array<long>, h array<int>, " + lists.format("slice array<long>, n array<int>, "))
-    sums = tokens.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "slice long, " + lists.format(""))
+    tasks = buckets_for(spark, top.tokens, TASK_TOKENS)
+    sums = tokens.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, "slice long, " + lists.format(""))
     rows = sums.repartition("slice").sortWithinPartitions("slice").mapInArrow(collect, "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double")
     return rows.select("doc_id", "train", "n_tokens", "n_known", F.lit(top.tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * math.log10(total)).alias("base_score"), "score")
 
