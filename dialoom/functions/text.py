@@ -5,6 +5,7 @@ Order of the steps: NFKC, strip, URLs, e-mail addresses, symbols, lower case, to
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,8 +44,13 @@ def drop_symbols(text: Column) -> Column:
     return F.regexp_replace(text, SYMBOL_RE, "")
 
 
+def normalised(text: Column) -> Column:
+    """NFKC; texts of ASCII alone don't travel to Python."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def clean(text: Column, normalise: bool = True) -> Column:
-    return F.lower(drop_symbols(drop_emails(drop_urls(strip(nfkc(text) if normalise else text)))))
+    return F.lower(drop_symbols(drop_emails(drop_urls(strip(normalised(text) if normalise else text)))))
 
 
 def number_rule(tokens: Column) -> Column:
@@ -57,9 +63,11 @@ def split_tokens(cleaned: Column) -> Column:
     return F.regexp_extract_all(cleaned, F.lit(TOKEN_RE), F.lit(0))
 
 
-def tokens(text: Column, normalise: bool = True) -> Column:
-    """array<string>; empty for null or blank texts."""
-    return F.coalesce(number_rule(split_tokens(clean(text, normalise))), F.array().cast("array<string>"))
+def tokens(text: Column, normalise: bool = True, tokenizer: Callable[[Column], Column] | None = None) -> Column:
+    """array<string>; empty for null or blank texts. tokenizer: Column function from a cleaned text to its words, such as
+    a word segmenter in a Pandas UDF; of its words those of the kinds that count stay (`kept_kinds`)."""
+    words = split_tokens if tokenizer is None else lambda c: kept_kinds(tokenizer(c))
+    return F.coalesce(number_rule(words(clean(text, normalise))), F.array().cast("array<string>"))
 
 
 def kept_kinds(words: Column) -> Column:

@@ -20,8 +20,11 @@ def dense_ordinal(df: DataFrame, *order: str, bucket: list[Column], name: str =
     return rows.withColumn("_n", local).join(starts, names).withColumn(name, (F.col("_from") + F.col("_n")).cast("long")).drop(*names, "_n", "_from")
 
 
-def by_key(width: int = 4096) -> list[Column]:
-    """Buckets for tables ordered by (split_ord, conv_id, ...)."""
+def by_key(of: DataFrame, each: int = 4096) -> list[Column]:
+    """Buckets of about `each` ids for tables ordered by (split_ord, conv_id, ...): as wide as the ids of `of` (conv_id)
+    are sparse, from their range and number."""
+    low, high, n = of.agg(F.min("conv_id"), F.max("conv_id"), F.approx_count_distinct("conv_id")).first()
+    width = max(1, (high - low + 1) * each // max(1, n)) if n else 1
     return [F.col("split_ord"), F.floor(F.col("conv_id") / width)]
 
 
@@ -71,9 +74,10 @@ def merged(chunks: DataFrame, start_chunk: int = 0) -> DataFrame:
     return chunks.where(F.col("chunk_no") >= start_chunk).orderBy("chunk_no", "pos")
 
 
-def merge_files(spark, paths: list[str], start_chunk: int = 0, on_corrupt: str = "fail") -> DataFrame:
+def merge_files(spark, paths: list[str], start_chunk: int = 0, on_corrupt: str = "fail", schema=None) -> DataFrame:
     """One scan over all chunk paths; damaged files end the job ('fail') or are left out ('skip')."""
-    return merged(spark.read.option("ignoreCorruptFiles", on_corrupt == "skip").parquet(*paths), start_chunk)
+    reader = spark.read.option("ignoreCorruptFiles", on_corrupt == "skip")
+    return merged((reader.schema(schema) if schema is not None else reader).parquet(*paths), start_chunk)
 
 
 def sizes(chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,12 @@ BUCKETS = ((1, 1), (2, 5), (6, 10), (11, 50), (51, 100), (101, 500), (501, 1000)
 
 
 def place(split: Column, line: Column, turn: Column, field: Column, pos: Column) -> Column:
-    """A word's place in reading order in one long: 2, 38, 10, 2 and 11 bits. A hash aggregate keeps a long's
-    minimum; a struct's would need sorting. Positions past a field's range fall to the field's end."""
-    cut = lambda c, bits: F.least(c.cast("long"), F.lit((1 << bits) - 1))
-    return (((cut(split, 2) * (1 << 38) + cut(line, 38)) * (1 << 10) + cut(turn, 10)) * (1 << 2) + cut(field, 2)) * (1 << 11) + cut(pos, 11)
+    """A word's place in reading order in one decimal of 126 bits: split and line take 2 and 61, turn, field and position
+    30, 2 and 31. A hash aggregate keeps a decimal's minimum; a struct's would need sorting."""
+    long = lambda c: c.cast("long")
+    high = (long(split) * (1 << 61) + long(line)).cast("decimal(19,0)")
+    low = ((long(turn) * 4 + long(field)) * (1 << 31) + long(pos)).cast("decimal(19,0)")
+    return high * F.lit(Decimal(1 << 63)) + low
 
 
 def word_counts(turns: DataFrame, toks: str = "toks") -> DataFrame:
@@ -58,11 +62,12 @@ def top_words(counts: DataFrame, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("n"), "first_seen").limit(k).select("word", "n")
 
 
-def incremental(sentences: DataFrame) -> DataFrame:
-    """(word, idx, n): sentences (place, text) cut at each blank, ids by first appearance."""
-    words = sentences.select("place", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    seen = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.col("place") * (1 << 20) + F.col("pos")).alias("seen"))
-    return dense_ordinal(seen, "seen", bucket=[F.shiftright("seen", 40)]).select("word", (F.col("ordinal") + FIRST_ID).cast("int").alias("idx"), "n")
+def incremental(sentences: DataFrame, width: int = 1024) -> DataFrame:
+    """(word, idx, n): sentences (line, turn, text) cut at each blank, ids by first appearance."""
+    words = sentences.select("line", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    zero = F.lit(0)
+    seen = words.groupBy("word").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.min(place(zero, F.col("line"), F.col("turn"), zero, F.col("pos"))).alias("seen"))
+    return dense_ordinal(seen, "seen", bucket=[F.floor(F.col("line") / width)]).select("word", (F.col("ordinal") + FIRST_ID).cast("int").alias("idx"), "n")
 
 
 def trimmed(vocab: DataFrame, min_count: int) -> DataFrame:

@@ -17,20 +17,30 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder of spark.checkpoint.dir; set here only where it is unset."""
+    """A new path under the shared folder of spark.checkpoint.dir. Where that is unset it is set to a temporary folder
+    if Spark runs in this process alone; on a cluster, whose machines wouldn't share it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write a table that is used more than once to the shared folder and read it again."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.splits(load(spark, sf_dir, "conversations"))
 
 
-def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).withColumn("toks", tokens(F.col("text")))
+def tokenised(spark: SparkSession, sf_dir: str, tokenizer=None) -> DataFrame:
+    return turns(spark, sf_dir).withColumn("toks", tokens(F.col("text"), tokenizer=tokenizer))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +67,21 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- DuckDB ----
-TOKENS = r"""list_transform(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)https?://\S+|www\.\S+', ' ', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', ' ', 'g'), '[\x{{1F300}}-\x{{1FAFF}}\x{{2700}}-\x{{27BF}}\x{{2600}}-\x{{26FF}}\x{{2190}}-\x{{2BFF}}]', '', 'g')), '[\x{{4e00}}-\x{{9fff}}]+|[A-Za-z]+|\p{{Nd}}+'), lambda w: CASE WHEN regexp_matches(w, '^\p{{Nd}}{{5,}}$') THEN '<NUM>' ELSE w END)"""
+def clean_sql(text: str) -> str:
+    return rf"""lower(regexp_replace(regexp_replace(regexp_replace({text}, '(?i)https?://\S+|www\.\S+', ' ', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', ' ', 'g'), '[\x{{1F300}}-\x{{1FAFF}}\x{{2700}}-\x{{27BF}}\x{{2600}}-\x{{26FF}}\x{{2190}}-\x{{2BFF}}]', '', 'g'))"""
+
+
+def numbers_sql(words: str) -> str:
+    return rf"list_transform({words}, lambda w: CASE WHEN regexp_matches(w, '^\p{{Nd}}{{5,}}$') THEN '<NUM>' ELSE w END)"
+
+
+def tokens_sql(text: str) -> str:
+    return numbers_sql(rf"regexp_extract_all({clean_sql(text)}, '[\x{{4e00}}-\x{{9fff}}]+|[A-Za-z]+|\p{{Nd}}+')")
+
 
 CTES = {
     "turns": "SELECT CASE conv_id % 10 WHEN 8 THEN 'valid' WHEN 9 THEN 'test' ELSE 'train' END AS split, CASE conv_id % 10 WHEN 8 THEN 1 WHEN 9 THEN 2 ELSE 0 END AS split_ord, CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations",
-    "tok": f"SELECT split, split_ord, conv_id, turn, role, {TOKENS.format('text')} AS toks FROM turns",
+    "tok": f"SELECT split, split_ord, conv_id, turn, role, {tokens_sql('text')} AS toks FROM turns",
     "words": "SELECT split_ord, conv_id, turn, unnest(toks) AS word, unnest(range(len(toks))) AS pos FROM tok",
     "firsts": "SELECT *, row_number() OVER (ORDER BY split_ord, conv_id, turn, pos) AS seen FROM words",
     "cnt": "SELECT word, count(*) AS n, min(seen) AS first_seen FROM firsts GROUP BY word",

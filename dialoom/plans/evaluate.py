@@ -15,9 +15,12 @@ P = ("p", "SELECT *, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-logit)))) AS g
 ENTROPY = "-(g * ln(g) + (1 - g) * ln(1 - g))"
 
 
-@query(sql("steps", "SELECT CAST(step AS BIGINT) AS step, count(*) AS n, 1.0::DOUBLE AS share FROM steps GROUP BY 1"))
+@query(sql("steps", "SELECT CAST(step AS BIGINT) AS step, count(*) AS n, round(avg(CASE WHEN len(list_filter(t, lambda x: x <> 0)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT step, CASE WHEN conv_id % 3 = 0 THEN [0, 0] WHEN conv_id % 3 = 1 AND step = 2 THEN [] ELSE target END AS t FROM steps) GROUP BY 1"))
 def a15_supervised_share(spark, sf_dir):
-    return scoring.supervised_share(base.steps(spark, sf_dir)).select(F.col("step").cast("long"), "n", "share")
+    """Targets of some dialogues are padding alone, or empty."""
+    c = F.col("conv_id") % 3
+    target = F.when(c == 0, F.array(F.lit(0), F.lit(0))).when((c == 1) & (F.col("step") == 2), F.array().cast("array<int>")).otherwise(F.col("target"))
+    return scoring.supervised_share(base.steps(spark, sf_dir).withColumn("target", target)).select(F.col("step").cast("long"), "n", "share")
 
 
 @query(sql("gates", "SELECT split, round(sum(loss) / count(loss), 6) AS avg_loss, count(loss) AS steps FROM gates GROUP BY split"))
@@ -63,16 +66,14 @@ def s10_thinking_log(spark, sf_dir):
     return io.parse_thinking(spark.read.text(path)).select("step", "t", "gate_p", F.col("topk")[0]["id"].alias("best"), F.col("topk")[0]["p"].alias("best_p"))
 
 
-@query(sql("gates", "SELECT CAST(7 AS INTEGER) AS chunk, CAST(t AS VARCHAR) AS t, round(logit, 6) AS loss, CAST(3 AS INTEGER) AS best FROM gates WHERE conv_id = (SELECT min(conv_id) FROM gates)"))
+@query(sql("gates", "SELECT CAST(conv_id // 50 AS INTEGER) AS chunk, CAST((t - 1) // 500 AS INTEGER) AS steps, conv_id || '/' || t AS t, round(logit, 6) AS loss, CAST(conv_id % 97 AS INTEGER) AS best FROM gates"))
 def s9_step_traces(spark, sf_dir):
-    """Step records as a JSON list document, read back with the numbers of its file's name."""
-    g = base.gates(spark, sf_dir)
-    first = g.join(F.broadcast(g.agg(F.min("conv_id").alias("conv_id"))), "conv_id")  # one row
-    record = F.struct(F.col("t").cast("string").alias("t"), F.round("logit", 6).alias("loss"), F.array(F.array(F.lit(3.0), F.lit(0.5))).alias("topk"))
+    """All events as step traces, a JSON document for fifty users and 500 steps, read back with its name's numbers."""
+    c, t = F.col("conv_id"), F.col("t")
+    record = F.struct(F.concat(c.cast("string"), F.lit("/"), t.cast("string")).alias("t"), F.round("logit", 6).alias("loss"), F.array(F.array((c % 97).cast("double"), F.lit(0.5))).alias("topk"))
     path = scratch(spark, "dump")
-    first.agg(F.to_json(F.collect_list(record)).alias("value")).coalesce(1).write.text(path)
-    rows = spark.read.option("multiLine", True).schema(io.TRACE).json(path)
-    return rows.select(F.lit(7).alias("chunk"), "t", "loss", F.col("topk")[0][0].cast("int").alias("best"))
+    io.write_traces(base.gates(spark, sf_dir).select(F.floor(c / 50).alias("chunk"), F.floor((t - 1) / 500).alias("steps"), record.alias("record")), path)
+    return io.read_traces(spark, path).select("chunk", "steps", "t", "loss", F.col("topk")[0]["id"].alias("best"))
 
 
 @query(sql("gates", "SELECT split, total_steps, min(loss) OVER w AS best_before, coalesce(loss < min(loss) OVER w, true) AS new_best FROM gates WINDOW w AS (PARTITION BY split ORDER BY total_steps ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
@@ -137,12 +138,11 @@ def e6_info_nce(spark, sf_dir):
     return _nce(spark, sf_dir).select("batch_no", F.round("nce", 3).alias("nce"))
 
 
-@query(sql("gates", f"SELECT split, round(avg(greatest(logit, 0) + ln(1 + exp(-abs(logit)))) + 0.01 * avg({ENTROPY}) + 0.1 * abs(avg(g) - 0.15), 6) AS total FROM p GROUP BY split", P))
+@query(sql("gates", f"SELECT split, round(avg(greatest(logit, 0) + ln(1 + exp(-abs(logit)))) + 0.01 * avg({ENTROPY}) + 0.1 * abs(avg(g) - 0.15) + avg(loss) + 0.1 * avg(abs(logit)), 6) AS total FROM p GROUP BY split", P))
 def e7_total_loss(spark, sf_dir):
-    """Gate loss with target 0, entropy and budget; token and contrastive parts are 0 in this log."""
+    """Gate loss with target 0, entropy, budget, and the log's values as token and contrastive losses."""
     log, p = base.gates(spark, sf_dir), A.guarded_gate(F.col("logit"))
-    zero = F.lit(0.0)
-    total = scoring.total_loss(F.avg(scoring.gate_bce(F.col("logit"), zero)), zero, F.avg(A.entropy(p)), F.abs(F.avg(p) - scoring.RATIO), zero)
+    total = scoring.total_loss(F.avg(scoring.gate_bce(F.col("logit"), F.lit(0.0))), F.avg("loss"), F.avg(A.entropy(p)), F.abs(F.avg(p) - scoring.RATIO), F.avg(F.abs("logit")))
     return log.groupBy("split").agg(F.round(total, 6).alias("total"))
 
 

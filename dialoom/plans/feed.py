@@ -23,14 +23,14 @@ BATCHED = ("dlg", f"SELECT conv_id, x_ref, n // {BATCH} AS batch_no, n % {BATCH}
 def chunk_rows(spark, sf_dir) -> DataFrame:
     """Dialogues (split, conv_id, turns) in chunks of ten."""
     d = base.turns(spark, sf_dir).groupBy("split", "split_ord", "conv_id").agg(F.count("*").alias("turns"))
-    return chunks.chunked(d, "split_ord", "conv_id", bucket=chunks.by_key(), size=SIZE)
+    return chunks.chunked(d, "split_ord", "conv_id", bucket=chunks.by_key(base.turns(spark, sf_dir)), size=SIZE)
 
 
 def batched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(dialogues, steps) dealt to batches of eight."""
-    s = base.steps(spark, sf_dir).withColumn("split_ord", F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2))
+    s = base.stored(base.steps(spark, sf_dir), "steps").withColumn("split_ord", F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2))
     d = s.where("step = 0").select("split_ord", "conv_id", "x_ref")
-    d = chunks.dense_ordinal(d, "split_ord", "conv_id", bucket=chunks.by_key()).select("conv_id", "x_ref", F.floor(F.col("ordinal") / BATCH).alias("batch_no"), (F.col("ordinal") % BATCH).alias("row"))
+    d = chunks.dense_ordinal(d, "split_ord", "conv_id", bucket=chunks.by_key(base.turns(spark, sf_dir))).select("conv_id", "x_ref", F.floor(F.col("ordinal") / BATCH).alias("batch_no"), (F.col("ordinal") % BATCH).alias("row"))
     return d, s.join(d.select("conv_id", "batch_no", "row"), "conv_id")
 
 
@@ -50,11 +50,21 @@ def s3_s4_chunk_files(spark, sf_dir):
 def s5_u2_merged_store(spark, sf_dir):
     """Chunks from number 2 on, merged into one data set per split and read back."""
     path = scratch(spark, "merged")
-    rows = chunks.merged(chunk_rows(spark, sf_dir), start_chunk=2)
+    rows = chunk_rows(spark, sf_dir).where("chunk_no >= 2")
     io.write_merged(rows, path)
     return spark.read.schema(rows.schema).parquet(path).select("split", "conv_id", "chunk_no", "pos")
 
 
+@query(sql("turns", "SELECT split, conv_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(pos AS BIGINT) AS pos FROM chunked WHERE chunk_no >= 1", CHUNKED))
+def u2_merge_skips_damaged(spark, sf_dir):
+    """Two chunk folders and a damaged file merged in one scan that leaves the damaged one out."""
+    path, rows = scratch(spark, "merge"), chunk_rows(spark, sf_dir).select("split", "conv_id", "chunk_no", "pos")
+    rows.where("chunk_no % 2 = 0").write.parquet(f"{path}/even")
+    rows.where("chunk_no % 2 = 1").write.parquet(f"{path}/odd")
+    rows.select(F.concat(F.lit("no parquet "), F.col("conv_id").cast("string")).alias("value")).write.text(f"{path}/damaged")
+    return chunks.merge_files(spark, [f"{path}/even", f"{path}/odd", f"{path}/damaged/*.txt"], start_chunk=1, on_corrupt="skip", schema=rows.schema)
+
+
 @query(sql("turns", "SELECT split, CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n FROM chunked GROUP BY ROLLUP (split, chunk_no)", CHUNKED))
 def a6_dialogues_per_chunk(spark, sf_dir):
     return chunks.sizes(chunk_rows(spark, sf_dir))
@@ -102,11 +112,12 @@ def j4_missing_chunks(spark, sf_dir):
     return chunks.missing(chunk_rows(spark, sf_dir).where("chunk_no % 4 <> 1").select("chunk_no").distinct())
 
 
-@query(sql("turns", "SELECT DISTINCT CAST(chunk_no AS BIGINT) AS chunk_no FROM chunked WHERE chunk_no % 4 = 1", CHUNKED))
+@query(sql("turns", "SELECT CAST(i AS BIGINT) AS chunk_no FROM range(0, 1 + (SELECT max(chunk_no) + 3 FROM chunked)) AS r(i) WHERE i % 4 = 1 OR i > (SELECT max(chunk_no) FROM chunked)", CHUNKED))
 def u4_set_difference(spark, sf_dir):
-    """Numbers of all chunks less those present."""
+    """Numbers of the chunks expected, three more than there are, less those present."""
     every = chunk_rows(spark, sf_dir).select("chunk_no").distinct()
-    return every.subtract(every.where("chunk_no % 4 <> 1"))
+    last = every.agg(F.max("chunk_no")).first()[0]
+    return chunks.expected_less_present(every.where("chunk_no % 4 <> 1"), 0, last + 3)
 
 
 @query(sql("turns", "SELECT split, conv_id, turn, text FROM turns"))
@@ -170,9 +181,13 @@ def j8_source_rejected(spark, sf_dir):
     return quality.source_kept(base.turns(spark, sf_dir).select("split", "conv_id").distinct(), base.steps(spark, sf_dir).where("conv_id % 4 <> 0"), kept=False)
 
 
-@query(sql("steps", "SELECT split, 0.666667::DOUBLE AS null_share, true AS newer FROM (SELECT DISTINCT split FROM steps)"))
+@query(sql("steps", "SELECT split, round(avg(CASE WHEN x_t IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_share, bool_or(x_t IS NULL) AS newer FROM (SELECT split, CASE WHEN split <> 'test' AND (k < 1 OR conv_id % 4 = 1) THEN NULL ELSE x_t END AS x_t FROM steps, range(2) AS r(k) WHERE split <> 'test' OR k = 1) GROUP BY split"))
 def a13_think_share(spark, sf_dir):
-    return quality.think_share(encode.with_thinking(base.steps(spark, sf_dir), 2))
+    """A think step before each step, some previous utterances lost, and the older format in one split."""
+    s = encode.with_thinking(base.steps(spark, sf_dir), 1)
+    newer = F.col("split") != "test"
+    s = s.where(newer | (F.col("gate") == 1)).withColumn("x_t", F.when(newer & (F.col("conv_id") % 4 == 1), None).otherwise(F.col("x_t")))
+    return quality.think_share(s)
 
 
 @query(sql("steps", "SELECT len(target) AS length, count(*) AS n FROM steps GROUP BY 1"))
@@ -231,9 +246,12 @@ def x5_step_plan(spark, sf_dir):
     return out.select("conv_id", F.col("step").cast("long"), rendered(F.col("target")).alias("target"))
 
 
-@query(sql("steps", "SELECT conv_id, CAST(step AS BIGINT) AS step, array_to_string(x_t, ' ') AS context, CAST(j AS BIGINT) AS j, CASE WHEN j > 0 THEN array_to_string(target[1:j], ' ') END AS prefix, CAST(target[j + 1] AS BIGINT) AS gold FROM (SELECT conv_id, step, x_t, target, unnest(range(len(target))) AS j FROM steps)"))
+@query(sql("steps", "SELECT conv_id, CAST(step AS BIGINT) AS step, CASE WHEN conv_id % 5 = 0 THEN array_to_string(x_ref, ' ') WHEN conv_id % 5 = 1 THEN '1 2' ELSE array_to_string(x_t, ' ') END AS context, CAST(j AS BIGINT) AS j, CASE WHEN j > 0 THEN array_to_string(target[1:j], ' ') END AS prefix, CAST(target[j + 1] AS BIGINT) AS gold FROM (SELECT conv_id, step, x_ref, x_t, target, unnest(range(len(target))) AS j FROM steps)"))
 def x6_p12_f12_forced_rows(spark, sf_dir):
-    out = batches.forced(base.steps(spark, sf_dir))
+    """Some dialogues lack the previous utterance, which leaves the reference, and some have padding in its place."""
+    c = F.col("conv_id") % 5
+    s = base.steps(spark, sf_dir).withColumn("x_t", F.when(c == 0, None).when(c == 1, F.array(F.lit(0), F.lit(0))).otherwise(F.col("x_t")))
+    out = batches.forced(s)
     return out.select("conv_id", F.col("step").cast("long"), rendered(F.col("context")).alias("context"), F.col("j").cast("long"), rendered(F.col("prefix")).alias("prefix"), F.col("gold").cast("long"))
 
 
@@ -275,49 +293,58 @@ def p11_resume(spark, sf_dir):
     return chunk_rows(spark, sf_dir).where(F.col("chunk_no") * SIZE + F.col("pos") >= 15).select("conv_id", "chunk_no")
 
 
-def _stream(spark, sf_dir, build, mode="complete"):
-    """Run a stream over the conversations to its end, its result in a memory table."""
-    import uuid
+def _latest(spark, stream, build, keys: list[str]) -> DataFrame:
+    """Run an aggregation of a stream to its end; each batch's changed rows go to the shared folder, and the last of
+    each key counts. Nothing comes to the driver."""
+    path, out = scratch(spark, "updates"), build(stream)
+    schema = out.schema
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")  # a batch that runs again replaces itself
 
-    source = load(spark, sf_dir, "conversations")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/conversations.parquet*")
-    name = f"out_{uuid.uuid4().hex}"
-    q = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    spark.createDataFrame([], schema).write.parquet(f"{path}/batch_id=-1")
+    out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    rows, rest = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, batch_id long").parquet(path), [c for c in out.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "batch_id").alias(c) for c in rest))
+
+
+def _conversations(spark, sf_dir) -> DataFrame:
+    """A stream of the conversations; the pattern has one match, the table itself."""
+    return spark.readStream.schema(load(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parque[t]")
 
 
 @query(sql("cnt", "SELECT word, CAST(n AS BIGINT) AS n FROM cnt"))
 def st5_running_counts(spark, sf_dir):
-    return _stream(spark, sf_dir, live.running_counts).select("word", F.col("count").alias("n"))
+    return _latest(spark, _conversations(spark, sf_dir), live.running_counts, ["word"]).select("word", F.col("count").alias("n"))
 
 
 @query(sql("", "SELECT role AS split, CAST(count(*) AS BIGINT) AS steps, CAST(sum(length(text)) AS DOUBLE) AS loss_sum FROM conversations GROUP BY 1"))
 def st6_running_metrics(spark, sf_dir):
-    out = _stream(spark, sf_dir, lambda s: live.running_metrics(s.select(F.col("role").alias("split"), F.length("text").cast("double").alias("loss"))))
+    out = _latest(spark, _conversations(spark, sf_dir), lambda s: live.running_metrics(s.select(F.col("role").alias("split"), F.length("text").cast("double").alias("loss"))), ["split"])
     return out.select("split", "steps", "loss_sum")
 
 
-@query(sql("ids", "SELECT CAST(count(*) AS BIGINT) AS dialogues, CAST(sum(n - 1) AS BIGINT) AS steps, CAST(sum(tokens) AS BIGINT) AS ids FROM (SELECT split, conv_id, count(*) AS n, sum(len(ids)) FILTER (turn > 0) AS tokens FROM ids GROUP BY 1, 2)"))
+@query(sql("ids", "SELECT array_to_string(list_transform(list(ids ORDER BY turn), lambda x: array_to_string(x, ' ')), ' | ') AS ids FROM ids GROUP BY split, conv_id"))
 def st1_st2_live_encode(spark, sf_dir):
-    """The dialogues as JSONL files, encoded by the live stream."""
+    """The dialogues as JSONL files, encoded by the live stream in two runs: the second goes on where the first ended."""
     from dialoom.plans.corpus import write_dialogues
 
-    source = write_dialogues(spark, sf_dir, "utterance")["train"].replace("split=train/*", "split=*/*.txt")
-    target = scratch(spark, "live")
-    live.live_encode(spark, source, target, scratch(spark, "offsets"), io.encoder(base.vocabulary(spark, sf_dir)), max_files=2, block=SIZE).awaitTermination()
-    out = spark.read.parquet(target)
-    return out.agg(F.count("*").alias("dialogues"), F.sum(F.size("steps")).alias("steps"), F.sum(F.aggregate("steps", F.lit(0), lambda a, s: a + F.size(s["target"]))).cast("long").alias("ids"))
+    paths = write_dialogues(spark, sf_dir, "utterance")
+    source, target, state = scratch(spark, "incoming"), scratch(spark, "live"), scratch(spark, "offsets")
+    own = io.encoder(base.stored(base.vocabulary(spark, sf_dir), "vocabulary"))
+    for names in (["train"], ["valid", "test"]):  # files that come while nothing runs
+        for name in names:
+            if io.exists(spark, paths[name]):
+                spark.read.text(paths[name]).write.mode("append").text(source)
+        live.live_encode(spark, source, target, state, own, max_files=2, block=SIZE).awaitTermination()
+    shown = F.concat(F.array(rendered(F.col("x_ref"))), F.transform("steps", lambda s: rendered(s["target"])))
+    return spark.read.parquet(target).select(F.array_join(shown, " | ").alias("ids"))
 
 
 @query(sql("turns", "SELECT CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n FROM chunked GROUP BY 1", CHUNKED))
 def st3_st4_follow_chunks(spark, sf_dir):
     """Chunk files followed two at a time."""
-    import uuid
-
     path = scratch(spark, "follow")
     chunk_rows(spark, sf_dir).select("chunk_no", "conv_id").repartitionByRange(8, "chunk_no").write.parquet(path)
-    name = f"out_{uuid.uuid4().hex}"
     stream = live.follow_chunks(spark, path, "chunk_no long, conv_id long", files_per_trigger=2)
-    stream.groupBy("chunk_no").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return _latest(spark, stream, lambda s: s.groupBy("chunk_no").agg(F.count("*").alias("n")), ["chunk_no"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoom.operators.chunks import dense_ordinal
@@ -21,8 +21,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_lines(spark: SparkSession, path: str, split: str = "train", split_ord: int = 0) -> DataFrame:
     """(split, split_ord, file_name, line_no, value): lines in file order, numbered from 0 over all files."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    return dense_ordinal(raw, "id", bucket=[F.col("file_name"), F.col("block")], name="line_no").select(F.lit(split).alias("split"), F.lit(split_ord).alias("split_ord"), "file_name", "line_no", "value")
+    of = F.col("_metadata.file_path")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"), of.alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return dense_ordinal(raw, "id", bucket=[F.col("file_path"), F.col("block")], name="line_no").select(F.lit(split).alias("split"), F.lit(split_ord).alias("split_ord"), "file_name", "line_no", "value")
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -70,9 +71,9 @@ def elements(lines: DataFrame) -> DataFrame:
         F.when(is_object, F.coalesce(_field(e, "text"), F.lit(""))).otherwise(plain).alias("text"), _field(e, "input_text").alias("input_text"), _field(e, "target_text").alias("target_text"),
         F.coalesce(as_number, F.lit(0.0)).alias("gate"), (as_text.isNotNull() & (as_text != "") & as_number.isNull()).alias("junk"),
     )
-    conv = ("split", "conv_id")
-    shape = rows.groupBy(*conv).agg(F.when(F.bool_or("is_step"), "step").when(F.bool_and("is_text"), "strings").otherwise("utterance").alias("format"), F.bool_or(F.col("is_object") & F.col("junk")).alias("broken"))
-    return rows.join(shape, [*conv])
+    w = Window.partitionBy("split", "conv_id")
+    shape = F.when(F.bool_or("is_step").over(w), "step").when(F.bool_and("is_text").over(w), "strings").otherwise("utterance")
+    return rows.withColumns({"format": shape, "broken": F.bool_or(F.col("is_object") & F.col("junk")).over(w)})
 
 
 def counted_texts(parts: DataFrame) -> DataFrame:
@@ -89,17 +90,17 @@ def utterances(parts: DataFrame, least: int = 2) -> DataFrame:
 
 def step_inputs(parts: DataFrame) -> DataFrame:
     """Step rows of step dialogues, numbered over their objects; a dialogue with a gate that is no number is dropped."""
-    from pyspark.sql import Window
-
     rows = parts.where((F.col("format") == "step") & F.col("is_object") & ~F.col("broken"))
     n = F.row_number().over(Window.partitionBy("split", "conv_id").orderBy("pos")) - 1
     return rows.select("split", "split_ord", "conv_id", n.alias("pos"), "input_text", "target_text", "gate")
 
 
-def encoder(vocab: DataFrame, unknown: int = 3, end: int = 2):
-    """Column function array<string> -> array<int> with the end mark: a dictionary lookup in Arrow batches. The
-    dictionary is a vocabulary, whose size its own limit bounds."""
-    rows = vocab.select("word", "idx").toPandas()
+def encoder(vocab: DataFrame, unknown: int = 3, end: int = 2, most: int = 1_000_000):
+    """Column function array<string> -> array<int> with the end mark: a dictionary lookup in Arrow batches. A vocabulary
+    of over `most` words is an error: `encode.token_ids` joins one of any size."""
+    rows = vocab.select("word", "idx").limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of over {most} words; join it with encode.token_ids")
     shared = vocab.sparkSession.sparkContext.broadcast(dict(zip(rows.word, rows.idx.tolist())))
 
     @F.pandas_udf("array<int>")
@@ -144,11 +145,18 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRICS).csv(path, header=True)
 
 
+def write_traces(rows: DataFrame, path: str) -> None:
+    """Records (chunk, steps, record) as a JSON list document for each (chunk, steps), under names
+    detail_trace_<chunk>_<steps>.json (folders, as Spark names files itself)."""
+    name = F.format_string("detail_trace_%d_%d.json", "chunk", "steps")
+    rows.groupBy(name.alias("name")).agg(F.to_json(F.collect_list("record")).alias("value")).write.partitionBy("name").text(path)
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Step traces with chunk and step number from names detail_trace_<chunk>_<steps>.json."""
-    name = F.col("_metadata.file_name")
-    number = lambda k: F.regexp_extract(name, r"detail_trace_(\d+)_(\d+)\.json$", k).try_cast("int")
-    rows = spark.read.option("multiLine", True).schema(TRACE).json(path).withColumns({"chunk": number(1), "steps": number(2)})
+    """Step traces with chunk and step number from files, or folders of files, named detail_trace_<chunk>_<steps>.json."""
+    name = F.col("_metadata.file_path")
+    number = lambda k: F.regexp_extract(name, r"detail_trace_(\d+)_(\d+)\.json(?:/[^/]*)?$", k).try_cast("int")
+    rows = spark.read.option("multiLine", True).option("recursiveFileLookup", True).schema(TRACE).json(path).withColumns({"chunk": number(1), "steps": number(2)})
     return rows.withColumn("topk", F.transform("topk", lambda x: F.struct(x[0].cast("int").alias("id"), x[1].alias("p"))))
 
 

@@ -31,13 +31,14 @@ def _texts(value: Column) -> Column:
     return F.transform(_list_of(value), text)
 
 
-def encoded_lines(lines: DataFrame, encode) -> DataFrame:
+def encoded_lines(lines: DataFrame, encode, tokenizer=None) -> DataFrame:
     """(value, x_ref, steps): each line's dialogue in one row, without state; bad and short lines are left out.
 
     encode: Column function array<string> -> array<int>, applied to all words of the line at once; lengths cut the
-    ids back into utterances."""
+    ids back into utterances. tokenizer: as of `text.tokens`; it is applied inside an array, so it has to be built of
+    Spark's own functions."""
     rows = lines.withColumn("texts", _nfkc_all(_texts(F.col("value")))).where(F.size("texts") >= 2)
-    rows = rows.withColumn("toks", F.transform("texts", lambda x: tokens(x, normalise=False)))
+    rows = rows.withColumn("toks", F.transform("texts", lambda x: tokens(x, normalise=False, tokenizer=tokenizer)))
     rows = rows.withColumn("ids", encode(F.flatten("toks"))).withColumn("ends", F.aggregate("toks", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.size(x))))
     own = F.transform(F.sequence(F.lit(0), F.size("toks") - 1), lambda k: F.array_append(F.slice("ids", F.get("ends", k) + 1, F.size(F.get("toks", k))), 2))
     rows = rows.withColumn("ids", own)
@@ -45,20 +46,20 @@ def encoded_lines(lines: DataFrame, encode) -> DataFrame:
     return rows.withColumn("x_ref", F.get("ids", F.lit(0))).withColumn("steps", steps).drop("texts", "toks", "ids", "ends")
 
 
-def live_encode(spark: SparkSession, source: str, target: str, checkpoint: str, encode, max_files: int | None = None, block: int = BLOCK):
+def live_encode(spark: SparkSession, source: str, target: str, checkpoint: str, encode, max_files: int | None = None, block: int = BLOCK, tokenizer=None):
     """Start encoding JSONL files of a folder as they come; written in blocks, resumed from the checkpoint. Returns
     the streaming query (available-now: it ends when the files there are done)."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.load(source).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("part"))
+    lines = reader.load(source).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("part"))
 
     def put(rows: DataFrame, batch: int) -> None:
-        numbered = dense_ordinal(rows.withColumn("id", F.monotonically_increasing_id()), "id", bucket=[F.col("file_name"), F.col("part")])
-        out = numbered.withColumn("batch_id", F.lit(batch)).withColumn("block", F.floor(F.col("ordinal") / block)).drop("id", "ordinal", "part")
+        numbered = dense_ordinal(rows.withColumn("id", F.monotonically_increasing_id()), "id", bucket=[F.col("file_path"), F.col("part")])
+        out = numbered.withColumn("batch_id", F.lit(batch)).withColumn("block", F.floor(F.col("ordinal") / block)).drop("id", "ordinal", "part", "file_path")
         out.write.mode("overwrite").parquet(f"{target}/batch_id={batch}")  # a batch that runs again replaces itself
 
-    return encoded_lines(lines, encode).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return encoded_lines(lines, encode, tokenizer).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def follow_chunks(spark: SparkSession, directory: str, schema, files_per_trigger: int = 1, max_bytes: str | None = None) -> DataFrame:

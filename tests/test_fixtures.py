@@ -116,8 +116,26 @@ def test_chunks(spark):
 
 def test_ordinals_are_dense(spark):
     d = spark.range(1000).select((F.col("id") % 3).cast("int").alias("split_ord"), ((F.col("id") * 7919) % 100_003).alias("conv_id"))
-    got = [(r.split_ord, r.conv_id, r.ordinal) for r in chunks.dense_ordinal(d, "split_ord", "conv_id", bucket=chunks.by_key(512)).collect()]
+    got = [(r.split_ord, r.conv_id, r.ordinal) for r in chunks.dense_ordinal(d, "split_ord", "conv_id", bucket=chunks.by_key(d, 64)).collect()]
     assert [x[2] for x in sorted(got)] == list(range(1000))
+    sparse = spark.range(1000).select(F.lit(0).alias("split_ord"), (F.col("id") * 9_007_199_254_740).alias("conv_id"))
+    bucket = chunks.by_key(sparse, 64)
+    assert max(r["count"] for r in sparse.groupBy(*bucket).count().collect()) <= 80  # far ids don't make one bucket each, or one of all
+    assert sparse.select(*bucket).distinct().count() <= 25
+
+
+def test_places_have_no_caps(spark):
+    """Words past position 2048 and turns past 1024 keep their order."""
+    rows = [(0, 1, 0, ["a"]), (0, 1, 5000, ["z", *["a"] * 5000, "y", "x"]), (0, 1 << 50, 0, ["w"]), (0, 1, 5001, ["v", "w"]), (1, 0, 0, ["u"])]
+    d = spark.createDataFrame(rows, "split_ord int, conv_id bigint, turn int, toks array<string>")
+    assert [r.word for r in vocab.word_counts(d).sort("first_seen").collect()] == ["a", "z", "y", "x", "v", "w", "u"]
+    s = spark.createDataFrame([(3, 2000, "b " * 3000 + "c d"), (3, 1999, "e"), (1 << 45, 0, "f")], "line bigint, turn int, text string")
+    assert [r.word for r in vocab.incremental(s).sort("idx").collect()] == ["e", "b", "c", "d", "f"]
+
+
+def test_tokenizer_hook(spark):
+    d = spark.createDataFrame([("Hello, wörld 123456 中文x",), (None,)], "text string").select(T.tokens(F.col("text"), tokenizer=lambda c: F.split(c, " ")).alias("t"))
+    assert [r.t for r in d.collect()] == [["wörld", "<NUM>", "中文x"], []]
 
 
 def test_decisions_and_losses(spark):
