@@ -36,6 +36,9 @@ from dialoom.llm.common import Cells, Words, buckets_for, by_bucket, dealt, flat
 from dialoom.llm.components import components, spanning
 
 MIN_WORDS, LARGE = 1, 8192
+#: So many of the prefix words before a word go with it: a pair that shares one of them counts there. Long prefixes have
+#: more; classes that share only those are candidates once more, and the whole sets decide.
+BEFORE = 16
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,10 +146,10 @@ def hot_words(classes: DataFrame, rarity, large: int) -> Cells | None:
     return None if found.isEmpty() else Cells(found)
 
 
-def filed(classes: DataFrame, hot: Cells | None, large: int, buckets: int) -> DataFrame:
+def filed(classes: DataFrame, hot: Cells | None, large: int, buckets: int, before: int = BEFORE) -> DataFrame:
     """Array rows (bucket, g, c, n, at, s1, s2, side, before, n_before): classes under each of their prefix words.
 
-    before: the prefix words that come before the word g. A hot word is cut in chunks, and g is one of its pairs of
+    before: the prefix words that come before the word g, `before` at most. A hot word is cut in chunks, and g is one of its pairs of
     chunks; side is the class's own chunk where the two differ, else -1: rows of one side don't pair there."""
     shared = classes.sparkSession.sparkContext.broadcast(hot)
 
@@ -169,8 +172,8 @@ def filed(classes: DataFrame, hot: Cells | None, large: int, buckets: int) -> Da
             side = np.concatenate([side[plain], np.where(own == other, -1, own)])
         row, place = row[of], place[of]
         first = (np.cumsum(length) - length)[row]
-        earlier = np.repeat(np.arange(len(row)), place)
-        words = w[spans(first, place)]
+        some = np.minimum(place, before)
+        earlier, words = np.repeat(np.arange(len(row)), some), w[spans(first, some)]
         column = lambda i: np.asarray(b.column(i))[row]
         return dealt({"bucket": (mix(g.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), "g": g, "c": column(0), "n": column(1), "at": (place + column(2)).astype(np.int32), "s1": column(4), "s2": column(5), "side": side.astype(np.int32)}, {"before": (earlier, words)})
 
@@ -232,8 +235,8 @@ class Group:
 
     def keep(self, a: np.ndarray, b: np.ndarray) -> None:
         """Flags the rows of pairs that share no word before."""
-        for s in range(0, len(a), 50_000):
-            p, q = a[s : s + 50_000], b[s : s + 50_000]
+        for s in range(0, len(a), 20_000):
+            p, q = a[s : s + 20_000], b[s : s + 20_000]
             rows, of = np.unique(q, return_inverse=True)
             n = self.n_before[rows]
             known = np.sort(np.repeat(np.arange(len(rows)), n) << 32 | self.before[spans(self.first[rows], n)])
@@ -457,7 +460,7 @@ class Joined(NamedTuple):
     links: DataFrame
 
 
-def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE) -> Joined:
+def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE, before: int = BEFORE) -> Joined:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
     words = stored(hash_counts(docs.select("text"), _word_values, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()), 2), "words")
@@ -476,7 +479,7 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "k", "k2", "o", "copies", "p"), "classes")
     asked = classes.where("p is not null").select("c", "p.*")
     total = asked.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    rows = filed(asked, hot_words(asked, rarity, large), large, buckets_for(spark, total, 250_000))
+    rows = filed(asked, hot_words(asked, rarity, large), large, buckets_for(spark, total, 250_000), before)
     near = stored(candidates(rows), "candidates")
     wanted = stored(classes.join(near.select("c").distinct(), "c", "left_semi").select("c", "o.*", "copies"), "wanted")
     found = stored(matches(near.join(whole_sets(docs, wanted, rarity, min_words), "c")), "matches")

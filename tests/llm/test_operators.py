@@ -365,8 +365,8 @@ def test_all_line_links(spark, docs):
     assert links_of(docs, large=8) == line_links(list(enumerate(texts())))
 
 
-@pytest.mark.parametrize("large", [8192, 50])
-def test_links_of_a_crowd(spark, large):
+@pytest.mark.parametrize("large, before", [(8192, 16), (50, 1)])
+def test_links_of_a_crowd(spark, large, before):
     """Large groups (matrix products), in chunks or not, with lines of several lengths and clusters that overlap."""
     r = random.Random(4)
     bases = [[f"c{k}" for k in range(a, a + n)] for a, n in ((0, 24), (3, 24), (0, 30), (40, 12))]
@@ -381,7 +381,7 @@ def test_links_of_a_crowd(spark, large):
     for i, t in rows:
         texts_of[i] = texts_of[i] + "\n" + t if i in texts_of else t
     d = spark.createDataFrame(list(texts_of.items()), "doc_id bigint, text string")
-    assert links_of(d, large=large) == line_links(list(texts_of.items()))
+    assert links_of(d, large=large, before=before) == line_links(list(texts_of.items()))
     assert {(x.doc_id, x.line_no): (x.to_doc_id, x.to_line_no) for x in linedup.removals(d, large=large).collect()} == line_removals(texts_of.items())
 
 
