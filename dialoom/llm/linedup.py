@@ -445,7 +445,7 @@ def repeated(lines: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            again = shared.value(mix(np.asarray(b.column(0)).view(np.uint64))) > 0
+            again = shared.value(mix(np.asarray(b.column(b.schema.get_field_index("k"))).view(np.uint64))) > 0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(again)], [*b.schema.names, "again"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
