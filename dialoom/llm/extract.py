@@ -3,7 +3,7 @@
 Each page becomes a tree of block elements; like siblings in a row fold into one node, so a tree is as small as
 the page's layout. A host's reference tree is the layout that most of its distinct pages have; each other layout
 of the host is aligned with it by simple tree matching (the largest set of node pairs that keeps parents, order
-and labels). A node's text is constant if at least `share` of the host's distinct pages (and `least` of them) have
+and labels; what stays alone joins a like sibling). A node's text is constant if at least `share` of the host's distinct pages (and `least` of them) have
 that same text at the node that it aligns with: constant nodes are template, what varies is content.
 
 What varies from page to page and still is no content has to be told by the page's own marks: menus, headers, footers,
@@ -282,15 +282,19 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[str, str]]]:
         for i in range(n):
             for j in range(m):
                 best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + sub[i][j][0])
-        pairs, i, j = [(p, q)], n, m
+        pairs, i, j, rest = [(p, q)], n, m, []
         while i and j:
             if sub[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + sub[i - 1][j - 1][0]:
                 pairs += sub[i - 1][j - 1][1]
                 i, j = i - 1, j - 1
             elif best[i][j] == best[i - 1][j]:
                 i -= 1
+                rest.append(i)
             else:
                 j -= 1
+        for i in [*rest, *range(i)]:  # a node stands for all its like siblings, so what is left joins one that it is like
+            like = next((z for z in sub[i] if z[0]), None)
+            pairs += like[1] if like else []
         return 1 + best[n][m], pairs
 
     return match(a, b, "", "")
