@@ -531,7 +531,7 @@ def test_damage_in_written_archives(spark):
 
     path = common.scratch(spark, "warc")
     rows = [(i, f"http://h/{i}", prose(80, i) + "é") for i in range(60)] + [(60, "http://big", "z" * (17 << 20))]
-    warc.write(warc.plan_records(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)), path)
+    warc.write(warc.plan_records(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)), path, file_bytes=1 << 40)
     (name,) = glob.glob(path.removeprefix("file://") + "/part-*")
     data = open(name, "rb").read()
     assert sorted(r["page_id"] for r in warc.salvage(gzip.decompress(data))) == list(range(61))  # ordinary gzip
