@@ -745,3 +745,60 @@ def test_repeated_phrases_are_tiled_in_time(spark):
     got = block.search(pa.array([text, "nothing here at all", None], pa.string()))
     assert {(d, i, sum(t[2] for t in tiles)) for d, i, tiles in got} == {(0, k, 60) for k in range(300)} and time.process_time() - began < 20
     assert sum(z[2] for z in tiling(text.split(), items[0][1].split(), 4)) == 60
+
+
+# ---- all ----
+INSIDE = "k k2 t c o g at w h who slice n part logs known tokens bucket gone gone_id gone_t _gone removed fp own key node root size value raw digest media path layout shape host blocks fixed kind score evidence item item_id license train text_key n_bytes to near copies batch_id".split()
+
+
+def with_clashes(d):
+    """The table with a column for each name that operators use inside."""
+    return d.select("*", *(F.lit(7).alias(c) for c in INSIDE if c not in d.columns))
+
+
+def test_clashing_columns(spark):
+    docs = with_clashes(spark.createDataFrame([(1, "one two three four five\nsame line again"), (2, "same line again"), (3, "one two three four five\nsame line again"), (4, None), (None, "no id")], "doc_id bigint, text string"))
+    ids = lambda d: sorted((r.doc_id or 0) for r in d.collect())
+    plain = docs.select("doc_id", "text")
+    labels = with_clashes(spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id bigint, toxic int"))
+    items = with_clashes(spark.createDataFrame([(1, "one two three four five")], "item_id bigint, text string").drop("k"))
+    for made in (linedup.deduplicated(docs), simhash.keep_first(docs), toxicity.keep_clean(docs, labels), decontaminate.clean(docs, items)):
+        assert made.columns == docs.columns and all(r["w"] == 7 for r in made.collect())
+    assert ids(simhash.keep_first(docs)) == [0, 1, 2, 4] and ids(decontaminate.clean(docs, items)) == [0, 2, 4]
+    assert {r.doc_id: r.text for r in linedup.deduplicated(docs).collect()} == {1: "one two three four five\nsame line again", 2: "", 3: "", 4: None, None: "no id"}
+    train = F.col("doc_id") < 3
+    for make in (lambda d: lm.score(d, train), lambda d: toxicity.score(d, labels).select("doc_id", "score"), licenses.scan, lambda d: packing.pack(d, *packing.tokenizer_files()).drop("sequence_id", "offset"), lambda d: media.read_features(media.text_payloads(d)), lambda d: linedup.links(linedup.joined(d))):
+        assert sorted(map(str, make(docs).collect())) == sorted(map(str, make(plain).collect()))
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>x</p>" * 9 + "long " * 40), (2, None, None), (3, "http://a/2", "<p>x</p>" * 9 + "long " * 40)], "page_id bigint, url string, html string")
+    assert sorted(extract.extract(with_clashes(pages)).collect()) == sorted(extract.extract(pages).collect())
+    assert sorted(warc.plan_records(with_clashes(pages)).select("page_id", "refers_to").collect(), key=str) == sorted(warc.plan_records(pages).select("page_id", "refers_to").collect(), key=str)
+    assert sorted(media.interleave(with_clashes(pages)).collect(), key=str) == sorted(media.interleave(pages).collect(), key=str)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert licenses.scan(docs).count() == media.read_features(media.text_payloads(docs)).count() == media.interleave(docs, "doc_id", "text").count() == 0
+    assert linedup.deduplicated(docs).count() == simhash.keep_first(docs).count() == linedup.links(linedup.joined(docs)).count() == 0
+
+
+def test_license_ties_go_to_the_smaller_name(spark):
+    two = {"b": "alpha beta gamma delta epsilon", "a": "alpha beta gamma delta epsilon"}
+    got = licenses.scan(spark.createDataFrame([(1, "x alpha beta gamma delta epsilon y")], "doc_id bigint, text string"), templates=two).collect()
+    assert [(r.license, r.first_word, r.end_word) for r in got] == [("a", 1, 6)]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "deep", "<p>deep" + "<a b='" * 5000, "deep" + "<!-- " * 5000])
+def test_items_of_odd_pages(page):
+    import time
+
+    began = time.process_time()
+    media.parse_items(page)
+    assert time.process_time() - began < 10
+
+
+def test_encoder_on_whole_documents(spark, sf_dir):
+    """Ids of the faster coder and of the tokenizer file are the same on every document of the larger small table."""
+    files = packing.tokenizer_files()
+    fast, slow = packing.Encoder(*files), packing.Encoder(files[0])
+    whole = [r.text or "" for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("text").collect()]
+    assert fast(whole) == slow._whole(whole)
