@@ -38,7 +38,7 @@ from dialoom.llm.components import components, spanning
 MIN_WORDS, LARGE = 1, 8192
 #: So many of the prefix words before a word go with it: a pair that shares one of them counts there. Long prefixes have
 #: more; classes that share only those are candidates once more, and the whole sets decide.
-BEFORE = 16
+BEFORE = 4
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,6 +48,16 @@ def positions(doc: np.ndarray, t: np.ndarray, line: np.ndarray) -> np.ndarray:
         return mix(mix(doc.astype(np.int64).view(np.uint64) * SALT + t.view(np.uint64)) + line.astype(np.uint64))
 
 
+def twice(h: np.ndarray) -> np.ndarray:
+    """Each hash and another one of it: a table of counts that has both is rarely wrong."""
+    return np.concatenate([h, mix(h ^ SALT)])
+
+
+def filed_in(cells: Cells, h: np.ndarray) -> np.ndarray:
+    """Whether the table may hold these hashes, which were filed `twice`."""
+    return (cells(h) > 0) & (cells(mix(h ^ SALT)) > 0)
+
+
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(lines, text number of each, line number in its text)."""
     texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
@@ -285,11 +295,11 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, rarity, min_words: int) -> DataFrame:
-    """(c, doc_id, t, line_no, copies, words): the sets of the wanted classes (c, doc_id, t, line_no, copies), in order of
-    rarity, from the texts again; of those only lines that a table of wanted places may hold are cut into words."""
+    """(doc_id, t, line_no, words): the sets of the lines at wanted places (doc_id, t, line_no), and of few others, in order
+    of rarity, from the texts again; of those only lines that a table of wanted places may hold are cut into words."""
 
     def values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        h = positions(*(np.asarray(c) for c in b.columns))
+        h = twice(positions(*(np.asarray(c) for c in b.columns)))
         yield h, np.ones(len(h), np.int64)
 
     spark = docs.sparkSession
@@ -301,14 +311,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rarity, min_words: int) -> Da
             ids, t = np.asarray(b.column(0)), np.asarray(b.column(1))
             for p, a in zip(*(lambda parts: (parts, np.cumsum([0, *(x.num_rows for x in parts)])))(list(slices(b, "text", 2 << 20)))):
                 lines, doc, line_no = split(p.column(2))
-                near = np.flatnonzero(places.value(positions(ids[a + doc], t[a + doc], line_no)))
+                near = np.flatnonzero(filed_in(places.value, positions(ids[a + doc], t[a + doc], line_no)))
                 x = Lines(lines.take(pa.array(near)), min_words, rarity.value)
                 at = near[x.at]
                 sets = pa.ListArray.from_arrays(pa.array(x.start.astype(np.int32)), pa.array(x.hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc[at]]), pa.array(t[a + doc[at]]), pa.array(line_no[at].astype(np.int32)), sets], ["doc_id", "t", "line_no", "words"])
 
-    sets = docs.mapInArrow(run, "doc_id long, t long, line_no int, words array<long>")
-    return sets.join(wanted, ["doc_id", "t", "line_no"])
+    return docs.mapInArrow(run, "doc_id long, t long, line_no int, words array<long>")
 
 
 class Sets:
@@ -436,7 +445,7 @@ def repeated(lines: DataFrame) -> DataFrame:
     seldom). The others are classes of their own, which need no shuffle."""
 
     def values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        h = mix(np.asarray(b.column(0)).view(np.uint64))
+        h = twice(mix(np.asarray(b.column(0)).view(np.uint64)))
         yield h, np.ones(len(h), np.int64)
 
     spark = lines.sparkSession
@@ -445,7 +454,7 @@ def repeated(lines: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            again = shared.value(mix(np.asarray(b.column(b.schema.get_field_index("k"))).view(np.uint64))) > 0
+            again = filed_in(shared.value, mix(np.asarray(b.column(b.schema.get_field_index("k"))).view(np.uint64)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(again)], [*b.schema.names, "again"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
@@ -482,7 +491,8 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     rows = filed(asked, hot_words(asked, rarity, large), large, buckets_for(spark, total, 250_000), before)
     near = stored(candidates(rows), "candidates")
     wanted = stored(classes.join(near.select("c").distinct(), "c", "left_semi").select("c", "o.*", "copies"), "wanted")
-    found = stored(matches(near.join(whole_sets(docs, wanted, rarity, min_words), "c")), "matches")
+    asked = near.join(wanted, "c")
+    found = stored(matches(whole_sets(docs, wanted, rarity, min_words).join(asked, ["doc_id", "t", "line_no"])), "matches")
     best = found.where("near is not null").groupBy("c").agg(F.sum("near").alias("near"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t", "line_no"))).alias("to"))
     marked = stored(classes.select("c", "k", "k2", "o", "copies").join(best, "c", "left").where("copies > 1 or near is not null"), "marked")
     several = parts.where("again").select("k", "k2", "doc_id", "t", "line_no").join(marked.where("copies > 1"), ["k", "k2"])
