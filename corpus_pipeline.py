@@ -6,7 +6,6 @@ in every stage and stay null where a stage keeps them; stages drop rows (or line
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dialoom.llm import decontaminate, linedup, packing, simhash, toxicity
 from dialoom.llm.common import stored, table
