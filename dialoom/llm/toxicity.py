@@ -73,15 +73,16 @@ class Index:
         own = self.slot[terms]
         np.minimum.at(lead, rows[own >= 0], own[own >= 0])
         self.example = np.argsort(lead, kind="stable")
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[self.example] = np.arange(n)
         self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
         self.matrix = np.zeros((self.blocks * block, len(common)))
-        self.matrix[place[rows[own >= 0]], own[own >= 0]] = weights[own >= 0]
+        some = np.flatnonzero(own >= 0)
+        self.matrix[place[rows[some]], own[some]] = weights[some]
         self.tops = self.matrix.reshape(self.blocks, block, -1).max(axis=1)
-        few = np.flatnonzero(own < 0)
+        few = np.flatnonzero(own < 0).astype(np.int32)
         few = few[np.argsort(terms[few], kind="stable")]
-        self.at, self.value = place[rows[few]].astype(np.int32), weights[few]
+        self.at, self.value = place[rows[few]], weights[few]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(terms[few], minlength=n_terms))])
 
     def nearest(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +176,13 @@ class Model:
     @property
     def index(self) -> Index:
         if self._index is None:
-            rows = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
-            self._index = Index(rows, self.terms, self.unit(rows, self.terms, self.counts, len(self.n)), len(self.n), len(self.weight))
+            rows, ends = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n), np.concatenate([[0], np.cumsum(self.n)])
+            weights = np.empty(len(rows))
+            for a in range(0, len(self.n), 1000):  # so that little is held besides
+                b = min(a + 1000, len(self.n))
+                own = slice(ends[a], ends[b])
+                weights[own] = self.unit(rows[own] - a, self.terms[own], self.counts[own], b - a)
+            self._index = Index(rows, self.terms, weights, len(self.n), len(self.weight))
         return self._index
 
     def unit(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -267,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in slices(b, "text"):
+            for p in slices(b, "text", 2 << 20):
                 own = np.searchsorted(shared.value.ids, np.asarray(p.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([v for v, _, _ in shared.value.votes(p.column(1), own)]))], ["e", "raw"])
 
@@ -283,7 +289,7 @@ def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in slices(b, "text"):
+            for p in slices(b, "text", 2 << 20):
                 got, why = shared.value.score(p.column(1), calibration)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(got), pa.array(why, kind)], ["doc_id", "score", "evidence"])
 
@@ -297,7 +303,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in slices(b, "text"):
+            for p in slices(b, "text", 2 << 20):
                 yield p.filter(pa.array(shared.value.score(p.column(at), calibration, 0)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
