@@ -341,6 +341,71 @@ def st1_st2_live_encode(spark, sf_dir):
     return spark.read.parquet(target).select(F.array_join(shown, " | ").alias("ids"))
 
 
+def _append(lines: DataFrame, folder: str, files: int, torn: bool) -> None:
+    """Append lines (value, key) to so many files of a folder, a task a file, as a logger would; torn: the file's last
+    line lacks its end, which the next call writes first."""
+
+    def put(batches):
+        import pyarrow as pa
+
+        from dialoom.sources.shared import opened
+
+        for b in batches:
+            for k in sorted(set(b.column("file").to_pylist())):
+                system, root = opened(folder)
+                system.create_dir(root)
+                path = f"{root}/live_{k}.jsonl"
+                with system.open_append_stream(path) as out:
+                    own = [v for v, f in zip(b.column("value").to_pylist(), b.column("file").to_pylist()) if f == k]
+                    out.write(("".join(v + "\n" for v in own[:-1]) + own[-1][: len(own[-1]) // 2]).encode() if torn else "".join(v + "\n" for v in own).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    dealt = lines.withColumn("file", F.pmod(F.col("key"), F.lit(files)).cast("int")).repartition(files, "file").sortWithinPartitions("file", "key")
+    dealt.select("file", "value").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+@query(sql("ids", "SELECT CAST(conv_id % 3 AS INTEGER) AS file, CAST(row_number() OVER (PARTITION BY conv_id % 3 ORDER BY round, conv_id) - 1 AS BIGINT) AS line_no, array_to_string(list_transform(list(ids ORDER BY turn), lambda x: array_to_string(x, ' ')), ' | ') AS ids FROM (SELECT *, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 1 END AS round FROM ids) GROUP BY split, conv_id, round"))
+def st1_st2_growing_file(spark, sf_dir):
+    """Three files grow: half of the dialogues and a torn line, then its rest and the other half; each run of the live
+    stream goes on where the one before it stopped."""
+    turns = base.turns(spark, sf_dir)
+    lines = base.stored(turns.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("text")))).alias("value")), "dialogues")
+    source, target, state = scratch(spark, "growing"), scratch(spark, "live"), scratch(spark, "offsets")
+    own = io.encoder(base.stored(base.vocabulary(spark, sf_dir), "vocabulary"))
+    first, second = lines.where("conv_id % 2 = 0"), lines.where("conv_id % 2 = 1")
+    file = F.col("conv_id") % 3
+    last = first.groupBy(file.alias("file")).agg(F.max("conv_id").alias("last"))
+    torn = first.withColumn("file", file).join(F.broadcast(last), "file")  # three rows
+    rest = torn.where("conv_id = last").select(F.expr("substr(value, length(value) div 2 + 1)").alias("value"), F.col("file").alias("key"))
+    for grown, cut in ((first.select("value", F.col("conv_id").alias("key")), True), (rest, False), (second.select("value", F.col("conv_id").alias("key")), False)):
+        _append(grown, source, 3, cut)
+        live.live_encode_growing(spark, source, target, state, own, block=SIZE).awaitTermination()
+    shown = F.concat(F.array(rendered(F.col("x_ref"))), F.transform("steps", lambda s: rendered(s["target"])))
+    return spark.read.parquet(target).select(F.regexp_extract("file_name", r"_(\d+)\.", 1).cast("int").alias("file"), "line_no", F.array_join(shown, " | ").alias("ids"))
+
+
+@query(sql("turns", "SELECT CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n, true AS in_order FROM chunked GROUP BY 1", CHUNKED))
+def st3_numbered_chunks(spark, sf_dir):
+    """Every third chunk and the first come last; all are emitted in the order of their numbers, four a batch at most."""
+    path, target, state = scratch(spark, "numbered"), scratch(spark, "followed"), scratch(spark, "offsets")
+    rows = base.stored(chunk_rows(spark, sf_dir).select("chunk_no", "conv_id"), "chunks")
+    late = F.col("chunk_no") % 3 == 0
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
+
+    for part in (rows.where(~late), rows.where(late)):
+        part.repartition("chunk_no").write.mode("append").partitionBy("chunk_no").parquet(path)
+        stream = live.follow_numbered(spark, path, "chunk_no long, conv_id long", state, chunks_per_trigger=4)
+        live.drained(stream.writeStream.foreachBatch(put).option("checkpointLocation", state))
+    found = spark.read.schema("chunk_no long, conv_id long, batch_id long").parquet(target)
+    sums = base.stored(found.groupBy("chunk_no").agg(F.count("*").alias("n"), F.min("batch_id").alias("a"), F.max("batch_id").alias("z")), "followed")
+    spans = sums.groupBy(F.col("z").alias("batch")).agg(F.min("chunk_no").alias("low"), F.max("chunk_no").alias("high"))
+    before = F.coalesce(F.max("high").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))  # a row a batch
+    ordered = spans.withColumn("ok", (F.col("low") > before) & (F.col("high") - F.col("low") < 4))
+    return sums.join(ordered, F.col("z") == F.col("batch")).select("chunk_no", "n", (F.col("ok") & (F.col("a") == F.col("z"))).alias("in_order"))
+
+
 @query(sql("turns", "SELECT CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n FROM chunked GROUP BY 1", CHUNKED))
 def st3_st4_follow_chunks(spark, sf_dir):
     """Chunk files followed two at a time."""

@@ -11,7 +11,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from dialoom.functions.text import tokens
 from dialoom.operators.chunks import dense_ordinal
-from dialoom.sources.io import _list_of
+from dialoom.sources.io import _list_of, exists
+from dialoom.streaming import sources
 
 BLOCK = 1000
 
@@ -62,6 +63,59 @@ def live_encode(spark: SparkSession, source: str, target: str, checkpoint: str,
     return encoded_lines(lines, encode, tokenizer).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def progress(spark: SparkSession, target: str) -> DataFrame:
+    """(file_path, next_line) of `live_encode_growing`'s target: where each file goes on, as a number of lines."""
+    lines = f"{target}/_lines"
+    if not exists(spark, lines):
+        return spark.createDataFrame([], "file_path string, next_line bigint")
+    return spark.read.schema("file_path string, n bigint").parquet(lines).groupBy("file_path").agg(F.sum("n").alias("next_line"))
+
+
+def live_encode_growing(spark: SparkSession, source: str, target: str, checkpoint: str, encode, block: int = BLOCK, start_line: int = 0, tokenizer=None):
+    """As `live_encode`, of a JSONL file (or a folder of such) that others append to: each run goes on at the line after
+    the last one it read. line_no numbers a file's lines from 0 over all runs, bad ones included; those before
+    `start_line` are left out. The lines of each batch are counted in the target's folder _lines, see `progress`."""
+    sources.register(spark)
+    stream = spark.readStream.format("growing_lines").option("path", source).load()
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows = dense_ordinal(rows, "byte", bucket=[F.col("file_path"), F.col("block")]).persist()
+        own = f"{target}/_lines/batch_id={batch}"
+        files = rows.groupBy("file_path").agg(F.min("ordinal").alias("first"), F.count("*").alias("n"))
+        before = progress(spark, target).where("next_line > 0") if batch else spark.createDataFrame([], "file_path string, next_line bigint")
+        if exists(spark, own):  # this batch runs again
+            before = before.join(spark.read.schema("file_path string, n bigint").parquet(own).withColumnRenamed("n", "again"), "file_path", "left").select("file_path", (F.col("next_line") - F.coalesce("again", F.lit(0))).alias("next_line"))
+        numbers = F.broadcast(files.join(before, "file_path", "left").select("file_path", (F.coalesce("next_line", F.lit(0)) - F.col("first")).alias("shift"), "n"))  # a row a file: MOST_FILES at most
+        lines = rows.join(numbers.drop("n"), "file_path").withColumn("line_no", F.col("ordinal") + F.col("shift")).where(F.col("line_no") >= start_line)
+        encoded = encoded_lines(lines, encode, tokenizer).withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
+        encoded = dense_ordinal(encoded.drop("ordinal"), "byte", bucket=[F.col("file_path"), F.col("block")])
+        out = encoded.withColumns({"batch_id": F.lit(batch), "block": F.floor(F.col("ordinal") / block)}).drop("ordinal", "byte", "shift", "file_path")
+        out.write.mode("overwrite").parquet(f"{target}/batch_id={batch}")  # a batch that runs again replaces itself
+        files.select("file_path", "n").write.mode("overwrite").parquet(own)
+        rows.unpersist()
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow_numbered(spark: SparkSession, directory: str, schema, checkpoint: str, chunks_per_trigger: int = 1, gaps: str = "wait", first_chunk: int = 0) -> DataFrame:
+    """A stream of the chunks of a folder in the order of their numbers, so many a batch, whenever they were written; the
+    schema may name chunk_no. No chunk at all is an error. checkpoint: that of the query. `drained` runs it to its end."""
+    if not any(sources.CHUNK_RE.search(p) for p in sources.listed(directory)):
+        raise ValueError(f"no chunks under {directory}")
+    sources.register(spark)
+    options = {"path": directory, "checkpoint": checkpoint, "chunksPerTrigger": chunks_per_trigger, "gaps": gaps, "firstChunk": first_chunk}
+    return spark.readStream.format("numbered_chunks").schema(schema).options(**options).load()
+
+
+def drained(writer) -> None:
+    """Start a stream's writer, wait until nothing is left to read, and stop it."""
+    running = writer.start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+
+
 def follow_chunks(spark: SparkSession, directory: str, schema, files_per_trigger: int = 1, max_bytes: str | None = None) -> DataFrame:
     """A stream of new chunk files, so many at a time."""
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
