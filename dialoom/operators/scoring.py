@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +109,87 @@ def token_ce_wide(rows: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     return rows.select("key", "logits", "label").mapInPandas(run, "key long, ce double").select("key", F.nanvl("ce", F.lit(None)).alias("ce"))
 
 
+def token_ce_sequences(rows: DataFrame, *by: str, smoothing: float = SMOOTHING) -> DataFrame:
+    """(by..., ce, positions) of rows (by..., logits array<array<double>>, target array<int>): the mean smoothed
+    cross-entropy over all positions of a group, where a row's logits and target are cut to the shorter of both and
+    padding doesn't count. A target of one id stands for all positions. A group without positions, or whose sum isn't
+    finite, has 0. A label that isn't in its position's vocabulary is an error.
+
+    Positions are ragged, and so may vocabularies be: each batch is two flat arrays, reduced by segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            logits, target = b.column("logits"), b.column("target")
+            n, m = (np.asarray(pc.fill_null(pc.list_value_length(c), 0), np.int64) for c in (logits, target))
+            cut = np.where(m == 1, n, np.minimum(n, m))
+            position, label_at = (np.cumsum(x) - x for x in (n, m))
+            row = np.repeat(np.arange(len(n)), cut)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(cut) - cut, cut)
+            label = np.asarray(pc.fill_null(target.flatten(), 0), np.int64)[label_at[row] + np.where(m[row] == 1, 0, j)]
+            row, j, label = row[label != 0], j[label != 0], label[label != 0]
+            inner = logits.flatten()
+            width = np.asarray(pc.fill_null(pc.list_value_length(inner), 0), np.int64)
+            at = position[row] + j
+            size, first = width[at], (np.cumsum(width) - width)[at]
+            if len(at) and ((label < 0) | (label >= size)).any():
+                raise ValueError("a label lies outside its position's vocabulary")
+            flat = np.asarray(pc.fill_null(inner.flatten(), float("nan")), np.float64)
+            x = flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            start = np.cumsum(size) - size
+            with np.errstate(all="ignore"):
+                top = np.maximum.reduceat(x, start) if len(x) else x
+                lse = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size)), start)) if len(x) else x
+                mean = lse - np.add.reduceat(x, start) / size if len(x) else x
+                ce = (1 - smoothing) * (lse - x[start + label]) + smoothing * mean
+                total = np.bincount(row, ce, len(n)) if len(row) else np.zeros(len(n))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(total), pa.array(np.bincount(row, minlength=len(n)).astype(np.int64))], [*by, "total", "n"])
+
+    picked = rows.select(*by, F.col("logits").cast("array<array<double>>").alias("logits"), F.col("target").cast("array<int>").alias("target"))
+    kinds = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in by)
+    sums = picked.mapInArrow(run, f"{kinds}{', ' if by else ''}total double, n long").groupBy(*by).agg(F.sum("total").alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("positions"))
+    return sums.select(*by, F.coalesce(_finite(F.col("total") / F.nullif(F.col("positions"), F.lit(0))), F.lit(0.0)).alias("ce"), "positions")
+
+
+def top_k_wide(rows: DataFrame, k: int, values: str = "values") -> DataFrame:
+    """The other columns with `top`, the k largest values as (id, p), ties to the smaller id, without sorting a row: numpy finds the
+    k-th largest of all rows of one width at once, and only what reaches it is put in order. NaN is above all numbers,
+    null below. For vocabularies of many thousand entries; `arrays.top_k` is the form for narrow ones."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    others = [c for c in rows.columns if c != values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                lists = part.column("_values")
+                n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+                items = lists.flatten()
+                x = np.asarray(pc.fill_null(items, 0.0), np.float64)
+                kind = np.where(np.asarray(items.is_null()), 0, np.where(np.isnan(x), 2, 1)).astype(np.int8)
+                at = np.cumsum(n) - n
+                picked = []
+                for width in np.unique(n[n > 0]).tolist():
+                    own = np.flatnonzero(n == width)
+                    place = at[own][:, None] + np.arange(width)
+                    y = np.where(kind[place] == 2, np.inf, np.where(kind[place] == 0, -np.inf, x[place]))
+                    line, column = np.nonzero(y >= (np.partition(y, width - k, axis=1)[:, width - k, None] if k < width else -np.inf))
+                    flat = place[line, column]
+                    order = np.lexsort((column, -np.where(kind[flat] == 1, x[flat], 0), -kind[flat], line))
+                    line, column, flat = line[order], column[order], flat[order]
+                    rank = np.arange(len(line)) - np.searchsorted(line, line)
+                    picked.append((own[line[rank < k]], column[rank < k], flat[rank < k]))
+                owner, column, flat = (np.concatenate(c) for c in zip(*picked)) if picked else (np.zeros(0, np.int64),) * 3
+                by = np.argsort(owner, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(column[by].astype(np.int32)), items.take(pa.array(flat[by]))], ["id", "p"])
+                top = pa.ListArray.from_arrays(pa.array(ends), pairs, mask=lists.is_null() if lists.null_count else None)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], top], [*others, "top"])
+
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
+    return rows.select(*(F.col(f"`{c}`") for c in others), F.col(values).cast("array<double>").alias("_values")).mapInArrow(run, kinds + "top array<struct<id:int,p:double>>")
+
+
 def entropy_and_budget(log: DataFrame, *by: str, ratio: float = RATIO) -> DataFrame:
     p = guarded_gate(F.col("logit"))
     return log.groupBy(*by).agg(F.round(F.avg(entropy(p)), 6).alias("entropy"), F.round(F.abs(F.avg(p) - ratio), 6).alias("budget"))
@@ -114,14 +197,40 @@ def entropy_and_budget(log: DataFrame, *by: str, ratio: float = RATIO) -> DataFr
 
 def info_nce(rows: DataFrame, tau: float = TAU) -> DataFrame:
     """(batch_no, nce): each row's h_next against every h_prev of its batch (cosine over tau), cross-entropy against
-    its own. rows: (batch_no, row, h_prev, h_next); batches have a fixed size, and all work stays inside one."""
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
-    d = rows.select("batch_no", "row", unit(F.col("h_prev").cast("array<double>")).alias("p"), unit(F.col("h_next").cast("array<double>")).alias("q"))
-    other = d.select("batch_no", F.col("row").alias("col"), F.col("p").alias("p2"))
-    dot = F.aggregate(F.zip_with("q", "p2", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) / tau
-    sims = d.select("batch_no", "row", "q").join(other, "batch_no").select("batch_no", "row", "col", dot.alias("s"))
-    each = sims.groupBy("batch_no", "row").agg((F.log(F.sum(F.exp("s"))) - F.sum(F.when(F.col("row") == F.col("col"), F.col("s")))).alias("ce"))
-    return each.groupBy("batch_no").agg(F.avg("ce").alias("nce"))
+    its own, as one matrix product a batch. rows: (batch_no, row, h_prev, h_next); batches have a fixed size. Vectors of
+    zeros or with NaN count as zeros; a batch of vectors of several lengths is an error."""
+
+    def one(held: list[pa.RecordBatch]) -> float:
+        sides = []
+        for name in ("q", "p"):
+            x = pa.concat_arrays([b.column(name) for b in held])
+            v = np.asarray(x.flatten(), np.float64).reshape(len(x), -1)
+            with np.errstate(all="ignore"):
+                sides.append(np.nan_to_num(v / np.sqrt((v * v).sum(1, keepdims=True)), posinf=0.0, neginf=0.0))
+        s = sides[0] @ sides[1].T / max(tau, 1e-6)
+        top = s.max(1)
+        return float((top + np.log(np.exp(s - top[:, None]).sum(1)) - np.diag(s)).mean())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one batch_no, which may reach over Arrow batches
+        for b in batches:
+            number = np.asarray(b.column("batch_no"))
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            done = []
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if held and held[-1].column("batch_no")[0].as_py() != number[low]:
+                    done.append((held[-1].column("batch_no")[0].as_py(), one(held)))
+                    held = []
+                held.append(b.slice(low, high - low))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.int64()), pa.array([x for _, x in done], pa.float64())], ["batch_no", "nce"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0].column("batch_no")[0].as_py()], pa.int64()), pa.array([one(held)])], ["batch_no", "nce"])
+
+    picked = rows.where("batch_no is not null").select(F.col("batch_no").cast("long"), "row", F.col("h_prev").cast("array<double>").alias("p"), F.col("h_next").cast("array<double>").alias("q"))
+    return picked.repartition("batch_no").sortWithinPartitions("batch_no", "row").mapInArrow(run, "batch_no long, nce double")
 
 
 def total_loss(bce: Column, ce: Column, ent: Column, budget: Column, nce: Column) -> Column:

@@ -116,6 +116,24 @@ def e4_token_ce_wide(spark, sf_dir):
     return e.select("key", "label").join(scoring.token_ce_wide(e), "key").groupBy("label").agg(F.round(F.avg("ce"), 5).alias("ce"))
 
 
+SEQUENCES = ("seq", "SELECT vec_id, p, list_transform(embedding[8 * p + 1 : 8 * p + 8], lambda v: v::DOUBLE) AS x, CASE WHEN vec_id % 7 = 0 THEN 0 WHEN vec_id % 5 = 0 THEN 1 + label % 7 ELSE (label + 3 * p + vec_id) % 8 END AS y FROM embeddings, range(8) AS r(p) WHERE p < 3 + vec_id % 8 OR vec_id % 5 = 0")
+POSITIONS = ("pos", "SELECT vec_id, p, 0.95 * (lse - x[y + 1]) + 0.05 * (lse - list_sum(x) / 8) AS ce FROM (SELECT *, ln(list_sum(list_transform(x, lambda v: exp(v)))) AS lse FROM seq) WHERE y <> 0")
+
+
+@query(sql("", "SELECT CAST(vec_id AS BIGINT) AS vec_id, round(CASE WHEN vec_id % 11 = 0 AND bool_or(p = 0) THEN 0 ELSE coalesce(avg(ce), 0) END, 5)::DOUBLE AS ce, count(ce) AS positions FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN pos USING (vec_id) GROUP BY vec_id", SEQUENCES, POSITIONS))
+def e4_token_ce_sequences(spark, sf_dir):
+    """Eight positions of eight logits, against targets of three to ten ids, of padding alone, of one id, and with NaN
+    or an infinite value among the first position's logits, which counts where that position does."""
+    i, label = F.col("vec_id"), F.col("label")
+    x = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice(F.col("embedding").cast("array<double>"), p * 8 + 1, F.lit(8)))
+    spoilt = F.when(i % 11 == 0, F.transform(x, lambda v, p: F.when(p == 0, F.array_append(F.slice(v, 1, 7), F.when(i % 2 == 0, float("nan")).otherwise(float("inf")))).otherwise(v))).otherwise(x)
+    ids = F.transform(F.sequence(F.lit(0).cast("long"), 2 + i % 8), lambda p: F.when(i % 7 == 0, 0).otherwise((label + 3 * p + i) % 8))
+    target = F.when((i % 5 == 0) & (i % 7 != 0), F.array(1 + label % 7)).otherwise(ids)
+    rows = load(spark, sf_dir, "embeddings").select(i.cast("long").alias("vec_id"), spoilt.alias("logits"), target.cast("array<int>").alias("target"))
+    out = scoring.token_ce_sequences(rows, "vec_id")
+    return out.select("vec_id", F.round("ce", 5).alias("ce"), "positions")
+
+
 @query(sql("gates", f"SELECT split, round(avg({ENTROPY}), 6) AS entropy, round(abs(avg(g) - 0.15), 6) AS budget FROM p GROUP BY split", P))
 def e5_entropy_budget(spark, sf_dir):
     return scoring.entropy_and_budget(base.gates(spark, sf_dir), "split")
@@ -124,12 +142,15 @@ def e5_entropy_budget(spark, sf_dir):
 NCE = ("v", "SELECT vec_id // 8 AS b, vec_id % 8 AS r, list_transform(embedding, lambda q: q::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE)))) AS u FROM embeddings")
 
 
-def _nce(spark, sf_dir):
-    """h_prev is a row's vector, h_next the next one's of its batch of eight, wrapping."""
+NCE_BATCHES = (NCE[0], NCE[1].replace("// 8", "// 256").replace("% 8", "% 256"))
+
+
+def _nce(spark, sf_dir, size: int = 8):
+    """h_prev is a row's vector, h_next the next one's of its batch, wrapping."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("batch_no").orderBy("row")
-    e = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("batch_no"), (F.col("vec_id") % 8).alias("row"), F.col("embedding").alias("h_prev"))
+    e = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / size).alias("batch_no"), (F.col("vec_id") % size).alias("row"), F.col("embedding").alias("h_prev"))
     return scoring.info_nce(e.withColumn("h_next", F.coalesce(F.lead("h_prev").over(w), F.first("h_prev").over(w))))
 
 
@@ -138,6 +159,12 @@ def e6_info_nce(spark, sf_dir):
     return _nce(spark, sf_dir).select("batch_no", F.round("nce", 3).alias("nce"))
 
 
+@query(sql("", "SELECT CAST(b AS BIGINT) AS batch_no, round(avg(ce), 6) AS nce FROM (SELECT n.b, n.r, ln(sum(exp(s))) - sum(s) FILTER (c = r) AS ce FROM (SELECT x.b, x.r, y.r AS c, list_dot_product(z.u, y.u) / 0.1 AS s FROM v x JOIN v y ON x.b = y.b JOIN (SELECT b, count(*) AS k FROM v GROUP BY 1) k ON k.b = x.b JOIN v z ON z.b = x.b AND z.r = (x.r + 1) % k.k) n GROUP BY 1, 2) GROUP BY 1", NCE_BATCHES))
+def e6_info_nce_batches(spark, sf_dir):
+    """Batches of 256, to six decimals."""
+    return _nce(spark, sf_dir, 256).select("batch_no", F.round("nce", 6).alias("nce"))
+
+
 @query(sql("gates", f"SELECT split, round(avg(greatest(logit, 0) + ln(1 + exp(-abs(logit)))) + 0.01 * avg({ENTROPY}) + 0.1 * abs(avg(g) - 0.15) + avg(loss) + 0.1 * avg(abs(logit)), 6) AS total FROM p GROUP BY split", P))
 def e7_total_loss(spark, sf_dir):
     """Gate loss with target 0, entropy, budget, and the log's values as token and contrastive losses."""
@@ -158,6 +185,13 @@ def t4_top_k(spark, sf_dir):
     return e.select("vec_id", F.array_join(F.transform(A.top_k(F.col("embedding"), 5), lambda x: x["id"].cast("string")), " ").alias("top"), A.arg_max(F.col("embedding")).alias("best"))
 
 
+@query("SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(len(embedding)), lambda i: {'p': -round(embedding[i + 1]::DOUBLE * 4), 'i': i}))[1:9], lambda s: s.i || ':' || CAST(-s.p AS BIGINT)), ' ') AS top FROM embeddings")
+def t4_top_k_wide(spark, sf_dir):
+    """Values rounded so that many tie."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 4)).alias("values"))
+    return scoring.top_k_wide(e, 9).select("vec_id", F.array_join(F.transform("top", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["p"].cast("long").cast("string"))), " ").alias("top"))
+
+
 @query("SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(len(embedding)), lambda i: {'p': -embedding[i + 1], 'i': i}))[1:3], lambda s: 'w' || s.i || ':' || printf('%.4f', (-s.p)::DOUBLE)), ' ') AS line FROM embeddings")
 def f17_rendering(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")

@@ -11,7 +11,7 @@ from dialoom.operators import batches, chunks, encode, quality, vocab
 from dialoom.plans import base
 from dialoom.plans.base import load, scratch, sql
 from dialoom.plans.registry import query
-from dialoom.sources import io
+from dialoom.sources import io, merge
 from dialoom.streaming import live
 
 SIZE, BATCH = 10, 8
@@ -65,6 +65,40 @@ def u2_merge_skips_damaged(spark, sf_dir):
     return chunks.merge_files(spark, [f"{path}/even", f"{path}/odd", f"{path}/damaged/*.txt"], start_chunk=1, on_corrupt="skip", schema=rows.schema)
 
 
+STORED = "conv_id bigint, pos bigint"
+
+
+def _some_damaged(spark, sf_dir) -> str:
+    """A folder of chunk files, of which every fifth chunk from the third on is text under a chunk's name, and the last
+    comes a second time under another number without the place of its rows."""
+    path, rows = scratch(spark, "chunks"), base.stored(chunk_rows(spark, sf_dir).select("chunk_no", "conv_id", "pos"), "chunks")
+    broken = F.col("chunk_no") % 5 == 2
+    rows.where(~broken).repartition("chunk_no").write.partitionBy("chunk_no").parquet(path)
+    rows.where(broken & (F.col("pos") == 0)).select("chunk_no", F.lit("no parquet").alias("value")).repartition("chunk_no").write.mode("append").partitionBy("chunk_no").text(path)
+    late = F.max("chunk_no").over(Window.partitionBy())  # one number
+    last = rows.groupBy("chunk_no").agg(F.max("conv_id").alias("conv_id")).withColumn("last", late).where("chunk_no = last")
+    last.select((F.col("chunk_no") + 1000).alias("chunk_no"), "conv_id").coalesce(1).write.mode("append").partitionBy("chunk_no").parquet(path)
+    return path
+
+
+@query(sql("turns", "SELECT chunk_no, chunk_no % 5 <> 2 AS merged, CASE WHEN chunk_no % 5 <> 2 THEN n END AS rows FROM (SELECT CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n FROM chunked GROUP BY 1) UNION ALL SELECT CAST(max(chunk_no) + 1000 AS BIGINT), false, NULL FROM chunked", CHUNKED))
+def u2_damaged_files(spark, sf_dir):
+    """What the manifest of a merge says that left damaged chunks out."""
+    source, target = _some_damaged(spark, sf_dir), scratch(spark, "merged")
+    merge.merge(spark, source, target, STORED, on_corrupt="skip", commit=4)
+    return merge.manifest(spark, target).select("chunk_no", F.col("error").isNull().alias("merged"), "rows")
+
+
+@query(sql("turns", "SELECT CAST(chunk_no AS BIGINT) AS chunk_no, conv_id, CAST(pos AS BIGINT) AS pos FROM chunked WHERE chunk_no % 5 <> 2", CHUNKED))
+def u2_merge_goes_on(spark, sf_dir):
+    """A merge that stopped after its first run, and was started again; a half-written run lies where the second goes."""
+    source, target = _some_damaged(spark, sf_dir), scratch(spark, "merged")
+    merge.merge(spark, source, target, STORED, on_corrupt="skip", commit=3, most_runs=1)
+    merge.read_merged(spark, target, STORED).write.parquet(f"{target}/data/commit=1")
+    merge.merge(spark, source, target, STORED, on_corrupt="skip", commit=3)
+    return merge.read_merged(spark, target, STORED).select("chunk_no", "conv_id", "pos")
+
+
 @query(sql("turns", "SELECT split, CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n FROM chunked GROUP BY ROLLUP (split, chunk_no)", CHUNKED))
 def a6_dialogues_per_chunk(spark, sf_dir):
     return chunks.sizes(chunk_rows(spark, sf_dir))
