@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Special ids and schedule constants of the corpus format.
 PAD, SOS, EOS, UNK = 0, 1, 2, 3
-T0, DECAY, T_MIN, LR_DECAY = 1.5, 0.95, 0.2, 0.95
+T0, DECAY, T_MIN, LR_DECAY, RATIO = 1.5, 0.95, 0.2, 0.95, 0.15
 
 
 def with_end(ids: Column) -> Column:
@@ -54,6 +54,15 @@ def lr_factor(t: Column, decay: float = LR_DECAY) -> Column:
     return F.pow(F.lit(decay), t)
 
 
+def control(t: Column, cap: Column, least: Column | int | None = None, extra: float = 0.0, budget: float = RATIO) -> Column:
+    """The control values of step t (from 0) of a plan of `cap` steps, as (t_norm, remain_norm, min_done, budget): what share
+    of the plan (and `extra` steps) is done and is left, whether `least` steps are done (1.0 where there is no least),
+    and the share of steps that should speak. extra: 0 in evaluation."""
+    whole = F.greatest(cap + extra, F.lit(1.0))
+    done = F.lit(1.0) if least is None else F.when(t + 1 >= least, 1.0).otherwise(0.0)
+    return F.struct(((t + 1) / whole).alias("t_norm"), (F.greatest(whole - (t + 1), F.lit(0.0)) / whole).alias("remain_norm"), done.alias("min_done"), F.lit(budget).alias("budget"))
+
+
 def gate_threshold(t: Column, start: float, eps: float, cap: Column) -> Column:
     """start - eps (t + 1) / cap, kept in [0, 1]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(start) - F.lit(eps) * (t + 1) / cap))
@@ -80,6 +89,11 @@ def arg_max(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)) - 1
 
 
+def rendered_top(top: Column) -> Column:
+    """Pairs (word, p) as `word:0.123456`, joined by blanks."""
+    return F.array_join(F.transform(top, lambda x: F.format_string("%s:%.6f", x["word"], x["p"].cast("double"))), " ")
+
+
 def rendered(ids: Column) -> Column:
     """Ids joined by blanks; null stays null."""
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")

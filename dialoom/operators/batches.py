@@ -52,19 +52,56 @@ def pairs(steps: DataFrame) -> DataFrame:
     return steps.where(has_target(F.col("target")))
 
 
+def forced_places(steps: DataFrame) -> DataFrame:
+    """(conv_id, step, context, target, places array<int>): one row for each step that has a target; `places` are those of
+    its tokens. What is learned at place j is target[j] after target[:j], which `prefix_at` cuts where it is used: rows
+    of all prefixes would hold a number of ids that is quadratic in the target's length."""
+    out = pairs(steps).select("conv_id", "step", context(F.col("x_t"), F.col("x_ref")).alias("context"), unpadded(F.col("target")).alias("target"))
+    return out.withColumn("places", F.sequence(F.lit(0), F.size("target") - 1))
+
+
+def prefix_at(target: Column, j: Column) -> Column:
+    """The ids before place j; null at the first place."""
+    return F.when(j > 0, F.slice(target, F.lit(1), j))
+
+
 def forced(steps: DataFrame) -> DataFrame:
     """(conv_id, step, context, j, prefix, gold): one row for each target token."""
-    out = pairs(steps).select("conv_id", "step", context(F.col("x_t"), F.col("x_ref")).alias("context"), unpadded(F.col("target")).alias("target"))
-    out = out.select("conv_id", "step", "context", "target", F.posexplode("target").alias("j", "gold"))
-    return out.select("conv_id", "step", "context", "j", F.when(F.col("j") > 0, F.slice(F.col("target"), F.lit(1), F.col("j"))).alias("prefix"), "gold")
+    out = forced_places(steps).select("conv_id", "step", "context", "target", F.explode("places").alias("j"))
+    return out.select("conv_id", "step", "context", "j", prefix_at(F.col("target"), F.col("j")).alias("prefix"), F.get("target", F.col("j")).alias("gold"))
 
 
-def short_targets(steps: DataFrame, least: int = 2, keep_share: float = 0.0, key: Column | None = None) -> DataFrame:
-    """Steps with `least` target tokens or more, and of the others a repeatable share by hash of the key."""
+def short_targets(steps: DataFrame, least: int = 2, keep_share: float = 0.0, keep: int | None = None, by: tuple[str, ...] = (), key: Column | None = None, order: Column | None = None, width: int = 1 << 52) -> DataFrame:
+    """Steps with `least` target tokens or more, and of the shorter ones exactly `keep` a class (`by`), or the share
+    `keep_share` of each class, rounded down, by `quota` (key, order, width)."""
     enough = F.size(unpadded(F.col("target"))) >= least
-    if keep_share <= 0:
+    if keep is None and keep_share <= 0:
         return steps.where(enough)
-    return steps.where(enough | (F.pmod(F.xxhash64(key), F.lit(10_000)) < int(keep_share * 10_000)))
+    short = steps.where(~enough)
+    n = keep if keep is not None else short.groupBy(*by).agg(F.floor(F.count("*") * keep_share).alias("quota"))
+    if not by:
+        short, n = short.withColumn("_all", F.lit(0)), n if isinstance(n, int) else n.withColumn("_all", F.lit(0))
+    kept = quota(short, n, *(by or ("_all",)), key=key, order=order, width=width)
+    return steps.where(enough).unionByName(kept.select(*steps.columns))
+
+
+def quota(rows: DataFrame, n: DataFrame | int, *by: str, key: Column, order: Column | None = None, width: int = 1 << 52) -> DataFrame:
+    """Of each class (`by`) exactly n rows, or all if it has fewer: those with the smallest hash of the key, ties by the
+    key, so the choice is repeatable. n: a number, or a table (by..., quota) in which classes that lack keep nothing.
+    order: a whole number to choose by in place of the hash.
+
+    Ranges of `width` of that number are counted first; whole ranges below the quota are kept, and only the range in
+    which it is reached is ranked: a class of any size costs no window over it."""
+    rows = rows.withColumns({"_order": F.xxhash64(key) if order is None else order, "_key": key}).withColumn("_range", F.floor(F.col("_order") / width).cast("long"))
+    counts = rows.groupBy(*by, "_range").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before)
+    counts = counts.withColumn("quota", F.lit(n)) if isinstance(n, int) else counts.join(n, list(by))
+    open_ = counts.where(F.col("_before") < F.col("quota")).select(*by, "_range", (F.col("quota") - F.col("_before")).alias("_left"), (F.col("_before") + F.col("count") <= F.col("quota")).alias("_whole"))
+    met = rows.join(open_, [*by, "_range"])
+    whole = met.where("_whole")
+    cut = met.where("not _whole").withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_order", "_key"))).where("_rank <= _left").drop("_rank")
+    return whole.unionByName(cut).drop("_order", "_key", "_range", "_left", "_whole")
 
 
 def sample(rows: DataFrame, n: int, key: Column, by_chunk: bool) -> DataFrame:

@@ -6,24 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 10_000
+#: Neighbouring keys whose sums are added up before a window sees them.
+WIDE = 4096
+
+
+def sums_before(table: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """table with `name`: the sum of `value` over all rows that come before in the order of `keys` (distinct, the last one
+    a number). Two levels: rows meet in windows of at most WIDE neighbouring keys, and only the sums of those windows in
+    one over all."""
+    group = [*keys[:-1], "_wide"]
+    rows = table.withColumn("_wide", F.floor(F.col(keys[-1]) / WIDE))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*group).agg(F.sum(value).alias("_sum"))
+    # a row for WIDE keys, which is 25 000 for 10^8
+    tops = tops.select(*group, F.coalesce(F.sum("_sum").over(before.orderBy(*group)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(before.partitionBy(*group).orderBy(keys[-1])), F.lit(0))
+    return rows.withColumn("_inside", inside).join(tops, group).withColumn(name, F.col("_before") + F.col("_inside")).drop("_wide", "_inside", "_before")
 
 
 def dense_ordinal(df: DataFrame, *order: str, bucket: list[Column], name: str = "ordinal") -> DataFrame:
     """df with dense numbers from 0 in the given order, in two passes: rows are counted by `bucket` (columns that
-    ascend with the order, such as a key divided by some thousands), a running sum over that small table tells where
-    each bucket starts, and rows are numbered inside their bucket. No window holds more rows than a bucket has."""
+    ascend with the order, such as a key divided by some thousands, the last one a number), running sums over that small
+    table tell where each bucket starts, and rows are numbered inside their bucket."""
     names = [f"_b{k}" for k in range(len(bucket))]
     rows = df.select("*", *(c.alias(n) for c, n in zip(bucket, names)))
-    before = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*names).count().select(*names, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
+    starts = sums_before(rows.groupBy(*names).count(), names, "count", "_from").drop("count")
     local = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1
     return rows.withColumn("_n", local).join(starts, names).withColumn(name, (F.col("_from") + F.col("_n")).cast("long")).drop(*names, "_n", "_from")
 
 
 def by_key(of: DataFrame, each: int = 4096) -> list[Column]:
     """Buckets of about `each` ids for tables ordered by (split_ord, conv_id, ...): as wide as the ids of `of` (conv_id)
-    are sparse, from their range and number."""
-    low, high, n = of.agg(F.min("conv_id"), F.max("conv_id"), F.approx_count_distinct("conv_id")).first()
+    are sparse, from their range and number (an id that repeats makes them narrower)."""
+    low, high, n = of.agg(F.min("conv_id"), F.max("conv_id"), F.count("conv_id")).first()
     width = max(1, (high - low + 1) * each // max(1, n)) if n else 1
     return [F.col("split_ord"), F.floor(F.col("conv_id") / width)]
 
@@ -36,12 +51,11 @@ def chunked(df: DataFrame, *order: str, bucket: list[Column], size: int = CHUNK)
 
 def offsets(lengths: DataFrame) -> DataFrame:
     """(chunk_no, lo, hi) from (chunk_no, n): one row a chunk."""
-    run = F.sum("n").over(Window.orderBy("chunk_no"))
-    return lengths.select("chunk_no", (run - F.col("n")).alias("lo"), run.alias("hi"))
+    return sums_before(lengths.select("chunk_no", "n"), ["chunk_no"], "n", "lo").select("chunk_no", "lo", (F.col("lo") + F.col("n")).alias("hi"))
 
 
-def locate(indexes: DataFrame, of: DataFrame) -> DataFrame:
-    """(idx, chunk_no, local) by a range join with the offset table; out of range: null chunk.
+def locate(indexes: DataFrame, of: DataFrame, strict: bool = False) -> DataFrame:
+    """(idx, chunk_no, local) by a range join with the offset table; out of range: null chunk, or an error (`strict`).
 
     Ranges and indexes meet in buckets as wide as the longest chunk, of which a chunk touches two at most: an
     equi-join at any number of chunks."""
@@ -49,7 +63,9 @@ def locate(indexes: DataFrame, of: DataFrame) -> DataFrame:
     ranges = of.where("hi > lo").select("*", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("_b"))
     both = indexes.withColumn("_b", F.floor(F.col("idx") / width))
     hit = (both["_b"] == ranges["_b"]) & (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))
-    return both.join(ranges, hit, "left").select("idx", "chunk_no", (F.col("idx") - F.col("lo")).alias("local"))
+    found = both.join(ranges, hit, "left")
+    number = F.when(F.col("chunk_no").isNull(), F.raise_error(F.concat(F.lit("no chunk has index "), F.col("idx").cast("string"))).cast("long")).otherwise(F.col("chunk_no")) if strict else F.col("chunk_no")
+    return found.select("idx", number.alias("chunk_no"), (F.col("idx") - F.col("lo")).alias("local"))
 
 
 def reconcile(chunks: DataFrame, partials: DataFrame, partial_wins: bool = False) -> DataFrame:
@@ -85,6 +101,9 @@ def sizes(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("split", "chunk_no").agg(F.count("*").alias("n"))
 
 
-def shuffled(rows: DataFrame, key, seed: int = 0) -> DataFrame:
-    """A repeatable order inside each chunk, chunk order kept; key: Column that names a row."""
-    return rows.orderBy("chunk_no", F.xxhash64(F.lit(seed), key), key)
+def shuffled(rows: DataFrame, key: Column, seed: int = 0, by: Column | None = None) -> DataFrame:
+    """rows with `place`, from 0, in a repeatable order inside each chunk, chunks in order of their numbers. key: Column
+    that names a row; by: Column to order by in place of the key's hash with the seed."""
+    order = F.xxhash64(F.lit(seed), key) if by is None else by
+    dealt = rows.withColumn("place", F.row_number().over(Window.partitionBy("chunk_no").orderBy(order, key)) - 1)
+    return dealt.repartitionByRange("chunk_no").sortWithinPartitions("chunk_no", "place")

@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.functions.arrays import entropy, guarded_gate, has_target
+from dialoom.functions.arrays import EOS, RATIO, entropy, guarded_gate, has_target
 
 # Loss weights of the corpus format.
-POS_WEIGHT, SMOOTHING, ENTROPY_W, BUDGET_W, RATIO, TAU, NCE_W = 1.2, 0.05, 0.01, 0.1, 0.15, 0.1, 0.1
+POS_WEIGHT, SMOOTHING, ENTROPY_W, BUDGET_W, TAU, NCE_W = 1.2, 0.05, 0.01, 0.1, 0.1, 0.1
 
 
 def supervised_share(steps: DataFrame) -> DataFrame:
@@ -56,13 +56,26 @@ def best_so_far(log: DataFrame, by: str, width: int = 4096) -> DataFrame:
     return both.withColumn("new_best", F.col("best_before").isNull() | (F.col("loss") < F.col("best_before")))
 
 
+def _spoken(log: DataFrame, threshold: float, least: int, most: int, *fields: str) -> DataFrame:
+    sized = log.withColumn("cap", F.least(F.count("*").over(Window.partitionBy("conv_id")), F.lit(most)))
+    ok = (F.col("t") <= F.col("cap")) & (((F.col("t") >= least) & (F.col("gate") > threshold)) | (F.col("t") == F.col("cap")))
+    first = F.min(F.when(ok, F.struct("t", (F.col("gate") <= threshold).alias("forced"), *fields)))
+    return sized.groupBy("conv_id").agg(first.alias("s")).select("conv_id", "s.t", "s.forced", *(f"s.{c}" for c in fields))
+
+
 def speak_step(log: DataFrame, threshold: float, least: int, most: int) -> DataFrame:
     """(conv_id, t, forced): first t (from 1) with t >= least and gate > threshold, else the step where the plan of
     min(steps, most) ends."""
-    sized = log.withColumn("cap", F.least(F.count("*").over(Window.partitionBy("conv_id")), F.lit(most)))
-    ok = (F.col("t") <= F.col("cap")) & (((F.col("t") >= least) & (F.col("gate") > threshold)) | (F.col("t") == F.col("cap")))
-    first = F.min(F.when(ok, F.struct("t", (F.col("gate") <= threshold).alias("forced"))))
-    return sized.groupBy("conv_id").agg(first.alias("s")).select("conv_id", F.col("s.t").alias("t"), F.col("s.forced").alias("forced"))
+    return _spoken(log, threshold, least, most)
+
+
+def answers(log: DataFrame, threshold: float, least: int, most: int, decode: DataFrame) -> DataFrame:
+    """(conv_id, t, forced, token, answer) of a log (conv_id, t, gate, token), where token is the arg-max of the step's
+    logits: the token at the step where `speak_step` speaks, and its word in the table (idx, word): '' for the end mark,
+    <UNK> for an id that the table lacks."""
+    word = F.when(F.col("token") == EOS, "").otherwise(F.coalesce("word", F.lit("<UNK>")))
+    spoken = _spoken(log, threshold, least, most, "token")
+    return spoken.join(decode.select("idx", "word"), F.col("token") == F.col("idx"), "left").select("conv_id", "t", "forced", "token", word.alias("answer"))
 
 
 def batch_speak_step(log: DataFrame, threshold: Column, least: int, most: int, safety: int) -> DataFrame:

@@ -16,12 +16,13 @@ BUCKETS = ((1, 1), (2, 5), (6, 10), (11, 50), (51, 100), (101, 500), (501, 1000)
 
 
 def place(split: Column, line: Column, turn: Column, field: Column, pos: Column) -> Column:
-    """A word's place in reading order in one decimal of 126 bits: split and line take 2 and 61, turn, field and position
-    30, 2 and 31. A hash aggregate keeps a decimal's minimum; a struct's would need sorting."""
-    long = lambda c: c.cast("long")
-    high = (long(split) * (1 << 61) + long(line)).cast("decimal(19,0)")
-    low = ((long(turn) * 4 + long(field)) * (1 << 31) + long(pos)).cast("decimal(19,0)")
-    return high * F.lit(Decimal(1 << 63)) + low
+    """A word's place in reading order in one decimal. Splits (0 to 2) and lines of any 64 bits make the high part; turns of
+    any 32 bits, fields (0 to 3) and positions, of which an array holds less than 2^27, the low part of 61 bits. With
+    split 1 in the middle that takes 126 bits and a sign. A hash aggregate keeps a decimal's minimum; a struct's would
+    need sorting."""
+    high = (split.cast("decimal(2,0)") - F.lit(Decimal(1))) * F.lit(Decimal(1 << 64)) + line.cast("decimal(19,0)")
+    low = ((turn.cast("long") * 4 + field.cast("long")) * (1 << 27) + pos.cast("long")).cast("decimal(19,0)")
+    return (high.cast("decimal(21,0)") * F.lit(Decimal(1 << 61)) + low).cast("decimal(38,0)")
 
 
 def word_counts(turns: DataFrame, toks: str = "toks") -> DataFrame:
@@ -71,9 +72,12 @@ def incremental(sentences: DataFrame, width: int = 1024) -> DataFrame:
 
 
 def trimmed(vocab: DataFrame, min_count: int) -> DataFrame:
-    """Words of min_count or more with new dense ids in the old order; counts start again at 1."""
+    """Words of min_count or more with new dense ids in the old order; counts start again at 1. The mark `trimmed` comes
+    with them: a vocabulary that has it stays as it is, whatever the count."""
+    if "trimmed" in vocab.columns:
+        return vocab
     kept = vocab.where(F.col("n") >= min_count)
-    return dense_ordinal(kept, "idx", bucket=[F.shiftright("idx", 16)]).select("word", (F.col("ordinal") + FIRST_ID).cast("int").alias("idx"), F.lit(1).cast("long").alias("n"))
+    return dense_ordinal(kept, "idx", bucket=[F.shiftright("idx", 16)]).select("word", (F.col("ordinal") + FIRST_ID).cast("int").alias("idx"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("trimmed"))
 
 
 def trim_ratio(vocab: DataFrame, min_count: int) -> DataFrame:
@@ -81,6 +85,17 @@ def trim_ratio(vocab: DataFrame, min_count: int) -> DataFrame:
     return vocab.agg(kept.alias("kept"), F.count("*").alias("words"), F.round(kept / F.greatest(F.count("*"), F.lit(1)), 6).alias("ratio"))
 
 
+def sketches(turns: DataFrame, *by: str, toks: str = "toks", bits: int = 14) -> DataFrame:
+    """(by..., sketch, tokens): a HyperLogLog sketch of the words of each group, to be stored and united later."""
+    words = turns.select(*by, F.explode(toks).alias("word"))
+    return words.groupBy(*by).agg(F.hll_sketch_agg("word", bits).alias("sketch"), F.count("*").alias("tokens"))
+
+
+def distinct_words(parts: DataFrame, *by: str) -> DataFrame:
+    """(by..., distinct_words, tokens) of stored sketches, united by group; the count is approximate (some 0.8 % at 14 bits)."""
+    return parts.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_words"), F.sum("tokens").alias("tokens"))
+
+
 def decode_table(vocab: DataFrame) -> DataFrame:
     """(idx, word) with the four special ids."""
     special = vocab.sparkSession.createDataFrame(list(SPECIALS), "idx int, word string")

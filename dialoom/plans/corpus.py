@@ -140,14 +140,16 @@ def f2_urls(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", T.drop_urls(F.concat(F.lit("see "), "url", F.lit(" now"))).alias("text"))
 
 
-@query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', ' ', 'g')) AS BIGINT) AS n FROM documents")
+@query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', ' ', 'g')) AS BIGINT) AS n, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', ' ', 'g')) AS digest FROM documents")
 def f3_emails(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.length(T.drop_emails(F.col("text"))).cast("long").alias("n"))
+    kept = T.drop_emails(F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.length(kept).cast("long").alias("n"), F.md5(kept.cast("binary")).alias("digest"))
 
 
-@query(r"SELECT doc_id, CAST(length(regexp_replace(text || ' →☀✂ x', '[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}\x{2190}-\x{2BFF}]', '', 'g')) AS BIGINT) AS n FROM documents")
+@query(r"SELECT doc_id, CAST(length(regexp_replace(text || ' →☀✂ x', '[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}\x{2190}-\x{2BFF}]', '', 'g')) AS BIGINT) AS n, md5(regexp_replace(text || ' →☀✂ x', '[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}\x{2190}-\x{2BFF}]', '', 'g')) AS digest FROM documents")
 def f4_symbols(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.length(T.drop_symbols(F.concat("text", F.lit(" →☀✂ x")))).cast("long").alias("n"))
+    kept = T.drop_symbols(F.concat("text", F.lit(" →☀✂ x")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.length(kept).cast("long").alias("n"), F.md5(kept.cast("binary")).alias("digest"))
 
 
 @query(sql("cnt", "SELECT word, CAST(n AS BIGINT) AS n FROM cnt"))
@@ -160,6 +162,18 @@ def a2_totals(spark, sf_dir):
     return vocab.totals(base.counts(spark, sf_dir))
 
 
+@query(sql("words", "SELECT split, true AS close, count(*) AS tokens FROM words JOIN (SELECT DISTINCT split, split_ord FROM turns) USING (split_ord) GROUP BY split"))
+def a2_approximate_words(spark, sf_dir):
+    """Distinct words of each split from sketches by fifty dialogues, stored in two runs, against the exact numbers: at
+    most two in a hundred apart."""
+    path, toks = scratch(spark, "sketches"), base.stored(base.tokenised(spark, sf_dir).withColumn("part", F.floor(F.col("conv_id") / 50)), "tokens")
+    for run in (0, 1):
+        vocab.sketches(toks.where(F.col("part") % 2 == run), "split", "part").write.mode("append").parquet(path)
+    about = vocab.distinct_words(spark.read.schema("split string, part long, sketch binary, tokens long").parquet(path), "split")
+    exact = toks.select("split", F.explode("toks").alias("word")).groupBy("split").agg(F.count_distinct("word").alias("n"))
+    return about.join(exact, "split").select("split", (F.abs(F.col("distinct_words") - F.col("n")) <= 0.02 * F.col("n")).alias("close"), "tokens")
+
+
 @query(sql("cnt", "SELECT CAST(b.bucket AS BIGINT) AS bucket, count(word) AS words FROM range(8) AS b(bucket) LEFT JOIN (SELECT word, CASE WHEN n <= 1 THEN 0 WHEN n <= 5 THEN 1 WHEN n <= 10 THEN 2 WHEN n <= 50 THEN 3 WHEN n <= 100 THEN 4 WHEN n <= 500 THEN 5 WHEN n <= 1000 THEN 6 ELSE 7 END AS bucket FROM cnt) c USING (bucket) GROUP BY 1"))
 def a3_histogram(spark, sf_dir):
     return vocab.histogram(base.counts(spark, sf_dir))
@@ -182,6 +196,13 @@ def a5_trimmed_vocabulary(spark, sf_dir):
     return vocab.trimmed(_incremental(spark, sf_dir), 3).select("word", F.col("idx").cast("long"), "n")
 
 
+@query(sql("", "SELECT word, CAST(row_number() OVER (ORDER BY idx) + 3 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS n, true AS trimmed FROM inc WHERE n >= 3", INCREMENTAL))
+def a5_trimmed_twice(spark, sf_dir):
+    """The second trim, of counts that are all 1 by then, leaves the vocabulary as it is."""
+    once = vocab.trimmed(_incremental(spark, sf_dir), 3)
+    return vocab.trimmed(once, 3).select("word", F.col("idx").cast("long"), "n", "trimmed")
+
+
 @query(sql("", "SELECT count(*) FILTER (n >= 3) AS kept, count(*) AS words, round(count(*) FILTER (n >= 3) / greatest(count(*), 1), 6) AS ratio FROM inc", INCREMENTAL))
 def a5_trim_ratio(spark, sf_dir):
     return vocab.trim_ratio(_incremental(spark, sf_dir), 3)
@@ -192,6 +213,16 @@ def w6_vocabulary_ids(spark, sf_dir):
     return base.vocabulary(spark, sf_dir).select("word", F.col("idx").cast("long"), "n")
 
 
+FAR = ("far", "SELECT word, count(*) AS n, min(seen) AS first_seen FROM (SELECT word, row_number() OVER (ORDER BY split_ord, far, turn, pos) AS seen FROM (SELECT *, CAST(conv_id % 8 - 4 AS BIGINT) * 2305843009213693952 + conv_id AS far FROM words)) GROUP BY word")
+
+
+@query(sql("words", "SELECT word, CAST(row_number() OVER (ORDER BY n DESC, first_seen) + 3 AS BIGINT) AS idx, CAST(n AS BIGINT) AS n FROM far WHERE n >= 2", FAR))
+def w6_ids_of_64_bits(spark, sf_dir):
+    """Dialogue ids from -2^63 on, far apart as hashes are."""
+    far = (F.col("conv_id") % 8 - 4) * F.lit(1 << 61) + F.col("conv_id")
+    return vocab.vocabulary(vocab.word_counts(base.tokenised(spark, sf_dir).withColumn("conv_id", far)), size=1 << 30).select("word", F.col("idx").cast("long"), "n")
+
+
 @query(sql("cnt", "SELECT word, CAST(n AS BIGINT) AS n FROM cnt ORDER BY n DESC, first_seen LIMIT 100"))
 def t1_top_words(spark, sf_dir):
     return vocab.top_words(base.counts(spark, sf_dir), 100)
@@ -237,6 +268,14 @@ def j1_token_lookup_dictionary(spark, sf_dir):
     return base.tokenised(spark, sf_dir).select("split", "conv_id", F.col("turn").cast("long"), rendered(own(F.col("toks"))).alias("ids"))
 
 
+@query(sql("ids", f"SELECT split, conv_id, turn, {show('ids')} AS ids FROM ids"))
+def j1_token_lookup_by_file(spark, sf_dir):
+    """The same with a dictionary for each file of stored tokens, as vocabularies go that are too large to broadcast."""
+    toks = base.stored(base.tokenised(spark, sf_dir).repartition(4, "conv_id"), "tokens")
+    ids = encode.token_ids(toks, base.vocabulary(spark, sf_dir), store=scratch(spark, "dictionaries"), most=1)
+    return ids.select("split", "conv_id", F.col("turn").cast("long"), rendered(F.col("ids")).alias("ids"))
+
+
 @query(sql("ids", "SELECT conv_id, turn, CASE WHEN len(toks) + 1 > 8 THEN array_to_string(list_append(list_transform(ids[1:8], lambda i: CASE WHEN i = 3 THEN 'UNK' ELSE m[i] END), '<...>'), ' ') ELSE array_to_string(list_transform(ids, lambda i: CASE i WHEN 3 THEN 'UNK' WHEN 2 THEN 'EOS' ELSE m[i] END), ' ') END AS words FROM ids JOIN tok USING (conv_id, turn), (SELECT map(list(idx), list(word)) AS m FROM vocab)"))
 def j2_decode(spark, sf_dir):
     v = base.stored(base.vocabulary(spark, sf_dir), "vocabulary")
@@ -261,8 +300,7 @@ CARRY = ("carry", "SELECT *, last_value(CASE WHEN input_text IS NOT NULL THEN po
 @query(sql("ids", f"SELECT c.split, CAST(line AS BIGINT) AS conv_id, CAST(pos AS BIGINT) AS step, coalesce({show('ref.ids')}, '2') AS x_ref, CASE WHEN gate = 1 THEN coalesce({show('inp.ids')}, '2') END AS x_t, CASE WHEN gate = 1 THEN {show('own.ids')} ELSE '' END AS target, gate::DOUBLE AS gate FROM carry c LEFT JOIN ids own ON own.conv_id = c.conv_id AND own.turn = c.pos LEFT JOIN ids inp ON inp.conv_id = c.conv_id AND inp.turn = c.at LEFT JOIN ids ref ON ref.conv_id = c.conv_id AND ref.turn = c.r", LINES, STEP_INPUT, CARRY))
 def x2_w3_w4_step_format(spark, sf_dir):
     """Step records written as JSONL, read, sniffed, carried forward and encoded."""
-    v = base.vocabulary(spark, sf_dir)
-    own = io.encoder(v)
+    own = io.encoder(base.stored(base.vocabulary(spark, sf_dir), "vocabulary"))
     parts = io.elements(io.read_splits(spark, write_dialogues(spark, sf_dir, "step")))
     return shown(encode.step_format(io.step_inputs(parts), lambda c: own(T.tokens(c))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoom.functions import arrays as A
-from dialoom.operators import scoring
+from dialoom.operators import scoring, vocab
 from dialoom.plans import base
 from dialoom.plans.base import load, scratch, sql
 from dialoom.plans.registry import query
@@ -87,6 +87,15 @@ def e1_speak_decision(spark, sf_dir):
     return scoring.speak_step(log, 0.7, 3, 12)
 
 
+@query(sql("gates vocab", "SELECT s.conv_id, s.t, s.forced, s.token, CASE WHEN s.token = 2 THEN '' WHEN s.token = 3 THEN 'UNK' ELSE coalesce(v.word, '<UNK>') END AS answer FROM (SELECT conv_id, arg_min(t, t) AS t, arg_min(g <= 0.7, t) AS forced, arg_min((conv_id * 31 + t * 7) % 9 * CASE WHEN conv_id % 10 = 0 THEN 100000 ELSE 1 END + 2, t) AS token FROM (SELECT *, least(count(*) OVER (PARTITION BY conv_id), 12) AS cap FROM p) WHERE t <= cap AND ((t >= 3 AND g > 0.7) OR t = cap) GROUP BY conv_id) s LEFT JOIN vocab v ON v.idx = s.token", P))
+def e1_answer_token(spark, sf_dir):
+    """The word at the step that speaks: end marks are empty, and some ids are beyond the vocabulary."""
+    c, t = F.col("conv_id"), F.col("t")
+    token = (c * 31 + t * 7) % 9 * F.when(c % 10 == 0, 100_000).otherwise(1) + 2
+    log = base.gates(spark, sf_dir).withColumns({"gate": A.guarded_gate(F.col("logit")), "token": token})
+    return scoring.answers(log, 0.7, 3, 12, vocab.decode_table(base.vocabulary(spark, sf_dir)))
+
+
 @query(sql("gates", "SELECT CAST(batch AS BIGINT) AS batch, min(t) AS t FROM (SELECT conv_id % 20 AS batch, t - 1 AS t, avg(g) AS m FROM p GROUP BY 1, 2) WHERE (t + 1 >= 2 AND m >= greatest(0, least(1, 0.6 - 0.1 * (t + 1) / 10))) OR t + 1 >= 10 OR t + 1 = 8 GROUP BY 1", P))
 def e2_f14_batch_decision(spark, sf_dir):
     log = base.gates(spark, sf_dir).select((F.col("conv_id") % 20).alias("batch"), (F.col("t") - 1).alias("t"), "logit")
@@ -204,6 +213,23 @@ def f13_schedule(spark, sf_dir):
     return base.gates(spark, sf_dir).select("conv_id", "t", F.round(A.temperature(t), 6).alias("temperature"), F.round(A.lr_factor(t), 6).alias("lr"), F.round((t + 1) / 40, 6).alias("t_norm"))
 
 
+@query(sql("gates", "SELECT conv_id, t, round((t + 1) / greatest(cap + 2.5, 1), 6) AS t_norm, round(greatest(greatest(cap + 2.5, 1) - (t + 1), 0) / greatest(cap + 2.5, 1), 6) AS remain_norm, CASE WHEN t + 1 >= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS min_done, 0.15::DOUBLE AS budget, round((t + 1) / greatest(cap, 1), 6) AS plain, 1.0::DOUBLE AS always FROM (SELECT *, conv_id % 40 AS cap FROM gates)"))
+def f13_control(spark, sf_dir):
+    """Control values of plans of 0 to 39 steps: in training with 2.5 more steps, and in evaluation."""
+    t, cap = F.col("t"), F.col("conv_id") % 40
+    ramp, plain = A.control(t, cap, least=3, extra=2.5), A.control(t, cap)
+    return base.gates(spark, sf_dir).select("conv_id", "t", F.round(ramp["t_norm"], 6).alias("t_norm"), F.round(ramp["remain_norm"], 6).alias("remain_norm"), ramp["min_done"].alias("min_done"), ramp["budget"].alias("budget"), F.round(plain["t_norm"], 6).alias("plain"), plain["min_done"].alias("always"))
+
+
+@query(sql("vocab", "SELECT vec_id, string_agg(coalesce(word, '<UNK>') || ':' || printf('%.6f', p), ' ' ORDER BY p DESC, id) AS line FROM (SELECT vec_id, unnest(list_sort(list_transform(range(len(embedding)), lambda i: {'n': -embedding[i + 1]::DOUBLE, 'i': i}))[1:5], recursive := true) FROM embeddings) t(vec_id, n, id), LATERAL (SELECT -n AS p) LEFT JOIN vocab ON idx = id * 40 GROUP BY vec_id"))
+def f17_top_words(spark, sf_dir):
+    """The five largest values of each row with their words, `word:0.123456`."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(A.top_k(F.col("embedding"), 5)).alias("rank", "x"))
+    words = e.join(F.broadcast(base.vocabulary(spark, sf_dir).select("word", "idx")), F.col("x.id") * 40 == F.col("idx"), "left")
+    top = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("word", F.lit("<UNK>")).alias("word"), F.col("x.p").alias("p"))))
+    return words.groupBy("vec_id").agg(A.rendered_top(top).alias("line"))
+
+
 @query(sql("gates", "SELECT conv_id, t, CASE WHEN total_steps % 4 = 0 THEN 0.0 WHEN total_steps % 4 = 1 THEN 1.0 WHEN total_steps % 4 = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS gate, total_steps % 4 = 3 AS junk FROM gates"))
 def f16_gate_values(spark, sf_dir):
     """Gates as '', '1', true and text that is no number."""

@@ -175,6 +175,31 @@ def s11_u3_inventory(spark, sf_dir):
     return _files(spark, sf_dir).groupBy("directory").agg(F.count_distinct("number").alias("files"))
 
 
+NAMES = "CASE chunk_no % 4 WHEN 0 THEN 'chunk_' || chunk_no || '.pt' WHEN 1 THEN 'partial_' || chunk_no || '.pt' WHEN 2 THEN 'lines_' || chunk_no || '.jsonl' ELSE 'all_' || chunk_no || '.pt' END"
+
+
+@query(sql("turns", f"SELECT {NAMES} AS name, CASE chunk_no % 4 WHEN 0 THEN 'chunk' WHEN 1 THEN 'partial' WHEN 2 THEN 'raw' ELSE 'merged' END AS kind, CAST(CASE WHEN chunk_no % 4 < 2 THEN chunk_no END AS INTEGER) AS number, CAST(n AS BIGINT) AS bytes, 'd' || chunk_no % 2 AS directory FROM (SELECT CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n FROM chunked GROUP BY 1)", CHUNKED))
+def s11_file_kinds(spark, sf_dir):
+    """Files of all kinds, as many bytes long as their chunk has dialogues, through two overlapping globs."""
+    path, names = scratch(spark, "kinds"), chunk_rows(spark, sf_dir).groupBy("chunk_no").agg(F.count("*").alias("n"))
+    rows = names.select(F.concat(F.lit("d"), (F.col("chunk_no") % 2).cast("string"), F.lit("/"), F.expr(NAMES)).alias("name"), "n")
+
+    def put(batches):
+        from dialoom.sources.shared import opened
+
+        for b in batches:
+            for name, n in zip(b.column("name").to_pylist(), b.column("n").to_pylist()):
+                system, root = opened(path)
+                system.create_dir(f"{root}/{name.split('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(b"x" * n)
+            yield b.select(["name"])
+
+    rows.mapInArrow(put, "name string").agg(F.count("*")).collect()
+    found = io.inventory(spark, f"{path}/*", f"{path}/d1/*")
+    return found.select("name", "kind", "number", "bytes", F.element_at(F.split("directory", "/"), -1).alias("directory"))
+
+
 @query(sql("turns", "SELECT split AS directory, CAST(min(chunk_no) AS BIGINT) AS first, CAST(max(chunk_no) AS BIGINT) AS last, max(chunk_no) - min(chunk_no) + 1 = count(DISTINCT chunk_no) AS contiguous FROM chunked GROUP BY ROLLUP (split)", CHUNKED))
 def a12_directory_report(spark, sf_dir):
     return quality.directory_report(_files(spark, sf_dir)).select("directory", "first", "last", "contiguous")
@@ -280,6 +305,13 @@ def x5_step_plan(spark, sf_dir):
     return out.select("conv_id", F.col("step").cast("long"), rendered(F.col("target")).alias("target"))
 
 
+@query(sql("steps", "SELECT p.conv_id, CAST(p.step AS BIGINT) AS step, CASE WHEN p.step = 4 AND s.target IS NULL THEN f.final ELSE array_to_string(s.target, ' ') END AS target FROM (SELECT conv_id, unnest(range(6)) AS step FROM steps GROUP BY conv_id) p LEFT JOIN steps s USING (conv_id, step) LEFT JOIN (SELECT conv_id, max_by(array_to_string(target, ' '), step) AS final FROM steps GROUP BY 1) f USING (conv_id)"))
+def x5_step_plan_to_most(spark, sf_dir):
+    """Every plan goes on to the most steps there may be."""
+    out = batches.extended(base.steps(spark, sf_dir), 3, 6, to_most=True, safety=5)
+    return out.select("conv_id", F.col("step").cast("long"), rendered(F.col("target")).alias("target"))
+
+
 @query(sql("steps", "SELECT conv_id, CAST(step AS BIGINT) AS step, CASE WHEN conv_id % 5 = 0 THEN array_to_string(x_ref, ' ') WHEN conv_id % 5 = 1 THEN '1 2' ELSE array_to_string(x_t, ' ') END AS context, CAST(j AS BIGINT) AS j, CASE WHEN j > 0 THEN array_to_string(target[1:j], ' ') END AS prefix, CAST(target[j + 1] AS BIGINT) AS gold FROM (SELECT conv_id, step, x_ref, x_t, target, unnest(range(len(target))) AS j FROM steps)"))
 def x6_p12_f12_forced_rows(spark, sf_dir):
     """Some dialogues lack the previous utterance, which leaves the reference, and some have padding in its place."""
@@ -297,12 +329,26 @@ def p13_short_targets(spark, sf_dir):
 KEY = "(conv_id * 7919 + 13) % 10007"
 
 
+@query(sql("steps", f"SELECT conv_id, CAST(step AS BIGINT) AS step FROM (SELECT *, len(target) < 100 AS short, row_number() OVER (PARTITION BY split, len(target) < 100 ORDER BY {KEY}, conv_id, step) AS r FROM steps) WHERE NOT short OR r <= 7"))
+def p13_quota(spark, sf_dir):
+    """All steps of a hundred target tokens or more, and exactly seven shorter ones of each split."""
+    key = F.struct("conv_id", "step")
+    out = batches.short_targets(base.stored(base.steps(spark, sf_dir), "steps"), 100, keep=7, by=("split",), key=key, order=F.expr(KEY), width=64)
+    return out.select("conv_id", F.col("step").cast("long"))
+
+
+@query(sql("steps", f"SELECT conv_id, CAST(step AS BIGINT) AS step FROM (SELECT *, len(target) < 100 AS short, row_number() OVER (PARTITION BY split, len(target) < 100 ORDER BY {KEY}, conv_id, step) AS r, count(*) OVER (PARTITION BY split, len(target) < 100) AS n FROM steps) WHERE NOT short OR r <= floor(n * 0.3)"))
+def p13_share(spark, sf_dir):
+    """All steps of a hundred target tokens or more, and three tenths of the shorter ones of each split."""
+    out = batches.short_targets(base.stored(base.steps(spark, sf_dir), "steps"), 100, keep_share=0.3, by=("split",), key=F.struct("conv_id", "step"), order=F.expr(KEY), width=64)
+    return out.select("conv_id", F.col("step").cast("long"))
+
+
 @query(sql("turns", f"SELECT CAST(row_number() OVER (ORDER BY chunk_no, {KEY}, conv_id) AS BIGINT) AS place, conv_id FROM chunked", CHUNKED))
 def t5_shuffled_chunks(spark, sf_dir):
     """The order inside each chunk by a repeatable key; places are numbered chunk by chunk."""
-    rows = chunk_rows(spark, sf_dir)
-    local = F.row_number().over(Window.partitionBy("chunk_no").orderBy(F.expr(KEY), "conv_id"))
-    return rows.select((F.col("chunk_no") * SIZE + local).alias("place"), "conv_id")
+    rows = chunks.shuffled(chunk_rows(spark, sf_dir), F.col("conv_id"), by=F.expr(KEY))
+    return rows.select((F.col("chunk_no") * SIZE + F.col("place") + 1).alias("place"), "conv_id")
 
 
 @query(sql("turns", f"SELECT conv_id FROM chunked ORDER BY chunk_no, {KEY}, conv_id LIMIT 25", CHUNKED))

@@ -22,7 +22,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_lines(spark: SparkSession, path: str, split: str = "train", split_ord: int = 0) -> DataFrame:
     """(split, split_ord, file_name, line_no, value): lines in file order, numbered from 0 over all files."""
     of = F.col("_metadata.file_path")
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"), of.alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"), of.alias("file_path"), F.floor(F.col("_metadata.file_block_start") / (1 << 20)).alias("block"), F.monotonically_increasing_id().alias("id"))
     return dense_ordinal(raw, "id", bucket=[F.col("file_path"), F.col("block")], name="line_no").select(F.lit(split).alias("split"), F.lit(split_ord).alias("split_ord"), "file_name", "line_no", "value")
 
 

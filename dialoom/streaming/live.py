@@ -38,7 +38,9 @@ def encoded_lines(lines: DataFrame, encode, tokenizer=None) -> DataFrame:
     encode: Column function array<string> -> array<int>, applied to all words of the line at once; lengths cut the
     ids back into utterances. tokenizer: as of `text.tokens`; it is applied inside an array, so it has to be built of
     Spark's own functions."""
-    rows = lines.withColumn("texts", _nfkc_all(_texts(F.col("value")))).where(F.size("texts") >= 2)
+    rows = lines.withColumn("texts", _texts(F.col("value"))).where(F.size("texts") >= 2)
+    other = F.exists("texts", lambda x: x.rlike(r"[^\x00-\x7F]"))  # lines of ASCII alone don't travel to Python
+    rows = rows.withColumn("texts", F.coalesce(_nfkc_all(F.when(other, F.col("texts"))), "texts"))
     rows = rows.withColumn("toks", F.transform("texts", lambda x: tokens(x, normalise=False, tokenizer=tokenizer)))
     rows = rows.withColumn("ids", encode(F.flatten("toks"))).withColumn("ends", F.aggregate("toks", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.size(x))))
     own = F.transform(F.sequence(F.lit(0), F.size("toks") - 1), lambda k: F.array_append(F.slice("ids", F.get("ends", k) + 1, F.size(F.get("toks", k))), 2))
