@@ -5,7 +5,8 @@ the one with the smallest id keeps its payload, the others become `revisit` reco
 `salvage` walks an archive: a record whose version line, headers, length or digest don't hold is given up, the
 reader searches for the next gzip member or version line, goes on there, and logs the byte range it skipped.
 
-Defined results: a null payload is empty; equal ids keep equal records; an id of null gives a record without a
+Defined results: a null payload is empty; rows that share an id keep a record each, which revisits tell apart by the
+digest; an id of null gives a record without a
 page id; damaged ranges come back as gaps, never as an error; an empty table gives an archive without records;
 only the named columns are read.
 """
@@ -211,12 +212,12 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Revisits get size and digest of the response that they refer to; an unresolved one keeps its own digest
-    and a null size. The responses are stored, so that adaptive execution can split the rows that refer to one page."""
-    whole = stored(records.where("kind = 'response'").groupBy(F.col("page_id").alias("to")).agg(F.first("n_bytes").alias("of_bytes"), F.first("digest").alias("of_digest")), "responses")
-    both = records.where("kind in ('response', 'revisit')").join(whole, F.col("refers_to") == F.col("to"), "left")
+    """Revisits get the size of the response that they refer to, which has their id and digest; an unresolved one has a null
+    size. The responses are stored, so that adaptive execution can split the rows that refer to one page."""
+    whole = stored(records.where("kind = 'response'").groupBy(F.col("page_id").alias("to"), F.col("digest").alias("of_digest")).agg(F.first("n_bytes").alias("of_bytes")), "responses")
+    both = records.where("kind in ('response', 'revisit')").join(whole, (F.col("refers_to") == F.col("to")) & (F.col("digest") == F.col("of_digest")), "left")
     again = F.col("kind") == "revisit"
-    return both.select("page_id", F.when(again, F.col("of_bytes")).otherwise(F.col("n_bytes")).alias("payload_bytes"), F.when(again, F.coalesce("of_digest", "digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "uri", "archive")
+    return both.select("page_id", F.when(again, F.col("of_bytes")).otherwise(F.col("n_bytes")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "uri", "archive")
 
 
 def gaps(records: DataFrame) -> DataFrame:

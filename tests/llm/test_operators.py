@@ -724,13 +724,13 @@ def test_decontamination(spark, block_bytes):
     want = []
     for i, t in rows:
         for k, x in items:
-            n = sum(z[2] for z in tiling(words(t)[:400], words(x), 4)) if len(words(x)) >= 4 else 0
+            n = sum(z[2] for z in tiling(words(t), words(x), 4)) if len(words(x)) >= 4 else 0
             if n and n >= 0.5 * len(words(x)):
                 want.append((i, k, n))
     assert got == sorted(want) and {1100, 1101, 1300} <= {x[0] for x in got}
     kept = decontaminate.clean(d, b, block_bytes=block_bytes)
     bad = {x[0] for x in want}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in rows if i not in bad) or 1000 in bad
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in rows if i not in bad)
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
