@@ -6,6 +6,8 @@ lower-cased first. All per-row Python here works on Arrow batches inside Spark t
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,41 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_arrays(folder: str, arrays: dict[str, np.ndarray]) -> None:
+    """Each array as <name>.npy in a folder that all machines share."""
+    system, root = _opened(folder)
+    system.create_dir(root, recursive=True)
+    for name, x in arrays.items():
+        with system.open_output_stream(f"{root}/{name}.npy") as out:
+            np.lib.format.write_array(out, np.ascontiguousarray(x), allow_pickle=False)
+
+
+def load_arrays(folder: str, names: list[str]) -> dict[str, np.ndarray]:
+    """The arrays that `save_arrays` wrote. Files that this machine can map are mapped, so all its workers share one
+    copy; others are read."""
+    system, root = _opened(folder)
+    if isinstance(system, fs.LocalFileSystem):
+        return {n: np.asarray(np.load(os.path.join(root, f"{n}.npy"), mmap_mode="r")) for n in names}
+    out = {}
+    for n in names:
+        with system.open_input_file(f"{root}/{n}.npy") as f:
+            out[n] = np.lib.format.read_array(f, allow_pickle=False)
+    return out
+
+
+def _opened(path: str):
+    local = re.sub(r"^file:(?://)?", "", path)
+    return (fs.LocalFileSystem(), local) if "://" not in local else fs.FileSystem.from_uri(local)
+
+
+def in_place(docs: DataFrame, run) -> DataFrame:
+    """docs after mapInArrow(run), whatever its columns are called: run gets and gives batches of its columns in their
+    order, named c0, c1, ..."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be none of `taken` (whatever the case)."""
     have, out = {x.lower() for x in taken}, []

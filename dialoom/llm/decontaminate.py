@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, mix, rolled, slices, spans, table, text_of
+from dialoom.llm.common import Words, in_place, mix, rolled, slices, spans, table, text_of
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 4, 0.5, 16 << 20
 
@@ -186,18 +186,19 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that leak no item, with all their columns; rows are dropped in place, without a join."""
-    spark, names = docs.sparkSession, docs.columns
+    spark, at = docs.sparkSession, docs.columns.index(text)
+    name = f"c{at}"
     for block in blocks(items, item_id, item_text, min_match, coverage, block_bytes):
         shared = spark.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for part in slices(b, text):
+                for part in slices(b, name):
                     good = np.ones(part.num_rows, bool)
-                    good[[d for d, _, _ in shared.value.search(part.column(names.index(text)))]] = False
+                    good[[d for d, _, _ in shared.value.search(part.column(at))]] = False
                     yield part.filter(pa.array(good))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = in_place(docs, keep)
     return docs
 
 

@@ -21,6 +21,7 @@ without labelled rows of both classes every score is 0; an empty table gives no
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, fold, hash_counts, slices, spans, stored, table, text_of
+from dialoom.llm.common import Words, fold, hash_counts, in_place, load_arrays, save_arrays, scratch, slices, spans, stored, table, text_of
 
 SAMPLE, K, THRESHOLD, BLOCK, DENSE = 12_000, 16, 0.7, 128, 384
 OPENINGS = (6,)
@@ -63,6 +64,16 @@ def term_counts(texts: pa.Array, vocabulary: dict[int, pa.Array]) -> tuple[np.nd
 class Index:
     """Unit vectors of examples, in blocks: postings of rare terms, a matrix of the commonest, and block maxima."""
 
+    ARRAYS = ["slot", "example", "matrix", "tops", "at", "value", "start"]
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray], block: int = BLOCK) -> Index:
+        """The index that has these arrays."""
+        own = cls.__new__(cls)
+        own.__dict__.update(arrays)
+        own.n, own.block, own.blocks = len(own.example), block, len(own.tops)
+        return own
+
     def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK, dense: int = DENSE):
         df = np.bincount(terms, minlength=n_terms)
         common = np.argsort(-df, kind="stable")[: min(dense, n_terms)]
@@ -159,14 +170,33 @@ def monotone(raw: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.asarray([e for m in merged for e in m[:2]]), np.asarray([(m[2] + 1) / (m[3] + 2) for m in merged for _ in range(2)])
 
 
+def unit(weight: np.ndarray, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Weights of the terms of n texts, scaled to length 1."""
+    x = np.log(counts, dtype=np.float64)
+    x += 1
+    x *= weight[terms]
+    x /= np.sqrt(np.bincount(rows, x * x, n))[rows]
+    return x
+
+
+def built(n: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> Index:
+    """The index of examples with n terms each."""
+    rows, ends = np.repeat(np.arange(len(n), dtype=np.int32), n), np.concatenate([[0], np.cumsum(n)])
+    weights = np.empty(len(rows))
+    for a in range(0, len(n), 1000):  # so that little is held besides
+        b = min(a + 1000, len(n))
+        own = slice(ends[a], ends[b])
+        weights[own] = unit(weight, rows[own] - a, terms[own], counts[own], b - a)
+    return Index(rows, terms, weights, len(n), len(weight))
+
+
 class Model:
-    """Everything that scoring needs; bounded by the sample. What is sent to tasks is the examples' term counts: each
-    worker builds the index once."""
+    """Everything that scoring needs; bounded by the sample. The index is built once, in a task, and lies in the shared
+    folder, from which workers map it."""
 
-    def __init__(self, vocabulary: dict[int, pa.Array], weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, n: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int):
-        """n: number of terms of each example."""
-        self.vocabulary, self.weight, self.ids, self.toxic, self.k = vocabulary, weight, ids, toxic, k
-        self.n, self.terms, self.counts = n, terms.astype(np.int32), counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+    def __init__(self, vocabulary: dict[int, pa.Array], weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, k: int, folder: str = ""):
+        """folder: of the index's arrays."""
+        self.vocabulary, self.weight, self.ids, self.toxic, self.k, self.folder = vocabulary, weight, ids, toxic, k, folder
         self.base = float(toxic.mean()) if len(toxic) else 0.0
         self._index: Index | None = None
 
@@ -176,21 +206,11 @@ class Model:
     @property
     def index(self) -> Index:
         if self._index is None:
-            rows, ends = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n), np.concatenate([[0], np.cumsum(self.n)])
-            weights = np.empty(len(rows))
-            for a in range(0, len(self.n), 1000):  # so that little is held besides
-                b = min(a + 1000, len(self.n))
-                own = slice(ends[a], ends[b])
-                weights[own] = self.unit(rows[own] - a, self.terms[own], self.counts[own], b - a)
-            self._index = Index(rows, self.terms, weights, len(self.n), len(self.weight))
+            self._index = Index.of(load_arrays(self.folder, Index.ARRAYS))
         return self._index
 
     def unit(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-        x = np.log(counts, dtype=np.float64)
-        x += 1
-        x *= self.weight[terms]
-        x /= np.sqrt(np.bincount(rows, x * x, n))[rows]
-        return x
+        return unit(self.weight, rows, terms, counts, n)
 
     def votes(self, texts: pa.Array, without: np.ndarray | None = None, batch: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(votes, cosines, examples) of some texts, by batches."""
@@ -244,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
     n_terms, shift = len(sizes), np.uint64(64 - max(1, len(sizes)).bit_length())
     if not n_terms or not {0, 1} <= {r.toxic for r in picked}:
         none = np.zeros(0, np.int64)
-        return spark.sparkContext.broadcast(Model(vocabulary, np.zeros(0), none, none, none, none, none, k)), (np.zeros(1), np.zeros(1))
+        return spark.sparkContext.broadcast(Model(vocabulary, np.zeros(0), none, none, k)), (np.zeros(1), np.zeros(1))
 
     def frequencies(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for p in slices(b, "text", 8 << 20):
@@ -266,9 +286,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
                 cut = pa.array(np.searchsorted(rows, np.arange(p.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), *(pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (t, c))], ["doc_id", "toxic", "terms", "counts"])
 
-    examples = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").sort("doc_id").toArrow()  # at most `sample`
-    of, c = (examples[x].combine_chunks() for x in ("terms", "counts"))
-    model = Model(vocabulary, weight, np.asarray(examples["doc_id"]), np.asarray(examples["toxic"]).astype(np.int64), np.asarray(pc.list_value_length(of)).astype(np.int64), np.asarray(of.flatten()), np.asarray(c.flatten()), k)
+    folder = scratch(spark, "toxicity-index")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0), b.column(1), np.asarray(pc.list_value_length(b.column(2)), np.int64), np.asarray(b.column(2).flatten()), np.asarray(b.column(3).flatten())) for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, toxic, n, t, c = zip(*held)
+        index = built(*(np.concatenate(x) for x in (n, t, c)), weight)
+        own = f"{folder}/{uuid.uuid4().hex}"  # of this attempt
+        save_arrays(own, {x: getattr(index, x) for x in Index.ARRAYS})
+        for a, b in zip(ids, toxic):
+            yield pa.RecordBatch.from_arrays([a, b, pa.array([own] * len(a))], ["doc_id", "toxic", "folder"])
+
+    examples = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").repartition(1).sortWithinPartitions("doc_id")  # at most `sample`
+    examples = examples.mapInArrow(build, "doc_id long, toxic int, folder string").toArrow()
+    model = Model(vocabulary, weight, np.asarray(examples["doc_id"]), np.asarray(examples["toxic"]).astype(np.int64), k, examples["folder"][0].as_py())
     shared = spark.sparkContext.broadcast(model)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,13 +333,14 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """The documents that score below the threshold, all columns; rows are dropped in place."""
     shared, calibration = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), **how)
     at = docs.columns.index("text")
+    name = f"c{at}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in slices(b, "text", 2 << 20):
+            for p in slices(b, name, 2 << 20):
                 yield p.filter(pa.array(shared.value.score(p.column(at), calibration, 0)[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_place(docs, run)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
