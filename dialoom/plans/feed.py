@@ -279,6 +279,21 @@ def x4_collated_batches(spark, sf_dir):
     return out.select("batch_no", F.col("step").cast("long"), "row", rendered(F.col("x_t")).alias("x_t"), rendered(F.col("target")).alias("target"), "gate")
 
 
+@query(sql("steps", "SELECT CAST(batch_no AS BIGINT) AS batch_no, CAST(row AS BIGINT) AS row, CAST(sum(len(target)) AS BIGINT) AS tokens, CAST(max(max(len(target))) OVER (PARTITION BY batch_no) AS BIGINT) AS longest, arg_max(array_to_string(target, ' '), step) AS last FROM dlg JOIN steps USING (conv_id) GROUP BY batch_no, row", BATCHED))
+def ucollate_hook(spark, sf_dir):
+    """Batches by another function: a row a dialogue, with its tokens, the batch's longest target and its last target."""
+
+    def own(batch):
+        import pandas as pd
+
+        batch["n"] = batch.target.map(len)
+        rows = batch.groupby("row")
+        last = rows.target.last().map(lambda t: " ".join(map(str, t)))
+        return pd.DataFrame({"batch_no": batch.batch_no.iloc[0], "row": last.index, "tokens": rows.n.sum(), "longest": batch.n.max(), "last": last})
+
+    return batches.collate_with(*batched(spark, sf_dir), own, "batch_no long, row long, tokens long, longest long, last string")
+
+
 @query(sql("steps", "SELECT conv_id, CAST(step AS BIGINT) AS step, CAST(len(target) AS BIGINT) AS length, array_to_string(list_transform(target, lambda x: CASE WHEN x = 2 THEN 0 ELSE x END), ' ') AS masked, CAST(target[1] AS BIGINT) AS first_label, len(target) > 1 AS supervised FROM steps"))
 def f10_f11_masks(spark, sf_dir):
     s, masked = base.steps(spark, sf_dir), A.without_end(F.col("target"))

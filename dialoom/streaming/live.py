@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from dialoom.functions.text import tokens
+from dialoom.functions.text import clean, kept_kinds, number_rule, tokens
 from dialoom.operators.chunks import dense_ordinal
 from dialoom.sources.io import _list_of, exists
 from dialoom.streaming import sources
@@ -22,6 +23,17 @@ def _nfkc_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda l: None if l is None else [x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in l])
 
 
+def segmenter(words: Callable[[str], list[str]]):
+    """Column function array<string> -> array<array<string>> that applies a plain Python function from a cleaned text to
+    its words, such as a word segmenter, to all utterances of a line in Arrow batches."""
+
+    @F.pandas_udf(ArrayType(ArrayType(StringType())))
+    def segment(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda l: None if l is None else [[] if x is None else list(words(x)) for x in l])
+
+    return segment
+
+
 def _texts(value: Column) -> Column:
     """The utterances of a line in the string or utterance format."""
     def text(e: Column) -> Column:
@@ -32,16 +44,20 @@ def _texts(value: Column) -> Column:
     return F.transform(_list_of(value), text)
 
 
-def encoded_lines(lines: DataFrame, encode, tokenizer=None) -> DataFrame:
+def encoded_lines(lines: DataFrame, encode, tokenizer=None, segment=None) -> DataFrame:
     """(value, x_ref, steps): each line's dialogue in one row, without state; bad and short lines are left out.
 
     encode: Column function array<string> -> array<int>, applied to all words of the line at once; lengths cut the
     ids back into utterances. tokenizer: as of `text.tokens`; it is applied inside an array, so it has to be built of
-    Spark's own functions."""
+    Spark's own functions. segment: a `segmenter` in its place."""
     rows = lines.withColumn("texts", _texts(F.col("value"))).where(F.size("texts") >= 2)
     other = F.exists("texts", lambda x: x.rlike(r"[^\x00-\x7F]"))  # lines of ASCII alone don't travel to Python
     rows = rows.withColumn("texts", F.coalesce(_nfkc_all(F.when(other, F.col("texts"))), "texts"))
-    rows = rows.withColumn("toks", F.transform("texts", lambda x: tokens(x, normalise=False, tokenizer=tokenizer)))
+    if segment is not None:
+        cleaned = segment(F.transform("texts", lambda x: clean(x, normalise=False)))
+        rows = rows.withColumn("toks", F.transform(cleaned, lambda w: number_rule(kept_kinds(w))))
+    else:
+        rows = rows.withColumn("toks", F.transform("texts", lambda x: tokens(x, normalise=False, tokenizer=tokenizer)))
     rows = rows.withColumn("ids", encode(F.flatten("toks"))).withColumn("ends", F.aggregate("toks", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.size(x))))
     own = F.transform(F.sequence(F.lit(0), F.size("toks") - 1), lambda k: F.array_append(F.slice("ids", F.get("ends", k) + 1, F.size(F.get("toks", k))), 2))
     rows = rows.withColumn("ids", own)
@@ -49,7 +65,7 @@ def encoded_lines(lines: DataFrame, encode, tokenizer=None) -> DataFrame:
     return rows.withColumn("x_ref", F.get("ids", F.lit(0))).withColumn("steps", steps).drop("texts", "toks", "ids", "ends")
 
 
-def live_encode(spark: SparkSession, source: str, target: str, checkpoint: str, encode, max_files: int | None = None, block: int = BLOCK, tokenizer=None):
+def live_encode(spark: SparkSession, source: str, target: str, checkpoint: str, encode, max_files: int | None = None, block: int = BLOCK, tokenizer=None, segment=None):
     """Start encoding JSONL files of a folder as they come; written in blocks, resumed from the checkpoint. Returns
     the streaming query (available-now: it ends when the files there are done)."""
     reader = spark.readStream.format("text")
@@ -62,7 +78,7 @@ def live_encode(spark: SparkSession, source: str, target: str, checkpoint: str,
         out = numbered.withColumn("batch_id", F.lit(batch)).withColumn("block", F.floor(F.col("ordinal") / block)).drop("id", "ordinal", "part", "file_path")
         out.write.mode("overwrite").parquet(f"{target}/batch_id={batch}")  # a batch that runs again replaces itself
 
-    return encoded_lines(lines, encode, tokenizer).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return encoded_lines(lines, encode, tokenizer, segment).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(spark: SparkSession, target: str) -> DataFrame:
@@ -73,7 +89,7 @@ def progress(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema("file_path string, n bigint").parquet(lines).groupBy("file_path").agg(F.sum("n").alias("next_line"))
 
 
-def live_encode_growing(spark: SparkSession, source: str, target: str, checkpoint: str, encode, block: int = BLOCK, start_line: int = 0, tokenizer=None):
+def live_encode_growing(spark: SparkSession, source: str, target: str, checkpoint: str, encode, block: int = BLOCK, start_line: int = 0, tokenizer=None, segment=None):
     """As `live_encode`, of a JSONL file (or a folder of such) that others append to: each run goes on at the line after
     the last one it read. line_no numbers a file's lines from 0 over all runs, bad ones included; those before
     `start_line` are left out. The lines of each batch are counted in the target's folder _lines, see `progress`."""
@@ -89,7 +105,7 @@ def live_encode_growing(spark: SparkSession, source: str, target: str, checkpoin
             before = before.join(spark.read.schema("file_path string, n bigint").parquet(own).withColumnRenamed("n", "again"), "file_path", "left").select("file_path", (F.col("next_line") - F.coalesce("again", F.lit(0))).alias("next_line"))
         numbers = F.broadcast(files.join(before, "file_path", "left").select("file_path", (F.coalesce("next_line", F.lit(0)) - F.col("first")).alias("shift"), "n"))  # a row a file: MOST_FILES at most
         lines = rows.join(numbers.drop("n"), "file_path").withColumn("line_no", F.col("ordinal") + F.col("shift")).where(F.col("line_no") >= start_line)
-        encoded = encoded_lines(lines, encode, tokenizer).withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
+        encoded = encoded_lines(lines, encode, tokenizer, segment).withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
         encoded = dense_ordinal(encoded.drop("ordinal"), "byte", bucket=[F.col("file_path"), F.col("block")])
         out = encoded.withColumns({"batch_id": F.lit(batch), "block": F.floor(F.col("ordinal") / block)}).drop("ordinal", "byte", "shift", "file_path")
         out.write.mode("overwrite").parquet(f"{target}/batch_id={batch}")  # a batch that runs again replaces itself

@@ -189,3 +189,32 @@ def test_steps_are_encoded_once(spark):
     own = io.encoder(spark.createDataFrame([(w, k + 4, 1) for k, w in enumerate("abcde")], "word string, idx int, n bigint"))
     got = encode.step_format(rows, lambda c: own(T.tokens(c)))
     assert [(r.x_ref, r.x_t, r.target) for r in got.sort("step").collect()] == [([5, 2], [2], [4, 2]), ([5, 2], [5, 2], [2]), ([5, 2], [5, 2], [6, 2]), ([5, 2], [2], [7, 2]), ([5, 2], None, [])]
+
+
+def test_a_segmenter_of_python_in_batch_and_live_jobs(spark, tmp_path):
+    import json
+
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, StringType
+
+    lines = [["hello 12345 x1", "wörld ＡＢ http://u.v"], ["x", "", "hello you"]]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    words = spark.createDataFrame([(w, k + 4, 1) for k, w in enumerate(["hello", "<NUM>", "ab", "wö", "you"])], "word string, idx int, n bigint")
+    cut = lambda t: [t[k : k + 2] if not t.isascii() else t for t in t.split() for k in (range(0, len(t), 2) if not t.isascii() else (0,))]
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def own(texts: pd.Series) -> pd.Series:
+        return texts.map(cut)
+
+    live_rows = live.encoded_lines(spark.read.text(f"file://{tmp_path}/a.jsonl"), io.encoder(words), segment=live.segmenter(cut)).select(F.explode("steps").alias("s")).select("s.*").collect()
+    turns = io.utterances(io.elements(io.read_lines(spark, f"file://{tmp_path}/a.jsonl"))).withColumn("toks", T.tokens(F.col("text"), tokenizer=own))
+    batch = encode.steps(encode.token_ids(turns, words)).select("x_t", "target", "gate").collect()
+    assert sorted(map(tuple, live_rows)) == sorted(map(tuple, batch)) and len(batch) == 3
+    assert any(7 in r.target for r in batch)
+
+
+def test_collate_with_a_function(spark):
+    d = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c")], "batch_no long, row long, name string")
+    s = spark.createDataFrame([(0, 1, 0, [5]), (0, 0, 1, [6, 7]), (0, 0, 0, [8]), (1, 0, 0, [9])], "batch_no long, row long, step int, target array<int>")
+    out = batches.collate_with(d, s, lambda b: b.assign(flat=[",".join(str(x) for t in b.target for x in t)] * len(b))[["batch_no", "name", "flat"]].drop_duplicates(), "batch_no long, name string, flat string")
+    assert sorted(map(tuple, out.collect())) == [(0, "a", "8,6,7,5"), (0, "b", "8,6,7,5"), (1, "c", "9")]
