@@ -6,31 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 10_000
-#: Neighbouring keys whose sums are added up before a window sees them.
-WIDE = 4096
+#: Neighbouring keys whose sums are added up in one row.
+WIDE = 1024
 
 
-def sums_before(table: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """table with `name`: the sum of `value` over all rows that come before in the order of `keys` (distinct, the last one
-    a number). Two levels: rows meet in windows of at most WIDE neighbouring keys, and only the sums of those windows in
-    one over all."""
-    group = [*keys[:-1], "_wide"]
-    rows = table.withColumn("_wide", F.floor(F.col(keys[-1]) / WIDE))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy(*group).agg(F.sum(value).alias("_sum"))
-    # a row for WIDE keys, which is 25 000 for 10^8
-    tops = tops.select(*group, F.coalesce(F.sum("_sum").over(before.orderBy(*group)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum(value).over(before.partitionBy(*group).orderBy(keys[-1])), F.lit(0))
-    return rows.withColumn("_inside", inside).join(tops, group).withColumn(name, F.col("_before") + F.col("_inside")).drop("_wide", "_inside", "_before")
+def sums_before(table: DataFrame, keys: list[str], value: str, name: str, within: int = 0) -> DataFrame:
+    """(keys..., value, name): for each row the sum of `value` over all rows that come before in the order of `keys`, which
+    are distinct and of which the last one is a number. within: so many leading keys start from 0 again each.
 
+    Two levels: WIDE neighbouring keys make one row, which adds up inside itself, and only the sums of these rows meet
+    in a window: 10^8 keys are 10^5 rows there."""
+    last, group = keys[-1], [*keys[:-1], "_wide"]
+    item = F.struct(F.col(last).alias("key"), F.col(value).alias("value"))
+    rows = table.withColumn("_wide", F.floor(F.col(last) / WIDE)).groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys[:within]).orderBy(*group[within:]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.aggregate("_items", F.array(F.col("_before")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["value"]))
+    rows = rows.withColumn("_before", before).withColumn("_run", F.slice(run, F.lit(1), F.size("_items")))
+    out = rows.select(*keys[:-1], F.explode(F.arrays_zip("_items", "_run")).alias("_z"))
+    return out.select(*keys[:-1], F.col("_z._items.key").alias(last), F.col("_z._items.value").alias(value), F.col("_z._run").alias(name))
 
-def dense_ordinal(df: DataFrame, *order: str, bucket: list[Column], name: str = "ordinal") -> DataFrame:
+
+def dense_ordinal(df: DataFrame, *order: str, bucket: list[Column], name: str = "ordinal", within: int = 0) -> DataFrame:
     """df with dense numbers from 0 in the given order, in two passes: rows are counted by `bucket` (columns that
     ascend with the order, such as a key divided by some thousands, the last one a number), running sums over that small
-    table tell where each bucket starts, and rows are numbered inside their bucket."""
+    table tell where each bucket starts, and rows are numbered inside their bucket. within: so many leading columns of
+    `bucket` start from 0 again each."""
     names = [f"_b{k}" for k in range(len(bucket))]
     rows = df.select("*", *(c.alias(n) for c, n in zip(bucket, names)))
-    starts = sums_before(rows.groupBy(*names).count(), names, "count", "_from").drop("count")
+    starts = sums_before(rows.groupBy(*names).count(), names, "count", "_from", within).drop("count")
     local = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1
     return rows.withColumn("_n", local).join(starts, names).withColumn(name, (F.col("_from") + F.col("_n")).cast("long")).drop(*names, "_n", "_from")
 
@@ -51,7 +54,7 @@ def chunked(df: DataFrame, *order: str, bucket: list[Column], size: int = CHUNK)
 
 def offsets(lengths: DataFrame) -> DataFrame:
     """(chunk_no, lo, hi) from (chunk_no, n): one row a chunk."""
-    return sums_before(lengths.select("chunk_no", "n"), ["chunk_no"], "n", "lo").select("chunk_no", "lo", (F.col("lo") + F.col("n")).alias("hi"))
+    return sums_before(lengths, ["chunk_no"], "n", "lo").select("chunk_no", "lo", (F.col("lo") + F.col("n")).alias("hi"))
 
 
 def locate(indexes: DataFrame, of: DataFrame, strict: bool = False) -> DataFrame:

@@ -300,7 +300,7 @@ CARRY = ("carry", "SELECT *, last_value(CASE WHEN input_text IS NOT NULL THEN po
 @query(sql("ids", f"SELECT c.split, CAST(line AS BIGINT) AS conv_id, CAST(pos AS BIGINT) AS step, coalesce({show('ref.ids')}, '2') AS x_ref, CASE WHEN gate = 1 THEN coalesce({show('inp.ids')}, '2') END AS x_t, CASE WHEN gate = 1 THEN {show('own.ids')} ELSE '' END AS target, gate::DOUBLE AS gate FROM carry c LEFT JOIN ids own ON own.conv_id = c.conv_id AND own.turn = c.pos LEFT JOIN ids inp ON inp.conv_id = c.conv_id AND inp.turn = c.at LEFT JOIN ids ref ON ref.conv_id = c.conv_id AND ref.turn = c.r", LINES, STEP_INPUT, CARRY))
 def x2_w3_w4_step_format(spark, sf_dir):
     """Step records written as JSONL, read, sniffed, carried forward and encoded."""
-    own = io.encoder(base.stored(base.vocabulary(spark, sf_dir), "vocabulary"))
+    own = io.encoder(base.vocabulary(spark, sf_dir))  # read once
     parts = io.elements(io.read_splits(spark, write_dialogues(spark, sf_dir, "step")))
     return shown(encode.step_format(io.step_inputs(parts), lambda c: own(T.tokens(c))))
 

@@ -19,22 +19,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
+def _raw_lines(spark: SparkSession, path: str, split: str, split_ord: int) -> DataFrame:
+    file, block = F.col("_metadata.file_path").alias("file_path"), F.floor(F.col("_metadata.file_block_start") / (1 << 20)).alias("block")
+    return spark.read.text(path).select(F.lit(split).alias("split"), F.lit(split_ord).alias("split_ord"), "value", F.col("_metadata.file_name").alias("file_name"), file, block, F.monotonically_increasing_id().alias("id"))
+
+
+def _numbered(raw: DataFrame) -> DataFrame:
+    out = dense_ordinal(raw, "id", bucket=[F.col("split_ord"), F.col("file_path"), F.col("block")], name="line_no", within=1)
+    return out.select("split", "split_ord", "file_name", "line_no", "value")
+
+
 def read_lines(spark: SparkSession, path: str, split: str = "train", split_ord: int = 0) -> DataFrame:
     """(split, split_ord, file_name, line_no, value): lines in file order, numbered from 0 over all files."""
-    of = F.col("_metadata.file_path")
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"), of.alias("file_path"), F.floor(F.col("_metadata.file_block_start") / (1 << 20)).alias("block"), F.monotonically_increasing_id().alias("id"))
-    return dense_ordinal(raw, "id", bucket=[F.col("file_path"), F.col("block")], name="line_no").select(F.lit(split).alias("split"), F.lit(split_ord).alias("split_ord"), "file_name", "line_no", "value")
+    return _numbered(_raw_lines(spark, path, split, split_ord))
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """The three splits in their fixed order; a split without a file is left out."""
-    found = [read_lines(spark, paths[name], name, k) for name, k in SPLITS if name in paths and exists(spark, paths[name])]
+    """The three splits in their fixed order, each numbered from 0; a split without a file is left out."""
+    found = [_raw_lines(spark, paths[name], name, k) for name, k in SPLITS if name in paths and exists(spark, paths[name])]
     if not found:
         return spark.createDataFrame([], "split string, split_ord int, file_name string, line_no bigint, value string")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return _numbered(out)
 
 
 def _list_of(value: Column) -> Column:
@@ -96,8 +104,9 @@ def step_inputs(parts: DataFrame) -> DataFrame:
 
 
 def encoder(vocab: DataFrame, unknown: int = 3, end: int = 2, most: int = 1_000_000):
-    """Column function array<string> -> array<int> with the end mark: a dictionary lookup in Arrow batches. A vocabulary
-    of over `most` words is an error: `encode.token_ids` joins one of any size."""
+    """Column function array<string> -> array<int> with the end mark: a dictionary lookup in Arrow batches. Its attribute
+    `lines` is the same for array<array<string>>. A vocabulary of over `most` words is an error: `encode.token_ids`
+    joins one of any size."""
     rows = vocab.select("word", "idx").limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"a vocabulary of over {most} words; join it with encode.token_ids")
@@ -108,6 +117,12 @@ def encoder(vocab: DataFrame, unknown: int = 3, end: int = 2, most: int = 1_000_
         of = shared.value.get
         return tokens.map(lambda t: [*(of(w, unknown) for w in t), end] if t is not None else [])
 
+    @F.pandas_udf("array<array<int>>")
+    def lines(texts: pd.Series) -> pd.Series:
+        of = shared.value.get
+        return texts.map(lambda l: None if l is None else [[*(of(w, unknown) for w in t), end] for t in l])
+
+    encode.lines = lines
     return encode
 
 

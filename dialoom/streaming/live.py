@@ -47,8 +47,7 @@ def _texts(value: Column) -> Column:
 def encoded_lines(lines: DataFrame, encode, tokenizer=None, segment=None) -> DataFrame:
     """(value, x_ref, steps): each line's dialogue in one row, without state; bad and short lines are left out.
 
-    encode: Column function array<string> -> array<int>, applied to all words of the line at once; lengths cut the
-    ids back into utterances. tokenizer: as of `text.tokens`; it is applied inside an array, so it has to be built of
+    encode: as `io.encoder` makes it. tokenizer: as of `text.tokens`; it is applied inside an array, so it has to be built of
     Spark's own functions. segment: a `segmenter` in its place."""
     rows = lines.withColumn("texts", _texts(F.col("value"))).where(F.size("texts") >= 2)
     other = F.exists("texts", lambda x: x.rlike(r"[^\x00-\x7F]"))  # lines of ASCII alone don't travel to Python
@@ -58,11 +57,9 @@ def encoded_lines(lines: DataFrame, encode, tokenizer=None, segment=None) -> Dat
         rows = rows.withColumn("toks", F.transform(cleaned, lambda w: number_rule(kept_kinds(w))))
     else:
         rows = rows.withColumn("toks", F.transform("texts", lambda x: tokens(x, normalise=False, tokenizer=tokenizer)))
-    rows = rows.withColumn("ids", encode(F.flatten("toks"))).withColumn("ends", F.aggregate("toks", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.size(x))))
-    own = F.transform(F.sequence(F.lit(0), F.size("toks") - 1), lambda k: F.array_append(F.slice("ids", F.get("ends", k) + 1, F.size(F.get("toks", k))), 2))
-    rows = rows.withColumn("ids", own)
+    rows = rows.withColumn("ids", encode.lines(F.col("toks")))  # nothing else needs the words, so they are found once
     steps = F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda k: F.struct(F.get("ids", k - 1).alias("x_t"), F.get("ids", k).alias("target"), F.lit(1.0).alias("gate")))
-    return rows.withColumn("x_ref", F.get("ids", F.lit(0))).withColumn("steps", steps).drop("texts", "toks", "ids", "ends")
+    return rows.withColumn("x_ref", F.get("ids", F.lit(0))).withColumn("steps", steps).drop("texts", "toks", "ids")
 
 
 def live_encode(spark: SparkSession, source: str, target: str, checkpoint: str, encode, max_files: int | None = None, block: int = BLOCK, tokenizer=None, segment=None):
