@@ -15,6 +15,7 @@ with a letter or digit), from 0, the end not included.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,17 +61,20 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int) -> list
     score, step = np.zeros((m + 1, width + 2), np.int32), np.zeros((m + 1, width + 2), np.int8)
     best, at = 0, (0, 0)
     for q in range(1, m + 1):
-        for d in range(1, width + 1):
-            p = q - 1 + shift + d - 1 - band
-            if not 0 <= p < n:
-                continue
-            hit = text[p] == template[q - 1]
-            options = (0, score[q - 1, d] + (2 if hit else -1), score[q, d - 1] - 1, score[q - 1, d + 1] - 1)
-            s = max(options)
-            score[q, d] = s
-            step[q, d] = options.index(s) if s else 0
-            if s > best:
-                best, at = s, (q, d)
+        first = q - 1 + shift - band  # the text position of the row's first cell
+        low, high = max(0, -first), min(width, n - first)
+        if low >= high:
+            continue
+        own = slice(low + 1, high + 1)
+        diagonal = score[q - 1, own] + np.where(text[first + low : first + high] == template[q - 1], 2, -1)
+        down = score[q - 1, low + 2 : high + 2] - 1
+        d = np.arange(high - low)
+        s = np.maximum.accumulate(np.maximum(np.maximum(diagonal, down), 0) + d) - d  # steps along the row included
+        along = np.concatenate([[-1], s[:-1] - 1])
+        score[q, own], step[q, own] = s, np.where(s == 0, 0, np.where(diagonal == s, 1, np.where(along == s, 2, 3)))
+        k = int(np.argmax(s))
+        if s[k] > best:
+            best, at = int(s[k]), (q, low + 1 + k)
     (q, d), pairs = at, []
     while q > 0 and score[q, d] > 0:
         if step[q, d] == 1:
@@ -87,6 +91,15 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int) -> list
     return pairs[::-1]
 
 
+def whole(text: np.ndarray, template: np.ndarray, shift: int, band: int) -> int | None:
+    """Where the template stands word for word, on the first such diagonal within `band` of `shift`; else None."""
+    low, high = max(0, shift - band), min(len(text) - len(template), shift + band)
+    if low > high:
+        return None
+    same = (np.lib.stride_tricks.sliding_window_view(text[low : high + len(template)], len(template)) == template).all(axis=1)
+    return low + int(np.argmax(same)) if same.any() else None
+
+
 class Templates:
     def __init__(self, texts: dict[str, str], k: int = K, window: int = WINDOW):
         self.names, self.k, self.window = sorted(texts), k, window
@@ -118,16 +131,22 @@ class Templates:
                 last, t = s, self.texts[i]
                 lo, hi = max(0, s - band), min(len(codes), s + len(t) + band)
                 while True:  # words of a place that is found don't match again, so that its neighbours are found too
-                    pairs = align(free[lo:hi], t, s - lo, band)
+                    if np.isin(free[lo:hi], t).sum() < coverage * len(t):
+                        break  # too few words for any alignment
+                    p = whole(free[lo:hi], t, s - lo, band)  # nothing aligns better than all words in a row
+                    pairs = align(free[lo:hi], t, s - lo, band) if p is None else [(p + k, k) for k in range(len(t))]
                     if not pairs or len(pairs) < coverage * len(t):
                         break
                     found.append((i, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs), len(pairs) / len(t)))
                     free[lo + pairs[0][0] : lo + pairs[-1][0] + 1] = -2
         kept: list[tuple[int, int, int, int, float]] = []
+        starts: list[int] = []  # of kept, which don't overlap, in order
         for x in sorted(found, key=lambda x: (-x[3], -x[4], self.names[x[0]], x[1])):
-            if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[1])
+            k = bisect.bisect_left(starts, x[2])  # those before k start before x ends
+            if not k or kept[k - 1][2] <= x[1]:
+                kept.insert(k, x)
+                starts.insert(k, x[1])
+        return kept
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, k: int = K, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:
