@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from dialoom.llm.common import Words, in_place, mix, rolled, slices, spans, table, text_of
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 4, 0.5, 16 << 20
+#: A pair with more seeds is compared along its diagonals, so many cells at a time.
+SEEDS, CELLS = 1 << 20, 1 << 20
 
 
 def maximal(p: np.ndarray, q: np.ndarray, min_match: int) -> Iterator[tuple[int, int, int]]:
@@ -44,6 +46,23 @@ def maximal(p: np.ndarray, q: np.ndarray, min_match: int) -> Iterator[tuple[int,
     yield from zip(p[first].tolist(), q[first].tolist(), n.tolist())
 
 
+def along_diagonals(doc: np.ndarray, item: np.ndarray, min_match: int) -> Iterator[tuple[int, int, int]]:
+    """As `maximal`, from the words themselves: for texts that repeat one run so often that their seeds, which are as many
+    as the product of both numbers, would not fit in memory."""
+    m = len(item)
+    padded = np.concatenate([np.full(m, -1), doc, np.full(m, -1)])  # unknown words are -1, too
+    view = np.lib.stride_tricks.sliding_window_view(padded, m)  # row s: the words that stand at the item's on diagonal s - m
+    each = max(1, CELLS // (m + 2))
+    for a in range(0, len(view), each):
+        same = np.zeros((min(each, len(view) - a), m + 2), np.int8)
+        same[:, 1:-1] = view[a : a + each] == item
+        turn = np.diff(same, axis=1)
+        row, first = np.nonzero(turn == 1)
+        _, end = np.nonzero(turn == -1)
+        long = end - first >= min_match
+        yield from zip((row[long] + first[long] + a - m).tolist(), first[long].tolist(), (end - first)[long].tolist())
+
+
 def tile(item_words: int, matches: Iterator[tuple[int, int, int]], min_match: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling from maximal matches (doc start, item start, length): tiles of the same form.
 
@@ -51,13 +70,14 @@ def tile(item_words: int, matches: Iterator[tuple[int, int, int]], min_match: in
     that earlier tiles cut into is put back in the parts that are left."""
     heap = [(-n, q, p) for p, q, n in matches]
     heapq.heapify(heap)
-    used_item, used_doc, tiles = bytearray(item_words), set(), []
-    while heap:
+    used_item, used_doc, tiles, left = bytearray(item_words), set(), [], item_words
+    while heap and left >= min_match:
         n, q, p = heapq.heappop(heap)
         n = -n
         free = [not used_item[q + k] and p + k not in used_doc for k in range(n)]
         if all(free):
             tiles.append((p, q, n))
+            left -= n
             used_item[q : q + n] = b"\1" * n
             used_doc.update(range(p, p + n))
             continue
@@ -131,9 +151,14 @@ class Items:
         for d, i in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
             mine, (runs, places) = slice(edge[d], edge[d + 1]), self.own[i]
             low, high = np.searchsorted(runs, h[mine], "left"), np.searchsorted(runs, h[mine], "right")
+            item = self.codes[self.start[i] : self.start[i + 1]]
+            if int((high - low).sum()) > SEEDS:
+                tiles = tile(len(item), along_diagonals(known[w.start[d] : w.start[d + 1]], item, k), k)
+                if sum(t[2] for t in tiles) >= self.coverage * len(item):
+                    out.append((d, i, tiles))
+                continue
             at = np.repeat(np.arange(edge[d], edge[d + 1]), high - low)
             q = places[spans(low, high - low)]
-            item = self.codes[self.start[i] : self.start[i + 1]]
             equal = (item[q[:, None] + np.arange(k)] == grams[at]).all(axis=1)
             p, q = spots[at[equal]] - w.start[d], q[equal]
             if not len(q) or len(np.unique(np.unique(q)[:, None] + np.arange(k))) < self.coverage * len(item):
