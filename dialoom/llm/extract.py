@@ -19,8 +19,8 @@ most `broadcast_rows`, and joined by host and layout otherwise.
 
 Defined results: a null or empty html gives an empty text; a null url has the empty host; copies of a page count
 once in its host; hosts of under `least` distinct pages have no template; a quote that never closes is an ordinary
-character; elements nested deeper than MOST_DEPTH lie beside each other at that depth, and a layout of more than MOST_NODES nodes
-is made coarser; a tag that never ends takes the
+character; elements may nest to any depth, of which the layout has MOST_DEPTH levels (what is deeper belongs to its last node), and a layout of more than
+MOST_NODES nodes is made coarser; a tag that never ends takes the
 rest of the page; repeated rows are each returned; an empty table gives no rows; only the named columns are read.
 """
 
@@ -52,12 +52,12 @@ BLOCKS = HEADINGS | {"html", "body", "address", "article", "aside", "blockquote"
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "body", "html", "head", "title"}
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}, "body": {"head", "title"}}
 SCOPE = {"div", "section", "article", "ul", "ol", "table", "dl", "body"}
-AWAY = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "search", "fieldset"}
+AWAY = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "search"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 AWAY_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "aside", "header", "masthead", "topbar", "footer", "foot", "bottombar", "comment", "comments", "respond", "reply", "replies", "disqus",
-    "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "widget", "widgets", "toolbar", "copyright",
+    "share", "sharing", "newsletter", "subscribe", "subscription", "signup", "login", "widget", "widgets", "toolbar",
 }
 #: Words that may stand beside those in a class or id.
 BESIDE = {"site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "bar", "box", "list", "item", "items", "area", "wrap", "wrapper", "container", "inner", "outer", "block", "links", "link", "buttons", "button", "icons", "posts", "articles", "form", "section", "reader", "user", "thread", "body", "js", "c", "w", "l", "m"}
@@ -79,7 +79,7 @@ def _marks(tag: str, attributes: tuple[tuple[str, str], ...]) -> tuple[bool, boo
     """(never content, main part) of an element by its own marks."""
     got = {k: html.unescape(v) for k, v in attributes}
     role = got.get("role", "").lower()
-    hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) is not None
+    hidden = "hidden" in got or re.search(r"display\s*:\s*none", got.get("style", "")) is not None
     own = tag not in HEADINGS | {"html", "body", "main"} and (_names(got.get("class", "")) or _names(got.get("id", "")))
     return tag in AWAY or role in AWAY_ROLES or own or hidden, tag == "main" or role == "main"
 
@@ -161,10 +161,10 @@ def parse(text: str) -> Node:
                 stop = x if x.tag in ends else stop
                 x = x.parent
             now = leave(stop) if stop is not None else now
-        away, main = _marks(tag, tuple((k, v) for k, v in attributes if k in ("class", "id", "role", "hidden", "aria-hidden", "style")))
+        away, main = _marks(tag, tuple((k, v) for k, v in attributes if k in ("class", "id", "role", "hidden", "style")))
         x = Node(tag, away, main, now)
         now.children.append(x)
-        if tag not in VOID and text[at - 2 : at] != "/>" and x.depth < MOST_DEPTH:
+        if tag not in VOID and text[at - 2 : at] != "/>":
             now = x
             opened[tag] = opened.get(tag, 0) + 1
     if at < len(text):
@@ -174,12 +174,17 @@ def parse(text: str) -> Node:
 
 def _regions(root: Node) -> list[Node]:
     """Articles, else main parts, else all: the outermost that aren't away."""
-    def find(node: Node, want) -> list[Node]:
-        if node.away:
-            return []
-        if want(node):
-            return [node]
-        return [y for x in node.children if isinstance(x, Node) for y in find(x, want)]
+    def find(root: Node, want) -> list[Node]:
+        found, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            if node.away:
+                continue
+            if want(node):
+                found.append(node)
+            else:
+                stack += [x for x in reversed(node.children) if isinstance(x, Node)]
+        return found
 
     for want in (lambda n: n.tag == "article", lambda n: n.main, lambda n: n.tag == "body"):
         if found := find(root, want):
@@ -189,19 +194,37 @@ def _regions(root: Node) -> list[Node]:
 
 def _blocks_in(node: Node, path: str) -> Iterator[Node]:
     """The block elements under a node with no other between; inline elements pass their path on."""
-    for x in node.children:
-        if isinstance(x, Node):
-            if x.tag in BLOCKS:
-                yield x
-            else:
-                x.path = path
-                yield from _blocks_in(x, path)
+    stack = [iter(node.children)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, Node):
+                if x.tag in BLOCKS:
+                    yield x
+                else:
+                    x.path = path
+                    stack.append(iter(x.children))
+                    break
+        else:
+            stack.pop()
+
+
+def _all_under(node: Node) -> Iterator[Node]:
+    stack = [x for x in node.children if isinstance(x, Node)]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += [y for y in x.children if isinstance(y, Node)]
 
 
 def fold_tree(node: Node, path: str = "", most: int = MOST_SIBLINGS) -> tuple[list, int]:
     """([label, children] of the block elements, its nodes). Of a run of like children, and of all like children past
-    the first `most` nodes, the largest stays and stands for all. Sets each block's path."""
+    the first `most` nodes, the largest stays and stands for all. Sets each block's path; what is `MOST_DEPTH` blocks deep
+    keeps all under it in one node."""
     node.path, folded, sizes, last = path, [], [], {}
+    if path.count("/") >= MOST_DEPTH:
+        for x in _all_under(node):
+            x.path = path
+        return [node.tag + "!" * node.away, []], 1
     for x in _blocks_in(node, path):
         label = x.tag + "!" * x.away
         k = last.get(label) if len(folded) >= most else len(folded) - 1 if folded and folded[-1][0] == label else None
@@ -226,36 +249,44 @@ def blocks_of(text: str | None) -> tuple[str, list[dict]]:
     buffer: list[str] = []
 
     def flush(path: str) -> None:
-        line = " ".join(html.unescape("".join(buffer)).split())
+        line = " ".join("".join(buffer).split())
         buffer.clear()
         if line:
             out.append({"path": path, "text": line})
 
     def walk(node: Node, path: str) -> None:
-        for x in node.children:
-            if isinstance(x, str):
-                buffer.append(x)
-            elif x.away:
-                flush(path)
-                if x.tag == "header" and inside:
-                    headings(x)
-            elif x.tag in BLOCKS:
-                flush(path)
-                walk(x, x.path)
-                flush(x.path)
-            elif x.tag == "br":
-                buffer.append(" ")
-            else:
-                walk(x, path)
-
-    def headings(node: Node) -> None:
-        for x in node.children:
-            if isinstance(x, Node):
-                if x.tag in HEADINGS:
-                    walk(x, x.path)
-                    flush(x.path)
+        stack = [(iter(node.children), path, False)]  # what is left of an element, the path of its text, a block?
+        while stack:
+            left, path, _ = stack[-1]
+            for x in left:
+                if isinstance(x, str):
+                    buffer.append(html.unescape(x))  # each piece by itself: markup inside a reference ends it
+                elif x.away:
+                    flush(path)
+                    if x.tag == "header" and inside:
+                        headings(x)
+                elif x.tag in BLOCKS:
+                    flush(path)
+                    stack.append((iter(x.children), x.path, True))
+                    break
+                elif x.tag == "br":
+                    buffer.append(" ")
                 else:
-                    headings(x)
+                    stack.append((iter(x.children), path, False))
+                    break
+            else:
+                if stack.pop()[2]:
+                    flush(path)
+
+    def headings(header: Node) -> None:
+        stack = [header]
+        while stack:
+            node = stack.pop()
+            if node.tag in HEADINGS:
+                walk(node, node.path)
+                flush(node.path)
+            else:
+                stack += [x for x in reversed(node.children) if isinstance(x, Node)]
 
     for region in _regions(root):
         inside = region.tag == "article"

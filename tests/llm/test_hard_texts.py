@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from dialoom.llm import decontaminate, licenses
+from dialoom.llm import decontaminate, extract, licenses
 
 
 def test_thousands_of_notices_in_one_text():
@@ -64,3 +64,25 @@ def test_tiles_along_diagonals_are_those_of_seeds(seed, monkeypatch):
     monkeypatch.setattr(decontaminate, "SEEDS", -1)
     monkeypatch.setattr(decontaminate, "CELLS", 50)
     assert decontaminate.Items([0], [item], 4, 0.5).search(pa.array([text])) == plain
+
+
+def lines_of(page):
+    return [b["text"] for b in extract.blocks_of(page)[1]]
+
+
+@pytest.mark.parametrize("depth", [10, 198, 205, 3000, 20_000])
+def test_marks_count_at_any_depth(depth):
+    page = "<article>" + "<div>" * depth + "<nav>menu <b>more</b><div>deep menu</div></nav><p>text</p><form>field</form>" + "</div>" * depth + "<p>after</p></article>"
+    assert lines_of(page) == ["text", "after"]
+    assert len(extract.blocks_of(page)[0]) < 10_000
+
+
+def test_only_the_named_regions_go():
+    inside = "<section class='related'>a</section><p class='copyright'>b</p><p id='social'>c</p><div class='recommended'>d</div><p aria-hidden='true'>e</p><fieldset>f</fieldset>"
+    assert lines_of(f"<article>{inside}</article>") == ["a", "b", "c", "d", "e", "f"]
+    gone = "<nav>a</nav><div class='ad'>b</div><div id='cookie-notice'>c</div><form>d<fieldset>e</fieldset></form><div class='comments'>f</div><aside>g</aside><footer>h</footer><p hidden>i</p>"
+    assert lines_of(f"<article>{gone}<p>text</p></article>") == ["text"]
+
+
+def test_references_are_decoded_piece_by_piece():
+    assert lines_of("<p>AT&<b>amp;</b>T &eacute;&#32;&nbsp; x &am<!-- -->p;</p>") == ["AT&amp;T é x &amp;"]
