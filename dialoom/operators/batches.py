@@ -20,11 +20,15 @@ def collate(dialogues: DataFrame, steps: DataFrame) -> DataFrame:
     """(batch_no, step, row, x_t, target, gate): steps aligned to the batch's longest dialogue. A missing step is
     empty with gate 0; a whole step's x_t (target) is null if no row of the batch has tokens there.
 
-    dialogues: (batch_no, row); steps: (batch_no, row, step, x_t, target, gate). One shuffle by batch_no."""
-    longest = steps.groupBy("batch_no").agg(F.max("step").alias("last"))
-    frame = dialogues.select("batch_no", "row").join(longest, "batch_no").select("batch_no", "row", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("step"))
-    none = F.array().cast("array<int>")
-    full = frame.join(steps, ["batch_no", "row", "step"], "left").select("batch_no", "step", "row", F.coalesce("x_t", none).alias("x_t"), F.coalesce("target", none).alias("target"), F.coalesce("gate", F.lit(0.0)).alias("gate"))
+    dialogues: (batch_no, row); steps: (batch_no, row, step, x_t, target, gate). One shuffle by batch_no: dialogues go with
+    the steps as rows of step -1, which then turn into the steps that they lack."""
+    names, none = ["batch_no", "row", "step", "x_t", "target", "gate"], F.array().cast("array<int>")
+    marks = dialogues.select("batch_no", "row", F.lit(-1).cast(steps.schema["step"].dataType).alias("step"))
+    whole = steps.select(*names).unionByName(marks, allowMissingColumns=True).repartition("batch_no")
+    own = Window.partitionBy("batch_no", "row")
+    whole = whole.withColumns({"_last": F.max("step").over(Window.partitionBy("batch_no")), "_have": F.collect_set("step").over(own), "_known": F.min("step").over(own) == -1}).where("_known and _last >= 0")
+    lacks = F.array_except(F.sequence(F.lit(0).cast(steps.schema["step"].dataType), "_last"), "_have")
+    full = whole.select("batch_no", "row", F.explode(F.when(F.col("step") == -1, lacks).otherwise(F.array("step"))).alias("step"), F.coalesce("x_t", none).alias("x_t"), F.coalesce("target", none).alias("target"), F.coalesce("gate", F.lit(0.0)).alias("gate"))
     w = Window.partitionBy("batch_no", "step")
     pad = lambda c: F.when(F.max(F.size(c)).over(w) > 0, padded(F.col(c), F.max(F.size(c)).over(w)))
     return full.select("batch_no", "step", "row", pad("x_t").alias("x_t"), pad("target").alias("target"), "gate")

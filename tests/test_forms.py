@@ -221,3 +221,12 @@ def test_collate_with_a_function(spark):
     s = spark.createDataFrame([(0, 1, 0, [5]), (0, 0, 1, [6, 7]), (0, 0, 0, [8]), (1, 0, 0, [9])], "batch_no long, row long, step int, target array<int>")
     out = batches.collate_with(d, s, lambda b: b.assign(flat=[",".join(str(x) for t in b.target for x in t)] * len(b))[["batch_no", "name", "flat"]].drop_duplicates(), "batch_no long, name string, flat string")
     assert sorted(map(tuple, out.collect())) == [(0, "a", "8,6,7,5"), (0, "b", "8,6,7,5"), (1, "c", "9")]
+
+
+def test_collation_shuffles_once(spark):
+    d = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (2, 5)], "batch_no long, row long")
+    s = spark.createDataFrame([(0, 0, 2, [5], [6, 7], 1.0), (0, 1, 0, None, [8], 1.0), (1, 0, 0, [9], None, 0.0), (0, 9, 7, [1], [1], 1.0)], "batch_no long, row long, step int, x_t array<int>, target array<int>, gate double")
+    out = batches.collate(d, s)
+    got = {(r.batch_no, r.step, r.row): (r.x_t, r.target, r.gate) for r in out.where("batch_no < 2 and step < 3").collect()}
+    assert got == {(0, 0, 0): (None, [0], 0.0), (0, 0, 1): (None, [8], 1.0), (0, 1, 0): (None, None, 0.0), (0, 1, 1): (None, None, 0.0), (0, 2, 0): ([5], [6, 7], 1.0), (0, 2, 1): ([0], [0, 0], 0.0), (1, 0, 0): ([9], None, 0.0)}
+    assert out.where("batch_no = 2").count() == 0 and plan_of(out).count("Exchange") == 1
