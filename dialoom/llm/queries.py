@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dialoom.llm import warc
 from dialoom.llm.bpe import op13_bpe_coding
 from dialoom.llm.decontaminate import op10_decontaminate
 from dialoom.llm.extract import op3_html_extract
@@ -18,6 +19,7 @@ from dialoom.llm.periodic import op12_periodic_runs
 from dialoom.llm.simhash import op2_simhash
 from dialoom.llm.toxicity import op1_toxicity
 from dialoom.llm.vectorcodes import op11_vector_codes
+from dialoom.llm.vectorcodes import oracle as op11_oracle
 from dialoom.llm.warc import op6_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -36,4 +38,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_bpe_coding": op13_bpe_coding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_warc_salvage": warc.ORACLE, "op11_vector_codes": op11_oracle()}

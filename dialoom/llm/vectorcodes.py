@@ -187,3 +187,22 @@ def compressed(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = compressed(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
+def oracle(rounds: int = ROUNDS) -> str:
+    """The query in DuckDB's SQL: plain k-means over whole numbers, all distances worked out."""
+    steps = [
+        "kept AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"parts AS MATERIALIZED (SELECT rid, p, list_transform(range(d), lambda j: CAST(floor({SCALE} * CAST(embedding[p * d + j + 1] AS DOUBLE)) AS BIGINT)) AS v FROM (SELECT *, len(embedding) // {PARTS} AS d FROM kept), range({PARTS}) AS r(p))",
+        f"b0 AS MATERIALIZED (SELECT p, rid - 1 AS k, v FROM parts WHERE rid <= {ENTRIES})",
+    ]
+    for i in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(parts.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rid, p, arg_min(k, (far, k)) AS k, min(far) AS far FROM (SELECT rid, parts.p, k, {distance} AS far FROM parts JOIN b{i} b ON b.p = parts.p) GROUP BY rid, p)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT p, k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, k, unnest(v) AS x, unnest(range(len(v))) AS j FROM a{i} JOIN parts USING (rid, p)) GROUP BY p, k, j)")
+            mean = "(s - (((s % n) + n) % n)) // n"  # rounded down
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT p, k, coalesce(x.v, b.v) AS v FROM b{i} b LEFT JOIN (SELECT p, k, list({mean} ORDER BY j) AS v FROM m{i} GROUP BY p, k) x USING (p, k))")
+    digest = f"(SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) FROM b{rounds})"
+    coded = f"SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} JOIN kept USING (rid) GROUP BY rid, vec_id, label"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {digest} AS codebooks_sha256 FROM ({coded})"

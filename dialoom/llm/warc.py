@@ -231,4 +231,9 @@ def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(plan_records(table(spark, sf_dir, "pages")), path)
     records = stored(read(spark, path, payloads=False).drop("payload"), "records")
     stored(gaps(records), "gaps")
-    return resolved(records)
+    return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri")
+
+
+#: The query in DuckDB's SQL.
+ORACLE = """SELECT CAST(page_id AS BIGINT) AS page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN CAST(first AS BIGINT) END AS refers_to, regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g') AS uri
+FROM (SELECT *, strlen(body) >= 100 AND page_id <> first AS again FROM (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM (SELECT page_id, url, coalesce(html, '') AS body FROM pages)))"""

@@ -1,12 +1,16 @@
 """Column names with dots, ids that repeat, arrays that workers map."""
 
 import hashlib
+import os
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dialoom.llm import decontaminate, linedup, simhash, toxicity, warc
 from dialoom.llm.common import load_arrays, save_arrays
+from dialoom.llm.queries import ORACLES, QUERIES
 
 
 def test_filters_keep_columns_of_any_name(spark):
@@ -50,3 +54,14 @@ def test_one_index_serves_both_scores(spark):
     rows, terms, counts = toxicity.term_counts(docs.sort("doc_id").toArrow()["text"].combine_chunks(), model.vocabulary)
     again = toxicity.built(np.bincount(rows, minlength=90), terms, counts, model.weight)
     assert all((getattr(model.index, n) == getattr(again, n)).all() for n in toxicity.Index.ARRAYS)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("pages", "embeddings", "documents"):
+        path = f"{sf_dir}/{t}.parquet"
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    want, got = con.sql(ORACLES[name]), QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=str) == sorted(want.fetchall(), key=str)
