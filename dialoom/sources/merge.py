@@ -6,6 +6,9 @@ that the run's manifest, one row a chunk file (chunk_no, path, bytes, rows, dige
 doesn't count: a run that broke off is written again, over itself. A merge that starts again leaves out all files that
 the manifest has with the same size; of a file that has changed since, that is an error.
 
+The first run is written alone, then twice as many together each time, up to WAVE_BYTES or WAVE_FILES: a merge of many
+small runs takes few Spark jobs, and one that breaks off loses no more than about what it had done before.
+
 The driver holds the names and sizes of the chunk files that are still to do, as any reader of them would."""
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from dialoom.sources.shared import listed, opened
 CHUNK_RE = r"(?:^|/)chunk(?:_no=|_)(\d+)(?=[./])"
 MANIFEST = "chunk_no bigint, path string, bytes bigint, rows bigint, digest string, error string"
 COMMIT = 100
+#: What runs that are written together may have in all; one run may have more.
+WAVE_BYTES, WAVE_FILES = 1 << 30, 8192
 
 
 def chunk_files(spark: SparkSession, source: str) -> DataFrame:
@@ -103,29 +108,52 @@ def merge(spark: SparkSession, source: str, target: str, schema: str, order: str
     if on_corrupt == "fail" and len(bad):
         raise ValueError(f"{len(bad)} damaged chunks, such as {bad.path.iloc[0]}: {bad.error.iloc[0]}")
     last = manifest(spark, target).agg(F.coalesce(F.max("commit"), F.lit(-1))).first()[0]
-    runs = 0
-    for number, part in found.groupby(found.chunk_no // commit):
-        if runs == most_runs:
-            break
+    commits = []
+    for number in sorted(set(found.chunk_no // commit))[:most_runs]:
         last = max(int(number), last + 1)  # a run never takes another's place
-        _committed(spark, part, target, schema, order, last)
-        runs += 1
-    return runs
-
-
-def _committed(spark: SparkSession, files, target: str, schema: str, order: str, commit: int) -> None:
+        commits.append((int(number), last))
+    found["commit"] = (found.chunk_no // commit).map(dict(commits))
+    found = found[found.commit.notna()].astype({"commit": "int64"})
+    runs = found.groupby("commit").agg(size=("bytes", "sum"), files=("path", "count"))
+    wave, together, double = [], 1, "commit" not in StructType.fromDDL(schema).names  # rows with a column of that name go run by run
+    for run in runs.itertuples():
+        size, files = (sum(x) for x in zip((run.size, run.files), *((r.size, r.files) for r in wave)))
+        if wave and (len(wave) == together or size > WAVE_BYTES or files > WAVE_FILES):
+            _committed(spark, found[found.commit.isin([r.Index for r in wave])], target, schema, order, commit, wave[0].Index)
+            wave, together = [], together * 2 if double else 1
+        wave.append(run)
+    if wave:
+        _committed(spark, found[found.commit.isin([r.Index for r in wave])], target, schema, order, commit, wave[0].Index)
+    return len(runs)
+
+
+def _committed(spark: SparkSession, files, target: str, schema: str, order: str, width: int, first: int) -> None:
+    """Write the runs of a wave, of which `first` is the first one: all their rows, then all their manifests. files: those of
+    `checked`, with the number of their run as commit; width: chunk numbers a run."""
+    runs = sorted(set(zip((files.chunk_no // width).tolist(), files.commit.tolist())))
+    system, root = opened(target)
+    for _, commit in runs:  # what a run that broke off has left
+        for left in (f"{root}/data/commit={commit}", f"{root}/_manifest/commit={commit}"):
+            if system.get_file_info(left).type.name == "Directory":
+                system.delete_dir(left)
     good = files[files.error.isna()]
     if len(good):
         number = F.regexp_extract(F.col("_metadata.file_path"), CHUNK_RE, 1).cast("long")
+        of = F.broadcast(spark.createDataFrame(runs, "_run bigint, commit bigint"))  # a row a run
         rows = spark.read.schema(schema).parquet(*good.path).withColumn("chunk_no", number)
-        rows.repartitionByRange("chunk_no", order).sortWithinPartitions("chunk_no", order).write.mode("overwrite").parquet(f"{target}/data/commit={commit}")
-    noted = [(int(r.chunk_no), r.path, int(r.bytes), None if r.rows != r.rows else int(r.rows), r.digest, r.error) for r in files.itertuples()]
-    spark.createDataFrame(noted, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{target}/_manifest/commit={commit}")
+        if len(runs) == 1:
+            rows.repartitionByRange("chunk_no", order).sortWithinPartitions("chunk_no", order).write.parquet(f"{target}/data/commit={first}")
+        else:
+            keys = ["commit", "chunk_no", order]
+            rows = rows.withColumn("_run", F.floor(F.col("chunk_no") / width)).join(of, "_run").drop("_run")
+            rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("append").partitionBy("commit").parquet(f"{target}/data")
+    noted = [(int(r.chunk_no), r.path, int(r.bytes), None if r.rows != r.rows else int(r.rows), r.digest, r.error, r.commit) for r in files.itertuples()]
+    spark.createDataFrame(noted, MANIFEST + ", commit bigint").coalesce(1).write.mode("append").partitionBy("commit").parquet(f"{target}/_manifest")
 
 
 def read_merged(spark: SparkSession, target: str, schema: str) -> DataFrame:
     """The rows of all runs that the manifest has, with chunk_no."""
-    commits = [r[0] for r in manifest(spark, target).where("error is null").select("commit").distinct().collect()]
+    commits = [r[0] for r in manifest(spark, target).where("error is null and rows > 0").select("commit").distinct().collect()]
     whole = f"{schema}, chunk_no bigint"
     if not commits:
         return spark.createDataFrame([], whole)

@@ -99,3 +99,24 @@ def test_start_order_and_digests(spark, source, tmp_path):
     assert len(set(digests)) == 4 and all(len(d) == 64 for d in digests)
     with pytest.raises(ValueError):
         merge.merge(spark, f"file://{source}", target, SCHEMA, on_corrupt="ask")
+
+
+def test_many_small_runs_take_few_jobs(spark, source, tmp_path, monkeypatch):
+    for n in range(20, 58):
+        chunk(source, n)
+    spoil(source / "chunk_30.parquet", "half")
+    (tmp_path / "merged/data/commit=40").mkdir(parents=True)  # left by a run that broke off
+    chunk(tmp_path / "merged/data/commit=40", 7)
+    target, whole, waves = f"file://{tmp_path}/merged", merge._committed, []
+    monkeypatch.setattr(merge, "_committed", lambda spark, files, *how: [waves.append(sorted(files.chunk_no)), whole(spark, files, *how)])
+    assert merge.merge(spark, f"file://{source}", target, SCHEMA, on_corrupt="skip", commit=1) == 44
+    assert [len(w) for w in waves] == [1, 2, 4, 8, 16, 13] and sum(waves, []) == [0, 1, 2, 9, 10, 11, *range(20, 58)]
+    numbers = {n for w in waves for n in w} - {30}
+    assert rows_of(spark, target) == rows_for(*numbers)
+    assert {(r.chunk_no, r.commit, r.rows) for r in merge.manifest(spark, target).collect()} == {(n, n, 3) for n in numbers} | {(30, 30, None)}
+    monkeypatch.setattr(merge, "WAVE_FILES", 2)
+    waves.clear()
+    for n in range(60, 66):
+        chunk(source, n, rows=0 if n == 62 else 3)
+    assert merge.merge(spark, f"file://{source}", target, SCHEMA, on_corrupt="skip", commit=1, most_runs=5) == 5
+    assert max(len(w) for w in waves) == 2 and rows_of(spark, target) == rows_for(*numbers, 60, 61, 63, 64)
