@@ -89,9 +89,17 @@ def arg_max(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)) - 1
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals, rounded as C's printf does: the exact value counts, and halves go to the even digit
+    (format_string rounds them up)."""
+    x = value.cast("double")
+    plain = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(plain, F.call_function("format_number", x, F.lit("0." + "0" * places))).otherwise(F.format_string(f"%.{places}f", x))
+
+
 def rendered_top(top: Column) -> Column:
     """Pairs (word, p) as `word:0.123456`, joined by blanks."""
-    return F.array_join(F.transform(top, lambda x: F.format_string("%s:%.6f", x["word"], x["p"].cast("double"))), " ")
+    return F.array_join(F.transform(top, lambda x: F.concat(x["word"], F.lit(":"), fixed(x["p"], 6))), " ")
 
 
 def rendered(ids: Column) -> Column:

@@ -204,7 +204,7 @@ def t4_top_k_wide(spark, sf_dir):
 @query("SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(len(embedding)), lambda i: {'p': -embedding[i + 1], 'i': i}))[1:3], lambda s: 'w' || s.i || ':' || printf('%.4f', (-s.p)::DOUBLE)), ' ') AS line FROM embeddings")
 def f17_rendering(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.array_join(F.transform(A.top_k(F.col("embedding"), 3), lambda x: F.format_string("w%d:%.4f", x["id"], x["p"].cast("double"))), " ").alias("line"))
+    return e.select("vec_id", F.array_join(F.transform(A.top_k(F.col("embedding"), 3), lambda x: F.concat(F.format_string("w%d:", x["id"]), A.fixed(x["p"], 4))), " ").alias("line"))
 
 
 @query(sql("gates", "SELECT conv_id, t, round(greatest(1.5 * pow(0.95, t), 0.2), 6) AS temperature, round(pow(0.95, t), 6) AS lr, round((t + 1) / 40, 6) AS t_norm FROM gates"))

@@ -89,3 +89,9 @@ def test_info_nce_of_batches(spark):
         p, q = (unit(np.array([r[k] for r in rows if r[0] == b])) for k in (2, 3))
         s = q @ p.T / 0.1
         assert math.isclose(got[b], float((np.log(np.exp(s).sum(1)) - np.diag(s)).mean()), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_halves_are_rounded_as_printf_does(spark):
+    values = [0.5078125, 0.5234375, -0.5078125, 0.03125, 0.09375, 1234567.25, 2.0000005, -1e-9, 0.0]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", A.fixed(F.col("x"), 6).alias("six"), A.fixed(F.col("x"), 4).alias("four")).collect()
+    assert [(r.six, r.four) for r in rows] == [(f"{r.x:.6f}", f"{r.x:.4f}") for r in rows]
