@@ -436,9 +436,9 @@ def st1_st2_live_encode(spark, sf_dir):
     return spark.read.parquet(target).select(F.array_join(shown, " | ").alias("ids"))
 
 
-def _append(lines: DataFrame, folder: str, files: int, torn: bool) -> None:
-    """Append lines (value, key) to so many files of a folder, a task a file, as a logger would; torn: the file's last
-    line lacks its end, which the next call writes first."""
+def _append(lines: DataFrame, folder: str, files: int) -> None:
+    """Append lines (value, key, torn) to so many files of a folder, a task a file, as a logger would. Of a torn line, which
+    has to be its file's last one, only the first half is written; the next call writes the rest first."""
 
     def put(batches):
         import pyarrow as pa
@@ -451,12 +451,12 @@ def _append(lines: DataFrame, folder: str, files: int, torn: bool) -> None:
                 system.create_dir(root)
                 path = f"{root}/live_{k}.jsonl"
                 with system.open_append_stream(path) as out:
-                    own = [v for v, f in zip(b.column("value").to_pylist(), b.column("file").to_pylist()) if f == k]
-                    out.write(("".join(v + "\n" for v in own[:-1]) + own[-1][: len(own[-1]) // 2]).encode() if torn else "".join(v + "\n" for v in own).encode())
+                    rows = zip(*(b.column(c).to_pylist() for c in ("file", "value", "torn")))
+                    out.write("".join(v[: len(v) // 2] if torn else v + "\n" for f, v, torn in rows if f == k).encode())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
 
     dealt = lines.withColumn("file", F.pmod(F.col("key"), F.lit(files)).cast("int")).repartition(files, "file").sortWithinPartitions("file", "key")
-    dealt.select("file", "value").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    dealt.select("file", "value", "torn").mapInArrow(put, "n long").agg(F.sum("n")).collect()
 
 
 @query(sql("ids", "SELECT CAST(conv_id % 3 AS INTEGER) AS file, CAST(row_number() OVER (PARTITION BY conv_id % 3 ORDER BY round, conv_id) - 1 AS BIGINT) AS line_no, array_to_string(list_transform(list(ids ORDER BY turn), lambda x: array_to_string(x, ' ')), ' | ') AS ids FROM (SELECT *, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 1 END AS round FROM ids) GROUP BY split, conv_id, round"))
@@ -470,10 +470,10 @@ def st1_st2_growing_file(spark, sf_dir):
     first, second = lines.where("conv_id % 2 = 0"), lines.where("conv_id % 2 = 1")
     file = F.col("conv_id") % 3
     last = first.groupBy(file.alias("file")).agg(F.max("conv_id").alias("last"))
-    torn = first.withColumn("file", file).join(F.broadcast(last), "file")  # three rows
-    rest = torn.where("conv_id = last").select(F.expr("substr(value, length(value) div 2 + 1)").alias("value"), F.col("file").alias("key"))
-    for grown, cut in ((first.select("value", F.col("conv_id").alias("key")), True), (rest, False), (second.select("value", F.col("conv_id").alias("key")), False)):
-        _append(grown, source, 3, cut)
+    first = first.withColumn("file", file).join(F.broadcast(last), "file").withColumn("torn", F.expr("conv_id = last"))  # three rows
+    rest = first.where("torn").select(F.expr("substr(value, length(value) div 2 + 1)").alias("value"), F.col("file").alias("key"), F.lit(False).alias("torn"))
+    for grown in (first.select("value", F.col("conv_id").alias("key"), "torn"), rest, second.select("value", F.col("conv_id").alias("key"), F.lit(False).alias("torn"))):
+        _append(grown, source, 3)
         live.live_encode_growing(spark, source, target, state, own, block=SIZE).awaitTermination()
     shown = F.concat(F.array(rendered(F.col("x_ref"))), F.transform("steps", lambda s: rendered(s["target"])))
     return spark.read.parquet(target).select(F.regexp_extract("file_name", r"_(\d+)\.", 1).cast("int").alias("file"), "line_no", F.array_join(shown, " | ").alias("ids"))
