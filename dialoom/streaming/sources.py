@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -152,14 +153,26 @@ class _ChunkReader(DataSourceStreamReader):
         self.path, self.checkpoint, self.schema = options["path"], options.get("checkpoint"), to_arrow_schema(schema)
         self.most, self.first, self.skips = int(options.get("chunksPerTrigger", 1)), int(options.get("firstChunk", 0)), options.get("gaps", "wait") == "skip"
         self.next: int | None = None
+        self.held: dict[int, list[str]] = {}
 
     def _chunks(self) -> dict[int, list[str]]:
         found: dict[int, list[str]] = {}
         for path in listed(self.path):
             if hit := CHUNK_RE.search(path):
                 found.setdefault(int(hit[1]), []).append(path)
+        self.held = found
         return found
 
+    def _there(self, numbers: range) -> dict[int, list[str]]:
+        """The chunks as they were listed last if these numbers were all there and still are, else a new listing: a
+        folder of many chunks isn't listed for every few of them."""
+        if numbers and all(n in self.held for n in numbers):
+            own = [p for n in numbers for p in self.held[n]]
+            system = opened(own[0])[0]
+            if all(x.type == fs.FileType.File for x in system.get_file_info([opened(p)[1] for p in own])):
+                return self.held
+        return self._chunks()
+
     def _planned(self) -> int:
         """Where the last batch of the checkpoint ends: the last line of the newest file of its offset log."""
         logs = {int(p.rsplit("/", 1)[1]): p for p in listed(f"{self.checkpoint}/offsets") if p.rsplit("/", 1)[1].isdigit()} if self.checkpoint else {}
@@ -173,8 +186,8 @@ class _ChunkReader(DataSourceStreamReader):
         return {"next": self.first}
 
     def latestOffset(self) -> dict:
-        there = self._chunks()
         at = self._planned() if self.next is None else self.next
+        there = self._there(range(at, at + self.most))
         ahead = [n for n in sorted(there) if n >= at]
         if not self.skips:
             ahead = [n for k, n in enumerate(ahead) if n == at + k]
@@ -184,10 +197,11 @@ class _ChunkReader(DataSourceStreamReader):
         return {"next": at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        there, numbers = self._chunks(), range(start["next"], end["next"])
+        numbers = range(start["next"], end["next"])
+        there = self._there(numbers)
         if not self.skips and (lost := [n for n in numbers if n not in there]):
             raise ValueError(f"chunks {lost[:5]} under {self.path} are gone")
-        return [_Chunk(n, p) for n in sorted(there.keys() & set(numbers)) for p in sorted(there[n])]
+        return [_Chunk(n, p) for n in sorted(there) if n in numbers for p in sorted(there[n])]
 
     def read(self, partition: _Chunk) -> Iterator[pa.RecordBatch]:
         system, inside = opened(partition.path)

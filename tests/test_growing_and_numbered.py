@@ -140,3 +140,26 @@ def test_a_stream_that_starts_again_reads_its_checkpoint(tmp_path, spark):
     (log / "10").write_text('v1\n{"batchWatermarkMs":0}\n{"next":3}')
     reader = sources.NumberedChunks({"path": str(tmp_path / "chunks"), "checkpoint": f"file://{tmp_path}/state"}).streamReader(spark.range(1).schema)
     assert [reader.latestOffset() for _ in range(2)] == [{"next": 4}, {"next": 4}]
+
+
+def test_one_line_a_file_is_torn_however_many_there_are(spark, tmp_path):
+    from dialoom.plans.feed import _append
+
+    lines = spark.range(25_000).selectExpr("concat('line ', id) AS value", "id AS key", "id >= 24998 AS torn")
+    _append(lines, f"file://{tmp_path}/live", 2)
+    got = [(tmp_path / f"live/live_{k}.jsonl").read_text() for k in (0, 1)]
+    assert got == ["".join(f"line {n}\n" for n in range(k, 24_998, 2)) + "line " for k in (0, 1)]
+
+
+def test_chunks_are_listed_once_for_many_batches(tmp_path, spark, monkeypatch):
+    for n in range(9):
+        chunk(tmp_path / "chunks", n)
+    calls, listed = [], sources.listed
+    monkeypatch.setattr(sources, "listed", lambda p: [calls.append(p), listed(p)][1])
+    reader = sources.NumberedChunks({"path": str(tmp_path / "chunks"), "chunksPerTrigger": 2}).streamReader(spark.range(1).schema)
+    ends = [0] + [reader.latestOffset()["next"] for _ in range(5)]
+    assert ends == [0, 2, 4, 6, 8, 9]
+    assert [len(reader.partitions({"next": a}, {"next": b})) for a, b in zip(ends, ends[1:])] == [2, 2, 2, 2, 1] and len(calls) == 2
+    (tmp_path / "chunks/chunk_3.parquet").unlink()
+    with pytest.raises(ValueError, match="gone"):
+        reader.partitions({"next": 2}, {"next": 4})
