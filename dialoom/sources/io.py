@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,20 +109,29 @@ def encoder(vocab: DataFrame, unknown: int = 3, end: int = 2, most: int = 1_000_
     """Column function array<string> -> array<int> with the end mark: a dictionary lookup in Arrow batches. Its attribute
     `lines` is the same for array<array<string>>. A vocabulary of over `most` words is an error: `encode.token_ids`
     joins one of any size."""
-    rows = vocab.select("word", "idx").limit(most + 1).toPandas()
-    if len(rows) > most:
+    rows = vocab.select("word", "idx").limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"a vocabulary of over {most} words; join it with encode.token_ids")
-    shared = vocab.sparkSession.sparkContext.broadcast(dict(zip(rows.word, rows.idx.tolist())))
-
-    @F.pandas_udf("array<int>")
-    def encode(tokens: pd.Series) -> pd.Series:
-        of = shared.value.get
-        return tokens.map(lambda t: [*(of(w, unknown) for w in t), end] if t is not None else [])
-
-    @F.pandas_udf("array<array<int>>")
-    def lines(texts: pd.Series) -> pd.Series:
-        of = shared.value.get
-        return texts.map(lambda l: None if l is None else [[*(of(w, unknown) for w in t), end] for t in l])
+    shared = vocab.sparkSession.sparkContext.broadcast((rows["word"].combine_chunks(), np.append(rows["idx"].to_numpy(), unknown).astype(np.int32)))
+
+    def found(lists: pa.ListArray) -> pa.ListArray:
+        words, idx = shared.value
+        n = np.asarray(pc.fill_null(pc.list_value_length(lists), -1), np.int64) + 1  # a null list has no end mark
+        at = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1), np.int64)
+        ends = np.cumsum(n)
+        ids, own = np.full(n.sum(), end, np.int32), np.ones(n.sum(), bool)
+        own[ends[n > 0] - 1] = False
+        ids[own] = idx[at]  # -1: the last one
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+
+    @F.arrow_udf("array<int>")
+    def encode(tokens: pa.Array) -> pa.Array:
+        return found(tokens)
+
+    @F.arrow_udf("array<array<int>>")
+    def lines(texts: pa.Array) -> pa.Array:
+        n = np.asarray(pc.fill_null(pc.list_value_length(texts), 0), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), found(texts.flatten()), mask=texts.is_null())
 
     encode.lines = lines
     return encode
@@ -195,8 +206,10 @@ def inventory(spark: SparkSession, *globs: str) -> DataFrame:
 
 
 def write_chunks(rows: DataFrame, path: str) -> None:
-    """Rows (split, chunk_no, pos, ...) in a directory for each chunk."""
-    rows.repartition("split", "chunk_no").sortWithinPartitions("split", "chunk_no", "pos").write.partitionBy("split", "chunk_no").parquet(path)
+    """Rows (split, chunk_no, pos, ...) in a directory for each chunk. Tasks move their own files into place; the driver
+    would move one after the other."""
+    writer = rows.repartition("split", "chunk_no").sortWithinPartitions("split", "chunk_no", "pos").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    writer.partitionBy("split", "chunk_no").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

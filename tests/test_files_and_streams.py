@@ -81,3 +81,10 @@ def test_encoding_shuffles_once(spark, sf_dir):
 def test_counts_use_hash_aggregates(spark, sf_dir):
     counts = vocab.word_counts(base.turns(spark, sf_dir).withColumn("toks", T.tokens(F.col("text"), normalise=False)))
     assert "SortAggregate" not in plan_of(counts) and "HashAggregate" in plan_of(counts)
+
+
+def test_the_encoder_works_on_flat_arrays_of_any_shape(spark):
+    encode = io.encoder(spark.createDataFrame([("a", 4, 1), ("b", 5, 1)], "word string, idx int, n bigint"))
+    rows = [([["a", "x", "b"], None, []],), (None,), ([],), ([["b", None]],)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "l array<array<string>>").coalesce(1).select(encode.lines(F.col("l")), encode(F.get("l", F.lit(0)))).collect()]
+    assert got == [([[4, 3, 5, 2], [], [2]], [4, 3, 5, 2]), (None, []), ([], []), ([[5, 3, 2]], [5, 3, 2])]
