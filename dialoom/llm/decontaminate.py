@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, in_place, mix, rolled, slices, spans, table, text_of
+from dialoom.llm.common import Words, in_place, mix, rolled, slices, slimmed, spans, table, text_of
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 4, 0.5, 16 << 20
 #: A pair with more seeds is compared along its diagonals, so many cells at a time.
@@ -202,7 +202,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
                         ["doc_id", "item_id", "item_words", "matched", "coverage", "tiles"],
                     )
 
-        parts.append(picked.mapInArrow(find, schema))
+        parts.append(picked.mapInArrow(slimmed(find), schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Cells, Words, buckets_for, by_bucket, dealt, flat, fresh, hash_counts, mix, slices, spans, stored, table, text_of, word_hashes
+from dialoom.llm.common import Cells, Words, buckets_for, by_bucket, dealt, flat, fresh, hash_counts, mix, slices, slimmed, spans, stored, table, text_of, word_hashes
 from dialoom.llm.components import components, spanning
 
 MIN_WORDS, LARGE = 1, 8192
@@ -136,7 +136,7 @@ def prefixes(docs: DataFrame, rarity, min_words: int) -> DataFrame:
             for p in slices(b, "text", 2 << 20):
                 yield build(p, seen)
 
-    return docs.mapInArrow(run, "k long, k2 long, doc_id long, t long, line_no int, head boolean, n int, skip int, prefix array<int>, s1 long, s2 long")
+    return docs.mapInArrow(slimmed(run), "k long, k2 long, doc_id long, t long, line_no int, head boolean, n int, skip int, prefix array<int>, s1 long, s2 long")
 
 
 def _hashed(w: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ def filed(classes: DataFrame, hot: Cells | None, large: int, buckets: int, befor
             yield file(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     rows = classes.select("c", "n", "skip", "prefix", "s1", "s2")
-    return rows.mapInArrow(run, "bucket int, g array<long>, c array<long>, n array<int>, at array<int>, s1 array<long>, s2 array<long>, side array<int>, before array<int>, n_before array<int>")
+    return rows.mapInArrow(slimmed(run), "bucket int, g array<long>, c array<long>, n array<int>, at array<int>, s1 array<long>, s2 array<long>, side array<int>, before array<int>, n_before array<int>")
 
 
 def _short_pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -291,7 +291,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             hit = group.flagged()
             yield pa.RecordBatch.from_arrays([pa.array(group.x[c][hit]) for c in ("g", "c", "at", "side")], ["g", "c", "at", "side"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "g long, c long, at int, side int")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(slimmed(run), "g long, c long, at int, side int")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, rarity, min_words: int) -> DataFrame:
@@ -317,7 +317,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rarity, min_words: int) -> Da
                 sets = pa.ListArray.from_arrays(pa.array(x.start.astype(np.int32)), pa.array(x.hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc[at]]), pa.array(t[a + doc[at]]), pa.array(line_no[at].astype(np.int32)), sets], ["doc_id", "t", "line_no", "words"])
 
-    return docs.mapInArrow(run, "doc_id long, t long, line_no int, words array<long>")
+    return docs.mapInArrow(slimmed(run), "doc_id long, t long, line_no int, words array<long>")
 
 
 class Sets:
@@ -437,7 +437,7 @@ def matches(rows: DataFrame) -> DataFrame:
         words = whole["words"].combine_chunks()
         return Sets({c: np.asarray(whole[c]).astype(np.int32 if c in ("at", "side", "line_no") else np.int64) for c in names}, np.asarray(words.flatten()), np.asarray(pc.list_value_length(words)).astype(np.int64)).solve()
 
-    return rows.select(*names, "words").repartition("g").sortWithinPartitions("g").mapInArrow(run, "c long, near long, doc_id long, t long, line_no int, other long")
+    return rows.select(*names, "words").repartition("g").sortWithinPartitions("g").mapInArrow(slimmed(run), "c long, near long, doc_id long, t long, line_no int, other long")
 
 
 def repeated(lines: DataFrame) -> DataFrame:
@@ -458,7 +458,7 @@ def repeated(lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(again)], [*b.schema.names, "again"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.mapInArrow(mark, f"{kinds}, again boolean")
+    return lines.mapInArrow(slimmed(mark), f"{kinds}, again boolean")
 
 
 class Joined(NamedTuple):

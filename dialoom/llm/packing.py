@@ -22,6 +22,7 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import slices, table
+from dialoom.llm.common import slices, slimmed, table
 
 SIZE, END, STRIDE, SENTENCE, FORCED, BLOCK = 2048, 1, 16, 2, 6, 1 << 19
 #: Ids of the byte-level vocabulary after which a sentence or line ends: ! . ? and the line feed.
@@ -38,6 +39,22 @@ STOPS = (0, 13, 30, LINE_FEED)
 CACHED = 300_000
 
 
+@lru_cache(maxsize=1)
+def _coders(path: str, ranks: str | None):
+    """The tokenizer file and the faster coder, loaded once for all tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    if not ranks:
+        return Tokenizer.from_file(path), None
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(ranks, "rb") as lines:
+        of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return Tokenizer.from_file(path), tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=of, special_tokens={})
+
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer file. In texts whose words are parted by single blanks and line feeds,
     the pieces between blanks can be encoded on their own, as the pre-tokenizer cuts there; they are remembered
@@ -45,17 +62,8 @@ class Encoder:
     where that is given. All other texts go through the tokenizer file whole."""
 
     def __init__(self, path: str, ranks: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.young, self.old, self.fast = Tokenizer.from_file(path), {}, {}, None
-        if ranks:
-            import tiktoken
-            from public_tokenizers import PATTERN
-
-            with open(ranks, "rb") as lines:
-                of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=of, special_tokens={})
+        self.tokenizer, self.fast = _coders(path, ranks)
+        self.young, self.old = {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -190,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, doc_id: str
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(slimmed(run), schema)
 
 
 def tokenizer_files() -> tuple[str, str]:

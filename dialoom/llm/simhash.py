@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import fresh, slices, stored, table, text_of
+from dialoom.llm.common import fresh, slices, slimmed, stored, table, text_of
 from dialoom.llm.components import components
 
 WORDS, DISTANCE, LARGE = 4, 4, 8192
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
                 out = np.fromiter((fingerprint_of(np.asarray(shingle_hashes(t, words), np.uint64)) for t in p.column(1).to_pylist()), np.uint64, p.num_rows)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(slimmed(run), "doc_id long, fp long")
 
 
 def moments(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -79,7 +79,7 @@ def moments(classes: DataFrame) -> tuple[int, np.ndarray]:
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(total.ravel().astype(np.int64))], ["cell", "n"])
 
-    rows = classes.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 4096 rows
+    rows = classes.select("fp").mapInArrow(slimmed(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 4096 rows
     both = np.zeros(4096)
     for r in rows:
         both[r.cell] = r.n
@@ -159,7 +159,7 @@ def filed(classes: DataFrame, parts: list[list[int]], thresholds: list[int]) ->
                         if len(key):
                             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[use].view(np.int64)), pa.array(np.full(len(key), not mask))], ["key", "fp", "own"])
 
-    return classes.select("fp").mapInArrow(run, "key long, fp long, own boolean")
+    return classes.select("fp").mapInArrow(slimmed(run), "key long, fp long, own boolean")
 
 
 def forest(fp: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +232,7 @@ def links(buckets: DataFrame, distance: int = DISTANCE, small: int = 48) -> Data
         if held:
             yield solve(*(np.concatenate(x) for x in zip(*held)))
 
-    return buckets.mapInArrow(run, "a long, b long")
+    return buckets.mapInArrow(slimmed(run), "a long, b long")
 
 
 def bucketed(rows: DataFrame, large: int = LARGE) -> DataFrame:

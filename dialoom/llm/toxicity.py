@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Words, fold, hash_counts, in_place, load_arrays, save_arrays, scratch, slices, spans, stored, table, text_of
+from dialoom.llm.common import Words, fold, hash_counts, in_place, load_arrays, save_arrays, scratch, slices, slimmed, spans, stored, table, text_of
 
 SAMPLE, K, THRESHOLD, BLOCK, DENSE = 12_000, 16, 0.7, 128, 384
 OPENINGS = (6,)
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
                     n = np.bincount(key & 0xFFFFFFFF, minlength=len(coded.dictionary))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size, np.int32)), coded.dictionary.cast(pa.string()), pa.array(a), pa.array(n - a)], ["size", "term", "a", "b"])
 
-    counts = texts.mapInArrow(count, "size int, term string, a long, b long").where("term <> ''").groupBy("size", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = texts.mapInArrow(slimmed(count), "size int, term string, a long, b long").where("term <> ''").groupBy("size", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     terms = counts.sort("size", "term").toArrow()  # all terms of the sample
     sizes = np.asarray(terms["size"])
     vocabulary = {s: terms["term"].combine_chunks().cast(pa.large_string()).filter(pa.array(sizes == s)) for s in (0, *OPENINGS)}
@@ -299,8 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
         for a, b in zip(ids, toxic):
             yield pa.RecordBatch.from_arrays([a, b, pa.array([own] * len(a))], ["doc_id", "toxic", "folder"])
 
-    examples = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").repartition(1).sortWithinPartitions("doc_id")  # at most `sample`
-    examples = examples.mapInArrow(build, "doc_id long, toxic int, folder string").toArrow()
+    examples = texts.mapInArrow(slimmed(vectors), "doc_id long, toxic int, terms array<int>, counts array<int>").repartition(1).sortWithinPartitions("doc_id")  # at most `sample`
+    examples = examples.mapInArrow(slimmed(build), "doc_id long, toxic int, folder string").toArrow()
     model = Model(vocabulary, weight, np.asarray(examples["doc_id"]), np.asarray(examples["toxic"]).astype(np.int64), k, examples["folder"][0].as_py())
     shared = spark.sparkContext.broadcast(model)
 
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K, re
                 own = np.searchsorted(shared.value.ids, np.asarray(p.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([v for v, _, _ in shared.value.votes(p.column(1), own)]))], ["e", "raw"])
 
-    raw = texts.select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(left_out, "e long, raw double").toArrow()  # at most `sample`
+    raw = texts.select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(slimmed(left_out), "e long, raw double").toArrow()  # at most `sample`
     return shared, monotone(np.asarray(raw["raw"]), model.toxic[np.asarray(raw["e"])])
 
 
@@ -326,7 +326,7 @@ def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
                 got, why = shared.value.score(p.column(1), calibration)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(got), pa.array(why, kind)], ["doc_id", "score", "evidence"])
 
-    return docs.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return docs.mapInArrow(slimmed(run), "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
