@@ -47,11 +47,11 @@ def token_ids(turns: DataFrame, vocab: DataFrame, toks: str = "toks", bounded: b
     return ids.select(*keys, with_end(F.col("l.idx")).alias("ids"))
 
 
-def token_ids_by_file(turns: DataFrame, vocab: DataFrame, store: str, toks: str = "toks", each: int = 64) -> DataFrame:
+def token_ids_by_file(turns: DataFrame, vocab: DataFrame, store: str, toks: str = "toks", each: int = 64, at_once: int = 200_000) -> DataFrame:
     """As `token_ids`, for a vocabulary of any size and a table of files. The distinct words of each file meet the vocabulary,
     so a frequent word crosses once a file; what they find is stored under `store` as a dictionary a file, `each` files
     to a folder. Then each task looks its rows up in place, with the dictionary of the file that it reads: no token is
-    shuffled, and no more than one file's dictionary is held."""
+    shuffled, and no more than one file's dictionary is held, and about `at_once` tokens are looked up at a time."""
     from_file = turns.select(*CONV, "turn", F.col(toks).alias("toks"), F.col("_metadata.file_path").alias("file"))
     folders = max(1, len(turns.inputFiles()) // each)
     folder = lambda: F.pmod(F.xxhash64("file"), F.lit(folders)).cast("int")
@@ -62,25 +62,39 @@ def token_ids_by_file(turns: DataFrame, vocab: DataFrame, store: str, toks: str
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, idx = None, None, None
         system, root = opened(store)
+        pool = pa.default_memory_pool()
         for b in batches:
             files = b.column("file").dictionary_encode()
             for code, file in enumerate(files.dictionary.to_pylist()):
-                part = b.filter(pc.equal(files.indices, code))
+                part = b.filter(pc.equal(files.indices, code)) if len(files.dictionary) > 1 else b
                 if file != held:
                     path = f"{root}/folder={part.column('folder')[0].as_py()}"
                     there = system.get_file_info(path).type.name == "Directory"  # none of its words is in the vocabulary
                     known = pq.read_table(path, filesystem=system, filters=[("file", "=", file)], columns=["word", "idx"], partitioning=None) if there else pa.table({"word": pa.array([], pa.string()), "idx": pa.array([], pa.int32())})
-                    held, words, idx = file, known["word"].combine_chunks(), np.asarray(known["idx"].combine_chunks(), np.int32)
-                lists = part.column("toks")
-                n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-                at = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1), np.int64)
-                own = np.where(at >= 0, np.append(idx, UNK)[at], UNK).astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(n + 1)])
-                ids = np.full(ends[-1], EOS, np.int32)
-                mask = np.ones(ends[-1], bool)
-                mask[ends[1:] - 1] = False
-                ids[mask] = own
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*CONV, "turn")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*CONV, "turn", "ids"])
+                    held, words, idx = file, known["word"].combine_chunks(), np.append(np.asarray(known["idx"].combine_chunks(), np.int32), np.int32(UNK))
+                for a, z in cuts(part.column("toks")):
+                    yield own_ids(part.slice(a, z - a), words, idx)
+                part = None
+            b = files = None
+            pool.release_unused()
+
+    def cuts(lists: pa.Array) -> Iterator[tuple[int, int]]:
+        """Runs of rows with about `at_once` tokens, one row at least."""
+        n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+        group = (np.cumsum(n) - n) // at_once
+        edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(n)]
+        return zip(edge, edge[1:])
+
+    def own_ids(part: pa.RecordBatch, words: pa.Array, idx: np.ndarray) -> pa.RecordBatch:
+        lists = part.column("toks")
+        n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+        at = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1))
+        ends = np.concatenate([[0], np.cumsum(n + 1)])
+        ids = np.full(ends[-1], EOS, np.int32)
+        mask = np.ones(ends[-1], bool)
+        mask[ends[1:] - 1] = False
+        ids[mask] = idx[at]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in (*CONV, "turn")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*CONV, "turn", "ids"])
 
     kinds = ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in (*CONV, "turn"))
     return from_file.withColumn("folder", folder()).mapInArrow(look_up, f"{kinds}, ids array<int>")

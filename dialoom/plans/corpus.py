@@ -270,8 +270,10 @@ def j1_token_lookup_dictionary(spark, sf_dir):
 
 @query(sql("ids", f"SELECT split, conv_id, turn, {show('ids')} AS ids FROM ids"))
 def j1_token_lookup_by_file(spark, sf_dir):
-    """The same with a dictionary for each file of stored tokens, as vocabularies go that are too large to broadcast."""
-    toks = base.stored(base.tokenised(spark, sf_dir).repartition(4, "conv_id"), "tokens")
+    """The same with a dictionary for each file of stored tokens, as vocabularies go that are too large to broadcast. The
+    number of files grows with the input: four, or one for each partition that is read."""
+    files = max(4, base.turns(spark, sf_dir).rdd.getNumPartitions())
+    toks = base.stored(base.tokenised(spark, sf_dir).repartition(files, "conv_id"), "tokens")
     ids = encode.token_ids(toks, base.vocabulary(spark, sf_dir), store=scratch(spark, "dictionaries"), most=1)
     return ids.select("split", "conv_id", F.col("turn").cast("long"), rendered(F.col("ids")).alias("ids"))
 

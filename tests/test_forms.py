@@ -84,6 +84,17 @@ def test_lookup_by_file(spark, tmp_path):
     assert encode.token_ids(turns, words, store="unused").count() == len(rows)  # a small vocabulary is broadcast
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 10_000])
+def test_lookup_by_file_in_pieces(spark, tmp_path, at_once):
+    rows = [("train", i, 0, None if i % 5 == 0 else [f"w{(i * j) % 9}" for j in range(i % 23)]) for i in range(60)]
+    schema = "split string, conv_id long, turn int, toks array<string>"
+    spark.createDataFrame(rows, schema).repartition(3, "conv_id").write.parquet(f"file://{tmp_path}/turns")
+    turns = spark.read.schema(schema).parquet(f"file://{tmp_path}/turns")
+    words = spark.createDataFrame([(f"w{k}", k + 4) for k in range(1, 9)], "word string, idx int")
+    found = encode.token_ids_by_file(turns, words, f"file://{tmp_path}/dictionaries", at_once=at_once)
+    assert {r.conv_id: r.ids for r in found.collect()} == {i: [*(3 if w == "w0" else int(w[1:]) + 4 for w in toks or []), 2] for _, i, _, toks in rows}
+
+
 # ---- samples
 @pytest.mark.parametrize("width", [1, 16, 1 << 52])
 def test_quotas_are_exact(spark, width):
