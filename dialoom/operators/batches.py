@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from dialoom.functions.arrays import context, has_target, padded, unpadded
+from dialoom.functions.arrays import context, has_target, padded, rendered, unpadded
 
 
 def collate_reference(dialogues: DataFrame) -> DataFrame:
@@ -91,6 +95,25 @@ def forced(steps: DataFrame) -> DataFrame:
     return out.select("conv_id", "step", "context", "j", prefix_at(F.col("target"), F.col("j")).alias("prefix"), F.get("target", F.col("j")).alias("gold"))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def sums_before(lists: pa.Array) -> pa.Array:
+    """For each number of a list the sum of those before it."""
+    n, flat = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64), np.asarray(lists.flatten(), np.int64)
+    ends, sums = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(flat)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((sums[:-1] - np.repeat(sums[ends[:-1]], n)).astype(np.int32)))
+
+
+def forced_rendered(steps: DataFrame) -> DataFrame:
+    """`forced` with context and prefix rendered: ids joined by blanks. Each context and target is rendered once, before the
+    rows are made; a prefix is then the first bytes of the rendered target, copied without a look at what they are."""
+    whole = pairs(steps).select("conv_id", "step", rendered(context(F.col("x_t"), F.col("x_ref"))).alias("context"), unpadded(F.col("target")).alias("target"))
+    sizes = F.transform("target", lambda x: F.octet_length(x.cast("string")) + 1)
+    whole = whole.select("conv_id", "step", "context", rendered(F.col("target")).cast("binary").alias("whole"), F.arrays_zip("target", sums_before(sizes).alias("before")).alias("at"))
+    rows = whole.select("conv_id", "step", "context", "whole", F.posexplode("at").alias("j", "at"))
+    prefix = F.when(F.col("j") > 0, F.substring("whole", 1, F.col("at.before") - 1).cast("string"))
+    return rows.select("conv_id", "step", "context", "j", prefix.alias("prefix"), F.col("at.target").alias("gold"))
+
+
 def short_targets(steps: DataFrame, least: int = 2, keep_share: float = 0.0, keep: int | None = None, by: tuple[str, ...] = (), key: Column | None = None, order: Column | None = None, width: int = 1 << 52) -> DataFrame:
     """Steps with `least` target tokens or more, and of the shorter ones exactly `keep` a class (`by`), or the share
     `keep_share` of each class, rounded down, by `quota` (key, order, width)."""

@@ -332,8 +332,8 @@ def x6_p12_f12_forced_rows(spark, sf_dir):
     """Some dialogues lack the previous utterance, which leaves the reference, and some have padding in its place."""
     c = F.col("conv_id") % 5
     s = base.steps(spark, sf_dir).withColumn("x_t", F.when(c == 0, None).when(c == 1, F.array(F.lit(0), F.lit(0))).otherwise(F.col("x_t")))
-    out = batches.forced(s)
-    return out.select("conv_id", F.col("step").cast("long"), rendered(F.col("context")).alias("context"), F.col("j").cast("long"), rendered(F.col("prefix")).alias("prefix"), F.col("gold").cast("long"))
+    out = batches.forced_rendered(s)
+    return out.select("conv_id", F.col("step").cast("long"), "context", F.col("j").cast("long"), "prefix", F.col("gold").cast("long"))
 
 
 @query(sql("steps", "SELECT conv_id, CAST(step AS BIGINT) AS step FROM steps WHERE len(target) >= 6"))

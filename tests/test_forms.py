@@ -126,6 +126,17 @@ def test_shuffled_chunks(spark):
 
 
 # ---- steps
+def test_rendered_forced_rows(spark):
+    schema = "conv_id long, step int, x_ref array<int>, x_t array<int>, target array<int>"
+    s = spark.createDataFrame([(1, 0, [4, 2], [5, 2], [16, 0, 7, 30000, 2]), (1, 1, [4, 2], None, [2]), (2, 0, [0], [0, 0], [9, 2]), (3, 0, [4], [5], [0, 0]), (3, 1, [4], [5], None)], schema)
+    out = batches.forced_rendered(s)
+    want = {(r.conv_id, r.step, r.j): (" ".join(map(str, r.context)), r.prefix and " ".join(map(str, r.prefix)), r.gold) for r in batches.forced(s).collect()}
+    assert {(r.conv_id, r.step, r.j): (r.context, r.prefix, r.gold) for r in out.collect()} == want and out.count() == 7
+    assert want[1, 0, 3] == ("5 2", "16 7 30000", 2) and want[2, 0, 0] == ("1 2", None, 9)
+    plan = plan_of(out)
+    assert "transform(" not in plan[: plan.index("Generate")]  # nothing is rendered a row
+
+
 def test_forced_places_hold_each_target_once(spark):
     s = spark.createDataFrame([(1, 0, [4], [5], [6, 7, 0, 2]), (2, 0, [4], None, [0])], "conv_id long, step int, x_ref array<int>, x_t array<int>, target array<int>")
     (row,) = batches.forced_places(s).collect()
