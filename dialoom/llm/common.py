@@ -37,10 +37,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends at files that outlive executors."""
+def stored(df: DataFrame, what: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends at files that outlive executors. by: a column
+    whose values go to folders of their own, so that readers of one value leave the others out; it becomes the last."""
     path = scratch(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -29,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,14 +69,16 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 class Lines:
-    """Lines of `min_words` words or more as sets of words in order of rarity; line i is number at[i] of those given."""
+    """Lines of `min_words` words or more as sets of words in order of rarity (in any where there is no table yet); line i is
+    number at[i] of those given. distinct, times: the words of all lines and how often each occurs."""
 
-    def __init__(self, lines: pa.Array, min_words: int, rarity: Cells):
+    def __init__(self, lines: pa.Array, min_words: int, rarity: Cells | None = None):
         w = Words(lines)
         self.at = np.flatnonzero(w.lengths >= max(1, min_words))
-        hashes = word_hashes(w.words)
-        code = rarity(hashes)
-        order = np.lexsort((hashes, code))  # of the slice's distinct words
+        self.distinct = hashes = word_hashes(w.words)
+        self.times = np.bincount(w.ids, minlength=len(hashes))
+        code = np.zeros(len(hashes), np.uint8) if rarity is None else rarity(hashes)
+        order = np.arange(len(hashes)) if rarity is None else np.lexsort((hashes, code))  # of the slice's distinct words
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         mask = np.repeat(w.lengths >= max(1, min_words), w.lengths)
@@ -101,18 +104,38 @@ class Lines:
         return [self._reduced(np.bitwise_xor, np.where(x, bit, np.uint64(0))).view(np.int64) for x in (low, ~low)]
 
 
-def _word_values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for p in slices(b, "text"):
-        w = Words(p.column(b.schema.get_field_index("text")))
-        yield word_hashes(w.words), np.bincount(w.ids, minlength=len(w.words))
+#: What a counted hash is of: its two low bits.
+WORD, KEY, TEXT = 0, 1, 2
 
 
-def prefixes(docs: DataFrame, rarity, min_words: int) -> DataFrame:
-    """(k, k2, doc_id, t, line_no, head, n, skip, prefix, s1, s2): each line's class, size, prefix words (top 32 bits of
-    their hash) from position `skip` on. Within a task only the first line of a class has a prefix; head: the first
-    line of a row."""
+def _counted(min_words: int):
+    """Hashes of words, of classes (`twice`) and of texts with their ids, to be counted in one pass over (doc_id, t, text)."""
 
-    def build(p: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    def kind(h: np.ndarray, of: int) -> np.ndarray:
+        return h & ~np.uint64(3) | np.uint64(of)
+
+    def values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, t = np.asarray(b.column(0)), np.asarray(b.column(1))
+        yield kind(positions(ids, t, np.zeros(len(ids), np.int64)), TEXT), np.ones(len(ids), np.int64)
+        for p in slices(b, "text", 2 << 20):
+            x = Lines(split(p.column(2))[0], min_words)
+            k = kind(twice(_class_hash(x.keys()[0])), KEY)
+            yield np.concatenate([kind(x.distinct, WORD), k]), np.concatenate([x.times, np.ones(len(k), np.int64)])
+
+    return values
+
+
+def _class_hash(k: np.ndarray) -> np.ndarray:
+    return mix(k.view(np.uint64))
+
+
+def prefixes(docs: DataFrame, rarity, keys, min_words: int) -> DataFrame:
+    """(c, k, k2, again, doc_id, t, line_no, head, n, skip, prefix, s1, s2): each line's number, class, size, prefix words (top
+    32 bits of their hash) from position `skip` on. again: whether another line may have the same key (by a table of
+    counts, so never too seldom); the others are classes of their own, which need no shuffle. Within a task only the
+    first line of a class has a prefix; head: the first line of a row."""
+
+    def build(p: pa.RecordBatch, seen: set, number: int) -> pa.RecordBatch:
         lines, doc, line_no = split(p.column(2))
         x = Lines(lines, min_words, rarity.value)
         doc, line_no, (k, k2) = doc[x.at], line_no[x.at], x.keys()
@@ -121,22 +144,28 @@ def prefixes(docs: DataFrame, rarity, min_words: int) -> DataFrame:
         upto = np.where(x.n - once < least, once, np.maximum(once, x.n - least + 1))
         if len(seen) > 500_000:
             seen.clear()
-        old = np.fromiter((y in seen or seen.add(y) is not None for y in zip(k.tolist(), k2.tolist())), bool, len(k))
+        again = filed_in(keys.value, _class_hash(k))
+        old = np.zeros(len(k), bool)
+        old[again] = np.fromiter((y in seen or seen.add(y) is not None for y in zip(k[again].tolist(), k2[again].tolist())), bool, int(again.sum()))
         upto = np.where(old | (x.n < 4), once, upto)  # sets of under four words match equal sets only
         place = np.arange(len(x.hashes)) - x.start[x.rows]
         own = (place >= once[x.rows]) & (place < upto[x.rows])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(upto - once)]).astype(np.int32)), pa.array((x.hashes[own] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
         head = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
         take = pa.array(doc)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(k2), p.column(0).take(take), p.column(1).take(take), pa.array(line_no.astype(np.int32)), pa.array(head), pa.array(x.n.astype(np.int32)), pa.array(once.astype(np.int32)), lists, *map(pa.array, x.sketches())], ["k", "k2", "doc_id", "t", "line_no", "head", "n", "skip", "prefix", "s1", "s2"])
+        columns = {"c": pa.array(number + np.arange(len(k))), "k": pa.array(k), "k2": pa.array(k2), "again": pa.array(again), "doc_id": p.column(0).take(take), "t": p.column(1).take(take), "line_no": pa.array(line_no.astype(np.int32)), "head": pa.array(head), "n": pa.array(x.n.astype(np.int32)), "skip": pa.array(once.astype(np.int32)), "prefix": lists}
+        return pa.RecordBatch.from_arrays([*columns.values(), *map(pa.array, x.sketches())], [*columns, "s1", "s2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        number = TaskContext.get().partitionId() << 33
         for b in batches:
             for p in slices(b, "text", 2 << 20):
-                yield build(p, seen)
+                out = build(p, seen, number)
+                number += out.num_rows
+                yield out
 
-    return docs.mapInArrow(slimmed(run), "k long, k2 long, doc_id long, t long, line_no int, head boolean, n int, skip int, prefix array<int>, s1 long, s2 long")
+    return docs.mapInArrow(slimmed(run), "c long, k long, k2 long, again boolean, doc_id long, t long, line_no int, head boolean, n int, skip int, prefix array<int>, s1 long, s2 long")
 
 
 def _hashed(w: np.ndarray) -> np.ndarray:
@@ -440,27 +469,6 @@ def matches(rows: DataFrame) -> DataFrame:
     return rows.select(*names, "words").repartition("g").sortWithinPartitions("g").mapInArrow(slimmed(run), "c long, near long, doc_id long, t long, line_no int, other long")
 
 
-def repeated(lines: DataFrame) -> DataFrame:
-    """lines with a column `again`: whether another line may have the same key (by a table of counts, so never too
-    seldom). The others are classes of their own, which need no shuffle."""
-
-    def values(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        h = twice(mix(np.asarray(b.column(0)).view(np.uint64)))
-        yield h, np.ones(len(h), np.int64)
-
-    spark = lines.sparkSession
-    counts = stored(hash_counts(lines.select("k"), values, buckets_for(spark, lines.count(), 500_000), 2), "keys")
-    shared = spark.sparkContext.broadcast(Cells(counts))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            again = filed_in(shared.value, mix(np.asarray(b.column(b.schema.get_field_index("k"))).view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(again)], [*b.schema.names, "again"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.mapInArrow(slimmed(mark), f"{kinds}, again boolean")
-
-
 class Joined(NamedTuple):
     """members: (doc_id, t, line_no, c, o, copies, near, to): the lines of classes with a copy or a match; o: the class's
     first line; to: the first line of its earliest match. links: (c, other) span the matching classes."""
@@ -472,21 +480,22 @@ class Joined(NamedTuple):
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, large: int = LARGE, before: int = BEFORE) -> Joined:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
-    words = stored(hash_counts(docs.select("text"), _word_values, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()), 2), "words")
-    rarity = spark.sparkContext.broadcast(Cells(words))
-    lines = stored(prefixes(docs, rarity, min_words), "lines")
-    again = stored(lines.where("head").groupBy("doc_id", "t").count().where("count > 1"), "again")
-    repeats = not again.isEmpty()
-    if repeats:  # rows that repeat an id and its text
+    counts = stored(hash_counts(docs, _counted(min_words), max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()), 2), "counts")
+    of = F.col("h").bitwiseAND(F.lit(3).cast("long"))
+    rarity, keys = (spark.sparkContext.broadcast(Cells(counts.where(of == kind))) for kind in (WORD, KEY))
+    lines = stored(prefixes(docs, rarity, keys, min_words), "lines", by="again")
+    if not counts.where(of == TEXT).isEmpty():  # rows that repeat an id and its text
+        several = stored(lines.where("head").groupBy("doc_id", "t").count().where("count > 1"), "several")
         names, place = [c for c in lines.columns if c not in ("doc_id", "t", "line_no")], ["doc_id", "t"]
-        once = lines.join(again.select(*place), place, "left_semi").groupBy(*place, "line_no").agg(F.max_by(F.struct(*names), F.size("prefix")).alias("x")).select(*place, "line_no", "x.*")
-        lines = stored(lines.join(again.select(*place), place, "left_anti").unionByName(once), "lines")
-    own, place = F.when(F.size("prefix") > 0, F.struct("n", "skip", "prefix", "s1", "s2")).alias("p"), F.struct("doc_id", "t", "line_no").alias("o")
-    parts = stored(repeated(lines), "parts")
-    equal = parts.where("again").groupBy("k", "k2").agg(F.min(place).alias("o"), F.count("*").alias("copies"), F.first(own, ignorenulls=True).alias("p"))
-    classes = parts.where("not again").select("k", "k2", place, F.lit(1).cast("long").alias("copies"), own).unionByName(equal)
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "k", "k2", "o", "copies", "p"), "classes")
-    asked = classes.where("p is not null").select("c", "p.*")
+        once = lines.join(several.select(*place), place, "left_semi").groupBy(*place, "line_no").agg(F.max_by(F.struct(*names), F.size("prefix")).alias("x")).select(*place, "line_no", "x.*")
+        lines = stored(lines.join(several.select(*place), place, "left_anti").unionByName(once), "lines", by="again")
+    own, place = ["n", "skip", "prefix", "s1", "s2"], F.struct("doc_id", "t", "line_no").alias("o")
+    asks = F.size("prefix") > 0
+    equal = lines.where("again").groupBy("k", "k2").agg(F.min("c").alias("c"), F.min(place).alias("o"), F.count("*").alias("copies"), F.first(F.when(asks, F.struct(*own)), ignorenulls=True).alias("p"))
+    equal = stored(equal, "equal")
+    alone = lines.where("not again")
+    classes = alone.select("c", "k", "k2", place, F.lit(1).cast("long").alias("copies")).unionByName(equal.drop("p"))
+    asked = alone.where(asks).select("c", *own).unionByName(equal.where("p is not null").select("c", "p.*"))
     total = asked.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     rows = filed(asked, hot_words(asked, rarity, large), large, buckets_for(spark, total, 250_000), before)
     near = stored(candidates(rows), "candidates")
@@ -494,11 +503,11 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     asked = near.join(wanted, "c")
     found = stored(matches(whole_sets(docs, wanted, rarity, min_words).join(asked, ["doc_id", "t", "line_no"])), "matches")
     best = found.where("near is not null").groupBy("c").agg(F.sum("near").alias("near"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t", "line_no"))).alias("to"))
-    marked = stored(classes.select("c", "k", "k2", "o", "copies").join(best, "c", "left").where("copies > 1 or near is not null"), "marked")
-    several = parts.where("again").select("k", "k2", "doc_id", "t", "line_no").join(marked.where("copies > 1"), ["k", "k2"])
+    marked = stored(classes.join(best, "c", "left").where("copies > 1 or near is not null"), "marked")
+    several = lines.where("again").select("k", "k2", "doc_id", "t", "line_no").join(marked.where("copies > 1"), ["k", "k2"])
     names = ["doc_id", "t", "line_no", "c", "o", "copies", "near", "to"]
-    alone = marked.where("copies = 1").select("o.*", *names[3:])
-    return Joined(stored(several.select(*names).unionByName(alone.select(*names)), "members"), found.where("other is not null").select("c", "other"))
+    single = marked.where("copies = 1").select("o.*", *names[3:])
+    return Joined(stored(several.select(*names).unionByName(single.select(*names)), "members"), found.where("other is not null").select("c", "other"))
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

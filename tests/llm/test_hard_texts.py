@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from dialoom.llm import decontaminate, extract, licenses
+from dialoom.llm import decontaminate, extract, licenses, linedup
 
 
 def test_thousands_of_notices_in_one_text():
@@ -86,3 +86,22 @@ def test_only_the_named_regions_go():
 
 def test_references_are_decoded_piece_by_piece():
     assert lines_of("<p>AT&<b>amp;</b>T &eacute;&#32;&nbsp; x &am<!-- -->p;</p>") == ["AT&amp;T é x &amp;"]
+
+
+def test_lines_are_written_once(spark, monkeypatch):
+    """Every line goes to the shared folder once, and of classes only those of lines that may recur."""
+    rows, plain = {}, linedup.stored
+
+    def stored(df, what, **how):
+        out = plain(df, what, **how)
+        rows[what] = rows.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(linedup, "stored", stored)
+    texts = [(i, "\n".join([f"only w{i} x{i} y{i} z{i}", f"another{i} line of its own {i * 7}", "one line that all have", f"pair {i // 2} p q r"])) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    gone = {(r.doc_id, r.line_no): (r.to_doc_id, r.to_line_no) for r in linedup.removals(docs).collect()}
+    assert gone == {(i, 2): (0, 2) for i in range(1, 40)} | {(i, 3): (i - 1, 3) for i in range(1, 40, 2)}
+    assert sum(n for what, n in rows.items() if what in ("lines", "parts")) == 160 and rows.get("classes", 0) == 0 and rows["equal"] < 60
+    twice = docs.unionByName(docs.where("doc_id < 5"))  # rows that repeat an id and its text count once
+    assert {(r.doc_id, r.line_no): (r.to_doc_id, r.to_line_no) for r in linedup.removals(twice).collect()} == gone
