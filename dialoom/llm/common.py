@@ -189,6 +189,51 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return out
 
 
+#: Bytes of a word are the digits of a number to this (odd) base, modulo 2**64: powers of it and of its inverse for a block of bytes.
+BASE, BLOCK, LONG = 0x9E3779B97F4A7C55, 1 << 16, 64
+POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK + LONG, BASE, np.uint64)]), dtype=np.uint64)
+INVERSE = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK + LONG, pow(BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+ENDS = mix(np.arange(LONG + 1, dtype=np.uint64) + np.uint64(1))
+
+
+class HashedWords:
+    """As `Words` (lower-cased), where the words themselves aren't needed: ids index into 64-bit `hashes` of the distinct words,
+    lengths are the texts' numbers of words. Words of over LONG bytes are hashed by `word_hashes`."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        border = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[border[0] : border[-1]]
+        border = border - border[0]
+        data = data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+        solid = (data != 32) & ((data - np.uint8(9)) >= 5)
+        begins, ends = solid.copy(), solid.copy()
+        begins[1:] &= ~solid[:-1]
+        ends[:-1] &= ~solid[1:]
+        inner = border[(border > 0) & (border < len(data))]
+        begins[inner], ends[inner - 1] = solid[inner], solid[inner - 1]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.lengths = np.diff(np.searchsorted(first, border))
+        coded = pc.dictionary_encode(pa.array(self._numbers(data, first, last)))
+        self.ids, self.hashes = np.asarray(coded.indices, dtype=np.int64), mix(np.asarray(coded.dictionary))
+
+    @staticmethod
+    def _numbers(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        n, out = last - first, np.empty(len(first), np.uint64)
+        cuts = np.searchsorted(first, np.arange(0, len(data) + BLOCK, BLOCK)).tolist()
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            a = k * BLOCK
+            part = data[a : a + BLOCK + LONG]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * POWERS[: len(part)], out=sums[1:])
+            at = first[i:j] - a
+            out[i:j] = (sums[np.minimum(last[i:j] - a, len(part))] - sums[at]) * INVERSE[at] + ENDS[np.minimum(n[i:j], LONG)]
+        long = np.flatnonzero(n > LONG)
+        if len(long):
+            out[long] = word_hashes(pa.array([data[a:z].tobytes() for a, z in zip(first[long].tolist(), last[long].tolist())], pa.large_binary()))
+        return out
+
+
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k neighbours in a flat hash array (runs over text ends are the caller's to drop)."""
     if len(hashes) < k:
@@ -221,7 +266,8 @@ def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 def dealt(rows: dict[str, np.ndarray], ragged: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> pa.RecordBatch:
     """Columns of many rows as one row for each value of `bucket`, with array columns: moving these costs Spark far
     less than the rows would. ragged: name to (row, element), in order of rows; goes with a column of its lengths."""
-    order = np.argsort(rows["bucket"], kind="stable")
+    few = len(rows["bucket"]) and rows["bucket"].max() < 1 << 16
+    order = np.argsort(rows["bucket"].astype(np.uint16) if few else rows["bucket"], kind="stable")  # 16 bits are sorted by radix
     bucket = rows["bucket"][order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     cut = np.append(first, len(bucket)).astype(np.int32)
@@ -231,10 +277,9 @@ def dealt(rows: dict[str, np.ndarray], ragged: dict[str, tuple[np.ndarray, np.nd
             names.append(name)
             columns.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(x[order])))
     for name, (row, x) in (ragged or {}).items():
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        by = np.argsort(place[row], kind="stable")
-        n = np.bincount(row, minlength=len(order))[order]
+        n = np.bincount(row, minlength=len(order))
+        by = spans((np.cumsum(n) - n)[order], n[order])
+        n = n[order]
         ends = np.concatenate([[0], np.cumsum(n)])
         names += [name, f"n_{name}"]
         columns += [pa.ListArray.from_arrays(pa.array(ends[cut].astype(np.int32)), pa.array(x[by])), pa.ListArray.from_arrays(pa.array(cut), pa.array(n.astype(np.int32)))]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import Cells, Words, buckets_for, by_bucket, dealt, flat, fresh, hash_counts, mix, slices, slimmed, spans, stored, table, text_of, word_hashes
+from dialoom.llm.common import Cells, HashedWords, buckets_for, by_bucket, dealt, flat, fresh, hash_counts, mix, slices, slimmed, spans, stored, table, text_of
 from dialoom.llm.components import components, spanning
 
 MIN_WORDS, LARGE = 1, 8192
@@ -73,22 +73,24 @@ class Lines:
     number at[i] of those given. distinct, times: the words of all lines and how often each occurs."""
 
     def __init__(self, lines: pa.Array, min_words: int, rarity: Cells | None = None):
-        w = Words(lines)
+        w = HashedWords(lines)
         self.at = np.flatnonzero(w.lengths >= max(1, min_words))
-        self.distinct = hashes = word_hashes(w.words)
+        self.distinct = hashes = w.hashes
         self.times = np.bincount(w.ids, minlength=len(hashes))
-        code = np.zeros(len(hashes), np.uint8) if rarity is None else rarity(hashes)
-        order = np.arange(len(hashes)) if rarity is None else np.lexsort((hashes, code))  # of the slice's distinct words
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        mask = np.repeat(w.lengths >= max(1, min_words), w.lengths)
-        both = np.sort(np.repeat(np.arange(len(self.at)), w.lengths[self.at]) << 32 | rank[w.ids[mask]])
+        if rarity is not None:  # the slice's distinct words in order
+            code = rarity(hashes)
+            order = np.lexsort((hashes, code))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            hashes, self.codes = hashes[order], code[order]
+        ids = w.ids if len(self.at) == len(w.lengths) else w.ids[np.repeat(w.lengths >= max(1, min_words), w.lengths)]
+        both = np.repeat(np.arange(len(self.at)) << 32, w.lengths[self.at]) | (ids if rarity is None else rank[ids])
+        both.sort()
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-        self.rows, at = both >> 32, order[both & 0xFFFFFFFF]
-        self.hashes, self.codes = hashes[at], code[at]
+        self.rows, self.ids = both >> 32, both & 0xFFFFFFFF
+        self.words, self.mix = hashes, mix(hashes)
         self.n = np.bincount(self.rows, minlength=len(self.at))
         self.start = np.concatenate([[0], np.cumsum(self.n)])
-        self.mixed = mix(hashes)[at]
 
     def _reduced(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
         return how.reduceat(values, self.start[:-1]) if len(self.at) else np.zeros(0, np.uint64)
@@ -96,12 +98,12 @@ class Lines:
     def keys(self) -> list[np.ndarray]:
         """128 bits that equal sets share."""
         with np.errstate(over="ignore"):
-            return [mix(self._reduced(np.add, x) * np.uint64(31) + self.n.astype(np.uint64)).view(np.int64) for x in (self.mixed, mix(self.mixed + SALT))]
+            return [mix(self._reduced(np.add, x[self.ids]) * np.uint64(31) + self.n.astype(np.uint64)).view(np.int64) for x in (self.mix, mix(self.mix + SALT))]
 
     def sketches(self) -> list[np.ndarray]:
         """Parities of the numbers of words in 128 places: two sketches differ in no more places than the sets in words."""
-        bit, low = np.uint64(1) << (self.mixed >> np.uint64(58)), self.mixed >> np.uint64(57) & np.uint64(1) == 0
-        return [self._reduced(np.bitwise_xor, np.where(x, bit, np.uint64(0))).view(np.int64) for x in (low, ~low)]
+        bit, low = np.uint64(1) << (self.mix >> np.uint64(58)), self.mix >> np.uint64(57) & np.uint64(1) == 0
+        return [self._reduced(np.bitwise_xor, np.where(x, bit, np.uint64(0))[self.ids]).view(np.int64) for x in (low, ~low)]
 
 
 #: What a counted hash is of: its two low bits.
@@ -139,7 +141,7 @@ def prefixes(docs: DataFrame, rarity, keys, min_words: int) -> DataFrame:
         lines, doc, line_no = split(p.column(2))
         x = Lines(lines, min_words, rarity.value)
         doc, line_no, (k, k2) = doc[x.at], line_no[x.at], x.keys()
-        once = np.bincount(x.rows[x.codes == 0], minlength=len(x.n))
+        once = np.bincount(x.rows[(x.codes == 0)[x.ids]], minlength=len(x.n))
         least = (4 * x.n + 4) // 5
         upto = np.where(x.n - once < least, once, np.maximum(once, x.n - least + 1))
         if len(seen) > 500_000:
@@ -148,9 +150,8 @@ def prefixes(docs: DataFrame, rarity, keys, min_words: int) -> DataFrame:
         old = np.zeros(len(k), bool)
         old[again] = np.fromiter((y in seen or seen.add(y) is not None for y in zip(k[again].tolist(), k2[again].tolist())), bool, int(again.sum()))
         upto = np.where(old | (x.n < 4), once, upto)  # sets of under four words match equal sets only
-        place = np.arange(len(x.hashes)) - x.start[x.rows]
-        own = (place >= once[x.rows]) & (place < upto[x.rows])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(upto - once)]).astype(np.int32)), pa.array((x.hashes[own] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        own = x.words[x.ids[spans(x.start[:-1] + once, upto - once)]]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(upto - once)]).astype(np.int32)), pa.array((own >> np.uint64(32)).astype(np.uint32).view(np.int32)))
         head = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
         take = pa.array(doc)
         columns = {"c": pa.array(number + np.arange(len(k))), "k": pa.array(k), "k2": pa.array(k2), "again": pa.array(again), "doc_id": p.column(0).take(take), "t": p.column(1).take(take), "line_no": pa.array(line_no.astype(np.int32)), "head": pa.array(head), "n": pa.array(x.n.astype(np.int32)), "skip": pa.array(once.astype(np.int32)), "prefix": lists}
@@ -230,13 +231,14 @@ def filed(classes: DataFrame, hot: Cells | None, large: int, buckets: int, befor
     return rows.mapInArrow(slimmed(run), "bucket int, g array<long>, c array<long>, n array<int>, at array<int>, s1 array<long>, s2 array<long>, side array<int>, before array<int>, n_before array<int>")
 
 
-def _short_pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(earlier row, later row): all pairs within each of the groups start:end, in strides."""
+def _short_pairs(start: np.ndarray, end: np.ndarray, to: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(earlier row, later row): all pairs within each of the groups start:end, in strides; to: for each row of all groups the
+    row where those that it pairs with end, if that isn't its group's end."""
     size = end - start
-    at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-    to, step = np.repeat(end, size), 1
+    at = spans(start, size)
+    to, step = np.repeat(end, size) if to is None else to[at], 1
     while len(at):
-        live = at + step < to
+        live = np.flatnonzero(at + step < to)
         at, to = at[live], to[live]
         yield at, at + step
         step += 1
@@ -251,7 +253,11 @@ class Group:
     """Classes under prefix words, sorted by g, and which of them have a candidate."""
 
     def __init__(self, x: dict[str, np.ndarray]):
-        order = np.lexsort((x["n"], x["g"]))
+        g = x["g"]
+        if len(g) and -(1 << 31) <= g.min() and g.max() < 1 << 31:  # no hot words: both fit in one number
+            order = np.argsort((g + (1 << 31)).view(np.uint64) << np.uint64(32) | x["n"].astype(np.uint64))
+        else:
+            order = np.lexsort((x["n"], g))
         n_before = x["n_before"].astype(np.int64)
         first = (np.cumsum(n_before) - n_before)[order]  # of a row's words in x["before"]
         self.x = {k: v[order] for k, v in x.items() if k not in ("before", "n_before")}
@@ -273,9 +279,11 @@ class Group:
         return a[apart <= most], b[apart <= most]
 
     def keep(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Flags the rows of pairs that share no word before."""
-        for s in range(0, len(a), 20_000):
-            p, q = a[s : s + 20_000], b[s : s + 20_000]
+        """Flags the rows of pairs that share no word before; pairs of rows that are flagged already make no difference."""
+        for s in range(0, len(a), 100_000):
+            p, q = a[s : s + 100_000], b[s : s + 100_000]
+            new = np.flatnonzero(~(self.flag[p] & self.flag[q]))
+            p, q = p[new], q[new]
             rows, of = np.unique(q, return_inverse=True)
             n = self.n_before[rows]
             known = np.sort(np.repeat(np.arange(len(rows)), n) << 32 | self.before[spans(self.first[rows], n)])
@@ -292,10 +300,22 @@ class Group:
         g = self.x["g"]
         edge = np.flatnonzero(np.diff(g)) + 1
         start, end = np.concatenate([[0], edge]), np.append(edge, len(g))
-        few = end - start <= 32
-        pairs = [self.allowed(a, b) for a, b in _short_pairs(start[few & (end - start > 1)], end[few & (end - start > 1)])]
-        self.keep(*(np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*pairs) if pairs else ((), ()))))
-        for s, e in zip(start[~few].tolist(), end[~few].tolist()):  # rows lie in order of their length
+        few = end - start <= 1024
+        # rows lie in order of their length, so those that are short enough for a row end at one place
+        size = end - start
+        key = np.repeat(np.arange(len(start)), size) << 32 | self.x["n"]
+        to = np.searchsorted(key, (key >> 32 << 32) + 5 * self.x["n"].astype(np.int64) // 4, "right")
+        pairs, many = [], 0
+        for a, b in _short_pairs(start[few & (size > 1)], end[few & (size > 1)], to):
+            new = np.flatnonzero(~(self.flag[a] & self.flag[b]))
+            pairs.append(self.allowed(a[new], b[new]))
+            many += len(pairs[-1][0])
+            if many > 100_000:
+                self.keep(*map(np.concatenate, zip(*pairs)))
+                pairs, many = [], 0
+        if pairs:
+            self.keep(*map(np.concatenate, zip(*pairs)))
+        for s, e in zip(start[~few].tolist(), end[~few].tolist()):
             n = self.x["n"][s:e]
             for a in range(0, e - s, 256):
                 most = (5 * int(n[min(a + 256, e - s) - 1])) // 4
@@ -343,7 +363,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rarity, min_words: int) -> Da
                 near = np.flatnonzero(filed_in(places.value, positions(ids[a + doc], t[a + doc], line_no)))
                 x = Lines(lines.take(pa.array(near)), min_words, rarity.value)
                 at = near[x.at]
-                sets = pa.ListArray.from_arrays(pa.array(x.start.astype(np.int32)), pa.array(x.hashes.view(np.int64)))
+                sets = pa.ListArray.from_arrays(pa.array(x.start.astype(np.int32)), pa.array(x.words[x.ids].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc[at]]), pa.array(t[a + doc[at]]), pa.array(line_no[at].astype(np.int32)), sets], ["doc_id", "t", "line_no", "words"])
 
     return docs.mapInArrow(slimmed(run), "doc_id long, t long, line_no int, words array<long>")

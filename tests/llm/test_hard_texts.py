@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from dialoom.llm import decontaminate, extract, licenses, linedup
+from dialoom.llm import common, decontaminate, extract, licenses, linedup
 
 
 def test_thousands_of_notices_in_one_text():
@@ -105,3 +105,52 @@ def test_lines_are_written_once(spark, monkeypatch):
     assert sum(n for what, n in rows.items() if what in ("lines", "parts")) == 160 and rows.get("classes", 0) == 0 and rows["equal"] < 60
     twice = docs.unionByName(docs.where("doc_id < 5"))  # rows that repeat an id and its text count once
     assert {(r.doc_id, r.line_no): (r.to_doc_id, r.to_line_no) for r in linedup.removals(twice).collect()} == gone
+
+
+def test_words_are_hashed_as_they_are_cut():
+    """Hashes fall together as the words do, whatever stands at the borders of texts, blocks and slices."""
+    long = "x" * 64
+    texts = ["", None, " \t", "One two\x0bONE", "two", "", "é É é É one", "a\0 a \0a \0", long, long + "x", long + "x " + long + "y", "\r\n\f one", "aé" * 40_000 + " one", "a " * common.BLOCK, "b" * (common.BLOCK - 3) + " border crossing", "Z[@`z{A"]
+    for part in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["lost", *texts, "too"]).slice(1, len(texts)), pa.array(texts[:0], pa.string()), pa.array(["", ""])):
+        new, plain = common.HashedWords(part), common.Words(part)
+        assert new.lengths.tolist() == plain.lengths.tolist() and len(new.ids) == len(plain.ids)
+        words = np.asarray(plain.words.to_pylist(), object)[plain.ids]
+        pairs = set(zip(words.tolist(), new.hashes[new.ids].tolist()))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(new.hashes)
+    alone = common.HashedWords(pa.array([long + "y"]))  # the same hash in each slice
+    assert alone.hashes[0] in common.HashedWords(pa.array(texts)).hashes
+
+
+def test_groups_of_candidates_are_searched_together(monkeypatch):
+    """Groups of up to 1024 rows are paired in strides over all of them, not one after another, and lengths that can't match
+    aren't paired; the rows found are those of all pairs."""
+    rng, sizes = np.random.default_rng(5), [40] * 300 + [700, 1500, 1, 2]
+    g = np.repeat(rng.permutation(len(sizes)) - 9, sizes)
+    total = len(g)
+    n = rng.integers(10, 90, total)
+    at = rng.integers(0, 1 + n // 5)
+    s1, s2 = (rng.integers(0, 1 << 60, len(sizes) + 9)[g] ^ 1 << rng.integers(0, 50, total) ^ 1 << rng.integers(0, 50, total) for _ in range(2))
+    n_before = np.minimum(at, rng.integers(0, 5, total))
+    before = rng.integers(0, 300, int(n_before.sum()))
+    side = np.where(rng.random(total) < 0.5, -1, rng.integers(0, 2, total))
+    words = np.full((total, 4), -1)
+    words[np.arange(4) < n_before[:, None]] = before
+    x = {"g": g, "c": np.arange(total), "n": n.astype(np.int32), "at": at.astype(np.int32), "s1": s1, "s2": s2, "side": side.astype(np.int32), "before": before.astype(np.int32), "n_before": n_before.astype(np.int32)}
+    want = set()
+    for k in np.unique(g):
+        r = np.flatnonzero(g == k)
+        a, b = r[:, None], r[None, :]
+        need = linedup.needed(n[a], n[b])
+        ok = (a != b) & (need <= np.minimum(n[a], n[b])) & (np.minimum(at[a], at[b]) + 1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1 >= need)
+        ok &= (side[a] < 0) | (side[a] != side[b])
+        ok &= np.bitwise_count(s1[a] ^ s1[b]).astype(int) + np.bitwise_count(s2[a] ^ s2[b]) <= n[a] + n[b] - 2 * need
+        for i, j in np.argwhere(ok):
+            if not set(words[r[i], : n_before[r[i]]]) & set(words[r[j], : n_before[r[j]]]):
+                want |= {r[i], r[j]}
+    calls, allowed = [], linedup.Group.allowed
+    monkeypatch.setattr(linedup.Group, "allowed", lambda self, a, b: calls.append((a.shape, np.broadcast(a, b).size)) or allowed(self, a, b))
+    group = linedup.Group(x)
+    assert set(group.x["c"][group.flagged()].tolist()) == want and 100 < len(want) < total
+    small = [size for shape, size in calls if len(shape) == 1]
+    assert len(small) < 700 and sum(small) < 0.5 * sum(z * (z - 1) // 2 for z in sizes if z <= 1024)
+    assert len(calls) - len(small) < 40  # blocks of the one large group
