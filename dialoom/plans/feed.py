@@ -12,6 +12,7 @@ from dialoom.plans import base
 from dialoom.plans.base import load, scratch, sql
 from dialoom.plans.registry import query
 from dialoom.sources import io, merge
+from dialoom.sources.shared import remove
 from dialoom.streaming import live
 
 SIZE, BATCH = 10, 8
@@ -482,17 +483,19 @@ def st1_st2_growing_file(spark, sf_dir):
 @query(sql("turns", "SELECT CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n, true AS in_order FROM chunked GROUP BY 1", CHUNKED))
 def st3_numbered_chunks(spark, sf_dir):
     """Every third chunk and the first come last; all are emitted in the order of their numbers, four a batch at most."""
+    tasks = spark.sparkContext.defaultParallelism
     path, target, state = scratch(spark, "numbered"), scratch(spark, "followed"), scratch(spark, "offsets")
     rows = base.stored(chunk_rows(spark, sf_dir).select("chunk_no", "conv_id"), "chunks")
     late = F.col("chunk_no") % 3 == 0
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
+        remove(f"{target}/batch_id={number}")  # a batch that runs again replaces itself
+        io.write_small(batch.withColumn("batch_id", F.lit(number)), target, "batch_id")
 
     for part in (rows.where(~late), rows.where(late)):
-        part.repartition("chunk_no").write.mode("append").partitionBy("chunk_no").parquet(path)
+        io.write_small(part.repartition(tasks, "chunk_no").sortWithinPartitions("chunk_no"), path, "chunk_no")
         stream = live.follow_numbered(spark, path, "chunk_no long, conv_id long", state, chunks_per_trigger=4)
-        live.drained(stream.writeStream.foreachBatch(put).option("checkpointLocation", state))
+        live.drained(stream.writeStream.foreachBatch(put), state)
     found = spark.read.schema("chunk_no long, conv_id long, batch_id long").parquet(target)
     sums = base.stored(found.groupBy("chunk_no").agg(F.count("*").alias("n"), F.min("batch_id").alias("a"), F.max("batch_id").alias("z")), "followed")
     spans = sums.groupBy(F.col("z").alias("batch")).agg(F.min("chunk_no").alias("low"), F.max("chunk_no").alias("high"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoom.operators.chunks import dense_ordinal
+from dialoom.sources.shared import opened
 
 SPLITS = (("train", 0), ("valid", 1), ("test", 2))
 STEP_KEYS = ("input_text", "target_text", "gate_signal")
@@ -212,6 +217,46 @@ def write_chunks(rows: DataFrame, path: str) -> None:
     writer.partitionBy("split", "chunk_no").parquet(path)
 
 
+def write_small(rows: DataFrame, path: str, by: str) -> None:
+    """Append rows to a folder `by`=number for each number, as `partitionBy` lays them out, for many small files. Rows of
+    equal numbers have to be neighbours in their task. Each file is written under a hidden name and moved into place whole;
+    a task that runs again replaces its files. Spark's own writer starts processes for each file on a local disk."""
+    call = uuid.uuid4().hex
+
+    def put(batches):
+        task = TaskContext.get()
+        system, root = opened(path)
+        out = writer = number = None
+        folder, name, hidden, n = "", f"part-{task.partitionId():05d}-{call}.parquet", f".part-{task.taskAttemptId()}-{call}", 0
+
+        def close():
+            if writer is not None:
+                writer.close()
+                out.close()
+                system.move(f"{folder}/{hidden}", f"{folder}/{name}")
+
+        for b in batches:
+            if b.column(by).null_count:
+                raise ValueError(f"{by} is null")
+            values = b.column(by).to_numpy()
+            rest = b.select([c for c in b.schema.names if c != by])
+            cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low < high:
+                    if writer is None or values[low] != number:
+                        close()
+                        number, folder = values[low], f"{root}/{by}={values[low]}"
+                        system.create_dir(folder, recursive=True)
+                        out = system.open_output_stream(f"{folder}/{hidden}")
+                        writer = pq.ParquetWriter(out, rest.schema)
+                    writer.write_batch(rest.slice(low, high - low))
+            n += b.num_rows
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    rows.mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Rows in numeric chunk order; no chunk at all is an error."""
     rows = spark.read.parquet(path)

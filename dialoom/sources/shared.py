@@ -13,6 +13,13 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), local) if "://" not in local else fs.FileSystem.from_uri(local)
 
 
+def remove(path: str) -> None:
+    """Removes a folder with what is in it, if it is there."""
+    system, root = opened(path)
+    if system.get_file_info(root).type == fs.FileType.Directory:
+        system.delete_dir(root)
+
+
 def listed(path: str) -> dict[str, int]:
     """Path and size of the files under a folder (or of one file); names that start with . or _ aren't data."""
     system, root = opened(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from dialoom.sources.io import _list_of, exists
 from dialoom.streaming import sources
 
 BLOCK = 1000
+LOG_FILES = "spark.sql.streaming.checkpointFileManagerClass"
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -112,23 +114,37 @@ def live_encode_growing(spark: SparkSession, source: str, target: str, checkpoin
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def follow_numbered(spark: SparkSession, directory: str, schema, checkpoint: str, chunks_per_trigger: int = 1, gaps: str = "wait", first_chunk: int = 0) -> DataFrame:
+def follow_numbered(spark: SparkSession, directory: str, schema, checkpoint: str, chunks_per_trigger: int = 1, gaps: str = "wait", first_chunk: int = 0, task_bytes: int = 16 << 20) -> DataFrame:
     """A stream of the chunks of a folder in the order of their numbers, so many a batch, whenever they were written; the
-    schema may name chunk_no. No chunk at all is an error. checkpoint: that of the query. `drained` runs it to its end."""
+    schema may name chunk_no. No chunk at all is an error. checkpoint: that of the query. task_bytes: small chunks of a
+    batch share tasks up to so many bytes. `drained` runs it to its end."""
     if not any(sources.CHUNK_RE.search(p) for p in sources.listed(directory)):
         raise ValueError(f"no chunks under {directory}")
     sources.register(spark)
-    options = {"path": directory, "checkpoint": checkpoint, "chunksPerTrigger": chunks_per_trigger, "gaps": gaps, "firstChunk": first_chunk}
+    options = {"path": directory, "checkpoint": checkpoint, "chunksPerTrigger": chunks_per_trigger, "gaps": gaps, "firstChunk": first_chunk, "taskBytes": task_bytes}
     return spark.readStream.format("numbered_chunks").schema(schema).options(**options).load()
 
 
-def drained(writer) -> None:
-    """Start a stream's writer, wait until nothing is left to read, and stop it."""
-    running = writer.start()
+def drained(writer, checkpoint: str | None = None) -> None:
+    """Start a stream's writer, wait until nothing is left to read, and stop it. checkpoint: the writer's, if it has none yet.
+
+    For a checkpoint named here that lies on a local disk, files of its logs are moved into place by FileSystem, as Spark
+    itself does where there is no FileContext, which starts many processes a batch there for modes and links."""
+    conf = SparkSession.active().conf
+    local = checkpoint is not None and re.match(r"file:|(?!\w+:)", checkpoint) is not None and conf.get(LOG_FILES, None) is None
+    if checkpoint is not None:
+        writer = writer.option("checkpointLocation", checkpoint)
+    if local:
+        conf.set(LOG_FILES, "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
     try:
-        running.processAllAvailable()
+        running = writer.start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
     finally:
-        running.stop()
+        if local:
+            conf.unset(LOG_FILES)
 
 
 def follow_chunks(spark: SparkSession, directory: str, schema, files_per_trigger: int = 1, max_bytes: str | None = None) -> DataFrame:

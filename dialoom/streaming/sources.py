@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ from dialoom.sources.shared import listed, opened
 #: Files that one offset may name; folders of more hold closed files, which Spark's own source reads.
 MOST_FILES = 10_000
 BLOCK, WINDOW, TAIL = 64 << 20, 4 << 20, 1 << 16
+#: What opening a file counts as, where tasks are given files by their bytes.
+OPENING = 1 << 20
 CHUNK_RE = re.compile(r"(?:^|/)chunk(?:_no=|_)(\d+)(?=[./])")
 
 
@@ -132,8 +135,9 @@ class NumberedChunks(DataSource):
 
     Options: path; chunksPerTrigger (1; 0: all there are); firstChunk (0); gaps: `wait` (a number that lacks holds back
     all later ones until it comes) or `skip` (what is there goes on in order; a chunk that comes too late is never
-    read); checkpoint: the query's checkpoint, from which a query that starts again learns where it was. Chunks have to
-    be moved into place whole, as Spark and most writers do."""
+    read); checkpoint: the query's checkpoint, from which a query that starts again learns where it was; taskBytes: files
+    of a batch that a task reads one after the other, up to so many bytes (0: a task a file). Chunks have to be moved into
+    place whole, as Spark and most writers do."""
 
     @classmethod
     def name(cls) -> str:
@@ -144,34 +148,37 @@ class NumberedChunks(DataSource):
 
 
 class _Chunk(InputPartition):
+    """A file of a chunk, and those (number, path) that the same task reads after it."""
+
     def __init__(self, number: int, path: str):
-        self.number, self.path = number, path
+        self.number, self.files = number, [(number, path)]
 
 
 class _ChunkReader(DataSourceStreamReader):
     def __init__(self, options, schema):
         self.path, self.checkpoint, self.schema = options["path"], options.get("checkpoint"), to_arrow_schema(schema)
         self.most, self.first, self.skips = int(options.get("chunksPerTrigger", 1)), int(options.get("firstChunk", 0)), options.get("gaps", "wait") == "skip"
+        self.bytes = int(options.get("taskBytes", 0))
         self.next: int | None = None
-        self.held: dict[int, list[str]] = {}
+        self.held: dict[int, dict[str, int]] = {}
+        self.order: list[int] = []
 
-    def _chunks(self) -> dict[int, list[str]]:
-        found: dict[int, list[str]] = {}
-        for path in listed(self.path):
+    def _list(self) -> None:
+        found: dict[int, dict[str, int]] = {}
+        for path, size in listed(self.path).items():
             if hit := CHUNK_RE.search(path):
-                found.setdefault(int(hit[1]), []).append(path)
-        self.held = found
-        return found
+                found.setdefault(int(hit[1]), {})[path] = size
+        self.held, self.order = found, sorted(found)
 
-    def _there(self, numbers: range) -> dict[int, list[str]]:
-        """The chunks as they were listed last if these numbers were all there and still are, else a new listing: a
-        folder of many chunks isn't listed for every few of them."""
+    def _hold(self, numbers: range) -> None:
+        """Lists the folder, unless these numbers were all there when it was listed last and still are: a folder of many
+        chunks is neither listed nor gone through for every few of them."""
         if numbers and all(n in self.held for n in numbers):
             own = [p for n in numbers for p in self.held[n]]
             system = opened(own[0])[0]
             if all(x.type == fs.FileType.File for x in system.get_file_info([opened(p)[1] for p in own])):
-                return self.held
-        return self._chunks()
+                return
+        self._list()
 
     def _planned(self) -> int:
         """Where the last batch of the checkpoint ends: the last line of the newest file of its offset log."""
@@ -187,30 +194,42 @@ class _ChunkReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         at = self._planned() if self.next is None else self.next
-        there = self._there(range(at, at + self.most))
-        ahead = [n for n in sorted(there) if n >= at]
+        self._hold(range(at, at + self.most))
+        low = bisect_left(self.order, at)
+        ahead = self.order[low : low + self.most if self.most else None]
         if not self.skips:
             ahead = [n for k, n in enumerate(ahead) if n == at + k]
         if ahead:
-            at = (ahead[: self.most] if self.most else ahead)[-1] + 1
+            at = ahead[-1] + 1
         self.next = at
         return {"next": at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         numbers = range(start["next"], end["next"])
-        there = self._there(numbers)
-        if not self.skips and (lost := [n for n in numbers if n not in there]):
+        self._hold(numbers)
+        if not self.skips and (lost := [n for n in numbers if n not in self.held]):
             raise ValueError(f"chunks {lost[:5]} under {self.path} are gone")
-        return [_Chunk(n, p) for n in sorted(there) if n in numbers for p in sorted(there[n])]
+        out, room = [], 0
+        for n in self.order[bisect_left(self.order, numbers.start) : bisect_left(self.order, numbers.stop)]:
+            for path, size in sorted(self.held[n].items()):
+                cost = max(size, OPENING)
+                if cost <= room:
+                    out[-1].files.append((n, path))
+                else:
+                    out.append(_Chunk(n, path))
+                    room = self.bytes
+                room -= cost
+        return out
 
     def read(self, partition: _Chunk) -> Iterator[pa.RecordBatch]:
-        system, inside = opened(partition.path)
-        with system.open_input_file(inside) as f:
-            file = pq.ParquetFile(f)
-            own = set(file.schema_arrow.names)
-            for b in file.iter_batches(batch_size=8192, columns=[n for n in self.schema.names if n in own]):
-                columns = [b.column(x.name).cast(x.type) if x.name in own else pa.array([partition.number] * b.num_rows, x.type) if x.name == "chunk_no" else pa.nulls(b.num_rows, x.type) for x in self.schema]
-                yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
+        for number, path in partition.files:
+            system, inside = opened(path)
+            with system.open_input_file(inside) as f:
+                file = pq.ParquetFile(f)
+                own = set(file.schema_arrow.names)
+                for b in file.iter_batches(batch_size=8192, columns=[n for n in self.schema.names if n in own]):
+                    columns = [b.column(x.name).cast(x.type) if x.name in own else pa.array([number] * b.num_rows, x.type) if x.name == "chunk_no" else pa.nulls(b.num_rows, x.type) for x in self.schema]
+                    yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
 
 def register(spark: SparkSession) -> None:

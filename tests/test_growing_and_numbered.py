@@ -163,3 +163,41 @@ def test_chunks_are_listed_once_for_many_batches(tmp_path, spark, monkeypatch):
     (tmp_path / "chunks/chunk_3.parquet").unlink()
     with pytest.raises(ValueError, match="gone"):
         reader.partitions({"next": 2}, {"next": 4})
+
+
+def test_a_batch_does_not_go_through_all_chunks(tmp_path, spark):
+    class Held(dict):
+        def __iter__(self):
+            raise AssertionError("all chunks")
+
+    for n in range(9):
+        chunk(tmp_path / "chunks", n)
+    reader = sources.NumberedChunks({"path": str(tmp_path / "chunks"), "chunksPerTrigger": 2}).streamReader(spark.range(1).schema)
+    assert reader.latestOffset() == {"next": 2}
+    reader.held = Held(reader.held)
+    assert reader.latestOffset() == {"next": 4} and [p.number for p in reader.partitions({"next": 1}, {"next": 4})] == [1, 2, 3]
+
+
+def test_small_chunks_share_tasks(tmp_path, spark):
+    for n in range(5):
+        chunk(tmp_path / "chunks", n)
+    tasks = []
+    stream = live.follow_numbered(spark, f"file://{tmp_path}/chunks", "chunk_no int, x string", f"file://{tmp_path}/state", chunks_per_trigger=4)
+    live.drained(stream.writeStream.foreachBatch(lambda rows, batch: tasks.append((rows.rdd.getNumPartitions(), [r.x for r in rows.collect()]))), f"file://{tmp_path}/state")
+    assert tasks == [(1, [f"{n}/{k}" for n in range(4) for k in range(3)]), (1, ["4/0", "4/1", "4/2"])]
+    options = {"path": str(tmp_path / "chunks"), "taskBytes": 3 * sources.OPENING}
+    own = sources.NumberedChunks(options).streamReader(spark.range(1).schema).partitions({"next": 0}, {"next": 5})
+    assert [[n for n, _ in p.files] for p in own] == [[0, 1, 2], [3, 4]]
+
+
+def test_small_files_are_written_as_partition_by_does(tmp_path, spark):
+    rows = spark.range(25_000).selectExpr("id div 7 AS k", "id", "if(id % 3 = 0, null, concat('x', id)) AS x").repartition(3, "k").sortWithinPartitions("k")
+    io.write_small(rows.where("k % 2 = 0"), f"file://{tmp_path}/a", "k")
+    io.write_small(rows.where("k % 2 = 1"), f"file://{tmp_path}/a", "k")
+    rows.write.partitionBy("k").parquet(f"file://{tmp_path}/b")
+    a, b = (spark.read.schema("k long, id long, x string").parquet(f"file://{tmp_path}/{x}") for x in "ab")
+    assert a.count() == 25_000 and a.exceptAll(b).isEmpty()
+    files = [p for p in (tmp_path / "a").rglob("*") if p.is_file()]
+    assert len(files) == 3572 and all(p.name.startswith("part-") for p in files)
+    with pytest.raises(Exception, match="k is null"):
+        io.write_small(spark.range(1).selectExpr("cast(null AS long) AS k", "id"), f"file://{tmp_path}/c", "k")
